@@ -32,7 +32,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
-from ionframe.llm.shared import text_or_empty
+from ionframe.llm.shared import small_batches, text_or_empty
 
 #: Characters that str.split() takes for spaces and the vocabulary's pattern does not.
 _ODD = re.compile("[\x1c-\x1f]")
@@ -253,4 +253,5 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
                 rows.append((doc_id, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(codec.decode(ids)).hexdigest()))
             yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]).astype({"doc_id": "Int64"})
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", text_or_empty().alias("text")).mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ionframe.llm.shared import groups_for, text_or_empty, written
+from ionframe.llm.shared import groups_for, small_batches, text_or_empty, written
 from ionframe.llm.tokens import byte_encoder
 
 CAPACITY = 2048
@@ -219,4 +219,5 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, islands: int = ISLANDS, ep
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` of every piece."""
+    small_batches(docs.sparkSession)
     return pack(written(token_pieces(docs, capacity), "pieces"), capacity)

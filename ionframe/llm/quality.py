@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ionframe.llm.shared import text_or_empty
+from ionframe.llm.shared import small_batches, text_or_empty
 
 SAMPLE = 2500
 LONGEST = 20_000
@@ -96,6 +96,7 @@ def fold() -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fits the model on the learning fold of ``labels``."""
+    small_batches(docs.sparkSession)
     told = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (fold() != 0))
     told = told.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("top")).where("quality = top").drop("top")
     share = {r["quality"]: r["n"] for r in told.groupBy("quality").agg(F.count("*").alias("n")).collect()}

@@ -44,3 +44,10 @@ def text_or_empty(col: str = "text") -> Column:
 def groups_for(rows: int, per_group: int, least: int = 1) -> int:
     """How many hash groups keep about ``per_group`` rows each."""
     return max(least, -(-rows // per_group))
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Whole texts go to Python some at a time, so that a worker's memory stays small."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows:
+        spark.conf.set(key, str(rows))

@@ -37,15 +37,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ionframe.llm.hashing import BASE, mix, prefix_sums, span_hash
-from ionframe.llm.shared import groups_for, text_or_empty, written
+from ionframe.llm.shared import groups_for, small_batches, text_or_empty, written
 
 LENGTH = 50
-GRAM = 20
+GRAM = 28
 #: Text that a task gathers before it merges equal contexts and sends them on.
-GATHER = 24 << 20
+GATHER = 12 << 20
 #: Bytes of text a name bucket stands for, and bytes of context a string bucket holds.
-PER_NAME_BUCKET = 4 << 20
-PER_STRING_BUCKET = 4 << 20
+PER_NAME_BUCKET = 3 << 20
+PER_STRING_BUCKET = 3 << 19
 #: Contexts of one name that one bucket compares; more are dealt by window.
 CONTEXTS = 4000
 BROADCAST_IDS = 500_000
@@ -54,9 +54,6 @@ LAST = (1 << 63) - 1
 SEPARATOR = 0xFF
 LOW48 = np.uint64((1 << 48) - 1)
 
-NAMES = np.dtype([("name", "<u8"), ("context", "<u8"), ("doc", "<i8")])
-
-
 def document_key() -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
 
@@ -80,7 +77,7 @@ def runs(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
             count = len(data) - (n + part) + 1
             grams = grams[:count] * np.uint64(pow(int(BASE), part, 1 << 64)) + by[part][n:n + count]
             n, rest = n + part, rest - part
-        least, span, wide = mix(grams), 1, LENGTH - GRAM + 1
+        least, span, wide = grams, 1, LENGTH - GRAM + 1
         while 2 * span <= wide:
             least, span = np.minimum(least[:-span], least[span:]), 2 * span
         if span < wide:
@@ -96,6 +93,18 @@ def as_bytes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode(), np.uint8)
 
 
+def _by_context(name: np.ndarray, context: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows with equal names together, and in them rows with equal contexts."""
+    top = np.uint64(32)
+    order = np.argsort((name << np.uint64(16)) | (context >> top))
+    name, context, doc = name[order], context[order], doc[order]
+    near = (name[1:] == name[:-1]) & (context[1:] >> top == context[:-1] >> top)
+    if np.any(context[1:][near] != context[:-1][near]):  # 16 bits of a context were not enough
+        order = np.lexsort((context, name))
+        name, context, doc = name[order], context[order], doc[order]
+    return name, context, doc
+
+
 def _packed48(values: np.ndarray) -> bytes:
     return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
@@ -119,42 +128,42 @@ SENT = "bucket int, docs binary, counts binary, names binary, contexts binary"
 
 
 def _named(docs: DataFrame, buckets: int) -> DataFrame:
-    def send(rows: np.ndarray) -> pd.DataFrame:
-        if not len(rows):
+    def send(held: list[tuple]) -> pd.DataFrame:
+        names, contexts, docs_ = (np.concatenate(x) for x in zip(*held, strict=True))
+        if not len(names):
             return pd.DataFrame([], columns=["bucket", "docs", "counts", "names", "contexts"])
-        rows = rows[np.lexsort((rows["doc"], rows["context"], rows["name"]))]
-        same = np.concatenate(([False], (rows["name"][1:] == rows["name"][:-1]) & (rows["context"][1:] == rows["context"][:-1])))
-        group = np.cumsum(~same) - 1
-        least = rows["doc"][~same][group]
-        covered, unique = rows[same & (rows["doc"] > least)], rows[~same]
+        names, contexts, docs_ = _by_context(names, contexts, docs_)
+        new = np.concatenate(([True], (names[1:] != names[:-1]) | (contexts[1:] != contexts[:-1])))
+        first = np.flatnonzero(new)
+        least = np.minimum.reduceat(docs_, first)
         out = []
-        covered = covered[np.argsort(covered["doc"], kind="stable")]
-        for a, b in _stretches(covered["doc"]):
-            out.append((-1 - int(covered["doc"][a]) % buckets, covered["doc"][a:a + 1].tobytes(), b"", b"", _packed48(covered["context"][a:b])))
-        bucket = (unique["name"] % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((unique["doc"], bucket))
-        unique, bucket = unique[order], bucket[order]
+        late = np.flatnonzero(docs_ > least[np.cumsum(new) - 1])
+        late = late[np.argsort(docs_[late])]
+        doc, context = docs_[late], contexts[late]
+        for a, b in _stretches(doc):
+            out.append((-1 - int(doc[a]) % buckets, doc[a:a + 1].tobytes(), b"", b"", _packed48(context[a:b])))
+        name, context = names[first], contexts[first]
+        bucket = (name % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((least, bucket))
+        name, context, doc, bucket = name[order], context[order], least[order], bucket[order]
         for a, b in _stretches(bucket):
-            part = unique[a:b]
-            ids, n = np.unique(part["doc"], return_counts=True)
-            out.append((int(bucket[a]), ids.tobytes(), n.astype("<u4").tobytes(), _packed48(part["name"]), _packed48(part["context"])))
+            cut = np.array(_stretches(doc[a:b]))
+            out.append((int(bucket[a]), doc[a:b][cut[:, 0]].tobytes(), (cut[:, 1] - cut[:, 0]).astype("<u4").tobytes(), _packed48(name[a:b]), _packed48(context[a:b])))
         return pd.DataFrame(out, columns=["bucket", "docs", "counts", "names", "contexts"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[np.ndarray] = []
+        held: list[tuple] = []
         size = 0
         for batch in batches:
             for doc, text in zip(batch["doc"].tolist(), batch["text"], strict=True):
                 names, contexts, _, _ = runs(as_bytes(text))
-                rows = np.empty(len(names), NAMES)
-                rows["name"], rows["context"], rows["doc"] = names, contexts, doc
-                held.append(rows)
+                held.append((names, contexts, np.full(len(names), doc, np.int64)))
                 size += len(text)
                 if size >= GATHER:
-                    yield send(np.concatenate(held))
+                    yield send(held)
                     held, size = [], 0
         if held:
-            yield send(np.concatenate(held))
+            yield send(held)
 
     return docs.mapInPandas(run, SENT)
 
@@ -169,31 +178,27 @@ def _judge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     if key[0] < 0:
         out = [(0, int(np.frombuffer(d, "<i8")[0]), b"", c, b"") for d, c in zip(rows["docs"], rows["contexts"], strict=True)]
         return pd.DataFrame(out, columns=["kind", "doc", "names", "contexts", "parts"])
-    parts = []
-    for docs, counts, names, contexts in zip(rows["docs"], rows["counts"], rows["names"], rows["contexts"], strict=True):
-        part = np.empty(len(names) // 6, NAMES)
-        part["doc"] = np.repeat(np.frombuffer(docs, "<i8"), np.frombuffer(counts, "<u4"))
-        part["name"], part["context"] = _unpacked48(names), _unpacked48(contexts)
-        parts.append(part)
-    all_ = np.concatenate(parts)
-    all_ = all_[np.lexsort((all_["doc"], all_["context"], all_["name"]))]
-    new_name = np.concatenate(([True], all_["name"][1:] != all_["name"][:-1]))
-    new_context = new_name | np.concatenate(([True], all_["context"][1:] != all_["context"][:-1]))
-    context_at = np.cumsum(new_context) - 1
-    owner = all_["doc"][new_context]
-    covered = all_[all_["doc"] > owner[context_at]]
-    covered = covered[np.argsort(covered["doc"], kind="stable")]
-    out += [(0, int(covered["doc"][a]), b"", _packed48(covered["context"][a:b]), b"") for a, b in _stretches(covered["doc"])]
-    first = all_[new_context]
-    name_at = np.cumsum(new_name[new_context]) - 1
+    name, context, doc = _by_context(
+        np.concatenate([_unpacked48(b) for b in rows["names"]]),
+        np.concatenate([_unpacked48(b) for b in rows["contexts"]]),
+        np.concatenate([np.repeat(np.frombuffer(d, "<i8"), np.frombuffer(n, "<u4")) for d, n in zip(rows["docs"], rows["counts"], strict=True)]))
+    new_name = np.concatenate(([True], name[1:] != name[:-1]))
+    new = new_name | np.concatenate(([True], context[1:] != context[:-1]))
+    first = np.flatnonzero(new)
+    owner = np.minimum.reduceat(doc, first)
+    late = np.flatnonzero(doc > owner[np.cumsum(new) - 1])
+    late = late[np.argsort(doc[late])]
+    out += [(0, int(doc[late[a]]), b"", _packed48(context[late[a:b]]), b"") for a, b in _stretches(doc[late])]
+    # names with several contexts of different documents: strings must be compared
+    name_at = np.cumsum(new_name[first]) - 1
+    begin = np.flatnonzero(new_name[first])
     contexts_of = np.bincount(name_at)
-    docs_differ = np.maximum.reduceat(owner, np.flatnonzero(new_name[new_context])) != np.minimum.reduceat(owner, np.flatnonzero(new_name[new_context])) if len(owner) else np.array([], bool)
-    ask = (contexts_of > 1) & docs_differ
-    asked = first[ask[name_at]]
-    split = (-(-contexts_of[name_at] // CONTEXTS))[ask[name_at]]
-    order = np.argsort(asked["doc"], kind="stable")
-    asked, split = asked[order], split[order]
-    out += [(1, int(asked["doc"][a]), _packed48(asked["name"][a:b]), _packed48(asked["context"][a:b]), split[a:b].astype("<u4").tobytes()) for a, b in _stretches(asked["doc"])]
+    differ = np.maximum.reduceat(owner, begin) != np.minimum.reduceat(owner, begin)
+    ask = np.flatnonzero(((contexts_of > 1) & differ)[name_at])
+    ask = ask[np.argsort(owner[ask])]
+    split = -(-contexts_of[name_at[ask]] // CONTEXTS)
+    name, context, owner = name[first[ask]], context[first[ask]], owner[ask]
+    out += [(1, int(owner[a]), _packed48(name[a:b]), _packed48(context[a:b]), split[a:b].astype("<u4").tobytes()) for a, b in _stretches(owner)]
     return pd.DataFrame(out, columns=["kind", "doc", "names", "contexts", "parts"])
 
 
@@ -242,7 +247,7 @@ def suffix_order(text: np.ndarray, depth: int = LENGTH) -> np.ndarray:
         key = (key << np.uint64(8)) | wide[k:k + n]
     known = 8
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         ordered = key[order]
         rank = np.empty(n, np.uint64)
         rank[order] = np.cumsum(np.concatenate(([0], ordered[1:] != ordered[:-1]))).astype(np.uint64)
@@ -360,6 +365,7 @@ def covered_bytes(data: np.ndarray, wholes: object, parts: object) -> np.ndarray
 
 def repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Covered contexts by document: (``doc, wholes``) and (``doc, parts``)."""
+    small_batches(docs.sparkSession)
     texts = docs.select(document_key().alias("doc"), text_or_empty().alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     names = groups_for(size, PER_NAME_BUCKET, 64)

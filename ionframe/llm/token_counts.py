@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ionframe.llm.shared import text_or_empty
+from ionframe.llm.shared import small_batches, text_or_empty
 from ionframe.llm.tokens import byte_encoder
 
 RULES = ("first", "last", "most")
@@ -99,5 +99,6 @@ def count_tokens(docs: DataFrame, sections: str | None = None, rule: str = "firs
             if columns["doc_id"]:
                 yield pd.DataFrame({"doc_id": pd.array(columns.pop("doc_id"), "Int64")} | {c: np.concatenate(v) for c, v in columns.items()})
 
+    small_batches(docs.sparkSession)
     cols = [F.col("doc_id"), text_or_empty().alias("text")] + ([F.col(sections).alias("sections")] if sections else [])
     return docs.select(*cols).mapInPandas(run, COUNT)
