@@ -2,5 +2,361 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ionframe.functions import chemistry
+from ionframe.operators import matching, matrix, scans, statistics
+from ionframe.plans import views
+from ionframe.plans.views import with_views
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def _query(sql: str) -> Callable:
+    def note(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return note
+
+
+def _rounded(df: DataFrame, digits: int, *cols: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) for c in cols})
+
+
+# --- scans and chromatograms
+
+
+@_query(with_views("scan") + """, x AS (SELECT file_id, rt, sum(intensity) AS intensity FROM scan
+    WHERE ms_level = 1 AND mz BETWEEN 35 AND 45 GROUP BY file_id, rt),
+    s AS (SELECT *, lead(rt) OVER w AS r2, lead(intensity) OVER w AS i2,
+        row_number() OVER (PARTITION BY file_id ORDER BY intensity DESC, rt) AS k FROM x WINDOW w AS (PARTITION BY file_id ORDER BY rt))
+    SELECT file_id, count(*) AS n_points, round(max(CASE WHEN k = 1 THEN rt END), 6) AS apex_rt, round(max(intensity), 6) AS apex_intensity,
+        round(coalesce(sum((r2 - rt) * (i2 + intensity) / 2), 0), 4) AS area FROM s GROUP BY file_id""")
+def xic_peak_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scans.peak_summary(scans.xic(views.scan(spark, sf_dir), 40.0, 5.0))
+    return _rounded(_rounded(out, 6, "apex_rt", "apex_intensity"), 4, "area")
+
+
+@_query(with_views("scan") + """, t AS (SELECT p_size AS target_id, CAST(p_size * 2 AS DOUBLE) AS target_mz FROM part GROUP BY p_size)
+    SELECT CAST(target_id AS BIGINT) AS target_id, file_id, count(*) AS n_points, round(sum(intensity), 4) AS total, round(max(intensity), 6) AS top
+    FROM scan JOIN t ON abs(mz - target_mz) <= 1.5 WHERE ms_level = 1 GROUP BY target_id, file_id""")
+def xic_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    targets = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_size").cast("long").alias("target_id"), (F.col("p_size") * 2).cast("double").alias("target_mz")).distinct()
+    return _rounded(_rounded(scans.batch_xic(views.scan(spark, sf_dir), targets, 1.5), 4, "total"), 6, "top")
+
+
+@_query(with_views("scan") + """SELECT scan_id, file_id, round(rt, 6) AS rt, mz, round(intensity, 6) AS intensity FROM scan
+    WHERE ms_level > 1 AND mz > 0 AND abs(mz - 40) <= 2""")
+def scan_source_gated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(scans.gated(views.scan(spark, sf_dir), 40.0, 2.0), 6, "rt", "intensity").select("scan_id", "file_id", "rt", "mz", "intensity")
+
+
+@_query(with_views("scan") + """SELECT CAST(round_even(mz * 10000, 0) AS BIGINT) AS key, count(*) AS n FROM scan WHERE ms_level > 1 AND mz > 0 GROUP BY 1""")
+def distinct_precursors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.distinct_precursors(views.scan(spark, sf_dir))
+
+
+@_query(with_views("scan") + """SELECT ms_level, count(*) AS n, count(DISTINCT file_id) AS n_files FROM scan WHERE rt BETWEEN 1000 AND 20000 GROUP BY ms_level""")
+def scan_level_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.level_counts(views.scan(spark, sf_dir), 1000.0, 20000.0)
+
+
+@_query(with_views("scan") + """SELECT file_id, round(min(rt), 6) AS min_rt, round(max(rt), 6) AS max_rt, min(mz) AS min_mz, max(mz) AS max_mz,
+    round(min(intensity), 6) AS min_intensity, round(max(intensity), 6) AS max_intensity FROM scan GROUP BY file_id""")
+def scan_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(scans.ranges(views.scan(spark, sf_dir)), 6, "min_rt", "max_rt", "min_intensity", "max_intensity")
+
+
+@_query(with_views("scan") + """, r AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY intensity DESC, scan_id) AS k FROM scan WHERE ms_level = 1)
+    SELECT scan_id, file_id, round(rt, 6) AS rt, mz, round(intensity, 6) AS intensity FROM r WHERE k = 1""")
+def base_peak_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(scans.base_peak_scans(views.scan(spark, sf_dir)), 6, "rt", "intensity").select("scan_id", "file_id", "rt", "mz", "intensity")
+
+
+@_query(with_views("scan") + """, r AS (SELECT *, CAST(floor(mz / 10) AS BIGINT) AS bin FROM scan),
+    k AS (SELECT *, row_number() OVER (PARTITION BY file_id, bin ORDER BY intensity DESC, mz DESC) AS k FROM r)
+    SELECT file_id, bin, round(sum(intensity), 4) AS intensity, max(CASE WHEN k = 1 THEN mz END) AS base_mz FROM k GROUP BY file_id, bin""")
+def mass_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(scans.mass_bins(views.scan(spark, sf_dir), 10.0), 4, "intensity")
+
+
+@_query(with_views("scan") + """, r AS (SELECT *, last_value(CASE WHEN ms_level = 1 THEN scan_id END IGNORE NULLS) OVER
+    (PARTITION BY file_id ORDER BY rt, scan_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS survey_id FROM scan)
+    SELECT scan_id, file_id, survey_id FROM r WHERE ms_level > 1""")
+def nearest_survey_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.nearest_survey(views.scan(spark, sf_dir)).select("scan_id", "file_id", "survey_id")
+
+
+@_query(with_views("scan") + """, b AS (SELECT min(rt) AS r0, max(rt) AS r1, min(mz) AS m0, max(mz) AS m1 FROM scan)
+    SELECT CAST(least(29, floor((rt - r0) / (r1 - r0) * 30)) AS BIGINT) AS row, CAST(least(19, floor((mz - m0) / (m1 - m0) * 20)) AS BIGINT) AS bin,
+        round(sum(intensity), 4) AS intensity FROM scan, b GROUP BY 1, 2""")
+def contour_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(scans.contour_grid(views.scan(spark, sf_dir), 30, 20), 4, "intensity")
+
+
+@_query(with_views("scan") + """, c AS (SELECT file_id, median(intensity) AS median FROM scan GROUP BY file_id)
+    SELECT file_id, round(any_value(median), 6) AS median, round(median(abs(intensity - median)), 6) AS mad FROM scan JOIN c USING (file_id) GROUP BY file_id""")
+def noise_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(scans.noise(views.scan(spark, sf_dir)), 6, "median", "mad")
+
+
+@_query(with_views("scan") + """, c AS (SELECT file_id, median(intensity) AS median FROM scan GROUP BY file_id)
+    SELECT scan_id, file_id, round(intensity - median, 6) AS intensity FROM scan JOIN c USING (file_id) WHERE intensity > median""")
+def background_subtracted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(scans.background_subtracted(views.scan(spark, sf_dir)), 6, "intensity").select("scan_id", "file_id", "intensity")
+
+
+# --- predicates over features
+
+
+@_query(with_views("feature") + """SELECT spot_id, mz, rt, ontology FROM feature WHERE mz BETWEEN 905 AND 930 AND rt BETWEEN 5 AND 40 AND ontology LIKE 'Brand#1%'""")
+def spot_value_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = views.feature(spark, sf_dir)
+    return f.where(F.col("mz").between(905, 930) & F.col("rt").between(5, 40) & F.col("ontology").startswith("Brand#1")).select("spot_id", "mz", "rt", "ontology")
+
+
+@_query(with_views("feature") + """SELECT spot_id, name, adduct FROM feature WHERE contains(lower(name), 'o') AND contains(lower(name), 't') AND NOT contains(lower(adduct), 'eco')""")
+def spot_keyword_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f, name = views.feature(spark, sf_dir), F.lower("name")
+    return f.where(F.contains(name, F.lit("o")) & F.contains(name, F.lit("t")) & ~F.contains(F.lower("adduct"), F.lit("eco"))).select("spot_id", "name", "adduct")
+
+
+@_query(with_views("scan") + """SELECT file_id, count(*) AS n_hits, round(max(intensity), 6) AS top FROM scan
+    WHERE (ms_level = 2 AND abs(mz - 50) <= 3 AND intensity >= 10) OR (ms_level = 1 AND abs(mz - 20) <= 1 AND rt >= 500 AND intensity >= 50) GROUP BY file_id""")
+def fragment_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = views.scan(spark, sf_dir)
+    product = (F.col("ms_level") == 2) & (F.abs(F.col("mz") - 50) <= 3) & (F.col("intensity") >= 10)
+    survey = (F.col("ms_level") == 1) & (F.abs(F.col("mz") - 20) <= 1) & (F.col("rt") >= 500) & (F.col("intensity") >= 50)
+    return _rounded(s.where(product | survey).groupBy("file_id").agg(F.count("*").alias("n_hits"), F.max("intensity").alias("top")), 6, "top")
+
+
+# --- spot filters
+
+
+@_query(with_views("spot_peak") + """SELECT spot_id, count(*) AS n_detected, max(height) AS top FROM spot_peak GROUP BY spot_id HAVING count(*) >= 20""")
+def spot_filter_peak_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matrix.detected_in(views.spot_peak(spark, sf_dir), 20)
+
+
+@_query(with_views("sample", "spot_peak") + """, q AS (SELECT file_id FROM sample WHERE sample_type = 'QC')
+    SELECT spot_id, count(*) AS n, (SELECT count(*) FROM q) AS n_qc FROM spot_peak JOIN q USING (file_id) GROUP BY spot_id
+    HAVING count(*) >= (SELECT count(*) FROM q) * 0.3""")
+def spot_filter_qc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matrix.qc_detected(views.spot_peak(spark, sf_dir), views.sample(spark, sf_dir), 0.3).select("spot_id", "n", "n_qc")
+
+
+@_query(with_views("sample", "spot_peak") + """, c AS (SELECT class, count(*) AS n_class FROM sample GROUP BY class),
+    d AS (SELECT spot_id, class, count(*) AS n FROM spot_peak JOIN sample USING (file_id) GROUP BY spot_id, class)
+    SELECT spot_id, round(max(n * 100.0 / n_class), 6) AS best_percent FROM d JOIN c USING (class) GROUP BY spot_id HAVING max(n * 100.0 / n_class) >= 50""")
+def spot_filter_group_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(matrix.group_percent(views.spot_peak(spark, sf_dir), views.sample(spark, sf_dir), 50.0), 6, "best_percent")
+
+
+@_query(with_views("sample", "spot_peak") + """, m AS (SELECT spot_id, avg(CASE WHEN sample_type = 'Sample' THEN height END) AS s,
+    avg(CASE WHEN sample_type = 'Blank' THEN height END) AS b FROM spot_peak JOIN sample USING (file_id) GROUP BY spot_id)
+    SELECT spot_id, round(s, 8) AS sample_mean, round(b, 8) AS blank_mean FROM m WHERE s IS NOT NULL AND (b IS NULL OR s >= 1.2 * b)""")
+def spot_filter_blank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(matrix.blank_filter(views.spot_peak(spark, sf_dir), views.sample(spark, sf_dir), 1.2), 8, "sample_mean", "blank_mean")
+
+
+@_query(with_views("sample", "spot_peak") + """, c AS (SELECT spot_id, class, stddev_samp(height) / avg(height) AS r FROM spot_peak JOIN sample USING (file_id)
+    GROUP BY spot_id, class HAVING count(*) > 1) SELECT spot_id, round(min(r), 6) AS rsd FROM c GROUP BY spot_id""")
+def spot_smallest_rsd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(matrix.relative_deviation(views.spot_peak(spark, sf_dir), views.sample(spark, sf_dir)), 6, "rsd")
+
+
+@_query(with_views("sample", "spot_peak") + """SELECT spot_id, count(*) AS n_qc, round(stddev_samp(height) / avg(height) * 100, 6) AS cv_percent
+    FROM spot_peak JOIN sample USING (file_id) WHERE sample_type = 'QC' GROUP BY spot_id HAVING count(*) > 1""")
+def qc_variation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(matrix.qc_variation(views.spot_peak(spark, sf_dir), views.sample(spark, sf_dir)), 6, "cv_percent")
+
+
+# --- joins and matching
+
+
+_MATCH = with_views("peak", "library") + """, j AS (SELECT peak_id, ref_id, (exp(-0.5 * pow((mz - ref_mz) / 0.05, 2)) + exp(-0.5 * pow((rt - ref_rt) / 30, 2))) / 2 AS score
+    FROM peak JOIN library ON mz BETWEEN ref_mz - 0.1 AND ref_mz + 0.1 WHERE abs(mz - ref_mz) <= 0.05 AND abs(rt - ref_rt) <= 30)"""
+
+
+@_query(_MATCH + """, r AS (SELECT *, row_number() OVER (PARTITION BY peak_id ORDER BY round(score, 9) DESC, ref_id) AS rank FROM j)
+    SELECT peak_id, ref_id, CAST(rank AS BIGINT) AS rank, round(score, 6) AS score FROM r WHERE rank <= 3""")
+def library_top_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = matching.library_matches(views.peak(spark, sf_dir), views.library(spark, sf_dir), 0.05, 30.0)
+    return matching.best_matches(found).select("peak_id", "ref_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
+@_query(with_views("peak", "library") + """SELECT peak_id, count(*) AS n_refs, round(max(exp(-0.5 * pow((mz - ref_mz) / 0.02, 2))), 6) AS best
+    FROM peak JOIN library ON mz BETWEEN ref_mz - 0.1 AND ref_mz + 0.1 WHERE abs(mz - ref_mz) <= 0.02 GROUP BY peak_id""")
+def library_mass_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = matching.library_matches(views.peak(spark, sf_dir), views.library(spark, sf_dir), 0.02)
+    return _rounded(found.groupBy("peak_id").agg(F.count("*").alias("n_refs"), F.max("score").alias("best")), 6, "best")
+
+
+@_query(with_views("peak", "library") + """SELECT peak_id, file_id FROM peak WHERE NOT EXISTS (SELECT 1 FROM library WHERE ref_mz BETWEEN mz - 0.1 AND mz + 0.1 AND abs(mz - ref_mz) <= 0.05)""")
+def library_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.unmatched(views.peak(spark, sf_dir), views.library(spark, sf_dir), 0.05).select("peak_id", "file_id")
+
+
+@_query(with_views("peak") + """, g AS (SELECT *, CAST(floor(mz / 5) AS BIGINT) AS mz_cell, CAST(floor(rt / 10) AS BIGINT) AS rt_cell FROM peak),
+    k AS (SELECT *, row_number() OVER (PARTITION BY mz_cell, rt_cell ORDER BY mz, peak_id) AS k FROM g)
+    SELECT mz_cell, rt_cell, max(CASE WHEN k = 1 THEN peak_id END) AS master_id, count(*) AS n_peaks, count(DISTINCT file_id) AS n_files,
+        round(avg(mz), 6) AS mean_mz, round(avg(rt), 6) AS mean_rt FROM k GROUP BY mz_cell, rt_cell""")
+def aligned_spots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(matching.aligned_spots(views.peak(spark, sf_dir), 5.0, 10.0), 6, "mean_mz", "mean_rt")
+
+
+@_query(with_views("feature") + """, k AS (SELECT *, row_number() OVER (PARTITION BY round(mz, 0), floor(rt / 5) ORDER BY name, spot_id) AS k FROM feature)
+    SELECT spot_id, name, mz, rt FROM k WHERE k = 1""")
+def spots_deduplicated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.deduplicated(views.feature(spark, sf_dir), 0, 5.0).select("spot_id", "name", "mz", "rt")
+
+
+_POLARITY = """, p AS (SELECT spot_id AS key, max(height) AS h FROM spot_peak JOIN sample USING (file_id) WHERE batch = 1 GROUP BY spot_id),
+    n AS (SELECT spot_id AS key, max(height) AS h FROM spot_peak JOIN sample USING (file_id) WHERE batch = 2 GROUP BY spot_id)
+    SELECT coalesce(p.key, n.key) AS key, p.h AS positive, n.h AS negative,
+        CASE WHEN n.h IS NULL OR p.h >= n.h THEN 'positive' ELSE 'negative' END AS quantify FROM p FULL OUTER JOIN n ON p.key = n.key"""
+
+
+@_query(with_views("sample", "spot_peak") + _POLARITY)
+def polarity_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    met = views.spot_peak(spark, sf_dir).join(views.sample(spark, sf_dir).select("file_id", "batch"), "file_id")
+    side = lambda b: met.where(F.col("batch") == b).groupBy(F.col("spot_id").alias("key")).agg(F.max("height").alias("height"))
+    return matching.polarity_merge(side(1), side(2))
+
+
+# --- matrix
+
+
+@_query(with_views("sample", "spot_peak") + """SELECT spot_id, class, count(*) AS n, round(avg(height), 8) AS average, round(stddev_samp(height), 4) AS stdev
+    FROM spot_peak JOIN sample USING (file_id) GROUP BY spot_id, class""")
+def class_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(_rounded(matrix.class_statistics(views.spot_peak(spark, sf_dir), views.sample(spark, sf_dir)), 8, "average"), 4, "stdev")
+
+
+@_query(with_views("sample", "spot_peak") + """SELECT spot_id AS id, file_name AS file, class, height, round(area, 4) AS area FROM spot_peak JOIN sample USING (file_id)""")
+def long_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(matrix.long_export(views.spot_peak(spark, sf_dir), views.sample(spark, sf_dir)), 4, "area")
+
+
+@_query(with_views("sample", "spot_peak") + """SELECT spot_id, """ + ", ".join(f"round(coalesce(avg(CASE WHEN class = {c} THEN height END), 0), 8) AS class_{c}" for c in range(5)) + " FROM spot_peak JOIN sample USING (file_id) GROUP BY spot_id")
+def wide_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = matrix.wide_export(views.spot_peak(spark, sf_dir), list(range(5)), views.sample(spark, sf_dir))
+    return _rounded(out, 8, *[f"class_{c}" for c in range(5)])
+
+
+@_query(with_views("spot_peak") + """, t AS (SELECT file_id, sum(height) AS total FROM spot_peak GROUP BY file_id)
+    SELECT spot_id, file_id, round(height / total, 9) AS value FROM spot_peak JOIN t USING (file_id)""")
+def total_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(matrix.total_normalised(views.spot_peak(spark, sf_dir)), 9, "value")
+
+
+@_query(with_views("spot_peak") + """, r AS (SELECT spot_id, median(height) AS reference FROM spot_peak GROUP BY spot_id)
+    SELECT file_id, round(median(height / reference), 6) AS factor, count(*) AS n FROM spot_peak JOIN r USING (spot_id) WHERE reference > 0 GROUP BY file_id""")
+def pqn_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(matrix.pqn_factors(views.spot_peak(spark, sf_dir)), 6, "factor")
+
+
+@_query(with_views("spot_peak") + """, l AS (SELECT spot_id, file_id, log10(height) AS v FROM spot_peak WHERE height > 0),
+    m AS (SELECT spot_id, avg(v) AS mean, stddev_samp(v) AS sd FROM l GROUP BY spot_id)
+    SELECT spot_id, file_id, round((v - mean) / sd, 5) AS z FROM l JOIN m USING (spot_id) WHERE sd > 1e-9""")
+def log_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(matrix.scaled(views.spot_peak(spark, sf_dir)), 5, "z")
+
+
+@_query(with_views("sample", "feature", "spot_peak") + """, f AS (SELECT spot_id, min(height) AS least FROM spot_peak WHERE height > 0 GROUP BY spot_id)
+    SELECT spot_id, round(sum(CASE WHEN height > 0 THEN height ELSE coalesce(least, 1) END), 4) AS total, count(*) AS n
+    FROM feature CROSS JOIN sample LEFT JOIN f USING (spot_id) LEFT JOIN spot_peak USING (spot_id, file_id) GROUP BY spot_id""")
+def imputed_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dense = matrix.imputed(views.spot_peak(spark, sf_dir), views.feature(spark, sf_dir), views.sample(spark, sf_dir))
+    return _rounded(dense.groupBy("spot_id").agg(F.sum("value").alias("total"), F.count("*").alias("n")), 4, "total")
+
+
+@_query("""WITH k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events)
+    SELECT user_id, count(*) AS n_events, max(CASE WHEN k = 1 THEN event_type END) AS state FROM k GROUP BY user_id""")
+def curation_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matrix.last_state(spark.read.parquet(f"{sf_dir}/events.parquet"), "user_id", ["ts", "event_id"], "event_type")
+
+
+# --- statistics
+
+
+@_query(with_views("sample", "spot_peak") + """, s AS (SELECT spot_id,
+    count(CASE WHEN batch = 1 THEN height END) AS n1, avg(CASE WHEN batch = 1 THEN height END) AS m1, var_samp(CASE WHEN batch = 1 THEN height END) AS v1,
+    count(CASE WHEN batch = 2 THEN height END) AS n2, avg(CASE WHEN batch = 2 THEN height END) AS m2, var_samp(CASE WHEN batch = 2 THEN height END) AS v2
+    FROM spot_peak JOIN sample USING (file_id) GROUP BY spot_id)
+    SELECT spot_id, round((m1 - m2) / sqrt(v1 / n1 + v2 / n2), 6) AS t,
+        round(pow(v1 / n1 + v2 / n2, 2) / (pow(v1 / n1, 2) / (n1 - 1) + pow(v2 / n2, 2) / (n2 - 1)), 6) AS df, round(m1 / m2, 6) AS fold_change
+    FROM s WHERE n1 > 1 AND n2 > 1 AND v1 / n1 + v2 / n2 > 0""")
+def welch_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    met = views.spot_peak(spark, sf_dir).join(views.sample(spark, sf_dir).select("file_id", F.col("batch").alias("grp")), "file_id")
+    return _rounded(statistics.welch(met), 6, "t", "df", "fold_change")
+
+
+@_query(with_views("sample", "spot_peak") + """, v AS (SELECT spot_id, class, height FROM spot_peak JOIN sample USING (file_id)),
+    g AS (SELECT spot_id, avg(height) AS grand, count(*) AS n_all, count(DISTINCT class) AS k FROM v GROUP BY spot_id),
+    c AS (SELECT spot_id, class, avg(height) AS m FROM v GROUP BY spot_id, class),
+    q AS (SELECT spot_id, sum(pow(m - grand, 2)) AS b, sum(pow(height - m, 2)) AS w FROM v JOIN c USING (spot_id, class) JOIN g USING (spot_id) GROUP BY spot_id)
+    SELECT spot_id, k - 1 AS df1, n_all - k AS df2, round((b / (k - 1)) / (w / (n_all - k)), 5) AS f FROM q JOIN g USING (spot_id) WHERE k > 1 AND n_all > k AND w > 0""")
+def anova_f(spark: SparkSession, sf_dir: str) -> DataFrame:
+    met = views.spot_peak(spark, sf_dir).join(views.sample(spark, sf_dir).select("file_id", "class"), "file_id")
+    return _rounded(statistics.anova(met), 5, "f")
+
+
+@_query(with_views("sample", "spot_peak") + """, v AS (SELECT spot_id, height, CAST(injection_order AS DOUBLE) AS x FROM spot_peak JOIN sample USING (file_id)),
+    r AS (SELECT *, rank() OVER (PARTITION BY spot_id ORDER BY height) + (count(*) OVER (PARTITION BY spot_id, height) - 1) / 2.0 AS ry,
+        rank() OVER (PARTITION BY spot_id ORDER BY x) + (count(*) OVER (PARTITION BY spot_id, x) - 1) / 2.0 AS rx FROM v)
+    SELECT spot_id, count(*) AS n, round(corr(height, x), 6) AS pearson, round(corr(ry, rx), 6) AS spearman FROM r GROUP BY spot_id HAVING count(*) > 2""")
+def drift_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(statistics.correlated(views.spot_peak(spark, sf_dir), views.sample(spark, sf_dir)), 6, "pearson", "spearman")
+
+
+@_query(with_views("sample", "spot_peak") + """SELECT batch, round(regr_slope(height, CAST(injection_order AS DOUBLE)), 4) AS slope,
+    round(regr_intercept(height, CAST(injection_order AS DOUBLE)), 3) AS intercept, round(regr_r2(height, CAST(injection_order AS DOUBLE)), 9) AS r2
+    FROM spot_peak JOIN sample USING (file_id) GROUP BY batch""")
+def calibration_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(_rounded(_rounded(statistics.calibration(views.spot_peak(spark, sf_dir), views.sample(spark, sf_dir)), 4, "slope"), 3, "intercept"), 9, "r2")
+
+
+@_query("""WITH p AS (SELECT p_partkey AS id, p_brand AS grp, p_size / 1000.0 AS p FROM part),
+    r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY p, id) AS r, count(*) OVER (PARTITION BY grp) AS m FROM p)
+    SELECT id, grp, p, round(least(1, min(p * m / r) OVER (PARTITION BY grp ORDER BY p DESC, id DESC ROWS UNBOUNDED PRECEDING)), 9) AS bh,
+        round(least(1, max(p * (m - r + 1)) OVER (PARTITION BY grp ORDER BY p, id ROWS UNBOUNDED PRECEDING)), 9) AS holm, round(least(1, p * m), 9) AS bonferroni FROM r""")
+def p_adjusted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("grp"), (F.col("p_size") / F.lit(1000.0)).alias("p"))
+    return _rounded(statistics.adjusted(p, "grp"), 9, "bh", "holm", "bonferroni")
+
+
+@_query(with_views("feature") + """, s AS (SELECT ontology, count(*) AS n_set, count(CASE WHEN mz >= 950 THEN 1 END) AS n_hit FROM feature GROUP BY ontology)
+    SELECT ontology, n_set, n_hit, (SELECT CAST(sum(n_set) AS BIGINT) FROM s) AS n_all, (SELECT CAST(sum(n_hit) AS BIGINT) FROM s) AS n_hits FROM s WHERE n_set >= 3""")
+def enrichment_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = views.feature(spark, sf_dir)
+    return statistics.enrichment_counts(f.where("mz >= 950"), f)
+
+
+# --- chemistry and names
+
+
+@_query("""WITH n AS (SELECT p_partkey AS spot_id, 'PC ' || (p_size % 30 + 10) || ':' || (p_size % 6) || '/18:' || (p_partkey % 4) AS name,
+    p_size % 30 + 10 + 18 AS c, p_size % 6 + p_partkey % 4 AS d FROM part) SELECT spot_id, name, 'PC' AS lipid_class, CAST(c AS BIGINT) AS carbons, CAST(d AS BIGINT) AS double_bonds FROM n""")
+def lipid_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    text = F.concat(F.lit("PC "), (F.col("p_size") % 30 + 10).cast("string"), F.lit(":"), (F.col("p_size") % 6).cast("string"), F.lit("/18:"), (F.col("p_partkey") % 4).cast("string"))
+    named = part.select(F.col("p_partkey").alias("spot_id"), text.alias("name"))
+    return named.select("spot_id", "name", chemistry.lipid_class(F.col("name")).alias("lipid_class"), chemistry.lipid_carbons(F.col("name")).alias("carbons"), chemistry.lipid_double_bonds(F.col("name")).alias("double_bonds"))
+
+
+@_query("""WITH n AS (SELECT p_partkey AS spot_id, p_size AS c, 2 * p_size AS h, p_size % 7 + 1 AS o FROM part)
+    SELECT spot_id, 'C' || c || 'H' || h || 'O' || o AS formula, round(c * 12.0 + h * 1.00782503207 + o * 15.99491461956, 6) AS mass,
+        round(c * 12.0 + h * 1.00782503207 + o * 15.99491461956 + 1.00727646688, 6) AS protonated, CAST(1 AS DOUBLE) AS rdbe FROM n""")
+def formula_masses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    text = F.concat(F.lit("C"), F.col("p_size").cast("string"), F.lit("H"), (F.col("p_size") * 2).cast("string"), F.lit("O"), (F.col("p_size") % 7 + 1).cast("string"))
+    named = part.select(F.col("p_partkey").alias("spot_id"), text.alias("formula"))
+    mass = chemistry.monoisotopic_mass(F.col("formula"))
+    return named.select("spot_id", "formula", F.round(mass, 6).alias("mass"), F.round(chemistry.adduct_mz(mass, chemistry.PROTON, 1), 6).alias("protonated"), chemistry.ring_double_bonds(F.col("formula")).alias("rdbe"))
