@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ionframe.llm.shared import groups_for, text_or_empty, written
+from ionframe.llm.shared import groups_for, keep_documents, text_or_empty, written
 
 SPACES = r"[\x20\x09-\x0D]+"
 SLOTS = 4
@@ -224,5 +224,4 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with the row of the smallest doc_id of each group of equal texts."""
-    kept = exact_groups(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
+    return keep_documents(docs, exact_groups(docs).where("kept"))

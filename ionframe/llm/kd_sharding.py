@@ -141,8 +141,8 @@ def _narrow(placed: DataFrame, search: dict[int, dict], what: str) -> None:
             col = F.col(f"k{s['dim']}") if what == "key" else F.when(F.col(f"k{s['dim']}") == s["at"], F.col("row_hash"))
             value, low, width = F.when(here, col).otherwise(value), F.when(here, F.lit(s["lo"])).otherwise(low), F.when(here, F.lit(s["width"])).otherwise(width)
             ok = F.when(here, col.between(s["lo"], s["hi"])).otherwise(ok)
-        # exact for longs: the remainder goes first, so the quotient is whole
-        binned = ((value - low - F.pmod(value - low, width)) / width).cast("int").alias("b")
+        # the remainder goes first, so the quotient is whole but for the division's rounding
+        binned = F.round((value - low - F.pmod(value - low, width)) / width).cast("int").alias("b")
         counted = placed.where(ok).groupBy("node", binned).agg(F.sum("size").alias("w")).collect()
         sums: dict[int, dict[int, int]] = {}
         for r in counted:

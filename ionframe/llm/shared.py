@@ -51,3 +51,21 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > rows:
         spark.conf.set(key, str(rows))
+
+
+#: Ids (8 bytes each) that may be broadcast; beyond it both sides are shuffled.
+BROADCAST_IDS = 500_000
+
+
+def keep_documents(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose doc_id is in ``kept``; of rows that repeat an id, one.
+
+    Rows without an id cannot be told apart by it: if one of them is kept, all are.
+    """
+    ids = written(kept.select("doc_id").distinct(), "kept")
+    right = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    out = docs.join(right, docs["doc_id"].eqNullSafe(right["doc_id"]), "left_semi")
+    repeated = written(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "repeated")
+    if repeated.isEmpty():
+        return out
+    return out.join(repeated, "doc_id", "left_anti").unionByName(out.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)

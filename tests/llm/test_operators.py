@@ -66,7 +66,7 @@ def test_exact_groups(docs, rows, empty):
         assert g["text_sha256"] == hashlib.sha256(norm(text_of[g["doc_id"]]).encode()).hexdigest()
     assert exact_dedup.exact_groups(empty).count() == 0
     kept = exact_dedup.drop_exact_copies(docs)
-    assert kept.columns == docs.columns and kept.count() == len(groups)
+    assert kept.columns == docs.columns and kept.count() == len(groups)  # one row an id, one id a group
 
 
 def test_cuckoo_index_changes(spark):
@@ -276,3 +276,26 @@ def test_quality(spark, empty):
     assert (met.loc[met["quality"] == 1, "predicted"] == 1).mean() > 0.98
     assert quality.score(empty, model).count() == 0 and quality.keep_good(empty, model).count() == 0
     assert quality.train(docs, labels.limit(0)).dictionaries is None
+
+
+def test_keep_documents_keeps_one_row_an_id(spark):
+    from ionframe.llm.shared import keep_documents
+
+    docs = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (3, "d"), (None, "e"), (None, "f")], "doc_id long, text string")
+    kept = keep_documents(docs, spark.createDataFrame([(1,), (2,), (None,)], "doc_id long"))
+    assert sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 0, 1, 2]
+
+
+def test_pipeline_stages(spark, docs, rows, tmp_path):
+    import corpus_pipeline
+
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    at = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        at = stage(spark, at, str(tmp_path))
+        assert at.columns == docs.columns, name
+    ids = [r["doc_id"] for r in at.collect()]
+    assert len(ids) == len(set(ids)) and not {1 + 3, 6, 7, 17} & set(ids) and 5 in ids
+    packed = corpus_pipeline.run(spark, str(tmp_path))
+    assert {r["doc_id"] for r in packed.collect()} == set(ids)
