@@ -114,7 +114,8 @@ def _cell(k: int, seeds: tuple[np.ndarray, np.ndarray] | None) -> object:
             bound = dot(np.maximum(q, 0), hi) + dot(np.minimum(q, 0), lo)
             least = np.full(len(q), np.iinfo(np.int64).min)
             if seeds is not None and seeds[1].shape[1] == dim:
-                found = np.where(seeds[0][None, :] == q_ids[:, None], np.iinfo(np.int64).min, dot(q, seeds[1]))
+                # the query's own row is below all others, and its negative still fits
+                found = np.where(seeds[0][None, :] == q_ids[:, None], -np.iinfo(np.int64).max, dot(q, seeds[1]))
                 if found.shape[1] >= k:
                     least = -np.partition(-found, k - 1, axis=1)[:, k - 1]
             kept = [(np.array([], np.int64), np.array([], np.int64))] * len(q)
