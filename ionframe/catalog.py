@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ionframe.functions import chemistry
-from ionframe.operators import matching, matrix, scans, statistics
+from ionframe.operators import matching, matrix, network, scans, signal, statistics
 from ionframe.plans import views
 from ionframe.plans.views import with_views
+from ionframe.sources import records
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -360,3 +361,150 @@ def formula_masses(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = part.select(F.col("p_partkey").alias("spot_id"), text.alias("formula"))
     mass = chemistry.monoisotopic_mass(F.col("formula"))
     return named.select("spot_id", "formula", F.round(mass, 6).alias("mass"), F.round(chemistry.adduct_mz(mass, chemistry.PROTON, 1), 6).alias("protonated"), chemistry.ring_double_bonds(F.col("formula")).alias("rdbe"))
+
+
+# --- ordered frames over chromatograms
+
+TRACE = with_views("scan") + ", x AS (SELECT file_id, rt, sum(intensity) AS v FROM scan WHERE ms_level = 1 AND mz BETWEEN 35 AND 65 GROUP BY file_id, rt)"
+
+
+def _trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.xic(views.scan(spark, sf_dir), 50.0, 15.0).select("file_id", "rt", "intensity")
+
+
+def _smoothing_sql(w0: float, w1: float, w2: float) -> str:
+    near = ((w1, "lag(v, 1) OVER w"), (w1, "lead(v, 1) OVER w"), (w2, "lag(v, 2) OVER w"), (w2, "lead(v, 2) OVER w"))
+    total = " + ".join(f"coalesce({c} * {k}, 0)" for k, c in near)
+    share = " + ".join(f"CASE WHEN {c} IS NULL THEN 0 ELSE {k} END" for k, c in near)
+    return f"{TRACE} SELECT file_id, round(rt, 6) AS rt, round((v * {w0} + {total}) / ({w0} + {share}), 5) AS smooth FROM x WINDOW w AS (PARTITION BY file_id ORDER BY rt)"
+
+
+@_query(_smoothing_sql(3.0, 2.0, 1.0))
+def trace_linear_smoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(_rounded(signal.smoothed(_trace(spark, sf_dir), signal.linear_weights(2)), 6, "rt"), 5, "smooth").drop("intensity")
+
+
+@_query(_smoothing_sql(17.0, 12.0, -3.0))
+def trace_polynomial_smoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(_rounded(signal.smoothed(_trace(spark, sf_dir), signal.SAVITZKY_GOLAY_5), 6, "rt"), 5, "smooth").drop("intensity")
+
+
+@_query(TRACE + """, l AS (SELECT *, lag(v, 1) OVER w AS a1, lag(v, 2) OVER w AS a2, lead(v, 1) OVER w AS b1, lead(v, 2) OVER w AS b2 FROM x
+    WINDOW w AS (PARTITION BY file_id ORDER BY rt)),
+    p AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY abs(rt - 20000), rt) AS k, count(*) OVER (PARTITION BY file_id) AS n FROM l
+        WHERE a2 <= a1 AND a1 < v AND v > b1 AND b1 >= b2 AND abs(rt - 20000) <= 15000)
+    SELECT file_id, n AS n_apexes, round(rt, 6) AS rt, round(v, 6) AS intensity FROM p WHERE k = 1""")
+def nearest_apex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(signal.nearest_apex(_trace(spark, sf_dir), 20000.0, 15000.0), 6, "rt", "intensity")
+
+
+@_query(with_views("peak") + """, l AS (SELECT DISTINCT CAST(p_size AS DOUBLE) AS c0, p_size * p_size / 8.0 AS t0 FROM part),
+    s AS (SELECT *, lead(c0) OVER (ORDER BY t0) AS c1, lead(t0) OVER (ORDER BY t0) AS t1, row_number() OVER (ORDER BY t0) AS k, count(*) OVER () AS n FROM l)
+    SELECT peak_id, rt, round((c0 + (c1 - c0) * (rt - t0) / (t1 - t0)) * 100, 5) AS retention_index FROM peak JOIN s
+    ON t1 IS NOT NULL AND (rt >= t0 OR k = 1) AND (rt < t1 OR k = n - 1)""")
+def retention_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.col("p_size").cast("double")
+    ladder = spark.read.parquet(f"{sf_dir}/part.parquet").select(size.alias("carbon"), (size * size / 8).alias("ladder_rt")).distinct()
+    return _rounded(signal.kovats(views.peak(spark, sf_dir), ladder), 5, "retention_index").select("peak_id", "rt", "retention_index")
+
+
+@_query(with_views("peak") + """, a AS (SELECT file_id, rt, avg(mz) / 100 AS shift FROM peak WHERE peak_id % 16 = 1 GROUP BY file_id, rt),
+    p AS (SELECT * FROM peak WHERE peak_id % 16 <> 1),
+    b AS (SELECT p.peak_id, p.file_id, p.rt, max(CASE WHEN a.rt <= p.rt THEN a.rt END) AS t0, min(CASE WHEN a.rt > p.rt THEN a.rt END) AS t1
+        FROM p JOIN a USING (file_id) GROUP BY ALL)
+    SELECT b.peak_id, b.file_id, b.rt, round(b.rt - CASE WHEN t0 IS NULL THEN u.shift WHEN t1 IS NULL THEN l.shift
+        ELSE l.shift + (u.shift - l.shift) * (b.rt - t0) / (t1 - t0) END, 6) AS corrected
+    FROM b LEFT JOIN a AS l ON l.file_id = b.file_id AND l.rt = t0 LEFT JOIN a AS u ON u.file_id = b.file_id AND u.rt = t1""")
+def rt_corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    peak = views.peak(spark, sf_dir)
+    anchors = peak.where("peak_id % 16 = 1").groupBy("file_id", "rt").agg((F.avg("mz") / 100).alias("shift"))
+    return _rounded(signal.rt_corrected(peak.where("peak_id % 16 <> 1"), anchors), 6, "corrected")
+
+
+@_query(with_views("peak", "library") + """, m AS (SELECT rt, ref_rt FROM peak JOIN library ON abs(mz - ref_mz) <= 0.005 AND abs(rt - ref_rt) <= 20)
+    SELECT count(*) AS n, round(regr_slope(rt, ref_rt), 6) AS slope, round(regr_intercept(rt, ref_rt), 5) AS intercept, round(regr_r2(rt, ref_rt), 6) AS r2
+    FROM m HAVING count(*) >= 20""")
+def library_recalibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = matching.library_matches(views.peak(spark, sf_dir), views.library(spark, sf_dir), 0.005, 20.0)
+    return _rounded(_rounded(signal.recalibration(pairs, "rt", "ref_rt"), 6, "slope", "r2"), 5, "intercept")
+
+
+# --- networks and records
+
+
+@_query(with_views("spectrum", "fragment") + """, f AS (SELECT spectrum_id, mz, sqrt(intensity) AS v FROM fragment),
+    n AS (SELECT spectrum_id, sqrt(sum(v * v)) AS norm FROM f GROUP BY spectrum_id), s AS (SELECT * FROM spectrum JOIN n USING (spectrum_id)),
+    c AS (SELECT a.spectrum_id AS source, b.spectrum_id AS target, a.norm * b.norm AS norm FROM s a JOIN s b
+        ON a.spectrum_id < b.spectrum_id AND abs(a.precursor_mz - b.precursor_mz) <= 0.02),
+    e AS (SELECT source, target, count(*) AS n_shared, round(sum(x.v * y.v) / any_value(norm), 6) AS cosine FROM c
+        JOIN f x ON x.spectrum_id = source JOIN f y ON y.spectrum_id = target AND x.mz = y.mz GROUP BY source, target)
+    SELECT * FROM e WHERE cosine >= 0.3""")
+def spectral_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fragments = views.fragment(spark, sf_dir).withColumnRenamed("mz", "bin")
+    return _rounded(network.spectral_edges(views.spectrum(spark, sf_dir), fragments, 0.02, 0.3), 6, "cosine")
+
+
+@_query(with_views("peak") + """, d AS (SELECT * FROM (VALUES ('sodium for proton', 21.981943), ('ammonium for proton', 17.026549), ('carbon isotope', 1.003355)) t(relation, d))
+    SELECT a.file_id, relation, a.peak_id AS light_id, b.peak_id AS heavy_id, round(b.mz - (a.mz + CAST(d AS DOUBLE)), 6) AS error FROM peak a, d
+    JOIN peak b ON a.file_id = b.file_id AND abs(b.mz - (a.mz + CAST(d AS DOUBLE))) <= 0.05 AND abs(a.rt - b.rt) <= 3 AND a.peak_id <> b.peak_id""")
+def ion_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(network.ion_links(views.peak(spark, sf_dir), network.ion_differences(spark), 0.05, 3.0), 6, "error")
+
+
+@_query(with_views("fragment") + """, r AS (SELECT *, row_number() OVER w AS rank, first_value(intensity) OVER w AS base FROM fragment
+    WINDOW w AS (PARTITION BY spectrum_id ORDER BY intensity DESC, mz))
+    SELECT spectrum_id, rank, mz, CAST(round(intensity * 100 / base, 0) AS BIGINT) AS percent FROM r WHERE rank <= 3""")
+def product_ions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return network.product_ions(views.fragment(spark, sf_dir), 3)
+
+
+@_query(with_views("spectrum", "fragment") + """SELECT 'S' || spectrum_id AS name, any_value(precursor_mz) AS precursor_mz, count(*) AS n_peaks,
+    round(sum(mz * intensity), 4) AS weighted FROM spectrum JOIN fragment USING (spectrum_id) GROUP BY spectrum_id""")
+def msp_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    peaks = views.fragment(spark, sf_dir).groupBy("spectrum_id").agg(F.sort_array(F.collect_list(F.struct("mz", "intensity"))).alias("peaks"))
+    spectra = views.spectrum(spark, sf_dir).join(peaks, "spectrum_id").select(F.concat(F.lit("S"), F.col("spectrum_id")).alias("name"), "precursor_mz", "peaks")
+    back = records.parse_msp(records.msp_text(spectra))
+    return back.select("name", "precursor_mz", F.size("peaks").cast("long").alias("n_peaks"), F.round(F.aggregate("peaks", F.lit(0.0), lambda t, p: t + p["mz"] * p["intensity"]), 4).alias("weighted"))
+
+
+# --- rank tests and principal components
+
+RANKED = with_views("sample", "spot_peak") + """, v AS (SELECT spot_id, class, CASE WHEN class = 0 THEN 1 ELSE 2 END AS grp, height FROM spot_peak JOIN sample USING (file_id)),
+    t AS (SELECT *, count(*) OVER (PARTITION BY spot_id, height) AS ties, rank() OVER (PARTITION BY spot_id ORDER BY height) AS low FROM v),
+    r AS (SELECT *, low + (ties - 1) / 2.0 AS mid, ties * ties - 1.0 AS tie FROM t)"""
+
+
+def _classed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    met = views.spot_peak(spark, sf_dir).join(views.sample(spark, sf_dir).select("file_id", "class"), "file_id")
+    return met.withColumn("grp", F.when(F.col("class") == 0, 1).otherwise(2))
+
+
+@_query(RANKED + """, s AS (SELECT spot_id, CAST(count(*) FILTER (grp = 1) AS DOUBLE) AS a, CAST(count(*) FILTER (grp = 2) AS DOUBLE) AS b,
+    CAST(sum(mid) FILTER (grp = 1) AS DOUBLE) AS r, CAST(sum(tie) AS DOUBLE) AS tie FROM r GROUP BY spot_id),
+    u AS (SELECT *, a * b / 12 * (a + b + 1 - tie / ((a + b) * (a + b - 1))) AS spread FROM s WHERE a > 0 AND b > 0)
+    SELECT spot_id, r - a * (a + 1) / 2 AS u, round((r - a * (a + 1) / 2 - a * b / 2) / sqrt(spread), 6) AS z FROM u WHERE spread > 0""")
+def mann_whitney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(statistics.mann_whitney(_classed(spark, sf_dir)), 6, "z")
+
+
+@_query(RANKED + """, c AS (SELECT spot_id, class, CAST(count(*) AS DOUBLE) AS n, CAST(sum(mid) AS DOUBLE) AS r, CAST(sum(tie) AS DOUBLE) AS tie FROM r GROUP BY spot_id, class),
+    s AS (SELECT spot_id, count(*) AS k, sum(n) AS n, sum(r * r / n) AS q, sum(tie) AS tie FROM c GROUP BY spot_id)
+    SELECT spot_id, k - 1 AS df, round((12 / (n * (n + 1)) * q - 3 * (n + 1)) / (1 - tie / (n * n * n - n)), 6) AS h FROM s
+    WHERE k > 1 AND n > 2 AND 1 - tie / (n * n * n - n) > 0""")
+def kruskal_wallis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(statistics.kruskal_wallis(_classed(spark, sf_dir)), 6, "h")
+
+
+@_query(with_views("spot_peak") + """, l AS (SELECT spot_id, file_id, log10(height) AS v FROM spot_peak WHERE height > 0),
+    m AS (SELECT spot_id, avg(v) AS mean, stddev_samp(v) AS sd FROM l GROUP BY spot_id HAVING stddev_samp(v) > 1e-9),
+    z AS (SELECT spot_id, file_id, (v - mean) / sd AS z FROM l JOIN m USING (spot_id))
+    SELECT a.file_id AS file_a, b.file_id AS file_b, round(sum(a.z * b.z), 5) AS dot FROM z a JOIN z b ON a.spot_id = b.spot_id AND a.file_id <= b.file_id GROUP BY 1, 2""")
+def sample_gram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(statistics.sample_gram(matrix.scaled(views.spot_peak(spark, sf_dir))), 5, "dot")
+
+
+def principal_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return statistics.principal_components(statistics.sample_gram(matrix.scaled(views.spot_peak(spark, sf_dir))))
+
+
+QUERIES["principal_components"] = principal_components  # eigenvectors are beyond SQL

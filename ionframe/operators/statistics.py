@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,3 +58,60 @@ def enrichment_counts(hits: DataFrame, members: DataFrame, least: int = 3) -> Da
     sets = marked.groupBy("ontology").agg(F.count("*").alias("n_set"), F.count("hit").alias("n_hit"))
     total = sets.agg(F.sum("n_set").alias("n_all"), F.sum("n_hit").alias("n_hits"))
     return sets.where(F.col("n_set") >= least).join(F.broadcast(total))
+
+
+def _mid_ranks(values: DataFrame) -> DataFrame:
+    """``ranked`` heights within spots, and each row's share of the tie correction."""
+    ties = F.count("*").over(Window.partitionBy("spot_id", "height"))
+    return ranked(values, "spot_id", "height").withColumn("tie", (ties * ties - 1).cast("double"))
+
+
+def mann_whitney(values: DataFrame, group: str = "grp") -> DataFrame:
+    """U of group 1 against group 2 of each spot, with its z corrected for ties."""
+    one = F.col(group) == 1
+    s = _mid_ranks(values).groupBy("spot_id").agg(F.count(F.when(one, 1)).cast("double").alias("a"), F.count(F.when(~one, 1)).cast("double").alias("b"), F.sum(F.when(one, F.col("mid_rank"))).alias("r"), F.sum("tie").alias("tie"))
+    a, b, n = F.col("a"), F.col("b"), F.col("a") + F.col("b")
+    u, spread = F.col("r") - a * (a + 1) / 2, a * b / 12 * (n + 1 - F.col("tie") / (n * (n - 1)))
+    return s.where("a > 0 and b > 0").where(spread > 0).select("spot_id", u.alias("u"), ((u - a * b / 2) / F.sqrt(spread)).alias("z"))
+
+
+def kruskal_wallis(values: DataFrame, group: str = "class") -> DataFrame:
+    """H of each spot over its classes, corrected for ties."""
+    cells = _mid_ranks(values).groupBy("spot_id", group).agg(F.count("*").cast("double").alias("n"), F.sum("mid_rank").alias("r"), F.sum("tie").alias("tie"))
+    s = cells.groupBy("spot_id").agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum(F.col("r") * F.col("r") / F.col("n")).alias("q"), F.sum("tie").alias("tie"))
+    n = F.col("n")
+    left = 1 - F.col("tie") / (n * n * n - n)
+    return s.where("k > 1 and n > 2").where(left > 0).select("spot_id", (F.col("k") - 1).alias("df"), ((12 / (n * (n + 1)) * F.col("q") - 3 * (n + 1)) / left).alias("h"))
+
+
+def sample_gram(scaled: DataFrame) -> DataFrame:
+    """Inner products between runs over the spots (missing: 0), each pair once."""
+    a, b = scaled.toDF("spot_id", "file_a", "za"), scaled.toDF("spot_id", "file_b", "zb")
+    return a.join(b, "spot_id").where("file_a <= file_b").groupBy("file_a", "file_b").agg(F.sum(F.col("za") * F.col("zb")).alias("dot"))
+
+
+#: Runs whose Gram matrix may be decomposed on the driver.
+MOST_RUNS = 2000
+
+
+def principal_components(gram: DataFrame, keep: int = 3) -> DataFrame:
+    """Scores of the runs: ``component, file_id, score, explained``.
+
+    The Gram matrix is runs x runs, whatever the number of features; its size is
+    checked before it reaches the driver. Signs make each component's largest
+    score positive.
+    """
+    spark = gram.sparkSession
+    runs = [r[0] for r in gram.select("file_a").union(gram.select("file_b")).distinct().orderBy("file_a").limit(MOST_RUNS + 1).collect()]
+    if len(runs) > MOST_RUNS:
+        raise ValueError(f"more than {MOST_RUNS} runs")
+    at, full = {f: k for k, f in enumerate(runs)}, np.zeros((len(runs), len(runs)))
+    for r in gram.collect():
+        full[at[r["file_a"]], at[r["file_b"]]] = full[at[r["file_b"]], at[r["file_a"]]] = r["dot"]
+    values, vectors = np.linalg.eigh(full)
+    total, rows = max(np.trace(full), 1e-300), []
+    for k in range(min(keep, len(runs))):
+        value, v = max(values[-1 - k], 0.0), vectors[:, -1 - k]
+        v = v * np.sign(v[np.abs(v).argmax()] or 1)
+        rows += [(k + 1, f, float(s * value**0.5), float(value / total)) for f, s in zip(runs, v, strict=True)]
+    return spark.createDataFrame(rows, "component int, file_id long, score double, explained double")

@@ -61,6 +61,16 @@ def library(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("p_size") * 7).cast("double").alias("ref_rt"), F.col("p_name").alias("ref_name"))
 
 
+def spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``spectrum_id, precursor_mz``."""
+    return _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("spectrum_id"), (F.col("o_totalprice") / 1000).alias("precursor_mz"))
+
+
+def fragment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``spectrum_id, mz, intensity``: product ions, one a nominal mass."""
+    return _table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("spectrum_id"), (F.col("l_partkey") % 40 + 50).cast("double").alias("mz")).agg(F.sum("l_quantity").alias("intensity"))
+
+
 #: The same views in SQL, as common table expressions.
 SQL = {
     "sample": """sample AS (SELECT s_suppkey AS file_id, s_name AS file_name, CAST(n_regionkey AS BIGINT) AS class,
@@ -76,6 +86,9 @@ SQL = {
         CAST(json_extract_string(props, '$.k') AS DOUBLE) AS mz, value AS intensity FROM events)""",
     "peak": """peak AS (SELECT o_orderkey AS peak_id, o_custkey % 20 AS file_id, o_totalprice / 1000 AS mz,
         CAST(dayofyear(o_orderdate) AS DOUBLE) AS rt FROM orders)""",
+    "spectrum": "spectrum AS (SELECT o_orderkey AS spectrum_id, o_totalprice / 1000 AS precursor_mz FROM orders)",
+    "fragment": """fragment AS (SELECT l_orderkey AS spectrum_id, CAST(l_partkey % 40 + 50 AS DOUBLE) AS mz, sum(l_quantity) AS intensity
+        FROM lineitem GROUP BY 1, 2)""",
     "library": """library AS (SELECT p_partkey AS ref_id, p_retailprice / 4 AS ref_mz, CAST(p_size * 7 AS DOUBLE) AS ref_rt,
         p_name AS ref_name FROM part)""",
 }
