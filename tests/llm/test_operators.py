@@ -136,6 +136,32 @@ def test_near_duplicates(docs, rows, empty):
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
+def test_near_chains_match_brute_force(spark):
+    """Chains of small edits: neighbours are near, far members are not."""
+    rng = random.Random(11)
+    texts = []
+    for _ in range(6):
+        now = words(rng, 200).split()
+        for _ in range(12):
+            now = [*now]
+            now[rng.randrange(200)] = words(rng, 1)
+            now[rng.randrange(200)] = words(rng, 1)
+            texts.append(" ".join(now))
+    mers = [near_dedup.labelled_kmers(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(k):
+        return k if root[k] == k else find(root[k])
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if near_dedup.aligned(mers[i], mers[j]) >= 0.8:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    got = by_id(near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert {k: r["class_id"] for k, r in got.items()} == {k: find(k) for k in range(len(texts))}
+
+
 def test_alignment_similarity():
     rng = random.Random(3)
     base = words(rng, 300)
