@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ionframe.functions import chemistry
+from ionframe.functions import chemistry, distributions
 from ionframe.operators import matching, matrix, network, scans, signal, statistics
 from ionframe.plans import views
 from ionframe.plans.views import with_views
@@ -508,3 +508,92 @@ def principal_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["principal_components"] = principal_components  # eigenvectors are beyond SQL
+
+
+# --- chromatogram totals, filled gaps, spectra
+
+
+@_query(with_views("scan") + """SELECT file_id, round(rt, 6) AS rt, round(sum(intensity), 6) AS total, round(max(intensity), 6) AS base_peak FROM scan WHERE ms_level = 1
+    GROUP BY file_id, rt""")
+def ion_chromatograms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(scans.ion_chromatograms(views.scan(spark, sf_dir)), 6, "rt", "total", "base_peak")
+
+
+@_query(with_views("scan") + """, x AS (SELECT file_id, rt, sum(intensity) AS i FROM scan WHERE ms_level = 1 AND mz BETWEEN 20 AND 60 GROUP BY file_id, rt),
+    n AS (SELECT *, lag(i, 2) OVER w AS b2, lag(i) OVER w AS b1, lead(i) OVER w AS a1, lead(i, 2) OVER w AS a2, lead(rt) OVER w AS next_rt FROM x WINDOW w AS (PARTITION BY file_id ORDER BY rt)),
+    t AS (SELECT file_id, rt AS apex_rt, i AS height, row_number() OVER (PARTITION BY file_id ORDER BY abs(rt - 20000), rt) AS k FROM n
+        WHERE b2 <= b1 AND b1 < i AND i > a1 AND a1 >= a2 AND abs(rt - 20000) <= 10000),
+    e AS (SELECT file_id, apex_rt, any_value(height) AS height, max(CASE WHEN rt < apex_rt AND (b1 IS NULL OR b1 >= i) THEN rt END) AS rt_left,
+        min(CASE WHEN rt > apex_rt AND (a1 IS NULL OR a1 >= i) THEN rt END) AS rt_right FROM n JOIN t USING (file_id) WHERE k = 1 GROUP BY file_id, apex_rt)
+    SELECT file_id, round(apex_rt, 6) AS apex_rt, round(any_value(height), 6) AS height, round(any_value(rt_left), 6) AS rt_left, round(any_value(rt_right), 6) AS rt_right,
+        round(sum(CASE WHEN rt >= rt_left AND rt < rt_right THEN (next_rt - rt) * (i + a1) / 2 END) * 60, 2) AS area FROM n JOIN e USING (file_id) GROUP BY file_id, apex_rt""")
+def gaps_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = signal.gaps_filled(scans.xic(views.scan(spark, sf_dir), 40.0, 20.0), 20000.0, 10000.0)
+    return _rounded(_rounded(out, 6, "apex_rt", "height", "rt_left", "rt_right"), 2, "area")
+
+
+@_query(with_views("fragment") + """, m AS (SELECT *, max(intensity) OVER (PARTITION BY spectrum_id) AS top,
+        row_number() OVER (PARTITION BY spectrum_id ORDER BY intensity DESC, mz) AS k FROM fragment)
+    SELECT spectrum_id, mz, intensity FROM m WHERE intensity >= 0.2 * top AND k <= 4""")
+def strongest_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return network.strongest_peaks(views.fragment(spark, sf_dir), 0.2, 4)
+
+
+@_query(with_views("spectrum", "fragment") + """, b AS (SELECT spectrum_id, max(intensity) AS top FROM fragment GROUP BY spectrum_id)
+    SELECT spectrum_id, round(precursor_mz, 6) AS precursor_mz, count(*) AS n_losses FROM spectrum JOIN fragment USING (spectrum_id) JOIN b USING (spectrum_id)
+    WHERE abs(precursor_mz - mz - 100) <= 20 AND intensity >= 0.1 * top GROUP BY spectrum_id, precursor_mz""")
+def neutral_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(network.neutral_losses(views.spectrum(spark, sf_dir), views.fragment(spark, sf_dir), 100.0, 20.0, 0.1), 6, "precursor_mz")
+
+
+# --- further matrix operators and tests
+
+
+@_query(with_views("spot_peak") + """, l AS (SELECT spot_id, file_id, log10(height) AS v FROM spot_peak WHERE height > 0),
+    m AS (SELECT spot_id, avg(v) AS mean, stddev_samp(v) AS sd FROM l GROUP BY spot_id)
+    SELECT spot_id, file_id, round((v - mean) / sqrt(sd), 5) AS z FROM l JOIN m USING (spot_id) WHERE sd > 1e-9""")
+def pareto_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(matrix.pareto_scaled(views.spot_peak(spark, sf_dir)), 5, "z")
+
+
+@_query(with_views("sample", "spot_peak") + """SELECT spot_id, class, min(height) AS least, round(quantile_cont(height, 0.25), 6) AS lower, round(quantile_cont(height, 0.5), 6) AS middle,
+    round(quantile_cont(height, 0.75), 6) AS upper, max(height) AS most FROM spot_peak JOIN sample USING (file_id) GROUP BY spot_id, class""")
+def box_plots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(matrix.box_plots(views.spot_peak(spark, sf_dir), views.sample(spark, sf_dir)), 6, "lower", "middle", "upper")
+
+
+@_query(with_views("spot_peak") + """, m AS (SELECT spot_id, avg(height) AS h FROM spot_peak WHERE height > 0 GROUP BY spot_id),
+    b AS (SELECT min(log2(h)) AS lo, max(log2(h)) AS hi FROM m) SELECT spot_id, round((log2(h) - lo) / (hi - lo), 6) AS amplitude FROM m, b""")
+def relative_amplitudes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(matrix.relative_amplitudes(views.spot_peak(spark, sf_dir)), 6, "amplitude")
+
+
+@_query(with_views("feature") + """SELECT spot_id, mz - floor(mz) > 0.00111 * mz + 0.039 AS above_line, round((mz - floor(mz)) / mz * 1e6, 4) AS relative_defect FROM feature""")
+def mass_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.feature(spark, sf_dir).select("spot_id", chemistry.above_defect_line(F.col("mz")).alias("above_line"), F.round(chemistry.relative_mass_defect(F.col("mz")), 4).alias("relative_defect"))
+
+
+@_query(with_views("spot_peak") + """, a AS (SELECT * FROM spot_peak WHERE height > 0)
+    SELECT a.file_id AS file_a, b.file_id AS file_b, count(*) AS n, round(corr(a.height, b.height), 6) AS pearson
+    FROM a JOIN a AS b USING (spot_id) WHERE a.file_id < b.file_id GROUP BY 1, 2 HAVING count(*) > 2""")
+def run_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(statistics.run_correlations(views.spot_peak(spark, sf_dir)), 6, "pearson")
+
+
+def welch_p(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two-sided p of Welch's test (SQL has no t distribution)."""
+    met = views.spot_peak(spark, sf_dir).join(views.sample(spark, sf_dir).select("file_id", F.col("batch").alias("grp")), "file_id")
+    return statistics.welch(met).withColumn("p", distributions.student_p(F.col("t"), F.col("df")))
+
+
+def anova_p(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Upper tail of the analysis of variance."""
+    return statistics.anova(_classed(spark, sf_dir)).withColumn("p", distributions.fisher_p(F.col("f"), F.col("df1"), F.col("df2")))
+
+
+def kruskal_p(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Upper tail of the Kruskal-Wallis test."""
+    return statistics.kruskal_wallis(_classed(spark, sf_dir)).withColumn("p", distributions.chi_square_p(F.col("h"), F.col("df")))
+
+
+QUERIES |= {f.__name__: f for f in (welch_p, anova_p, kruskal_p)}

@@ -103,3 +103,24 @@ def ranked(values: DataFrame, by: str, col: str) -> DataFrame:
     """Adds ``mid_rank`` of ``col`` within ``by``: ties share their mean rank."""
     w = Window.partitionBy(by)
     return values.withColumn("mid_rank", F.rank().over(w.orderBy(col)) + (F.count("*").over(Window.partitionBy(by, col)) - 1) / 2)
+
+
+def pareto_scaled(values: DataFrame) -> DataFrame:
+    """log10, centred and divided by the root of the standard deviation within each spot."""
+    log = values.where("height > 0").withColumn("v", F.log10("height"))
+    spot = log.groupBy("spot_id").agg(F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd")).where("sd > 1e-9")
+    return log.join(spot, "spot_id").select("spot_id", "file_id", ((F.col("v") - F.col("mean")) / F.sqrt("sd")).alias("z"))
+
+
+def box_plots(values: DataFrame, samples: DataFrame) -> DataFrame:
+    """Smallest, quartiles and largest of each spot and class; a group is one spot's files."""
+    met = values.join(samples.select("file_id", "class"), "file_id")
+    quartiles = [F.percentile("height", p).alias(n) for p, n in ((0.25, "lower"), (0.5, "middle"), (0.75, "upper"))]
+    return met.groupBy("spot_id", "class").agg(F.min("height").alias("least"), *quartiles, F.max("height").alias("most"))
+
+
+def relative_amplitudes(values: DataFrame) -> DataFrame:
+    """log2 of each spot's mean height, scaled to 0..1 over all spots."""
+    mean = values.where("height > 0").groupBy("spot_id").agg(F.log2(F.avg("height")).alias("a"))
+    span = mean.agg(F.min("a").alias("lo"), F.max("a").alias("hi"))
+    return mean.join(F.broadcast(span)).select("spot_id", ((F.col("a") - F.col("lo")) / (F.col("hi") - F.col("lo"))).alias("amplitude"))

@@ -91,3 +91,8 @@ def background_subtracted(scans: DataFrame) -> DataFrame:
     """Rows above their file's median, with it subtracted."""
     centre = scans.groupBy("file_id").agg(F.median("intensity").alias("median"))
     return scans.join(centre, "file_id").where("intensity > median").withColumn("intensity", F.col("intensity") - F.col("median")).drop("median")
+
+
+def ion_chromatograms(scans: DataFrame) -> DataFrame:
+    """Total-ion and base-peak chromatogram of the MS1 scans."""
+    return scans.where("ms_level = 1").groupBy("file_id", "rt").agg(F.sum("intensity").alias("total"), F.max("intensity").alias("base_peak"))

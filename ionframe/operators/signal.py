@@ -83,3 +83,17 @@ def rt_corrected(points: DataFrame, anchors: DataFrame) -> DataFrame:
 def recalibration(pairs: DataFrame, observed: str, reference: str, least: int = 20) -> DataFrame:
     """Straight line of observed on library times; no row with fewer than ``least`` pairs."""
     return pairs.agg(F.count("*").alias("n"), F.regr_slope(observed, reference).alias("slope"), F.regr_intercept(observed, reference).alias("intercept"), F.regr_r2(observed, reference).alias("r2")).where(F.col("n") >= least)
+
+
+def gaps_filled(trace: DataFrame, centre: float, reach: float) -> DataFrame:
+    """The peak next to ``centre`` in each run, walked down to the local minimum on both
+    sides; its area is in intensity x seconds."""
+    w = _in_run()
+    steps = trace.select("file_id", "rt", "intensity", F.lag("intensity").over(w).alias("before"), F.lead("intensity").over(w).alias("after"), F.lead("rt").over(w).alias("next_rt"))
+    peak = nearest_apex(trace, centre, reach).select("file_id", F.col("rt").alias("apex_rt"), F.col("intensity").alias("height"))
+    met = steps.join(peak, "file_id")
+    left = F.max(F.when((F.col("rt") < F.col("apex_rt")) & (F.col("before").isNull() | (F.col("before") >= F.col("intensity"))), F.col("rt")))
+    right = F.min(F.when((F.col("rt") > F.col("apex_rt")) & (F.col("after").isNull() | (F.col("after") >= F.col("intensity"))), F.col("rt")))
+    edges = met.groupBy("file_id", "apex_rt").agg(F.first("height").alias("height"), left.alias("rt_left"), right.alias("rt_right"))
+    piece = F.when((F.col("rt") >= F.col("rt_left")) & (F.col("rt") < F.col("rt_right")), (F.col("next_rt") - F.col("rt")) * (F.col("intensity") + F.col("after")) / 2)
+    return steps.join(edges, "file_id").groupBy("file_id", "apex_rt").agg(*[F.first(c).alias(c) for c in ("height", "rt_left", "rt_right")], (F.sum(piece) * 60).alias("area"))

@@ -115,3 +115,10 @@ def principal_components(gram: DataFrame, keep: int = 3) -> DataFrame:
         v = v * np.sign(v[np.abs(v).argmax()] or 1)
         rows += [(k + 1, f, float(s * value**0.5), float(value / total)) for f, s in zip(runs, v, strict=True)]
     return spark.createDataFrame(rows, "component int, file_id long, score double, explained double")
+
+
+def run_correlations(values: DataFrame) -> DataFrame:
+    """Pearson between runs over the spots that both have (three at least)."""
+    known = values.where("height > 0").select("spot_id", "file_id", "height")
+    a, b = known.toDF("spot_id", "file_a", "x"), known.toDF("spot_id", "file_b", "y")
+    return a.join(b, "spot_id").where("file_a < file_b").groupBy("file_a", "file_b").agg(F.count("*").alias("n"), F.corr("x", "y").alias("pearson")).where("n > 2")
