@@ -17,8 +17,12 @@ Copies with equal words are merged first and stand for one text. In a bucket,
 each member is compared with a few anchors, each the first in a hash order, not
 with all others, so candidates grow with the bucket's size and not its square.
 Linked texts form classes by connected components (large-star, small-star), all in
-tables. Buckets whose members are then in several classes go into another round,
-with twice as many and other anchors, until a round finds no link; pairs are
+tables. Buckets whose members are then in several classes go into further rounds:
+small ones with all their pairs, larger ones with twice as many and other anchors.
+Larger buckets that hold several classes after the rounds are finished exactly: of
+their texts, every pair that shares a rare enough labelled k-mer (prefix filter with
+the length and position bounds of 0.8) is verified. So no pair that shares a sketch
+is left untested, unless its texts are in one class or bounds exclude it. Pairs are
 verified once, and not at all where their numbers of k-mers alone exclude it.
 
 Edge cases: null text is empty; texts without words form one class; texts of one
@@ -35,7 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ionframe.llm.hashing import mix, word_hashes
@@ -45,9 +49,12 @@ K = 5
 SIMILARITY = 0.8
 PICK = 3
 TABLES = 12
-#: Anchors of a bucket in the first round, and in one round at most.
+#: Anchors of a bucket in the first round, and in one round at most; buckets of at
+#: most that many members have all their pairs compared in the second round.
 ANCHORS = 2
 MOST_ANCHORS = 16
+#: Rounds with anchors at most; what they leave open is finished exactly.
+ROUNDS = 3
 #: Ids of documents with candidates that may be broadcast (8 bytes each).
 BROADCAST_IDS = 500_000
 
@@ -138,18 +145,40 @@ def sketched(docs: DataFrame) -> DataFrame:
 
 
 def bucket_members(texts: DataFrame) -> DataFrame:
-    """``t, key, id, size`` of the buckets that two texts share, from ``id, keys, size``."""
+    """``t, key, id, size, n (members)`` of the buckets that two texts share, from ``id, keys, size``."""
     spread = texts.select("id", "size", F.posexplode("keys").alias("t", "key"))
-    shared = spread.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    return spread.join(shared, ["t", "key"], "left_semi")
+    shared = spread.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
+    return spread.join(shared, ["t", "key"])
+
+
+def near_sizes(one: str, two: str) -> Column:
+    return F.least(one, two) >= SIMILARITY * F.greatest(one, two)
+
+
+def with_roots(members: DataFrame, roots: DataFrame | None) -> DataFrame:
+    if roots is None:
+        return members.withColumn("root", F.col("id"))
+    return members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
 
 
 def candidates(members: DataFrame, roots: DataFrame | None, turn: int) -> DataFrame:
     """Distinct pairs ``a, b`` of different classes (``roots``: ``id, root``) to verify."""
-    if roots is None:
-        classed = members.withColumn("root", F.col("id"))
-    else:
-        classed = members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    classed = with_roots(members, roots)
+    if turn:
+        large = classed.where(F.col("n") > MOST_ANCHORS)
+        return anchored(large, turn).unionByName(all_pairs(classed.where(F.col("n") <= MOST_ANCHORS))).distinct() if turn == 1 else anchored(large, turn)
+    return anchored(classed, turn)
+
+
+def all_pairs(classed: DataFrame) -> DataFrame:
+    """All pairs of buckets, each of few members."""
+    one, two = (classed.select("t", "key", *[F.col(c).alias(f"{c}_{e}") for c in ("id", "root", "size")]) for e in "ab")
+    met = one.join(two, ["t", "key"]).where("id_a > id_b and root_a != root_b").where(near_sizes("size_a", "size_b"))
+    return met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+
+
+def anchored(classed: DataFrame, turn: int) -> DataFrame:
+    """Distinct pairs of each member and its bucket's anchors of this turn."""
     anchors = min(ANCHORS << turn, MOST_ANCHORS)
     order = [F.xxhash64("id", F.lit(turn * MOST_ANCHORS + k)) for k in range(anchors)]
     ends = classed.groupBy("t", "key").agg(
@@ -157,11 +186,52 @@ def candidates(members: DataFrame, roots: DataFrame | None, turn: int) -> DataFr
         F.min("root").alias("least_root"), F.max("root").alias("most_root")).where("least_root != most_root")
     ends = ends.select("t", "key", F.array_distinct(F.array(*[F.struct(*[F.col(f"{c}{k}").alias(c) for c in ("id", "root", "size")]) for k in range(anchors)])).alias("others"))
     met = classed.join(ends, ["t", "key"]).select("id", "root", "size", F.explode("others").alias("other"))
-    near = F.least("size", "other.size") >= SIMILARITY * F.greatest("size", "other.size")
-    both = met.where((F.col("root") != F.col("other.root")) & near)
+    both = met.where((F.col("root") != F.col("other.root")) & near_sizes("size", "other.size"))
     return both.select(F.greatest("id", "other.id").alias("a"), F.least("id", "other.id").alias("b")).distinct()
 
 
+def open_texts(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """``id, root, size`` of the texts in large buckets that hold several classes."""
+    classed = with_roots(members.where(F.col("n") > MOST_ANCHORS), roots)
+    several = classed.groupBy("t", "key").agg(F.min("root").alias("least_root"), F.max("root").alias("most_root")).where("least_root != most_root")
+    return classed.join(several, ["t", "key"], "left_semi").select("id", "root", "size").distinct()
+
+
+def kmers_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``id, mer, place`` of every labelled k-mer of the texts in ``ids``; ``docs``: ``id, text``."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for id_, text in zip(batch["id"], batch["text"], strict=True):
+                mers = labelled_kmers(text)
+                yield pd.DataFrame({"id": id_, "mer": mers.view(np.int64), "place": np.arange(len(mers), dtype=np.int32)})
+
+    return docs.join(ids, "id", "left_semi").select("id", "text").mapInPandas(run, "id long, mer long, place int")
+
+
+def prefix_pairs(docs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Distinct pairs ``a, b`` of different classes of ``texts`` that may be near: none that is near is left out.
+
+    All k-mers have one order, the rarest first. Near texts of n and m k-mers align
+    ``needed`` or more, all at or after the first of them in that order, so from there
+    each text has that many left; and its places differ by no more than the band.
+    """
+    mers = written(kmers_of(docs, texts.select("id")), "kmers")
+    often = mers.groupBy("mer").agg(F.count("*").alias("often")).where("often > 1")
+    # a set, as rows may repeat a text; k-mers of one text alone come first and meet nothing
+    shared = mers.join(often, "mer").groupBy("id").agg(F.sort_array(F.collect_set(F.struct("often", "mer", "place"))).alias("mers"))
+    placed = texts.join(shared, "id").select("id", "root", "size", (F.col("size") - F.size("mers")).alias("alone"), F.posexplode("mers").alias("at", "m"))
+    placed = placed.select("id", "root", "size", (F.col("size") - F.col("alone") - F.col("at")).alias("left"), "m.mer", "m.place")
+    # the shortest text that can be near has 0.8 of the k-mers, all of them in common
+    placed = written(placed.where(F.col("left") >= SIMILARITY * F.col("size") - 1e-6), "prefixes")
+    one, two = (placed.select("mer", *[F.col(c).alias(f"{c}_{e}") for c in ("id", "root", "size", "left", "place")]) for e in "ab")
+    both = F.col("size_a") + F.col("size_b")
+    needed = both * (SIMILARITY / (1 + SIMILARITY)) - 1e-6
+    met = one.join(two, "mer").where("id_a > id_b and root_a != root_b")
+    met = met.where((F.least("left_a", "left_b") >= needed) & (F.abs(F.col("place_a") - F.col("place_b")) <= both - 2 * needed))
+    return met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+
+
 def links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Verified pairs ``a, b, similarity``; ``docs``: ``id, text``."""
     ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
@@ -207,21 +277,30 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def joined_classes(contents: DataFrame, members: DataFrame) -> DataFrame:
-    """``id, root`` of all texts that have a link, over as many rounds as find links."""
+    """``id, root`` of all texts that have a link: rounds with anchors, then the exact finish."""
     tested = roots = None
-    turn = 0
-    while True:
-        pairs = candidates(members, roots, turn)
+
+    def joined(pairs: DataFrame) -> bool:
+        """Verifies the new pairs and joins their classes; whether there were links."""
+        nonlocal tested, roots
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
         found = written(links(contents, pairs).select("a", "b"), "links")
-        if turn and found.isEmpty():
-            return roots
         tested = pairs if tested is None else tested.unionByName(pairs)
+        if roots is not None and found.isEmpty():
+            return False
         # classes so far are stars: they stand for all links found before
         roots = components(found if roots is None else found.unionByName(roots.toDF("a", "b")))
-        turn += 1
+        return True
+
+    for turn in range(ROUNDS):
+        if not joined(candidates(members, roots, turn)) and turn:
+            break
+    left = written(open_texts(members, roots), "open")
+    if not left.isEmpty():
+        joined(prefix_pairs(contents, left))
+    return roots
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

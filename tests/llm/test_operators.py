@@ -162,6 +162,18 @@ def test_near_chains_match_brute_force(spark):
     assert {k: r["class_id"] for k, r in got.items()} == {k: find(k) for k in range(len(texts))}
 
 
+def test_near_pairs_in_hot_buckets(spark):
+    """Thousands of different texts share one passage; the few near ones share nothing else."""
+    rng = random.Random(23)
+    passage = words(rng, 140)
+    texts = [f"{passage} {words(rng, 50)}" for _ in range(3000)]
+    near = [100, 1700, 2900]
+    for k in near:
+        texts[k] = f"{passage} {words(rng, 8)}"
+    got = by_id(near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert {k: r["class_id"] for k, r in got.items()} == {k: 100 if k in near else k for k in range(3000)}
+
+
 def test_alignment_similarity():
     rng = random.Random(3)
     base = words(rng, 300)
