@@ -504,7 +504,7 @@ def sample_gram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def principal_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return statistics.principal_components(statistics.sample_gram(matrix.scaled(views.spot_peak(spark, sf_dir))))
+    return statistics.run_components(matrix.scaled(views.spot_peak(spark, sf_dir)))
 
 
 QUERIES["principal_components"] = principal_components  # eigenvectors are beyond SQL

@@ -2,41 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ionframe.tables import shared_dir, written  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is the session's ``spark.checkpoint.dir``; only where that is unset (a
-    local session) a folder of our own is made and kept for the session.
-    """
-    own = spark.conf.get("spark.checkpoint.dir", None)
-    if not own:
-        sc = spark.sparkContext
-        own = sc.getCheckpointDir()
-        if not own:
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-ionframe-"))
-            own = sc.getCheckpointDir()
-    return own.rstrip("/")
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back (cuts the lineage)."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ionframe.operators.matrix import ranked
+from ionframe.tables import written
 
 
 def welch(values: DataFrame, group: str = "grp") -> DataFrame:
@@ -90,31 +94,132 @@ def sample_gram(scaled: DataFrame) -> DataFrame:
     return a.join(b, "spot_id").where("file_a <= file_b").groupBy("file_a", "file_b").agg(F.sum(F.col("za") * F.col("zb")).alias("dot"))
 
 
-#: Runs whose Gram matrix may be decomposed on the driver.
-MOST_RUNS = 2000
+#: Vectors that a step adds beyond those kept, and the most that a basis holds.
+SPARE = 29
+MOST_VECTORS = 320
+#: Length of a residual, relative to the largest eigenvalue, that ends the steps.
+RESIDUAL = 1e-8
+#: Steps after which the search fails (some ten suffice as a rule).
+MOST_STEPS = 500
 
 
 def principal_components(gram: DataFrame, keep: int = 3) -> DataFrame:
-    """Scores of the runs: ``component, file_id, score, explained``.
+    """``component, file_id, score, explained`` from the ``sample_gram`` table, for any number of runs."""
+    both = gram.unionByName(gram.where("file_a != file_b").select(F.col("file_b").alias("file_a"), F.col("file_a").alias("file_b"), "dot"))
+    both = written(both, "gram")
+
+    def product(block: DataFrame, n: int) -> DataFrame:
+        met = both.join(block, both["file_b"] == block["file_id"])
+        return met.groupBy(F.col("file_a").alias("file_id")).agg(_summed("dot", n))
+
+    runs = both.select(F.col("file_a").alias("file_id")).distinct()
+    return _leading(runs, product, both.where("file_a = file_b").agg(F.sum("dot")).first()[0], keep)
+
+
+def run_components(scaled: DataFrame, keep: int = 3) -> DataFrame:
+    """The same from the scaled matrix (missing: 0), without the products of all pairs of runs."""
+    cells = written(scaled.toDF("spot_id", "file_id", "z"), "scaled")
+
+    def product(block: DataFrame, n: int) -> DataFrame:
+        spots = cells.join(block, "file_id").groupBy("spot_id").agg(_summed("z", n))
+        return cells.join(spots, "spot_id").groupBy("file_id").agg(_summed("z", n))
+
+    return _leading(cells.select("file_id").distinct(), product, cells.agg(F.sum(F.col("z") * F.col("z"))).first()[0], keep)
+
+
+def _summed(weight: str, n: int) -> Column:
+    return F.array(*[F.sum(F.col(weight) * F.col("x")[k]) for k in range(n)]).alias("x")
+
+
+def _mapped(table: DataFrame, f: Callable[[np.ndarray, np.ndarray], dict[str, np.ndarray]], names: list[str]) -> DataFrame:
+    """``file_id`` and the named arrays that ``f`` makes of each batch's ``q`` and ``gq``."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                made = f(np.stack(batch["q"]), np.stack(batch["gq"]))
+                yield pd.DataFrame({"file_id": batch["file_id"], **{n: list(made[n]) for n in names}})
+
+    return table.mapInPandas(run, "file_id long, " + ", ".join(f"{n} array<double>" for n in names))
+
+
+def _inner(table: DataFrame, one: str, two: str) -> np.ndarray:
+    """Inner products of the two blocks' vectors over the runs, summed in the cluster."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = 0.0
+        for batch in batches:
+            if len(batch):
+                total = total + np.stack(batch[one]).T @ np.stack(batch[two])
+        if not np.isscalar(total):
+            i, j = np.indices(total.shape)
+            yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "v": total.ravel()})
+
+    cells = table.select(*{one, two}).mapInPandas(run, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).toPandas()
+    full = np.zeros((cells["i"].max() + 1, cells["j"].max() + 1))
+    full[cells["i"], cells["j"]] = cells["v"]
+    return full
+
+
+def _whitening(inner: np.ndarray) -> np.ndarray:
+    """Columns that turn vectors of these inner products into orthonormal ones."""
+    scale = 1 / np.sqrt(np.maximum(np.diag(inner), 1e-300))
+    values, vectors = np.linalg.eigh(inner * np.outer(scale, scale))
+    some = values > 1e-10 * values[-1]
+    return scale[:, None] * vectors[:, some] / np.sqrt(values[some])
+
+
+def _leading(runs: DataFrame, product: Callable[[DataFrame, int], DataFrame], total: float | None, keep: int) -> DataFrame:
+    """Leading eigenvectors of the runs' Gram matrix by a growing basis.
 
-    The Gram matrix is runs x runs, whatever the number of features; its size is
-    checked before it reaches the driver. Signs make each component's largest
-    score positive.
+    ``product`` gives the matrix times a block of vectors (``file_id, x``). Each step
+    adds the residuals of the leading approximations to the basis, a table with a row
+    a run; only inner products of its vectors reach the driver. A full basis starts
+    again from its best vectors. Signs make each component's largest score positive.
     """
-    spark = gram.sparkSession
-    runs = [r[0] for r in gram.select("file_a").union(gram.select("file_b")).distinct().orderBy("file_a").limit(MOST_RUNS + 1).collect()]
-    if len(runs) > MOST_RUNS:
-        raise ValueError(f"more than {MOST_RUNS} runs")
-    at, full = {f: k for k, f in enumerate(runs)}, np.zeros((len(runs), len(runs)))
-    for r in gram.collect():
-        full[at[r["file_a"]], at[r["file_b"]]] = full[at[r["file_b"]], at[r["file_a"]]] = r["dot"]
-    values, vectors = np.linalg.eigh(full)
-    total, rows = max(np.trace(full), 1e-300), []
-    for k in range(min(keep, len(runs))):
-        value, v = max(values[-1 - k], 0.0), vectors[:, -1 - k]
-        v = v * np.sign(v[np.abs(v).argmax()] or 1)
-        rows += [(k + 1, f, float(s * value**0.5), float(value / total)) for f, s in zip(runs, v, strict=True)]
-    return spark.createDataFrame(rows, "component int, file_id long, score double, explained double")
+    schema = "component int, file_id long, score double, explained double"
+    count = runs.count()
+    if not count:
+        return runs.sparkSession.createDataFrame([], schema)
+    width, kept = keep + SPARE, min(keep, count)
+    first = F.array(*[F.xxhash64("file_id", F.lit(k)) / F.lit(2.0**63) for k in range(width)])
+    block = written(runs.select("file_id", first.alias("x")), "block")
+    basis = None
+    for _ in range(MOST_STEPS):
+        n = len(block.first()["x"])
+        new = block.withColumnRenamed("x", "q").join(product(block, n).withColumnRenamed("x", "gq"), "file_id")
+        if basis is not None:
+            old = basis.toDF("file_id", "q0", "gq0")
+            new = new.join(old, "file_id").select("file_id", F.concat("q0", "q").alias("q"), F.concat("gq0", "gq").alias("gq"))
+        basis = written(new, "basis")
+        turn = _whitening(_inner(basis, "q", "q"))
+        inner = turn.T @ _inner(basis, "q", "gq") @ turn
+        values, vectors = np.linalg.eigh((inner + inner.T) / 2)
+        values, vectors = values[::-1], turn @ vectors[:, ::-1]
+        lead, at = vectors[:, :width], values[:width]
+        residuals = written(_mapped(basis, lambda q, gq, lead=lead, at=at: {"q": q, "gq": gq @ lead - (q @ lead) * at}, ["q", "gq"]), "residuals")
+        inside = _inner(residuals, "gq", "gq")
+        lengths = np.sqrt(np.maximum(np.diag(inside), 0))
+        if len(at) >= kept and (lengths[:kept] <= RESIDUAL * max(values[0], 1e-300)).all():
+            break
+        # what is left of the residuals outside the basis, orthonormal
+        across = turn @ turn.T @ _inner(residuals, "q", "gq")
+        useful = lengths > 1e-3 * RESIDUAL * values[0]
+        fresh = _whitening(inside[np.ix_(useful, useful)])
+        block = written(_mapped(residuals, lambda q, r, across=across, useful=useful, fresh=fresh: {"x": (r - q @ across)[:, useful] @ fresh}, ["x"]), "block")
+        if len(values) + width > MOST_VECTORS:
+            best = vectors[:, :3 * width]
+            basis = written(_mapped(basis, lambda q, gq, best=best: {"q": q @ best, "gq": gq @ best}, ["q", "gq"]), "basis")
+    else:
+        raise ValueError(f"no convergence in {MOST_STEPS} steps")
+    values = np.maximum(values[:kept], 0.0)
+    turned = written(_mapped(basis, lambda q, gq, best=vectors[:, :kept]: {"x": q @ best}, ["x"]), "vectors")
+    long = turned.select(F.posexplode("x").alias("at", "v"), "file_id")
+    largest = long.groupBy("at").agg(F.max_by("v", F.struct(F.abs("v"), -F.col("file_id"))).alias("v")).collect()
+    signs = {r["at"]: -1.0 if r["v"] < 0 else 1.0 for r in largest}
+    factor = F.array(*[F.lit(float(signs[k] * values[k] ** 0.5)) for k in range(kept)])
+    share = F.array(*[F.lit(float(v / max(total, 1e-300))) for v in values])
+    return long.select((F.col("at") + 1).alias("component"), "file_id", (F.col("v") * factor[F.col("at")]).alias("score"), share[F.col("at")].alias("explained"))
 
 
 def run_correlations(values: DataFrame) -> DataFrame:

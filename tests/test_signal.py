@@ -96,6 +96,20 @@ def test_components_match_a_decomposition(spark):
         assert mine[0]["explained"] == pytest.approx(sizes[k - 1] / sizes.sum())
 
 
+def test_components_of_many_runs(spark):
+    """More runs than the Gram matrix could once have on the driver."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(12, 2300)) * np.arange(1, 13)[:, None]
+    rows = [(s, f, float(x[s, f])) for s in range(12) for f in range(2300)]
+    got = statistics.run_components(spark.createDataFrame(rows, "spot_id long, file_id long, z double"), 3).collect()
+    _, sizes, vectors = np.linalg.svd(x, full_matrices=False)
+    assert len(got) == 3 * 2300
+    for k in range(3):
+        mine = np.array([r["score"] for r in sorted((r for r in got if r["component"] == k + 1), key=lambda r: r["file_id"])])
+        assert mine == pytest.approx(vectors[k] * np.sign(vectors[k][np.abs(vectors[k]).argmax()]) * sizes[k], abs=1e-4)
+        assert got[0]["explained"] == pytest.approx(sizes[0] ** 2 / (sizes**2).sum()) or got[0]["component"] != 1
+
+
 def test_inbox_answers_and_reports_failures(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for k, command in enumerate(("count", "unknown")):
