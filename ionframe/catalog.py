@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,37 +9,41 @@ from ionframe.functions import chemistry, distributions
 from ionframe.operators import matching, matrix, network, scans, signal, statistics
 from ionframe.plans import views
 from ionframe.plans.views import with_views
+from ionframe.registry import ORACLE_SQL, QUERIES  # noqa: F401
+from ionframe.registry import query as _query
+from ionframe.registry import rounded as _rounded
 from ionframe.sources import records
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def _query(sql: str) -> Callable:
-    def note(f: Callable) -> Callable:
-        QUERIES[f.__name__] = f
-        ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return note
-
-
-def _rounded(df: DataFrame, digits: int, *cols: str) -> DataFrame:
-    return df.withColumns({c: F.round(c, digits) for c in cols})
-
-
 # --- scans and chromatograms
 
 
-@_query(with_views("scan") + """, x AS (SELECT file_id, rt, sum(intensity) AS intensity FROM scan
-    WHERE ms_level = 1 AND mz BETWEEN 35 AND 45 GROUP BY file_id, rt),
-    s AS (SELECT *, lead(rt) OVER w AS r2, lead(intensity) OVER w AS i2,
-        row_number() OVER (PARTITION BY file_id ORDER BY intensity DESC, rt) AS k FROM x WINDOW w AS (PARTITION BY file_id ORDER BY rt))
-    SELECT file_id, count(*) AS n_points, round(max(CASE WHEN k = 1 THEN rt END), 6) AS apex_rt, round(max(intensity), 6) AS apex_intensity,
-        round(coalesce(sum((r2 - rt) * (i2 + intensity) / 2), 0), 4) AS area FROM s GROUP BY file_id""")
+NOISE_SQL = """, d AS (SELECT file_id, y, abs(y - lag(y) OVER (PARTITION BY file_id ORDER BY rt)) AS d, row_number() OVER (PARTITION BY file_id ORDER BY y) AS k,
+        count(*) OVER (PARTITION BY file_id) AS n FROM x),
+    m AS (SELECT file_id, median(d) AS m FROM d WHERE n >= 3 GROUP BY file_id),
+    noise AS (SELECT d.file_id, CASE WHEN any_value(m) > 0 AND median(abs(d - m)) > 0 THEN median(abs(d - m)) * 1.4826 / sqrt(2)
+        ELSE nullif(stddev_samp(CASE WHEN k <= greatest(2, n // 2) THEN y END), 0) END AS noise FROM d JOIN m USING (file_id) GROUP BY d.file_id)"""
+
+
+@_query(with_views("scan") + """, x AS (SELECT file_id, rt, sum(intensity) AS y FROM scan WHERE ms_level = 1 AND mz BETWEEN 35 AND 45 GROUP BY file_id, rt)""" + NOISE_SQL + """,
+    a AS (SELECT *, row_number() OVER w AS pos, lead(rt) OVER w AS r2, lead(y) OVER w AS y2, lag(rt) OVER w AS r0, lag(y) OVER w AS y0, max(y) OVER (PARTITION BY file_id) AS top
+        FROM x WINDOW w AS (PARTITION BY file_id ORDER BY rt)),
+    t AS (SELECT file_id, min(pos) AS apex FROM a WHERE y = top AND top > 0 GROUP BY file_id),
+    s AS (SELECT a.*, apex, CASE WHEN pos < apex THEN -1 WHEN pos > apex THEN 1 ELSE 0 END AS side, abs(pos - apex) AS away FROM a JOIN t USING (file_id)),
+    v AS (SELECT *, coalesce(min(y) OVER (PARTITION BY file_id, side ORDER BY away ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), top) AS valley FROM s),
+    e AS (SELECT *, CASE WHEN side = 0 THEN NULL WHEN y <= 0.05 * top THEN pos WHEN y > valley + 0.1 * top THEN pos - side END AS edge FROM v),
+    b AS (SELECT file_id, coalesce(arg_min(edge, away) FILTER (side = -1 AND edge IS NOT NULL), min(pos)) AS l,
+        coalesce(arg_min(edge, away) FILTER (side = 1 AND edge IS NOT NULL), max(pos)) AS r FROM e GROUP BY file_id),
+    c AS (SELECT file_id, any_value(l) AS l, any_value(r) AS r, max(CASE WHEN pos = apex THEN rt END) AS apex_rt, any_value(top) AS top,
+        max(CASE WHEN pos = l THEN rt END) AS rt_left, max(CASE WHEN pos = r THEN rt END) AS rt_right,
+        coalesce(sum(CASE WHEN pos >= l AND pos < r THEN (r2 - rt) * (y + y2) / 2 END), 0) AS area,
+        arg_max(rt + (top / 2 - y) / (y2 - y) * (r2 - rt), pos) FILTER (pos >= l AND pos < apex AND y <= top / 2) AS half_left,
+        arg_min(r0 + (top / 2 - y0) / (y - y0) * (rt - r0), pos) FILTER (pos > apex AND pos <= r AND y <= top / 2) AS half_right
+        FROM s JOIN b USING (file_id) GROUP BY file_id)
+    SELECT file_id, CAST(r - l + 1 AS BIGINT) AS n_points, round(apex_rt, 6) AS apex_rt, round(top, 6) AS apex_intensity, round(rt_left, 6) AS rt_left, round(rt_right, 6) AS rt_right,
+        round(area, 4) AS area, round(half_right - half_left, 6) AS fwhm, round(noise, 6) AS noise, round(top / noise, 5) AS snr FROM c LEFT JOIN noise USING (file_id)""")
 def xic_peak_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = scans.peak_summary(scans.xic(views.scan(spark, sf_dir), 40.0, 5.0))
-    return _rounded(_rounded(out, 6, "apex_rt", "apex_intensity"), 4, "area")
+    out = signal.peak_summary(scans.xic(views.scan(spark, sf_dir), 40.0, 5.0))
+    return _rounded(_rounded(_rounded(out, 6, "apex_rt", "apex_intensity", "rt_left", "rt_right", "fwhm", "noise"), 4, "area"), 5, "snr")
 
 
 @_query(with_views("scan") + """, t AS (SELECT p_size AS target_id, CAST(p_size * 2 AS DOUBLE) AS target_mz FROM part GROUP BY p_size)
@@ -101,16 +103,32 @@ def contour_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(scans.contour_grid(views.scan(spark, sf_dir), 30, 20), 4, "intensity")
 
 
-@_query(with_views("scan") + """, c AS (SELECT file_id, median(intensity) AS median FROM scan GROUP BY file_id)
-    SELECT file_id, round(any_value(median), 6) AS median, round(median(abs(intensity - median)), 6) AS mad FROM scan JOIN c USING (file_id) GROUP BY file_id""")
+@_query(with_views("scan") + """, x AS (SELECT file_id, rt, sum(intensity) AS y FROM scan WHERE ms_level = 1 AND mz BETWEEN 35 AND 45 GROUP BY file_id, rt)""" + NOISE_SQL + """
+    SELECT file_id, round(noise, 6) AS noise FROM noise""")
 def noise_level(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(scans.noise(views.scan(spark, sf_dir)), 6, "median", "mad")
+    return _rounded(signal.automatic_noise(scans.xic(views.scan(spark, sf_dir), 40.0, 5.0)), 6, "noise")
+
+
+AVERAGE_SQL = """SELECT file_id, sum(mz * intensity) / sum(intensity) AS mz, sum(intensity) / any_value(n) AS intensity FROM (
+    SELECT *, sum(new) OVER (PARTITION BY file_id ORDER BY mz, scan_id) AS grp FROM (
+        SELECT *, CASE WHEN mz - lag(mz) OVER (PARTITION BY file_id ORDER BY mz, scan_id) <= 0.01 THEN 0 ELSE 1 END AS new FROM scan WHERE {where}))
+    JOIN (SELECT file_id, count(DISTINCT rt) AS n FROM scan WHERE {where} GROUP BY file_id) USING (file_id) GROUP BY file_id, grp"""
+
 
+@_query(with_views("scan") + f""", a AS ({AVERAGE_SQL.format(where="ms_level = 1 AND rt BETWEEN 0 AND 20000")})
+    SELECT file_id, round(mz, 6) AS mz, round(intensity, 6) AS intensity FROM a""")
+def average_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(scans.average_spectrum(views.scan(spark, sf_dir), 0.0, 20000.0), 6, "mz", "intensity")
 
-@_query(with_views("scan") + """, c AS (SELECT file_id, median(intensity) AS median FROM scan GROUP BY file_id)
-    SELECT scan_id, file_id, round(intensity - median, 6) AS intensity FROM scan JOIN c USING (file_id) WHERE intensity > median""")
+
+@_query(with_views("scan") + f""", a AS ({AVERAGE_SQL.format(where="ms_level = 1 AND rt BETWEEN 0 AND 20000")}),
+    b AS ({AVERAGE_SQL.format(where="ms_level = 1 AND rt BETWEEN 20000 AND 30000")})
+    SELECT a.file_id, round(a.mz, 6) AS mz, round(greatest(0, any_value(a.intensity) - coalesce(sum(b.intensity), 0)), 6) AS intensity
+    FROM a LEFT JOIN b ON a.file_id = b.file_id AND b.mz BETWEEN a.mz - 0.01 AND a.mz + 0.01 GROUP BY a.file_id, a.mz""")
 def background_subtracted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(scans.background_subtracted(views.scan(spark, sf_dir)), 6, "intensity").select("scan_id", "file_id", "intensity")
+    s = views.scan(spark, sf_dir)
+    out = scans.subtracted(scans.average_spectrum(s, 0.0, 20000.0), scans.average_spectrum(s, 20000.0, 30000.0))
+    return _rounded(out, 6, "mz", "intensity")
 
 
 # --- predicates over features
@@ -145,11 +163,11 @@ def spot_filter_peak_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matrix.detected_in(views.spot_peak(spark, sf_dir), 20)
 
 
-@_query(with_views("sample", "spot_peak") + """, q AS (SELECT file_id FROM sample WHERE sample_type = 'QC')
-    SELECT spot_id, count(*) AS n, (SELECT count(*) FROM q) AS n_qc FROM spot_peak JOIN q USING (file_id) GROUP BY spot_id
-    HAVING count(*) >= (SELECT count(*) FROM q) * 0.3""")
+@_query(with_views("sample", "spot_peak") + """, q AS (SELECT file_id FROM sample WHERE sample_type = 'QC' AND file_id <= 12)
+    SELECT spot_id, count(*) AS n_qc FROM spot_peak JOIN q USING (file_id) GROUP BY spot_id HAVING count(*) = (SELECT count(*) FROM q)""")
 def spot_filter_qc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matrix.qc_detected(views.spot_peak(spark, sf_dir), views.sample(spark, sf_dir), 0.3).select("spot_id", "n", "n_qc")
+    first = views.sample(spark, sf_dir).where("file_id <= 12")  # the QC runs of the first batch
+    return matrix.qc_detected(views.spot_peak(spark, sf_dir), first)
 
 
 @_query(with_views("sample", "spot_peak") + """, c AS (SELECT class, count(*) AS n_class FROM sample GROUP BY class),
@@ -159,17 +177,23 @@ def spot_filter_group_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(matrix.group_percent(views.spot_peak(spark, sf_dir), views.sample(spark, sf_dir), 50.0), 6, "best_percent")
 
 
-@_query(with_views("sample", "spot_peak") + """, m AS (SELECT spot_id, avg(CASE WHEN sample_type = 'Sample' THEN height END) AS s,
-    avg(CASE WHEN sample_type = 'Blank' THEN height END) AS b FROM spot_peak JOIN sample USING (file_id) GROUP BY spot_id)
-    SELECT spot_id, round(s, 8) AS sample_mean, round(b, 8) AS blank_mean FROM m WHERE s IS NOT NULL AND (b IS NULL OR s >= 1.2 * b)""")
+@_query(with_views("sample", "spot_peak") + """, n AS (SELECT count(*) FILTER (sample_type = 'Blank') AS nb, count(*) FILTER (sample_type = 'Sample') AS ns, count(*) AS nf FROM sample),
+    m AS (SELECT spot_id, sum(CASE WHEN sample_type = 'Sample' THEN height ELSE 0 END) AS s, sum(CASE WHEN sample_type = 'Blank' THEN height ELSE 0 END) AS b,
+        min(CASE WHEN height < 0.0001 THEN height END) AS tiny, count(*) AS k FROM spot_peak JOIN sample USING (file_id) GROUP BY spot_id),
+    t AS (SELECT spot_id, s / ns AS sample_mean, CASE WHEN b > 0 THEN b / nb WHEN k < nf THEN 0 ELSE coalesce(tiny * 0.1, 1) END AS blank_level FROM m, n WHERE nb > 0)
+    SELECT spot_id, round(sample_mean, 6) AS sample_mean, round(blank_level, 6) AS blank_level FROM t WHERE sample_mean >= 1.2 * blank_level""")
 def spot_filter_blank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(matrix.blank_filter(views.spot_peak(spark, sf_dir), views.sample(spark, sf_dir), 1.2), 8, "sample_mean", "blank_mean")
+    return _rounded(matrix.blank_filter(views.spot_peak(spark, sf_dir), views.sample(spark, sf_dir), 1.2), 6, "sample_mean", "blank_level")
+
 
+DENSE_SQL = """, spots AS (SELECT DISTINCT spot_id FROM spot_peak),
+    dense AS (SELECT spot_id, file_id, class, sample_type, coalesce(height, 0) AS h FROM spots CROSS JOIN sample LEFT JOIN spot_peak USING (spot_id, file_id))"""
 
-@_query(with_views("sample", "spot_peak") + """, c AS (SELECT spot_id, class, stddev_samp(height) / avg(height) AS r FROM spot_peak JOIN sample USING (file_id)
-    GROUP BY spot_id, class HAVING count(*) > 1) SELECT spot_id, round(min(r), 6) AS rsd FROM c GROUP BY spot_id""")
+
+@_query(with_views("sample", "spot_peak") + DENSE_SQL + """, c AS (SELECT spot_id, class, stddev_samp(h) * 100 / avg(h) AS r FROM dense WHERE sample_type <> 'Blank'
+    GROUP BY spot_id, class HAVING count(*) > 1 AND sum(h) > 0) SELECT spot_id, round(min(r), 5) AS rsd FROM c GROUP BY spot_id""")
 def spot_smallest_rsd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(matrix.relative_deviation(views.spot_peak(spark, sf_dir), views.sample(spark, sf_dir)), 6, "rsd")
+    return _rounded(matrix.relative_deviation(views.spot_peak(spark, sf_dir), views.sample(spark, sf_dir)), 5, "rsd")
 
 
 @_query(with_views("sample", "spot_peak") + """SELECT spot_id, count(*) AS n_qc, round(stddev_samp(height) / avg(height) * 100, 6) AS cv_percent
@@ -204,14 +228,6 @@ def library_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.unmatched(views.peak(spark, sf_dir), views.library(spark, sf_dir), 0.05).select("peak_id", "file_id")
 
 
-@_query(with_views("peak") + """, g AS (SELECT *, CAST(floor(mz / 5) AS BIGINT) AS mz_cell, CAST(floor(rt / 10) AS BIGINT) AS rt_cell FROM peak),
-    k AS (SELECT *, row_number() OVER (PARTITION BY mz_cell, rt_cell ORDER BY mz, peak_id) AS k FROM g)
-    SELECT mz_cell, rt_cell, max(CASE WHEN k = 1 THEN peak_id END) AS master_id, count(*) AS n_peaks, count(DISTINCT file_id) AS n_files,
-        round(avg(mz), 6) AS mean_mz, round(avg(rt), 6) AS mean_rt FROM k GROUP BY mz_cell, rt_cell""")
-def aligned_spots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(matching.aligned_spots(views.peak(spark, sf_dir), 5.0, 10.0), 6, "mean_mz", "mean_rt")
-
-
 @_query(with_views("feature") + """, k AS (SELECT *, row_number() OVER (PARTITION BY round(mz, 0), floor(rt / 5) ORDER BY name, spot_id) AS k FROM feature)
     SELECT spot_id, name, mz, rt FROM k WHERE k = 1""")
 def spots_deduplicated(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -234,10 +250,10 @@ def polarity_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- matrix
 
 
-@_query(with_views("sample", "spot_peak") + """SELECT spot_id, class, count(*) AS n, round(avg(height), 8) AS average, round(stddev_samp(height), 4) AS stdev
-    FROM spot_peak JOIN sample USING (file_id) GROUP BY spot_id, class""")
+@_query(with_views("sample", "spot_peak") + DENSE_SQL + """SELECT spot_id, class, count(*) FILTER (h > 0) AS n, round(avg(h), 6) AS average, round(coalesce(stddev_samp(h), 0), 4) AS stdev
+    FROM dense GROUP BY spot_id, class""")
 def class_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(_rounded(matrix.class_statistics(views.spot_peak(spark, sf_dir), views.sample(spark, sf_dir)), 8, "average"), 4, "stdev")
+    return _rounded(_rounded(matrix.class_statistics(views.spot_peak(spark, sf_dir), views.sample(spark, sf_dir)), 6, "average"), 4, "stdev")
 
 
 @_query(with_views("sample", "spot_peak") + """SELECT spot_id AS id, file_name AS file, class, height, round(area, 4) AS area FROM spot_peak JOIN sample USING (file_id)""")
@@ -245,10 +261,12 @@ def long_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(matrix.long_export(views.spot_peak(spark, sf_dir), views.sample(spark, sf_dir)), 4, "area")
 
 
-@_query(with_views("sample", "spot_peak") + """SELECT spot_id, """ + ", ".join(f"round(coalesce(avg(CASE WHEN class = {c} THEN height END), 0), 8) AS class_{c}" for c in range(5)) + " FROM spot_peak JOIN sample USING (file_id) GROUP BY spot_id")
+@_query(with_views("sample", "spot_peak") + DENSE_SQL + "SELECT spot_id, " + ", ".join(f"round(avg(CASE WHEN class = {c} THEN h END), 6) AS class_{c}" for c in range(5)) + " FROM dense GROUP BY spot_id")
 def wide_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = matrix.wide_export(views.spot_peak(spark, sf_dir), list(range(5)), views.sample(spark, sf_dir))
-    return _rounded(out, 8, *[f"class_{c}" for c in range(5)])
+    out = matrix.wide_export(views.spot_peak(spark, sf_dir), views.sample(spark, sf_dir))
+    # the five regions of the test tables; a class without runs has no column of its own
+    missing = [F.lit(None).cast("double").alias(f"class_{c}") for c in range(5) if f"class_{c}" not in out.columns]
+    return _rounded(out.select("*", *missing), 6, *[f"class_{c}" for c in range(5)])
 
 
 @_query(with_views("spot_peak") + """, t AS (SELECT file_id, sum(height) AS total FROM spot_peak GROUP BY file_id)
@@ -274,8 +292,7 @@ def log_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT spot_id, round(sum(CASE WHEN height > 0 THEN height ELSE coalesce(least, 1) END), 4) AS total, count(*) AS n
     FROM feature CROSS JOIN sample LEFT JOIN f USING (spot_id) LEFT JOIN spot_peak USING (spot_id, file_id) GROUP BY spot_id""")
 def imputed_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dense = matrix.imputed(views.spot_peak(spark, sf_dir), views.feature(spark, sf_dir), views.sample(spark, sf_dir))
-    return _rounded(dense.groupBy("spot_id").agg(F.sum("value").alias("total"), F.count("*").alias("n")), 4, "total")
+    return _rounded(matrix.imputed_totals(views.spot_peak(spark, sf_dir), views.feature(spark, sf_dir), views.sample(spark, sf_dir)), 4, "total")
 
 
 @_query("""WITH k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events)
@@ -343,15 +360,6 @@ def enrichment_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- chemistry and names
 
 
-@_query("""WITH n AS (SELECT p_partkey AS spot_id, 'PC ' || (p_size % 30 + 10) || ':' || (p_size % 6) || '/18:' || (p_partkey % 4) AS name,
-    p_size % 30 + 10 + 18 AS c, p_size % 6 + p_partkey % 4 AS d FROM part) SELECT spot_id, name, 'PC' AS lipid_class, CAST(c AS BIGINT) AS carbons, CAST(d AS BIGINT) AS double_bonds FROM n""")
-def lipid_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = spark.read.parquet(f"{sf_dir}/part.parquet")
-    text = F.concat(F.lit("PC "), (F.col("p_size") % 30 + 10).cast("string"), F.lit(":"), (F.col("p_size") % 6).cast("string"), F.lit("/18:"), (F.col("p_partkey") % 4).cast("string"))
-    named = part.select(F.col("p_partkey").alias("spot_id"), text.alias("name"))
-    return named.select("spot_id", "name", chemistry.lipid_class(F.col("name")).alias("lipid_class"), chemistry.lipid_carbons(F.col("name")).alias("carbons"), chemistry.lipid_double_bonds(F.col("name")).alias("double_bonds"))
-
-
 @_query("""WITH n AS (SELECT p_partkey AS spot_id, p_size AS c, 2 * p_size AS h, p_size % 7 + 1 AS o FROM part)
     SELECT spot_id, 'C' || c || 'H' || h || 'O' || o AS formula, round(c * 12.0 + h * 1.00782503207 + o * 15.99491461956, 6) AS mass,
         round(c * 12.0 + h * 1.00782503207 + o * 15.99491461956 + 1.00727646688, 6) AS protonated, CAST(1 AS DOUBLE) AS rdbe FROM n""")
@@ -389,38 +397,29 @@ def trace_polynomial_smoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(_rounded(signal.smoothed(_trace(spark, sf_dir), signal.SAVITZKY_GOLAY_5), 6, "rt"), 5, "smooth").drop("intensity")
 
 
-@_query(TRACE + """, l AS (SELECT *, lag(v, 1) OVER w AS a1, lag(v, 2) OVER w AS a2, lead(v, 1) OVER w AS b1, lead(v, 2) OVER w AS b2 FROM x
+APEX_SQL = """, l AS (SELECT *, row_number() OVER w AS pos, lag(v, 1) OVER w AS a1, lag(v, 2) OVER w AS a2, lead(v, 1) OVER w AS b1, lead(v, 2) OVER w AS b2, lead(rt) OVER w AS r2 FROM x
     WINDOW w AS (PARTITION BY file_id ORDER BY rt)),
-    p AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY abs(rt - 20000), rt) AS k, count(*) OVER (PARTITION BY file_id) AS n FROM l
-        WHERE a2 <= a1 AND a1 < v AND v > b1 AND b1 >= b2 AND abs(rt - 20000) <= 15000)
-    SELECT file_id, n AS n_apexes, round(rt, 6) AS rt, round(v, 6) AS intensity FROM p WHERE k = 1""")
+    p AS (SELECT file_id, pos AS id, rt AS apex_rt, v AS height, row_number() OVER (PARTITION BY file_id ORDER BY abs(rt - 20000), rt) AS k, count(*) OVER (PARTITION BY file_id) AS n FROM l
+        WHERE ((a2 <= a1 AND a1 <= v AND v > b1) OR (a1 < v AND v >= b1 AND b1 >= b2)) AND a2 IS NOT NULL AND b2 IS NOT NULL AND abs(rt - 20000) <= 15000)"""
+
+
+@_query(TRACE + APEX_SQL + """SELECT file_id, n AS n_apexes, round(apex_rt, 6) AS rt, round(height, 6) AS intensity FROM p WHERE k = 1""")
 def nearest_apex(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(signal.nearest_apex(_trace(spark, sf_dir), 20000.0, 15000.0), 6, "rt", "intensity")
+    out = signal.nearest_apex(signal.numbered(_trace(spark, sf_dir)), 20000.0, 15000.0)
+    return _rounded(out.select("file_id", "n_apexes", "rt", "intensity"), 6, "rt", "intensity")
 
 
-@_query(with_views("peak") + """, l AS (SELECT DISTINCT CAST(p_size AS DOUBLE) AS c0, p_size * p_size / 8.0 AS t0 FROM part),
-    s AS (SELECT *, lead(c0) OVER (ORDER BY t0) AS c1, lead(t0) OVER (ORDER BY t0) AS t1, row_number() OVER (ORDER BY t0) AS k, count(*) OVER () AS n FROM l)
-    SELECT peak_id, rt, round((c0 + (c1 - c0) * (rt - t0) / (t1 - t0)) * 100, 5) AS retention_index FROM peak JOIN s
-    ON t1 IS NOT NULL AND (rt >= t0 OR k = 1) AND (rt < t1 OR k = n - 1)""")
+@_query(with_views("peak") + """, l AS (SELECT DISTINCT CAST(p_size AS DOUBLE) AS c0, p_size * p_size / 8.0 AS t0 FROM part WHERE p_size BETWEEN 5 AND 40),
+    s AS (SELECT c0, t0, lead(c0) OVER (ORDER BY t0) AS c1, lead(t0) OVER (ORDER BY t0) AS t1 FROM l),
+    g AS (SELECT min(c0) AS ca, max(c0) AS cb, min(t0) AS ta, max(t0) AS tb FROM l)
+    SELECT peak_id, rt, round((c0 + (c1 - c0) * (rt - t0) / (t1 - t0)) * 100, 5) AS retention_index FROM peak JOIN s ON t1 IS NOT NULL AND rt >= t0 AND rt < t1
+    UNION ALL SELECT peak_id, rt, round((ca + (cb - ca) * (rt - ta) / (tb - ta)) * 100, 5) FROM peak, g WHERE rt < ta OR rt >= tb""")
 def retention_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.col("p_size").cast("double")
-    ladder = spark.read.parquet(f"{sf_dir}/part.parquet").select(size.alias("carbon"), (size * size / 8).alias("ladder_rt")).distinct()
+    ladder = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_size BETWEEN 5 AND 40").select(size.alias("carbon"), (size * size / 8).alias("ladder_rt")).distinct()
     return _rounded(signal.kovats(views.peak(spark, sf_dir), ladder), 5, "retention_index").select("peak_id", "rt", "retention_index")
 
 
-@_query(with_views("peak") + """, a AS (SELECT file_id, rt, avg(mz) / 100 AS shift FROM peak WHERE peak_id % 16 = 1 GROUP BY file_id, rt),
-    p AS (SELECT * FROM peak WHERE peak_id % 16 <> 1),
-    b AS (SELECT p.peak_id, p.file_id, p.rt, max(CASE WHEN a.rt <= p.rt THEN a.rt END) AS t0, min(CASE WHEN a.rt > p.rt THEN a.rt END) AS t1
-        FROM p JOIN a USING (file_id) GROUP BY ALL)
-    SELECT b.peak_id, b.file_id, b.rt, round(b.rt - CASE WHEN t0 IS NULL THEN u.shift WHEN t1 IS NULL THEN l.shift
-        ELSE l.shift + (u.shift - l.shift) * (b.rt - t0) / (t1 - t0) END, 6) AS corrected
-    FROM b LEFT JOIN a AS l ON l.file_id = b.file_id AND l.rt = t0 LEFT JOIN a AS u ON u.file_id = b.file_id AND u.rt = t1""")
-def rt_corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    peak = views.peak(spark, sf_dir)
-    anchors = peak.where("peak_id % 16 = 1").groupBy("file_id", "rt").agg((F.avg("mz") / 100).alias("shift"))
-    return _rounded(signal.rt_corrected(peak.where("peak_id % 16 <> 1"), anchors), 6, "corrected")
-
-
 @_query(with_views("peak", "library") + """, m AS (SELECT rt, ref_rt FROM peak JOIN library ON abs(mz - ref_mz) <= 0.005 AND abs(rt - ref_rt) <= 20)
     SELECT count(*) AS n, round(regr_slope(rt, ref_rt), 6) AS slope, round(regr_intercept(rt, ref_rt), 5) AS intercept, round(regr_r2(rt, ref_rt), 6) AS r2
     FROM m HAVING count(*) >= 20""")
@@ -432,18 +431,6 @@ def library_recalibration(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- networks and records
 
 
-@_query(with_views("spectrum", "fragment") + """, f AS (SELECT spectrum_id, mz, sqrt(intensity) AS v FROM fragment),
-    n AS (SELECT spectrum_id, sqrt(sum(v * v)) AS norm FROM f GROUP BY spectrum_id), s AS (SELECT * FROM spectrum JOIN n USING (spectrum_id)),
-    c AS (SELECT a.spectrum_id AS source, b.spectrum_id AS target, a.norm * b.norm AS norm FROM s a JOIN s b
-        ON a.spectrum_id < b.spectrum_id AND abs(a.precursor_mz - b.precursor_mz) <= 0.02),
-    e AS (SELECT source, target, count(*) AS n_shared, round(sum(x.v * y.v) / any_value(norm), 6) AS cosine FROM c
-        JOIN f x ON x.spectrum_id = source JOIN f y ON y.spectrum_id = target AND x.mz = y.mz GROUP BY source, target)
-    SELECT * FROM e WHERE cosine >= 0.3""")
-def spectral_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fragments = views.fragment(spark, sf_dir).withColumnRenamed("mz", "bin")
-    return _rounded(network.spectral_edges(views.spectrum(spark, sf_dir), fragments, 0.02, 0.3), 6, "cosine")
-
-
 @_query(with_views("peak") + """, d AS (SELECT * FROM (VALUES ('sodium for proton', 21.981943), ('ammonium for proton', 17.026549), ('carbon isotope', 1.003355)) t(relation, d))
     SELECT a.file_id, relation, a.peak_id AS light_id, b.peak_id AS heavy_id, round(b.mz - (a.mz + CAST(d AS DOUBLE)), 6) AS error FROM peak a, d
     JOIN peak b ON a.file_id = b.file_id AND abs(b.mz - (a.mz + CAST(d AS DOUBLE))) <= 0.05 AND abs(a.rt - b.rt) <= 3 AND a.peak_id <> b.peak_id""")
@@ -519,17 +506,19 @@ def ion_chromatograms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(scans.ion_chromatograms(views.scan(spark, sf_dir)), 6, "rt", "total", "base_peak")
 
 
-@_query(with_views("scan") + """, x AS (SELECT file_id, rt, sum(intensity) AS i FROM scan WHERE ms_level = 1 AND mz BETWEEN 20 AND 60 GROUP BY file_id, rt),
-    n AS (SELECT *, lag(i, 2) OVER w AS b2, lag(i) OVER w AS b1, lead(i) OVER w AS a1, lead(i, 2) OVER w AS a2, lead(rt) OVER w AS next_rt FROM x WINDOW w AS (PARTITION BY file_id ORDER BY rt)),
-    t AS (SELECT file_id, rt AS apex_rt, i AS height, row_number() OVER (PARTITION BY file_id ORDER BY abs(rt - 20000), rt) AS k FROM n
-        WHERE b2 <= b1 AND b1 < i AND i > a1 AND a1 >= a2 AND abs(rt - 20000) <= 10000),
-    e AS (SELECT file_id, apex_rt, any_value(height) AS height, max(CASE WHEN rt < apex_rt AND (b1 IS NULL OR b1 >= i) THEN rt END) AS rt_left,
-        min(CASE WHEN rt > apex_rt AND (a1 IS NULL OR a1 >= i) THEN rt END) AS rt_right FROM n JOIN t USING (file_id) WHERE k = 1 GROUP BY file_id, apex_rt)
-    SELECT file_id, round(apex_rt, 6) AS apex_rt, round(any_value(height), 6) AS height, round(any_value(rt_left), 6) AS rt_left, round(any_value(rt_right), 6) AS rt_right,
-        round(sum(CASE WHEN rt >= rt_left AND rt < rt_right THEN (next_rt - rt) * (i + a1) / 2 END) * 60, 2) AS area FROM n JOIN e USING (file_id) GROUP BY file_id, apex_rt""")
+@_query(TRACE + APEX_SQL + """, e AS (SELECT file_id, any_value(id) AS id, max(pos) FILTER (pos <= id - 2 AND (a1 IS NULL OR a1 >= v)) AS l,
+        min(pos) FILTER (pos >= id + 2 AND (b1 IS NULL OR v <= b1)) AS r, any_value(height) AS was FROM l JOIN p USING (file_id) WHERE k = 1 GROUP BY file_id),
+    i AS (SELECT l.*, e.l, e.r, e.id, ((a1 <= v AND v > b1) OR (a1 < v AND v >= b1)) AND pos > e.l AND pos < e.r AND v > was AS higher FROM l JOIN e USING (file_id)),
+    t AS (SELECT file_id, coalesce(arg_max(pos, v * 1e6 - pos) FILTER (higher), any_value(id)) AS top FROM i GROUP BY file_id)
+    SELECT file_id, round(max(CASE WHEN pos = top THEN rt END), 6) AS apex_rt, round(max(CASE WHEN pos = top THEN v END), 6) AS height,
+        round(max(CASE WHEN pos = l THEN rt END), 6) AS rt_left, round(max(CASE WHEN pos = r THEN rt END), 6) AS rt_right,
+        round(sum(CASE WHEN pos >= l AND pos < r THEN (r2 - rt) * (v + b1) / 2 END) * 60, 2) AS area,
+        round(sum(CASE WHEN pos >= l AND pos < r THEN (r2 - rt) * (v + b1) / 2 END) * 60
+            - (max(CASE WHEN pos = l THEN v END) + max(CASE WHEN pos = r THEN v END)) * (max(CASE WHEN pos = r THEN rt END) - max(CASE WHEN pos = l THEN rt END)) / 2 * 60, 2) AS area_above_baseline
+    FROM i JOIN t USING (file_id) GROUP BY file_id""")
 def gaps_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = signal.gaps_filled(scans.xic(views.scan(spark, sf_dir), 40.0, 20.0), 20000.0, 10000.0)
-    return _rounded(_rounded(out, 6, "apex_rt", "height", "rt_left", "rt_right"), 2, "area")
+    out = signal.gaps_filled(_trace(spark, sf_dir), 20000.0, 15000.0)
+    return _rounded(_rounded(out, 6, "apex_rt", "height", "rt_left", "rt_right"), 2, "area", "area_above_baseline")
 
 
 @_query(with_views("fragment") + """, m AS (SELECT *, max(intensity) OVER (PARTITION BY spectrum_id) AS top,
@@ -562,13 +551,14 @@ def box_plots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(matrix.box_plots(views.spot_peak(spark, sf_dir), views.sample(spark, sf_dir)), 6, "lower", "middle", "upper")
 
 
-@_query(with_views("spot_peak") + """, m AS (SELECT spot_id, avg(height) AS h FROM spot_peak WHERE height > 0 GROUP BY spot_id),
-    b AS (SELECT min(log2(h)) AS lo, max(log2(h)) AS hi FROM m) SELECT spot_id, round((log2(h) - lo) / (hi - lo), 6) AS amplitude FROM m, b""")
+@_query(with_views("spot_peak") + """, m AS (SELECT spot_id, max(height) AS h, min(height) AS l FROM spot_peak GROUP BY spot_id),
+    b AS (SELECT CASE WHEN min(l) > 1 THEN log2(min(l)) ELSE 0 END AS lo, CASE WHEN max(h) > 1 THEN log2(max(h)) ELSE 1 END AS hi FROM m)
+    SELECT spot_id, round(least(1, greatest(0, (log2(h) - lo) / (hi - lo))), 6) AS amplitude FROM m, b""")
 def relative_amplitudes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(matrix.relative_amplitudes(views.spot_peak(spark, sf_dir)), 6, "amplitude")
 
 
-@_query(with_views("feature") + """SELECT spot_id, mz - floor(mz) > 0.00111 * mz + 0.039 AS above_line, round((mz - floor(mz)) / mz * 1e6, 4) AS relative_defect FROM feature""")
+@_query(with_views("feature") + """SELECT spot_id, mz - floor(mz) >= 0.00111 * mz + 0.039 AS above_line, round((mz - floor(mz)) / mz * 1e6, 4) AS relative_defect FROM feature""")
 def mass_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.feature(spark, sf_dir).select("spot_id", chemistry.above_defect_line(F.col("mz")).alias("above_line"), F.round(chemistry.relative_mass_defect(F.col("mz")), 4).alias("relative_defect"))
 
@@ -597,3 +587,6 @@ def kruskal_p(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {f.__name__: f for f in (welch_p, anova_p, kruskal_p)}
+
+# queries by subject register themselves
+from ionframe.queries import alignment, exports, names, results, searches, spectra  # noqa: E402, F401

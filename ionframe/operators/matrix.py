@@ -7,9 +7,18 @@ from pyspark.sql import functions as F
 
 
 def class_statistics(values: DataFrame, samples: DataFrame) -> DataFrame:
-    """Average and standard deviation of each class (of detected peaks)."""
+    """Average and standard deviation of each spot and class over all files of the class; a
+    file without a peak counts as zero. One row a spot and class."""
+    sizes = samples.groupBy("class").agg(F.count("*").alias("size"))
     met = values.join(samples.select("file_id", "class"), "file_id")
-    return met.groupBy("spot_id", "class").agg(F.count("*").alias("n"), F.avg("height").alias("average"), F.stddev_samp("height").alias("stdev"))
+    sums = met.groupBy("spot_id", "class").agg(F.count(F.when(F.col("height") > 0, 1)).alias("n"), F.avg("height").alias("m"), F.var_pop("height").alias("v"), F.count("*").alias("k"))
+    every = values.select("spot_id").distinct().join(F.broadcast(sizes))  # classes are few: one row a class
+    met = every.join(sums, ["spot_id", "class"], "left").na.fill(0, ["n", "m", "v", "k"])
+    # mean and spread of k heights, with size - k zeros beside them
+    share, size = F.col("k") / F.col("size"), F.col("size")
+    average = F.col("m") * share
+    spread = (F.col("k") * F.col("v") + size * share * (1 - share) * F.col("m") * F.col("m")) / (size - 1)
+    return met.select("spot_id", "class", "n", average.alias("average"), F.when(size > 1, F.sqrt(spread)).otherwise(0.0).alias("stdev"))
 
 
 def detected_in(values: DataFrame, least: int) -> DataFrame:
@@ -17,12 +26,12 @@ def detected_in(values: DataFrame, least: int) -> DataFrame:
     return values.groupBy("spot_id").agg(F.count("*").alias("n_detected"), F.max("height").alias("top")).where(F.col("n_detected") >= least)
 
 
-def qc_detected(values: DataFrame, samples: DataFrame, share: float) -> DataFrame:
-    """Spots detected in at least a share of the QC files."""
+def qc_detected(values: DataFrame, samples: DataFrame) -> DataFrame:
+    """Spots detected in all QC files, with their number."""
     qc = samples.where("sample_type = 'QC'").select("file_id")
-    total = qc.agg(F.count("*").alias("n_qc"))
-    found = values.join(qc, "file_id").groupBy("spot_id").agg(F.count("*").alias("n"))
-    return found.join(F.broadcast(total)).where(F.col("n") >= F.col("n_qc") * share)
+    total = qc.agg(F.count("*").alias("_all"))
+    found = values.join(qc, "file_id").groupBy("spot_id").agg(F.count("*").alias("n_qc"))
+    return found.join(F.broadcast(total)).where(F.col("n_qc") == F.col("_all")).drop("_all")
 
 
 def group_percent(values: DataFrame, samples: DataFrame, percent: float) -> DataFrame:
@@ -34,16 +43,33 @@ def group_percent(values: DataFrame, samples: DataFrame, percent: float) -> Data
 
 
 def blank_filter(values: DataFrame, samples: DataFrame, fold: float) -> DataFrame:
-    """Spots whose sample mean is at least ``fold`` times their blank mean (no blank: kept)."""
-    met = values.join(samples.select("file_id", "sample_type"), "file_id")
-    means = met.groupBy("spot_id").agg(F.avg(F.when(F.col("sample_type") == "Sample", F.col("height"))).alias("sample_mean"), F.avg(F.when(F.col("sample_type") == "Blank", F.col("height"))).alias("blank_mean"))
-    return means.where(F.col("sample_mean").isNotNull() & (F.col("blank_mean").isNull() | (F.col("sample_mean") >= fold * F.col("blank_mean"))))
+    """Spots whose mean over the samples is at least ``fold`` times their blank level; files
+    without a peak count as zero.
+
+    The level is the mean over the blanks. Where that is zero, it is a tenth of the smallest
+    height below 0.0001 (zero as soon as a file has no peak), or 1 if there is none. Without
+    blank files all spots stay.
+    """
+    kind = lambda k: F.col("sample_type") == k
+    n = samples.agg(*[F.count(F.when(kind(k), 1)).alias(f"n_{k}") for k in ("Blank", "Sample")], F.count("*").alias("n_files"))
+    met = values.join(samples.select("file_id", "sample_type"), "file_id").groupBy("spot_id").agg(
+        *[F.sum(F.when(kind(k), F.col("height")).otherwise(0.0)).alias(k) for k in ("Blank", "Sample")],
+        F.min(F.when(F.col("height") < 0.0001, F.col("height"))).alias("tiny"), F.count("*").alias("k"))
+    met = met.join(F.broadcast(n))  # one row
+    nothing = F.when(F.col("k") < F.col("n_files"), 0.0).otherwise(F.coalesce(F.col("tiny") * 0.1, F.lit(1.0)))
+    level = F.when(F.col("Blank") > 0, F.col("Blank") / F.col("n_Blank")).otherwise(nothing)
+    mean = F.when(F.col("n_Sample") > 0, F.col("Sample") / F.col("n_Sample")).otherwise(0.0)
+    made = met.select("spot_id", mean.alias("sample_mean"), F.when(F.col("n_Blank") > 0, level).alias("blank_level"))
+    return made.where(F.col("blank_level").isNull() | (F.col("sample_mean") >= fold * F.col("blank_level")))
 
 
 def relative_deviation(values: DataFrame, samples: DataFrame) -> DataFrame:
-    """The smallest class RSD of each spot, over classes with two peaks at least."""
-    stats = class_statistics(values, samples).where("n > 1")
-    return stats.groupBy("spot_id").agg(F.min(F.col("stdev") / F.col("average")).alias("rsd"))
+    """The smallest class RSD (per cent) of each spot, blanks left out; files without a peak
+    count as zero, classes of one file or without any peak have no RSD."""
+    known = samples.where("sample_type != 'Blank'")
+    sizes = known.groupBy("class").agg(F.count("*").alias("size")).where("size > 1").select("class")
+    stats = class_statistics(values, known).join(F.broadcast(sizes), "class", "left_semi").where("average > 0")
+    return stats.groupBy("spot_id").agg(F.min(F.col("stdev") * 100 / F.col("average")).alias("rsd"))
 
 
 def qc_variation(values: DataFrame, samples: DataFrame) -> DataFrame:
@@ -74,13 +100,24 @@ def scaled(values: DataFrame) -> DataFrame:
 def imputed(values: DataFrame, spots: DataFrame, samples: DataFrame) -> DataFrame:
     """The dense matrix; what is missing gets the spot's smallest positive height (1: none).
 
-    Its rows are spots x files by definition; the files are the small side and
-    are carried as one array, so that spots are only expanded, not shuffled.
+    A spot's heights travel as one map by file and are expanded over the files, which are
+    written into the plan as one array, so the dense rows are made last and never shuffled.
     """
-    floor = values.where("height > 0").groupBy("spot_id").agg(F.min("height").alias("least"))
-    files = samples.agg(F.collect_set("file_id").alias("files"))
-    dense = spots.select("spot_id").join(floor, "spot_id", "left").join(F.broadcast(files)).select("spot_id", "least", F.explode("files").alias("file_id"))
-    return dense.join(values.select("spot_id", "file_id", "height"), ["spot_id", "file_id"], "left").select("spot_id", "file_id", F.when(F.col("height") > 0, F.col("height")).otherwise(F.coalesce("least", F.lit(1.0))).alias("value"))
+    files = samples.agg(F.sort_array(F.collect_set("file_id")).alias("files"))
+    pair = F.struct("file_id", "height")
+    held = values.where("height > 0").groupBy("spot_id").agg(F.map_from_entries(F.collect_list(pair)).alias("held"), F.min("height").alias("least"))
+    dense = spots.select("spot_id").distinct().join(held, "spot_id", "left").join(F.broadcast(files)).select("spot_id", "held", "least", F.explode("files").alias("file_id"))
+    return dense.select("spot_id", "file_id", F.coalesce(F.try_element_at("held", "file_id"), "least", F.lit(1.0)).alias("value"))
+
+
+def imputed_totals(values: DataFrame, spots: DataFrame, samples: DataFrame) -> DataFrame:
+    """Sum and number of the dense matrix's values of each spot, without making its rows."""
+    n = samples.agg(F.countDistinct("file_id").alias("n"))
+    known = values.join(samples.select("file_id").distinct(), "file_id", "left_semi")
+    held = values.where("height > 0").groupBy("spot_id").agg(F.min("height").alias("least"))
+    sums = known.where("height > 0").groupBy("spot_id").agg(F.sum("height").alias("sum"), F.count("*").alias("k"))
+    met = spots.select("spot_id").distinct().join(held, "spot_id", "left").join(sums, "spot_id", "left").na.fill(0, ["sum", "k"]).join(F.broadcast(n))
+    return met.select("spot_id", (F.col("sum") + (F.col("n") - F.col("k")) * F.coalesce("least", F.lit(1.0))).alias("total"), "n")
 
 
 def long_export(values: DataFrame, samples: DataFrame) -> DataFrame:
@@ -88,10 +125,17 @@ def long_export(values: DataFrame, samples: DataFrame) -> DataFrame:
     return values.join(samples.select("file_id", "file_name", "class"), "file_id").select(F.col("spot_id").alias("id"), F.col("file_name").alias("file"), "class", "height", "area")
 
 
-def wide_export(values: DataFrame, classes: list[int], samples: DataFrame) -> DataFrame:
-    """One row a spot, one average column a class; missing gives 0."""
-    met = values.join(samples.select("file_id", "class"), "file_id")
-    return met.groupBy("spot_id").pivot("class", classes).agg(F.avg("height")).na.fill(0.0).select("spot_id", *[F.col(str(c)).alias(f"class_{c}") for c in classes])
+#: Columns that a wide table may have beside its id.
+MOST_CLASSES = 1000
+
+
+def wide_export(values: DataFrame, samples: DataFrame) -> DataFrame:
+    """One row a spot, one average column a class (over all files of the class)."""
+    classes = [r[0] for r in samples.select("class").distinct().orderBy("class").limit(MOST_CLASSES + 1).collect()]
+    if len(classes) > MOST_CLASSES:
+        raise ValueError(f"more than {MOST_CLASSES} classes: use the long table")
+    stats = class_statistics(values, samples)
+    return stats.groupBy("spot_id").pivot("class", classes).agg(F.first("average")).select("spot_id", *[F.col(f"`{c}`").alias(f"class_{c}") for c in classes])
 
 
 def last_state(events: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
@@ -120,7 +164,16 @@ def box_plots(values: DataFrame, samples: DataFrame) -> DataFrame:
 
 
 def relative_amplitudes(values: DataFrame) -> DataFrame:
-    """log2 of each spot's mean height, scaled to 0..1 over all spots."""
-    mean = values.where("height > 0").groupBy("spot_id").agg(F.log2(F.avg("height")).alias("a"))
-    span = mean.agg(F.min("a").alias("lo"), F.max("a").alias("hi"))
-    return mean.join(F.broadcast(span)).select("spot_id", ((F.col("a") - F.col("lo")) / (F.col("hi") - F.col("lo"))).alias("amplitude"))
+    """log2 of each spot's largest height, scaled to 0..1 between the logarithms of the
+    smallest and largest height of all spots (0 and 1 where these are not above 1)."""
+    spots = values.groupBy("spot_id").agg(F.max("height").alias("top"), F.min("height").alias("low"))
+    lo, hi = F.min("low"), F.max("top")
+    span = spots.agg(F.when(lo > 1, F.log2(lo)).otherwise(0.0).alias("lo"), F.when(hi > 1, F.log2(hi)).otherwise(1.0).alias("hi"))
+    amplitude = (F.log2("top") - F.col("lo")) / (F.col("hi") - F.col("lo"))
+    return spots.join(F.broadcast(span)).select("spot_id", F.least(F.lit(1.0), F.greatest(F.lit(0.0), amplitude)).alias("amplitude"))
+
+
+def state_without(events: DataFrame, undone: DataFrame, event: str, key: str, order: list[str], value: str) -> DataFrame:
+    """Current state of an event log without the events that were undone."""
+    return last_state(events.join(undone.select(event).distinct(), event, "left_anti"), key, order, value)
+

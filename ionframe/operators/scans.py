@@ -16,16 +16,6 @@ def xic(scans: DataFrame, mz: float, tol: float = 0.01, ms_level: int = 1) -> Da
     return scans.where((F.col("ms_level") == ms_level) & F.col("mz").between(mz - tol, mz + tol)).groupBy("file_id", "rt").agg(F.sum("intensity").alias("intensity"))
 
 
-def peak_summary(trace: DataFrame) -> DataFrame:
-    """Apex, trapezoid area (intensity x minutes) and points of each file's trace."""
-    order = Window.partitionBy("file_id").orderBy("rt")
-    steps = trace.withColumn("next_rt", F.lead("rt").over(order)).withColumn("next_intensity", F.lead("intensity").over(order))
-    piece = (F.col("next_rt") - F.col("rt")) * (F.col("next_intensity") + F.col("intensity")) / 2
-    # the earliest of equal apexes
-    apex = F.max_by("rt", F.struct("intensity", -F.col("rt")))
-    return steps.groupBy("file_id").agg(F.count("*").alias("n_points"), apex.alias("apex_rt"), F.max("intensity").alias("apex_intensity"), F.coalesce(F.sum(piece), F.lit(0.0)).alias("area"))
-
-
 def batch_xic(scans: DataFrame, targets: DataFrame, tol: float) -> DataFrame:
     """Several chromatograms at once: ``target_id, target_mz`` range-joined to the scans."""
     met = range_join(scans.where("ms_level = 1"), targets, "mz", "target_mz", tol)
@@ -53,8 +43,9 @@ def ranges(scans: DataFrame) -> DataFrame:
 
 def base_peak_scans(scans: DataFrame) -> DataFrame:
     """The MS1 row with the largest intensity of each file (ties: smaller scan_id)."""
-    best = Window.partitionBy("file_id").orderBy(F.desc("intensity"), "scan_id")
-    return scans.where("ms_level = 1").withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n")
+    rows = scans.where("ms_level = 1")
+    best = F.max_by(F.struct(*rows.columns), F.struct("intensity", -F.col("scan_id"))).alias("best")
+    return rows.groupBy("file_id").agg(best).select("best.*")
 
 
 def mass_bins(scans: DataFrame, width: float) -> DataFrame:
@@ -81,18 +72,46 @@ def contour_grid(scans: DataFrame, rt_bins: int, mz_bins: int) -> DataFrame:
     return placed.groupBy(at("rt", "r0", "r1", rt_bins).cast("long").alias("row"), at("mz", "m0", "m1", mz_bins).cast("long").alias("bin")).agg(F.sum("intensity").alias("intensity"))
 
 
-def noise(scans: DataFrame) -> DataFrame:
-    """Median and median absolute deviation of the intensity of each file (exact)."""
-    centre = scans.groupBy("file_id").agg(F.median("intensity").alias("median"))
-    return scans.join(centre, "file_id").groupBy("file_id").agg(F.first("median").alias("median"), F.median(F.abs(F.col("intensity") - F.col("median"))).alias("mad"))
+def average_spectrum(scans: DataFrame, rt_from: float, rt_to: float, ms_level: int = 1, tol: float = 0.01) -> DataFrame:
+    """Mean spectrum of each file's scans in a time range, ``file_id, mz, intensity``.
 
+    Peaks no further apart than ``tol`` are one, at their intensity-weighted m/z. Its
+    intensity is the mean over the scans, those without the peak counting as zero.
+    """
+    inside = scans.where((F.col("ms_level") == ms_level) & F.col("rt").between(rt_from, rt_to) & F.col("mz").isNotNull())
+    n = inside.groupBy("file_id").agg(F.countDistinct("rt").alias("n"))
+    # a scan's peaks meet by m/z first, so that what is ordered is one row an m/z
+    sums = inside.groupBy("file_id", "mz").agg(F.sum("intensity").alias("intensity"))
+    order = Window.partitionBy("file_id").orderBy("mz")
+    apart = F.when(F.col("mz") - F.lag("mz").over(order) <= tol, 0).otherwise(1)
+    grouped = sums.withColumn("new", apart).withColumn("grp", F.sum("new").over(order))
+    merged = grouped.groupBy("file_id", "grp").agg((F.sum(F.col("mz") * F.col("intensity")) / F.sum("intensity")).alias("mz"), F.sum("intensity").alias("total"))
+    return merged.join(n, "file_id").select("file_id", "mz", (F.col("total") / F.col("n")).alias("intensity"))
 
-def background_subtracted(scans: DataFrame) -> DataFrame:
-    """Rows above their file's median, with it subtracted."""
-    centre = scans.groupBy("file_id").agg(F.median("intensity").alias("median"))
-    return scans.join(centre, "file_id").where("intensity > median").withColumn("intensity", F.col("intensity") - F.col("median")).drop("median")
+
+def subtracted(peaks: DataFrame, background: DataFrame, tol: float = 0.01) -> DataFrame:
+    """Peaks less the background peaks within ``tol`` of them, at least zero."""
+    other = background.select(F.col("file_id").alias("_file"), F.col("mz").alias("_mz"), F.col("intensity").alias("_taken"))
+    near = other.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("_mz") / tol) - 1, F.floor(F.col("_mz") / tol) + 1)))
+    own = peaks.withColumn("_bin", F.floor(F.col("mz") / tol))
+    met = (own["file_id"] == near["_file"]) & (own["_bin"] == near["_bin"]) & near["_mz"].between(own["mz"] - tol, own["mz"] + tol)
+    taken = own.join(near, met, "left").groupBy("file_id", "mz").agg(F.first("intensity").alias("intensity"), F.coalesce(F.sum("_taken"), F.lit(0.0)).alias("taken"))
+    return taken.select("file_id", "mz", F.greatest(F.lit(0.0), F.col("intensity") - F.col("taken")).alias("intensity"))
 
 
 def ion_chromatograms(scans: DataFrame) -> DataFrame:
     """Total-ion and base-peak chromatogram of the MS1 scans."""
     return scans.where("ms_level = 1").groupBy("file_id", "rt").agg(F.sum("intensity").alias("total"), F.max("intensity").alias("base_peak"))
+
+
+def product_ions(scans: DataFrame, precursor: tuple[float, float], product: tuple[float, float]) -> DataFrame:
+    """Product-ion chromatogram: summed intensity in a product range of the MSn scans whose
+    parents lie in a precursor range (both inclusive)."""
+    met = scans.where((F.col("ms_level") > 1) & F.col("parent_mz").between(*precursor) & F.col("product_mz").between(*product))
+    return met.groupBy("file_id", "rt").agg(F.sum("intensity").alias("intensity"))
+
+
+def amounts(fragments: DataFrame, targets: DataFrame, tol: float) -> DataFrame:
+    """``spectrum_id, target, amount``: intensity less than ``tol`` away from each target."""
+    met = range_join(fragments, targets, "mz", "target", tol).where(F.abs(F.col("mz") - F.col("target")) < tol)
+    return met.groupBy("spectrum_id", "target").agg(F.sum("intensity").alias("amount"))

@@ -38,25 +38,12 @@ def test_smoothing_renormalises_at_the_ends(spark):
     assert got == pytest.approx([1 / 3, 1.5, 4.5, (9 * 2 + 4) / 3])
 
 
-def test_apex_needs_two_scans_on_both_sides(spark):
-    values = [0, 1, 5, 2, 1, 7, 0]
-    trace = spark.createDataFrame([(1, float(k), float(v)) for k, v in enumerate(values)], "file_id long, rt double, intensity double")
-    assert [r["rt"] for r in signal.apexes(trace).collect()] == [2.0]
-
-
 def test_ladder_size_is_checked(spark):
     points = spark.createDataFrame([(1.0,)], "rt double")
     with pytest.raises(ValueError, match="rungs"):
         signal.kovats(points, spark.createDataFrame([(8, 1.0)], "carbon int, ladder_rt double"))
 
 
-def test_correction_keeps_ends_constant_and_marks_runs_without_anchors(spark):
-    points = spark.createDataFrame([(1, 1, 0.0), (2, 1, 15.0), (3, 1, 99.0), (4, 2, 5.0)], "peak_id long, file_id long, rt double")
-    anchors = spark.createDataFrame([(1, 10.0, 1.0), (1, 20.0, 3.0)], "file_id long, rt double, shift double")
-    got = {r["peak_id"]: r["corrected"] for r in signal.rt_corrected(points, anchors).collect()}
-    assert got == {1: -1.0, 2: 13.0, 3: 96.0, 4: None}
-
-
 @pytest.mark.parametrize("end", ["\n", "\r\n"])
 def test_msp_source(spark, tmp_path, end):
     (tmp_path / "library.msp").write_bytes(MSP.replace("\n", end).encode())
@@ -78,13 +65,6 @@ def test_written_records_read_back(spark, tmp_path, kind):
     assert records.summary(got).first()["n_peaks"] == 210
 
 
-def test_network_of_equal_and_unlike_spectra(spark):
-    spectra = spark.createDataFrame([(1, 100.0), (2, 100.01), (3, 100.0), (4, 500.0)], "spectrum_id long, precursor_mz double")
-    fragments = spark.createDataFrame([(1, 1, 4.0), (1, 2, 9.0), (2, 1, 4.0), (2, 2, 9.0), (3, 7, 1.0), (4, 1, 4.0)], "spectrum_id long, bin int, intensity double")
-    rows = network.spectral_edges(spectra, fragments, 0.02, 0.5).collect()
-    assert [(r["source"], r["target"], round(r["cosine"], 9)) for r in rows] == [(1, 2, 1.0)]
-
-
 def test_components_match_a_decomposition(spark):
     x = np.random.default_rng(5).normal(size=(40, 6))
     rows = [(s, f, float(x[s, f])) for s in range(40) for f in range(6)]
