@@ -13,8 +13,9 @@ gather their ranges from it. As the vocabulary file names no decoder, tokens are
 joined by single spaces, word ends included.
 
 Edge cases: null text is empty: no ids, and empty decoded text; special tokens'
-strings in a text get their special ids; repeated rows repeat; an empty table
-gives no rows; further columns are ignored.
+strings in a text get their special ids; of overlapping candidates the longest that
+stays compatible wins, so there are no ties; texts of any length are encoded whole;
+repeated rows repeat; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,20 +26,23 @@ import json
 import re
 import unicodedata
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from ionframe.llm.shared import small_batches, text_or_empty
+from ionframe.llm.shared import rows_made, text_or_empty
 
 #: Characters that str.split() takes for spaces and the vocabulary's pattern does not.
 _ODD = re.compile("[\x1c-\x1f]")
 #: Unicode's White_Space characters (fixed values).
 _SPACE = "\t-\r \x85\xa0  -     　"
+#: Chunks, words and pairs that a worker remembers; longer strings than LONGEST are
+#: encoded anew each time, so what it remembers is bounded in bytes.
 MEMO = 400_000
+LONGEST = 64
 
 
 def byte_letters() -> list[str]:
@@ -54,6 +58,13 @@ def byte_letters() -> list[str]:
     return letters
 
 
+def remember(memo: dict[str, bytes], text: str, ids: bytes) -> None:
+    if len(text) <= LONGEST:
+        if len(memo) > MEMO:
+            memo.clear()
+        memo[text] = ids
+
+
 class WordCodec:
     """Backtracking encoder and offset-table decoder for one vocabulary file."""
 
@@ -179,9 +190,8 @@ class WordCodec:
     def _word(self, word: str) -> bytes:
         ids = self._known.get(word)
         if ids is None:
-            if len(self._known) > MEMO:
-                self._known.clear()
-            ids = self._known[word] = array("I", self.encode_word(word.encode())).tobytes()
+            ids = array("I", self.encode_word(word.encode())).tobytes()
+            remember(self._known, word, ids)
         return ids
 
     def _plain(self, text: str) -> bytes:
@@ -189,12 +199,11 @@ class WordCodec:
         known = self._memo.get
         parts = list(map(known, chunks))
         if None in parts:
-            if len(self._memo) > MEMO:
-                self._memo.clear()
             for k, p in enumerate(parts):
                 if p is None:
                     chunk = chunks[k]
-                    parts[k] = self._memo[chunk] = known(chunk) or self._chunk(chunk)
+                    parts[k] = known(chunk) or self._chunk(chunk)
+                    remember(self._memo, chunk, parts[k])
         return b"".join(parts)
 
     def encode(self, text: str) -> bytes:
@@ -222,36 +231,39 @@ def word_codec(path: str | None = None) -> WordCodec:
 def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
     """``doc_id, ids`` (little-endian unsigned 32-bit) of whole texts."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start() -> Callable:
         codec = word_codec(path)
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "ids": [codec.encode(t) for t in batch["text"]]})
+        return lambda batch: (None, {"ids": [codec.encode(t) for t in batch.column("text").to_pylist()]})
 
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInPandas(run, "doc_id long, ids binary")
+    return rows_made(docs.select("doc_id", text_or_empty().alias("text")), ["doc_id"], {"ids": "binary"}, start)
 
 
 def decoded(ids: DataFrame, path: str | None = None) -> DataFrame:
     """``doc_id, ids, text``: what the ids spell."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start() -> Callable:
         codec = word_codec(path)
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "ids": batch["ids"], "text": [codec.decode(i).decode() for i in batch["ids"]]})
+        return lambda batch: (None, {"text": [codec.decode(i).decode() for i in batch.column("ids").to_pylist()]})
 
-    return ids.select("doc_id", "ids").mapInPandas(run, "doc_id long, ids binary, text string")
+    return rows_made(ids.select("doc_id", "ids"), ["doc_id", "ids"], {"text": "string"}, start)
 
 
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256``: encodes, then decodes the ids."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start() -> Callable:
         codec = word_codec(path)
-        for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+
+        def run(batch: pa.RecordBatch) -> tuple[None, dict]:
+            n, spelt, read = [], [], []
+            for text in batch.column("text").to_pylist():
                 ids = codec.encode(text)
-                rows.append((doc_id, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(codec.decode(ids)).hexdigest()))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]).astype({"doc_id": "Int64"})
+                n.append(len(ids) // 4)
+                spelt.append(hashlib.sha256(ids).hexdigest())
+                read.append(hashlib.sha256(codec.decode(ids)).hexdigest())
+            return None, {"n_tokens": n, "ids_sha256": spelt, "decoded_sha256": read}
+
+        return run
 
-    small_batches(docs.sparkSession)
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    fields = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}
+    return rows_made(docs.select("doc_id", text_or_empty().alias("text")), ["doc_id"], fields, start)

@@ -19,23 +19,28 @@ long conversation never has to fit into one row or one task's memory.
 
 Edge cases: null text is empty, a null role is the empty role, null ``conv_id``
 rows form one conversation, a null ``turn`` sorts first, ties in ``turn`` sort
-by role and text, repeated rows are repeated turns; an empty table gives no
-rows; further columns are allowed only by a mapping of their own fingerprint or
-through ``select``; an unknown fingerprint is an error naming its paths.
+by role and text, repeated rows are repeated turns; texts of any length are one
+segment; an empty table gives no rows. A table's further columns are left out by
+``select``. A JSON record's further keys are ignored where no other mapping knows
+them, a missing conversation id is null, and a record with an empty or null list of
+messages gives no turns; any other unknown fingerprint is an error naming the record.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ionframe.llm.shared import ARROW, small_batches
+
 ASSISTANT = "assistant"
 
 
@@ -83,18 +88,39 @@ class Mapping:
     def print(self) -> str:
         return fingerprint(self.paths)
 
-    def canonical(self, df: DataFrame) -> DataFrame:
-        role = self._role
-        conv = F.col(self.conv_id).cast("long").alias("conv_id")
+    def conversation(self, at: Callable[[str], Column]) -> Column:
+        """The conversation's id; ``at`` gives the column of a field."""
+        return at(self.conv_id).cast("long").alias("conv_id")
+
+    def turns(self, at: Callable[[str], Column]) -> Column:
+        """The row's turns as an array of ``turn, role, text``."""
         if self.rows:
             turn, who, text = self.rows
-            return df.select(conv, F.col(turn).cast("long").alias("turn"), role(F.col(who)).alias("role"), F.col(text).alias("text"))
+            return F.array(self._turn(at(turn), self._role(at(who)), at(text)))
         if self.messages:
             field, who, text = self.messages
-            each = df.select(conv, F.posexplode(field).alias("turn", "m"))
-            return each.select("conv_id", F.col("turn").cast("long").alias("turn"), role(F.col(f"m.{who}")).alias("role"), F.col(f"m.{text}").alias("text"))
-        turns = F.filter(F.array(*[F.struct(F.lit(k).cast("long").alias("turn"), F.lit(who).alias("role"), F.col(field).cast("string").alias("text")) for k, (who, field) in enumerate(self.fixed)]), lambda t: t["text"].isNotNull())
-        return df.select(conv, F.explode(turns).alias("t")).select("conv_id", "t.turn", "t.role", "t.text")
+            return F.transform(at(field), lambda m, k: self._turn(k, self._role(m[who]), m[text]))
+        return F.filter(F.array(*[self._turn(F.lit(k), F.lit(who), at(field)) for k, (who, field) in enumerate(self.fixed)]), lambda t: t["text"].isNotNull())
+
+    def of_record(self, record: Column) -> Column:
+        """``conv_id`` and ``turns`` of a JSON record of this layout."""
+
+        def told(r: Column) -> Column:
+            return F.struct(self.conversation(r.getField), self.turns(r.getField).alias("turns"))
+
+        # a one-element array names the parsed record, so that it is parsed once
+        return F.transform(F.array(F.from_json(record, self.schema)), told)[0]
+
+    @staticmethod
+    def _turn(turn: Column, role: Column, text: Column) -> Column:
+        return F.struct(turn.cast("long").alias("turn"), role.cast("string").alias("role"), text.cast("string").alias("text"))
+
+    def canonical(self, df: DataFrame) -> DataFrame:
+        """Canonical rows of a table of this layout."""
+        if self.rows:
+            turn, who, text = self.rows
+            return df.select(self.conversation(F.col), F.col(turn).cast("long").alias("turn"), self._role(F.col(who)).alias("role"), F.col(text).cast("string").alias("text"))
+        return df.select(self.conversation(F.col), F.inline(self.turns(F.col)))
 
     def _role(self, col: Column) -> Column:
         for was, is_ in self.roles:
@@ -112,6 +138,24 @@ MAPPINGS = (
     Mapping("system prompt", ("id", "system", "prompt", "response"), "id long, system string, prompt string, response string", conv_id="id", fixed=(("system", "system"), ("user", "prompt"), ("assistant", "response"))),
 )
 BY_PRINT = {m.print: m for m in MAPPINGS}
+KNOWN_PATHS = {p for m in MAPPINGS for p in m.paths}
+#: What the path of an empty or null list of messages stands for.
+LISTS = {name: [p for p in m.paths if p.startswith(f"{m.messages[0]}[]")] for m in MAPPINGS if m.messages for name in (m.messages[0], f"{m.messages[0]}[]")}
+
+
+def layout_print(paths: set[str]) -> str:
+    """The fingerprint of the known layout that a record's paths fit, else their own.
+
+    The exact path set comes first. Otherwise paths that no mapping knows are left out,
+    an empty or null list of messages counts as one of the usual form, and the
+    conversation id may be missing.
+    """
+    own = fingerprint(paths)
+    if own in BY_PRINT:
+        return own
+    told = {q for p in paths for q in LISTS.get(p, (p,)) if q in KNOWN_PATHS}
+    tried = (fingerprint({*told, *extra}) for extra in ((), ("id",), ("conv_id",)))
+    return next((p for p in tried if p in BY_PRINT), own)
 
 
 def canonical_table(df: DataFrame) -> DataFrame:
@@ -133,20 +177,18 @@ def canonical_json(records: DataFrame, col: str = "record") -> DataFrame:
     def print_of(values: pd.Series) -> pd.Series:
         def one(text: object) -> str:
             try:
-                return fingerprint(record_paths(json.loads(text)))
+                return layout_print(record_paths(json.loads(text)))
             except (TypeError, ValueError):
                 return "broken"
 
         return values.map(one)
 
     marked = records.select(F.col(col).alias("record"), print_of(col).alias("print"))
-    known = F.when(F.col("print").isin(*BY_PRINT), F.col("print")).otherwise(F.raise_error(F.concat(F.lit("no mapping for the record layout of "), F.substring(F.coalesce("record", F.lit("null")), 1, 200))))
-    marked = marked.withColumn("print", known)
-    parts = [m.canonical(marked.where(F.col("print") == p).select(F.from_json("record", m.schema).alias("r")).select("r.*")) for p, m in BY_PRINT.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    unknown = F.raise_error(F.concat(F.lit("no mapping for the record layout of "), F.substring(F.coalesce("record", F.lit("null")), 1, 200)))
+    made = unknown.cast("struct<conv_id:bigint,turns:array<struct<turn:bigint,role:string,text:string>>>")
+    for p, m in BY_PRINT.items():
+        made = F.when(F.col("print") == p, m.of_record(F.col("record"))).otherwise(made)
+    return marked.select(made.alias("r")).select("r.conv_id", F.inline("r.turns"))
 
 
 def escaped(col: Column) -> Column:
@@ -185,13 +227,13 @@ def parsed(segment: str) -> tuple[str, str]:
     return unescaped(head[len("<turn "):]), unescaped(rest[: -len("</turn>\n")])
 
 
-READ_BACK = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+READ_BACK = {"conv_id": "long", "n_turns": "long", "turns_sha256": "string", "loss_chars": "long", "loss_sha256": "string", "formatted_chars": "long"}
 
 
 def read_back(segments: DataFrame) -> DataFrame:
     """One row a conversation, parsed from the formatted segments as they stream by."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at: object = None
         turns = loss = None
         n = loss_chars = chars = 0
@@ -201,8 +243,7 @@ def read_back(segments: DataFrame) -> DataFrame:
 
         for batch in batches:
             done = []
-            for conv, segment, start, end in zip(batch["conv_id"], batch["segment"], batch["loss_start"], batch["loss_end"], strict=True):
-                conv = None if pd.isna(conv) else int(conv)
+            for conv, segment, start, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if turns is None or conv != at:
                     if turns is not None:
                         done.append(row())
@@ -216,10 +257,12 @@ def read_back(segments: DataFrame) -> DataFrame:
         if turns is not None:
             yield _frame([row()])
 
-    def _frame(rows: list) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]).astype({"conv_id": "Int64"})
+    def _frame(rows: list) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) or [()] * len(READ_BACK)
+        return pa.RecordBatch.from_arrays([pa.array(c, ARROW[t]) for c, t in zip(columns, READ_BACK.values(), strict=True)], names=list(READ_BACK))
 
-    return segments.select("conv_id", "segment", "loss_start", "loss_end").mapInPandas(run, READ_BACK)
+    small_batches(segments.sparkSession)
+    return segments.select("conv_id", "segment", "loss_start", "loss_end").mapInArrow(run, ", ".join(f"{n} {t}" for n, t in READ_BACK.items()))
 
 
 #: A conversation of control strings that every formatting query carries along.

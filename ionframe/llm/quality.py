@@ -13,22 +13,23 @@ texts are scored whole. Neither labels nor lang, source or doc_id enter a score.
 Edge cases: null text is empty; an empty text gets the calibrated score of no
 difference; null labels and ids with conflicting labels are not learnt from; with
 fewer than ``LEAST`` usable documents in a class every score is the share of good
-labels (1 without labels); repeated rows repeat; an empty table gives no rows;
-further columns are ignored.
+labels (1 without labels); long texts are read whole, block by block; repeated rows
+repeat; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ionframe.llm.shared import small_batches, text_or_empty
+from ionframe.llm.shared import rows_made, small_batches, text_or_empty
 
 SAMPLE = 2500
 LONGEST = 20_000
@@ -141,35 +142,37 @@ def _dictionary(texts: pd.Series) -> bytes:
     return zstandard.train_dictionary(size, blocks, level=LEVEL).as_bytes()
 
 
+def scorer(model: Model) -> Callable[[list], np.ndarray]:
+    """Scores of whole texts (None: empty) under a model."""
+    sizer = Sizer(model.dictionaries) if model.dictionaries else None
+
+    def run(texts: list) -> np.ndarray:
+        if sizer is None:
+            return np.full(len(texts), model.weights[0])
+        sizes = np.array([sizer.sizes(t or "") for t in texts]).reshape(-1, 3)
+        return sigmoid(features(sizes) @ np.array(model.weights))
+
+    return run
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every whole text."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sizer = Sizer(model.dictionaries) if model.dictionaries else None
-        for batch in batches:
-            if sizer is None:
-                scores = np.full(len(batch), model.weights[0])
-            else:
-                sizes = np.array([sizer.sizes(t) for t in batch["text"]]).reshape(-1, 3)
-                scores = sigmoid(features(sizes) @ np.array(model.weights))
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "score": scores})
-
-    scored = docs.select("doc_id", text_or_empty().alias("text")).mapInPandas(run, "doc_id long, score double")
+    def start() -> Callable:
+        run = scorer(model)
+        return lambda batch: (None, {"score": run(batch.column("text").to_pylist())})
+
+    scored = rows_made(docs.select("doc_id", text_or_empty().alias("text")), ["doc_id"], {"score": "double"}, start)
     return scored.select("doc_id", F.coalesce(fold() == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` without the rows that the classifier rejects (all columns kept)."""
-    columns = docs.columns
-    schema = docs.schema
+    small_batches(docs.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sizer = Sizer(model.dictionaries) if model.dictionaries else None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = scorer(model)
         for batch in batches:
-            if sizer is None:
-                yield batch[np.full(len(batch), model.weights[0]) >= THRESHOLD]
-            else:
-                sizes = np.array([sizer.sizes(t or "") for t in batch["text"]]).reshape(-1, 3)
-                yield batch[sigmoid(features(sizes) @ np.array(model.weights)) >= THRESHOLD]
+            yield batch.filter(pa.array(scores(batch.column("text").to_pylist()) >= THRESHOLD))
 
-    return docs.select(*columns).mapInPandas(run, schema)
+    return docs.mapInArrow(run, docs.schema)

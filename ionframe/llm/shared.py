@@ -1,7 +1,11 @@
-"""Helpers that several operators share: table access and lineage cuts."""
+"""Helpers that several operators share: table access, Arrow batches, kept rows."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,26 +25,73 @@ def groups_for(rows: int, per_group: int, least: int = 1) -> int:
     return max(least, -(-rows // per_group))
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Whole texts go to Python some at a time, so that a worker's memory stays small."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows:
-        spark.conf.set(key, str(rows))
+#: Most that one Arrow batch may hold, whatever the length of its texts.
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batch limits (never raises them), so that a worker's
+    memory is bounded by bytes. Plans run later, so the limits stay lowered."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = int(str(spark.conf.get(key)).rstrip("bB"))
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
+
+
+ARROW = {
+    "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(),
+    "binary": pa.binary(), "array<long>": pa.list_(pa.int64()),
+}
+
+
+def rows_made(df: DataFrame, keys: list[str], fields: dict[str, str], start: Callable) -> DataFrame:
+    """Rows of the columns ``keys`` of ``df``, unchanged, and new ``fields`` (name: type).
+
+    ``start()`` is called once a task; what it returns takes an Arrow batch and gives
+    the fields' values by name, and the batch row that each new row belongs to (None: its
+    own). Keys stay in Arrow, so 64-bit ids beside nulls keep all their bits.
+    """
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run = start()
+        for batch in batches:
+            of, made = run(batch)
+            own = [batch.column(k) for k in keys]
+            if of is not None:
+                own = [c.take(pa.array(np.asarray(of, np.int64))) for c in own]
+            yield pa.RecordBatch.from_arrays([*own, *(pa.array(made[n], ARROW[t]) for n, t in fields.items())], names=[*keys, *fields])
+
+    small_batches(df.sparkSession)
+    told = [f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys] + [f"`{n}` {t}" for n, t in fields.items()]
+    return df.mapInArrow(task, ", ".join(told))
 
 
 #: Ids (8 bytes each) that may be broadcast; beyond it both sides are shuffled.
 BROADCAST_IDS = 500_000
 
 
-def keep_documents(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is in ``kept``; of rows that repeat an id, one.
+def text_key() -> Column:
+    """128 bits that stand for a row's text."""
+    return F.unhex(F.substring(F.sha2(text_or_empty().cast("binary"), 256), 1, 32))
+
+
+def keep_documents(docs: DataFrame, kept: DataFrame, key: Column | None = None) -> DataFrame:
+    """Rows of ``docs`` whose (doc_id, ``key``) is in ``kept`` (``doc_id, key``), one a pair.
 
-    Rows without an id cannot be told apart by it: if one of them is kept, all are.
+    ``key``: an expression over ``docs`` that stands for the text, so of rows that share
+    a doc_id (or have none) only those with the kept text stay.
     """
-    ids = written(kept.select("doc_id").distinct(), "kept")
-    right = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    out = docs.join(right, docs["doc_id"].eqNullSafe(right["doc_id"]), "left_semi")
-    repeated = written(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "repeated")
+    key = text_key() if key is None else key
+    pairs = written(kept.select("doc_id", "key").distinct(), "kept")
+    # internal columns stand beside the row, whatever the row's columns are called
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), key.alias("key"))
+    right = F.broadcast(pairs) if pairs.count() <= BROADCAST_IDS else pairs
+    out = rows.join(right, rows["id"].eqNullSafe(right["doc_id"]) & (rows["key"] == right["key"]), "left_semi")
+    seen = docs.select(F.col("doc_id").alias("id"), key.alias("key"))
+    repeated = written(seen.groupBy("id", "key").agg(F.count("*").alias("n")).where("n > 1").select("id", "key"), "repeated")
     if repeated.isEmpty():
-        return out
-    return out.join(repeated, "doc_id", "left_anti").unionByName(out.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)
+        return out.select("row.*")
+    same = out["id"].eqNullSafe(repeated["id"]) & (out["key"] == repeated["key"])
+    once = out.join(repeated, same, "left_semi").dropDuplicates(["id", "key"])
+    return out.join(repeated, same, "left_anti").unionByName(once).select("row.*")

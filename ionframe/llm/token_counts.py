@@ -10,25 +10,26 @@ characters (the earlier one on ties). Tokens outside all sections are counted
 under section -1, so that a document's counts always add up to its tokens.
 
 Edge cases: null text is empty, has one empty section and no tokens; null or
-empty section lists leave all tokens to section -1; sections must not overlap
-and are taken in order of their start; repeated rows repeat; an empty table
-gives no rows; further columns are ignored. Characters are code points.
+empty section lists leave all tokens to section -1, and sections that are null or
+have a null bound are left out; sections must not overlap and are taken in order of
+their start; texts of any length are encoded whole; repeated rows repeat; an empty
+table gives no rows; further columns are ignored. Characters are code points.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ionframe.llm.shared import small_batches, text_or_empty
+from ionframe.llm.shared import rows_made, text_or_empty
 from ionframe.llm.tokens import byte_encoder
 
 RULES = ("first", "last", "most")
-COUNT = "doc_id long, section int, start long, end long, n_tokens long, n_crossing long"
+FIELDS = {"section": "int", "start": "long", "end": "long", "n_tokens": "long", "n_crossing": "long"}
 
 
 def char_spans(text: bytes, widths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -77,14 +78,16 @@ def count_tokens(docs: DataFrame, sections: str | None = None, rule: str = "firs
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start() -> Callable:
         encoder_ = byte_encoder(encoder)
-        for batch in batches:
-            given = batch["sections"] if sections else [None] * len(batch)
-            columns: dict[str, list] = {c: [] for c in ("doc_id", "section", "start", "end", "n_tokens", "n_crossing")}
-            for doc_id, text, spans, raw in zip(batch["doc_id"].astype("Int64").array, batch["text"], given, encoder_.encode(batch["text"]), strict=True):
+
+        def run(batch: pa.RecordBatch) -> tuple[np.ndarray, dict]:
+            texts = batch.column("text").to_pylist()
+            given = batch.column("sections").to_pylist() if sections else [None] * len(texts)
+            columns: dict[str, list] = {c: [np.array([], np.int64)] for c in ("of", *FIELDS)}
+            for k, (text, spans, raw) in enumerate(zip(texts, given, encoder_.encode(texts), strict=True)):
                 if sections:
-                    told = sorted((s["start"], s["end"]) for s in spans) if spans is not None else []
+                    told = sorted((s["start"], s["end"]) for s in spans or [] if s is not None and s["start"] is not None and s["end"] is not None)
                     starts, ends = np.array([s for s, _ in told], np.int64), np.array([e for _, e in told], np.int64)
                 else:
                     starts, ends = newline_spans(text)
@@ -93,12 +96,12 @@ def count_tokens(docs: DataFrame, sections: str | None = None, rule: str = "firs
                 own, crossing = allocate(first, last, starts, ends, rule)
                 n, over = np.bincount(own + 1, minlength=len(starts) + 1), np.bincount(own[crossing] + 1, minlength=len(starts) + 1)
                 outside = 0 if n[0] or not len(starts) else 1  # the row of section -1 only where it is needed
-                columns["doc_id"] += [doc_id] * (len(n) - outside)
-                for name, values in (("section", np.arange(-1, len(starts))), ("start", np.concatenate(([-1], starts))), ("end", np.concatenate(([-1], ends))), ("n_tokens", n), ("n_crossing", over)):
+                for name, values in (("of", np.full(len(n), k)), ("section", np.arange(-1, len(starts))), ("start", np.concatenate(([-1], starts))), ("end", np.concatenate(([-1], ends))), ("n_tokens", n), ("n_crossing", over)):
                     columns[name].append(values[outside:])
-            if columns["doc_id"]:
-                yield pd.DataFrame({"doc_id": pd.array(columns.pop("doc_id"), "Int64")} | {c: np.concatenate(v) for c, v in columns.items()})
+            made = {c: np.concatenate(v) for c, v in columns.items()}
+            return made.pop("of"), made
+
+        return run
 
-    small_batches(docs.sparkSession)
     cols = [F.col("doc_id"), text_or_empty().alias("text")] + ([F.col(sections).alias("sections")] if sections else [])
-    return docs.select(*cols).mapInPandas(run, COUNT)
+    return rows_made(docs.select(*cols), ["doc_id"], FIELDS, start)

@@ -4,6 +4,9 @@ Texts fall into chunks at single spaces, and chunks repeat: each distinct one is
 encoded once per worker and its ids are kept as little-endian bytes, so a text's
 ids are one join of byte strings. Texts that hold a special token's string go to the
 tokenizers library whole, which gives that string its special id.
+
+Edge cases: an empty text has no ids; texts of any length are encoded whole; texts
+must not be None (callers make null empty).
 """
 
 from __future__ import annotations
@@ -15,8 +18,9 @@ from collections.abc import Iterable
 
 import numpy as np
 
-#: Chunks kept by a worker before its memory is emptied.
+#: Chunks kept by a worker before its memory is emptied; longer ones are not kept.
 MEMO = 400_000
+LONGEST = 64
 SPECIAL = "<|endoftext|>"
 #: A space that is not followed by a word: the chunk rule below does not hold there.
 _LOOSE = re.compile(r" (?:\s|\Z)")
@@ -93,9 +97,10 @@ class ByteEncoder:
         at = np.searchsorted(np.cumsum(self.widths[ids]), ends) + 1
         raw, cuts = ids.tobytes(), [0, *(at * 4).tolist()]
         learnt = {c: raw[a:b] for c, a, b in zip(new, cuts, cuts[1:], strict=False)}
-        if len(self._memo) + len(learnt) > MEMO:
+        kept = {c: i for c, i in learnt.items() if len(c) <= LONGEST}
+        if len(self._memo) + len(kept) > MEMO:
             self._memo.clear()
-        self._memo.update(learnt)
+        self._memo.update(kept)
         return learnt
 
 

@@ -14,8 +14,8 @@ merges them. A bounded set of seed rows (``SEEDS``) is scored first by every
 cell's queries: the k-th best score among some candidates is a lower bound of
 the final one, so cells that can't contribute stop after their bounds.
 
-Edge cases: vectors that are null, empty, or hold null or non-finite components
-take no part; a query meets only candidates of its own length; repeated ids are
+Edge cases: rows without a vec_id, and vectors that are null, empty, or hold null or
+non-finite components, take no part; a query meets only candidates of its own length; repeated ids are
 separate candidates, but none that carries the query's id; ties go to the
 smaller vec_id; fewer than k candidates give all; an empty table gives no rows.
 Scores are 64-bit integers; where a product could pass 2**53 integer arithmetic
@@ -45,11 +45,11 @@ def quantised(vectors: DataFrame) -> DataFrame:
     """``vec_id, v`` (integers) of the valid rows."""
     v = F.transform("embedding", lambda x: F.floor(x.cast("double") * SCALE))
     sound = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < F.lit(float("inf"))))
-    return vectors.where((F.size("embedding") > 0) & sound).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
+    return vectors.where(F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & sound).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
 
 
 def _sort_key() -> Column:
-    """Signs of the first terms, then the first term: near vectors lie close."""
+    """Signs of the first twelve terms: near vectors lie close."""
     bits = [F.when(F.coalesce(F.try_element_at("v", F.lit(k + 1)), F.lit(0)) > 0, F.lit(1 << (11 - k))).otherwise(F.lit(0)) for k in range(12)]
     out = bits[0]
     for b in bits[1:]:

@@ -78,13 +78,19 @@ def test_cuckoo_index_changes(spark):
     assert sorted((r["keep_id"], r["group_size"]) for r in index.lookup(asked).collect()) == [(0, 2), (2, 1)]
 
 
-def test_cuckoo_filter_grows_and_deletes():
+def test_cuckoo_bucket_grows_and_deletes():
     digests = [hashlib.sha256(str(k).encode()).hexdigest() for k in range(5000)]
-    filter_ = exact_dedup.fill(exact_dedup.CuckooFilter(64), digests)
-    assert filter_.buckets > 64 and all(exact_dedup.key_of(d) in filter_ for d in digests)
+    bucket = exact_dedup.Bucket(expected=1)
+    for k, d in enumerate(digests):
+        bucket.insert(d, k, 1)
+        bucket.insert(digests[k // 2], k, 1)
+    assert bucket.filter.buckets > 64 and all(bucket.find(d) is not None for d in digests)
+    assert bucket.find(digests[0]) == [0, 3] and bucket.find(digests[1]) == [1, 3]
     for d in digests[:2500]:
-        assert filter_.delete(exact_dedup.key_of(d))
-    assert all(exact_dedup.key_of(d) in filter_ for d in digests[2500:])
+        bucket.delete(d)
+    assert all(bucket.find(d) is None for d in digests[:2500]) and all(bucket.find(d) is not None for d in digests[2500:])
+    again = exact_dedup.Bucket(bucket.table(7))
+    assert again.content == bucket.content and again.filter.dump() == bucket.filter.dump()
 
 
 def test_chat_round_trip(spark):
@@ -291,6 +297,38 @@ def test_suffix_dedup(docs, rows, empty):
     assert suffix_dedup.repeat_report(empty).count() == 0
 
 
+def brute_repeats(texts):
+    """Bytes removed from each text of (id, text): covered by 50 bytes of a smaller id."""
+    owner, out = {}, {}
+    for doc_id, text in texts:
+        b = text.encode()
+        for p in range(len(b) - 49):
+            g = b[p:p + 50]
+            owner[g] = min(owner.get(g, doc_id), doc_id)
+    for doc_id, text in texts:
+        b = text.encode()
+        mask = np.zeros(len(b), bool)
+        for p in range(len(b) - 49):
+            if owner[b[p:p + 50]] < doc_id:
+                mask[p:p + 50] = True
+        out[doc_id] = (int(mask.sum()), hashlib.sha256(np.frombuffer(b, np.uint8)[~mask].tobytes()).hexdigest())
+    return out
+
+
+@pytest.mark.parametrize(("hot", "contexts"), [(64, 4000), (3, 4000), (1000, 20)])
+def test_common_line_in_many_contexts(spark, monkeypatch, hot, contexts):
+    """One line with ever other neighbours, by the plain way and by both ways for hot names."""
+    rng = random.Random(31)
+    line, other = words(rng, 14), words(rng, 9)
+    texts = [(k * 7 % 1501, f"{words(rng, rng.randint(1, 12))} {line}{rng.choice(' .,;')}{words(rng, rng.randint(1, 12))} {other if k % 3 else ''}") for k in range(1500)]
+    texts += [(5000, "ab" * 600), (5001, "x" + "ab" * 400 + "y" * 300), (5002, "y" * 90)]
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "CONTEXTS", contexts)
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: (r["n_removed"], r["kept_sha256"]) for r in suffix_dedup.repeat_report(docs).collect()}
+    assert got == brute_repeats(texts)
+
+
 def test_interval_expansion_against_brute_force():
     rng = random.Random(8)
     text = np.frombuffer(b"\xff".join(bytes(rng.choices(b"ab", k=rng.randint(1, 60))) for _ in range(40)) + b"\xff", np.uint8)
@@ -316,12 +354,13 @@ def test_quality(spark, empty):
     assert quality.train(docs, labels.limit(0)).dictionaries is None
 
 
-def test_keep_documents_keeps_one_row_an_id(spark):
-    from ionframe.llm.shared import keep_documents
+def test_keep_documents_keeps_one_row_a_kept_text(spark):
+    from ionframe.llm.shared import keep_documents, text_key
 
-    docs = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (3, "d"), (None, "e"), (None, "f")], "doc_id long, text string")
-    kept = keep_documents(docs, spark.createDataFrame([(1,), (2,), (None,)], "doc_id long"))
-    assert sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 0, 1, 2]
+    docs = spark.createDataFrame([(1, "a", "k"), (1, "b", "k"), (2, "c", "k"), (2, "c", "k"), (3, "d", "k"), (None, "e", "k"), (None, "f", "k"), (None, "e", "k")], "doc_id long, text string, key string")
+    kept = docs.where("text in ('b', 'c', 'e')").select("doc_id", text_key().alias("key"))
+    got = keep_documents(docs, kept)
+    assert got.columns == docs.columns and sorted((r["doc_id"] or 0, r["text"]) for r in got.collect()) == [(0, "e"), (1, "b"), (2, "c")]
 
 
 def test_pipeline_stages(spark, docs, rows, tmp_path):
