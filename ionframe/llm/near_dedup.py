@@ -13,50 +13,58 @@ Verification aligns the two k-mer sequences inside the band that a similarity of
 increasing run of matched positions. Similarity is aligned k-mers over all
 (aligned, and unaligned on either side).
 
-Copies with equal words are merged first and stand for one text. In a bucket,
-each member is compared with a few anchors, each the first in a hash order, not
-with all others, so candidates grow with the bucket's size and not its square.
+Copies with equal words are merged first and stand for one text, named by the digest
+of its words. Texts that share a bucket get their k-mers written once; candidates are
+pairs of digests, dealt into cells of bounded volume, to which one text of each pair
+brings its k-mers and the other comes once a cell.
+
 Linked texts form classes by connected components (large-star, small-star), all in
-tables. Buckets whose members are then in several classes go into further rounds:
-small ones with all their pairs, larger ones with twice as many and other anchors.
-Larger buckets that hold several classes after the rounds are finished exactly: of
-their texts, every pair that shares a rare enough labelled k-mer (prefix filter with
-the length and position bounds of 0.8) is verified. So no pair that shares a sketch
-is left untested, unless its texts are in one class or bounds exclude it. Pairs are
-verified once, and not at all where their numbers of k-mers alone exclude it.
+tables. In the first round the members of a bucket meet its anchor, the first in a hash
+order that all buckets share. Buckets whose members are then in several classes go on:
+of ``SMALL`` members or fewer with all their pairs, larger ones with more anchors, in
+rounds. Larger buckets that still hold several classes are finished exactly: of their
+texts, every pair that shares a rare enough labelled k-mer (prefix filter with the
+length and position bounds of 0.8) is a candidate, first one pair of every two classes,
+then all pairs whose classes are still apart. So no pair that shares a sketch is left
+untested, unless its texts are in one class or bounds exclude it. Pairs are verified
+once, and not at all where their numbers of k-mers alone exclude it.
 
 Edge cases: null text is empty; texts without words form one class; texts of one
-to four words are one k-mer; the class id is the smallest doc_id of the class; rows
-that repeat a doc_id are members of their own texts' classes; a null doc_id sorts
-last; an empty table gives no rows; further columns are ignored.
+to four words are one k-mer; texts of any length are read whole; the class id is the
+smallest doc_id of the class, and of texts that repeat this id one stays; each row is
+in the class of its own text, whatever other rows share its doc_id; a null doc_id comes
+last, and is the class id only where no row of the class has one; an empty table gives
+no rows; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ionframe.llm.hashing import mix, word_hashes
-from ionframe.llm.shared import keep_documents, small_batches, text_or_empty, written
+from ionframe.llm.shared import groups_for, keep_documents, rows_made, small_batches, text_key, text_or_empty, written
 
 K = 5
 SIMILARITY = 0.8
 PICK = 3
 TABLES = 12
-#: Anchors of a bucket in the first round, and in one round at most; buckets of at
-#: most that many members have all their pairs compared in the second round.
-ANCHORS = 2
-MOST_ANCHORS = 16
-#: Rounds with anchors at most; what they leave open is finished exactly.
-ROUNDS = 3
-#: Ids of documents with candidates that may be broadcast (8 bytes each).
-BROADCAST_IDS = 500_000
+#: Anchors of a bucket in each round; what they leave open is finished exactly.
+ANCHORS = (1, 4, 8)
+#: Buckets of at most so many members have all their pairs compared after the first round.
+SMALL = 16
+#: Members of a bucket that meet its anchors in one place.
+PER_SALT = 256
+#: k-mers (8 bytes each) that one cell of pairs holds.
+PER_CELL = 1 << 20
+#: Ids (16 bytes each) that may be broadcast; beyond it both sides are shuffled.
+BROADCAST_IDS = 300_000
 
 
 def labelled_kmers(text: str) -> np.ndarray:
@@ -95,8 +103,11 @@ def sketches(mers: np.ndarray, tables: int = TABLES, pick: int = PICK) -> np.nda
         return key.view(np.int64)
 
 
-def aligned(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
-    """Similarity of two labelled k-mer sequences; 0 where it is surely below ``least``."""
+def aligned(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY, order: np.ndarray | None = None) -> float:
+    """Similarity of two labelled k-mer sequences; 0 where it is surely below ``least``.
+
+    ``order``: b's argsort, where it is known.
+    """
     n, m = len(a), len(b)
     if not n or not m:
         return 1.0 if n == m else 0.0
@@ -104,13 +115,12 @@ def aligned(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
         return 0.0
     needed = least * (n + m) / (1 + least)
     band = n + m - 2 * int(np.ceil(needed - 1e-9))
-    order = np.argsort(b, kind="stable")
+    order = np.argsort(b, kind="stable") if order is None else order
     at = np.minimum(np.searchsorted(b, a, sorter=order), m - 1)
     places = order[at]
     i = np.flatnonzero(b[places] == a)
     j = places[i]
-    inside = np.abs(i - j) <= band
-    j = j[inside]
+    j = j[np.abs(i - j) <= band]
     if len(j) < needed - 1e-9:
         return 0.0
     if np.all(j[1:] > j[:-1]):
@@ -127,28 +137,48 @@ def aligned(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
     return common / (n + m - common)
 
 
+def words_digest(mers: np.ndarray) -> bytes:
+    """Names a text by its words: k-mers of up to five words in order determine them."""
+    return hashlib.blake2b(mers.tobytes(), digest_size=16).digest()
+
+
 def sketched(docs: DataFrame) -> DataFrame:
-    """``doc_id, words (digest of the word sequence), keys, size (k-mers)`` of every row."""
+    """``doc_id, key (of the text), id (digest of the words), keys, size (k-mers)`` of every row."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            digests, keys, sizes = [], [], []
-            for text in batch["text"]:
-                mers = labelled_kmers(text)
-                # k-mers of up to five words in order determine the words
-                digests.append(hashlib.blake2b(mers.tobytes(), digest_size=16).digest())
-                keys.append(sketches(mers) if len(mers) else np.array([], np.int64))
-                sizes.append(len(mers))
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "words": digests, "keys": keys, "size": sizes})
+    def start() -> Callable:
+        def run(batch: pa.RecordBatch) -> tuple[None, dict]:
+            found = [labelled_kmers(t) for t in batch.column("text").to_pylist()]
+            return None, {
+                "id": [words_digest(m) for m in found],
+                "keys": [sketches(m) if len(m) else [] for m in found],
+                "size": [len(m) for m in found]}
+
+        return run
 
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInPandas(run, "doc_id long, words binary, keys array<long>, size long")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("key"), text_or_empty().alias("text"))
+    return rows_made(texts, ["doc_id", "key"], {"id": "binary", "keys": "array<long>", "size": "long"}, start)
 
 
 def bucket_members(texts: DataFrame) -> DataFrame:
-    """``t, key, id, size, n (members)`` of the buckets that two texts share, from ``id, keys, size``."""
+    """``t, key, n (members), salt, id, size`` of the buckets that two texts share, from ``id, keys, size``."""
     spread = texts.select("id", "size", F.posexplode("keys").alias("t", "key"))
     shared = spread.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
-    return spread.join(shared, ["t", "key"])
+    salt = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / PER_SALT)).alias("salt")
+    return spread.join(shared, ["t", "key"]).select("t", "key", "n", salt, "id", "size")
+
+
+def kmers_of(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """``id, mers`` of one row of each text in ``rows`` (``doc_id, key``)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [labelled_kmers(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([
+                pa.array([words_digest(m) for m in found], pa.binary()),
+                pa.array([m.view(np.int64) for m in found], pa.list_(pa.int64()))], names=["id", "mers"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    return keep_documents(texts, rows).select("text").mapInArrow(run, "id binary, mers array<long>")
 
 
 def near_sizes(one: str, two: str) -> Column:
@@ -161,102 +191,107 @@ def with_roots(members: DataFrame, roots: DataFrame | None) -> DataFrame:
     return members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
 
 
-def candidates(members: DataFrame, roots: DataFrame | None, turn: int) -> DataFrame:
-    """Distinct pairs ``a, b`` of different classes (``roots``: ``id, root``) to verify."""
-    classed = with_roots(members, roots)
-    if turn:
-        large = classed.where(F.col("n") > MOST_ANCHORS)
-        return anchored(large, turn).unionByName(all_pairs(classed.where(F.col("n") <= MOST_ANCHORS))).distinct() if turn == 1 else anchored(large, turn)
-    return anchored(classed, turn)
-
+def once(met: DataFrame) -> DataFrame:
+    """Distinct pairs ``lo, hi, size_lo, size_hi, hub`` of ``id, size, other (id, size)``.
 
-def all_pairs(classed: DataFrame) -> DataFrame:
-    """All pairs of buckets, each of few members."""
-    one, two = (classed.select("t", "key", *[F.col(c).alias(f"{c}_{e}") for c in ("id", "root", "size")]) for e in "ab")
-    met = one.join(two, ["t", "key"]).where("id_a > id_b and root_a != root_b").where(near_sizes("size_a", "size_b"))
-    return met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    ``hub``: whether the lower text is the one that many others meet.
+    """
+    both = met.select(
+        F.least("id", "other.id").alias("lo"), F.greatest("id", "other.id").alias("hi"), "size", F.col("other.size").alias("size_other"),
+        (F.col("other.id") < F.col("id")).alias("hub"))
+    sizes = [F.when(F.col("hub"), F.col(a)).otherwise(F.col(b)).alias(c) for a, b, c in (("size_other", "size", "size_lo"), ("size", "size_other", "size_hi"))]
+    return both.select("lo", "hi", *sizes, "hub").groupBy("lo", "hi", "size_lo", "size_hi").agg(F.max("hub").alias("hub"))
 
 
 def anchored(classed: DataFrame, turn: int) -> DataFrame:
-    """Distinct pairs of each member and its bucket's anchors of this turn."""
-    anchors = min(ANCHORS << turn, MOST_ANCHORS)
-    order = [F.xxhash64("id", F.lit(turn * MOST_ANCHORS + k)) for k in range(anchors)]
-    ends = classed.groupBy("t", "key").agg(
-        *[F.min_by(c, order[k]).alias(f"{c}{k}") for k in range(anchors) for c in ("id", "root", "size")],
-        F.min("root").alias("least_root"), F.max("root").alias("most_root")).where("least_root != most_root")
-    ends = ends.select("t", "key", F.array_distinct(F.array(*[F.struct(*[F.col(f"{c}{k}").alias(c) for c in ("id", "root", "size")]) for k in range(anchors)])).alias("others"))
-    met = classed.join(ends, ["t", "key"]).select("id", "root", "size", F.explode("others").alias("other"))
-    both = met.where((F.col("root") != F.col("other.root")) & near_sizes("size", "other.size"))
-    return both.select(F.greatest("id", "other.id").alias("a"), F.least("id", "other.id").alias("b")).distinct()
-
-
-def open_texts(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """``id, root, size`` of the texts in large buckets that hold several classes."""
-    classed = with_roots(members.where(F.col("n") > MOST_ANCHORS), roots)
-    several = classed.groupBy("t", "key").agg(F.min("root").alias("least_root"), F.max("root").alias("most_root")).where("least_root != most_root")
-    return classed.join(several, ["t", "key"], "left_semi").select("id", "root", "size").distinct()
+    """Pairs of each member and its bucket's anchors of this turn, of different classes."""
+    firsts = [F.min(F.struct(F.xxhash64("id", F.lit(turn * 100 + k)).alias("turn"), "id", "root", "size")).alias(f"a{k}") for k in range(ANCHORS[turn])]
+    ends = classed.groupBy("t", "key").agg(*firsts, F.max("n").alias("n"), F.min("root").alias("least_root"), F.max("root").alias("most_root"))
+    others = F.array_distinct(F.array(*[F.struct(*[F.col(f"a{k}.{c}").alias(c) for c in ("id", "root", "size")]) for k in range(ANCHORS[turn])]))
+    salts = F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / PER_SALT) - 1)
+    ends = ends.where("least_root != most_root").select("t", "key", F.explode(salts).alias("salt"), others.alias("others"))
+    ends = written(ends, "anchors")  # the planner would trace each anchor's parts through the join
+    met = classed.join(ends, ["t", "key", "salt"]).select("id", "root", "size", F.explode("others").alias("other"))
+    return once(met.where((F.col("root") != F.col("other.root")) & near_sizes("size", "other.size")))
 
 
-def kmers_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``id, mer, place`` of every labelled k-mer of the texts in ``ids``; ``docs``: ``id, text``."""
+def all_pairs(classed: DataFrame) -> DataFrame:
+    """All pairs of different classes of buckets of few members."""
+    other = classed.select("t", "key", F.struct("id", "root", "size").alias("other"))
+    met = classed.join(other, ["t", "key"]).where((F.col("id") > F.col("other.id")) & (F.col("root") != F.col("other.root")))
+    return once(met.where(near_sizes("size", "other.size")))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for id_, text in zip(batch["id"], batch["text"], strict=True):
-                mers = labelled_kmers(text)
-                yield pd.DataFrame({"id": id_, "mer": mers.view(np.int64), "place": np.arange(len(mers), dtype=np.int32)})
 
-    return docs.join(ids, "id", "left_semi").select("id", "text").mapInPandas(run, "id long, mer long, place int")
+def open_texts(classed: DataFrame) -> DataFrame:
+    """``id, root, size`` of the texts in buckets that hold several classes."""
+    several = classed.groupBy("t", "key").agg(F.min("root").alias("least_root"), F.max("root").alias("most_root")).where("least_root != most_root")
+    return classed.join(several, ["t", "key"], "left_semi").select("id", "root", "size").distinct()
 
 
-def prefix_pairs(docs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Distinct pairs ``a, b`` of different classes of ``texts`` that may be near: none that is near is left out.
+def prefix_pairs(kmers: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs of different classes of ``texts`` that may be near: none that is near is left out.
 
     All k-mers have one order, the rarest first. Near texts of n and m k-mers align
     ``needed`` or more, all at or after the first of them in that order, so from there
     each text has that many left; and its places differ by no more than the band.
     """
-    mers = written(kmers_of(docs, texts.select("id")), "kmers")
-    often = mers.groupBy("mer").agg(F.count("*").alias("often")).where("often > 1")
-    # a set, as rows may repeat a text; k-mers of one text alone come first and meet nothing
-    shared = mers.join(often, "mer").groupBy("id").agg(F.sort_array(F.collect_set(F.struct("often", "mer", "place"))).alias("mers"))
+    own = kmers.join(texts.select("id"), "id", "left_semi").select("id", F.posexplode("mers").alias("place", "mer"))
+    often = own.groupBy("mer").agg(F.count("*").alias("often")).where("often > 1")
+    # k-mers of one text alone come first and meet nothing
+    shared = own.join(often, "mer").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("often", "mer", "place"))).alias("mers"))
     placed = texts.join(shared, "id").select("id", "root", "size", (F.col("size") - F.size("mers")).alias("alone"), F.posexplode("mers").alias("at", "m"))
     placed = placed.select("id", "root", "size", (F.col("size") - F.col("alone") - F.col("at")).alias("left"), "m.mer", "m.place")
     # the shortest text that can be near has 0.8 of the k-mers, all of them in common
     placed = written(placed.where(F.col("left") >= SIMILARITY * F.col("size") - 1e-6), "prefixes")
-    one, two = (placed.select("mer", *[F.col(c).alias(f"{c}_{e}") for c in ("id", "root", "size", "left", "place")]) for e in "ab")
-    both = F.col("size_a") + F.col("size_b")
+    other = placed.select("mer", F.struct("id", "root", "size", "left", "place").alias("other"))
+    both = F.col("size") + F.col("other.size")
     needed = both * (SIMILARITY / (1 + SIMILARITY)) - 1e-6
-    met = one.join(two, "mer").where("id_a > id_b and root_a != root_b")
-    met = met.where((F.least("left_a", "left_b") >= needed) & (F.abs(F.col("place_a") - F.col("place_b")) <= both - 2 * needed))
-    return met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
-
-
-def links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Verified pairs ``a, b, similarity``; ``docs``: ``id, text``."""
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
-    few = ids.count() <= BROADCAST_IDS
-    needed = docs.join(F.broadcast(ids) if few else ids, "id", "left_semi")
-    one = needed.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
-    two = needed.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[int, np.ndarray] = {}
+    met = placed.join(other, "mer").where((F.col("id") > F.col("other.id")) & (F.col("root") != F.col("other.root")))
+    return once(met.where((F.least("left", "other.left") >= needed) & (F.abs(F.col("place") - F.col("other.place")) <= both - 2 * needed)))
 
-        def mers(id_: int, text: str) -> np.ndarray:
-            if id_ not in known:
-                if len(known) > 64:
-                    known.clear()
-                known[id_] = labelled_kmers(text)
-            return known[id_]
 
-        for batch in batches:
-            found = [aligned(mers(a, x), mers(b, y)) for a, b, x, y in zip(batch["a"], batch["b"], batch["text_a"], batch["text_b"], strict=True)]
-            out = batch[["a", "b"]].assign(similarity=found)
-            yield out[out["similarity"] >= SIMILARITY - 1e-12]
+def verified(kmers: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``a, b, similarity`` of the written pairs that are near.
 
-    met = pairs.join(two, "b").join(one, "a").select("a", "b", "text_a", "text_b")
-    return met.mapInPandas(run, "a long, b long, similarity double")
+    The hub of a pair comes once to each cell, the other text with the pair. Cells have
+    about ``PER_CELL`` k-mers, as hubs with more are dealt over several.
+    """
+    dealt = pairs.select(*[F.when(F.col("hub"), F.col(x)).otherwise(F.col(y)).alias(c) for x, y, c in (("hi", "lo", "a"), ("lo", "hi", "b"), ("size_hi", "size_lo", "size"))])
+    volume = dealt.groupBy("b").agg(F.sum("size").alias("volume"))
+    cells = groups_for(pairs.agg(F.sum("size_lo") + F.sum("size_hi")).first()[0] or 0, PER_CELL)
+    large = _few(written(volume.where(F.col("volume") > PER_CELL), "large-hubs"))
+    part = F.pmod(F.xxhash64("a"), F.coalesce(F.ceil(F.col("volume") / PER_CELL), F.lit(1)))
+    dealt = dealt.join(large, "b", "left").select("a", "b", F.pmod(F.xxhash64("b", part), F.lit(cells)).alias("cell"))
+    dealt = written(dealt, "cells")
+    # only the k-mers of texts in pairs are shuffled while their ids are few
+    ids = written(dealt.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+    kmers = kmers.join(_few(ids), "id", "left_semi")
+    left = dealt.join(kmers.withColumnRenamed("id", "a"), "a")
+    right = dealt.select("cell", "b").distinct().join(kmers.withColumnRenamed("id", "b"), "b").select("cell", "b", "mers").toDF("of_cell", "b", "mers")
+
+    def run(key: tuple, pairs: pa.Table, hubs: pa.Table) -> pa.Table:
+        held = {b: (m, np.argsort(m, kind="stable")) for b, m in zip(hubs["b"].to_pylist(), _arrays(hubs["mers"]), strict=True)}
+        found: list[tuple] = []
+        for a, b, mers in zip(pairs["a"].to_pylist(), pairs["b"].to_pylist(), _arrays(pairs["mers"]), strict=True):
+            other, order = held[b]
+            similarity = aligned(mers, other, order=order)
+            if similarity >= SIMILARITY - 1e-12:
+                found.append((a, b, similarity))
+        columns = list(zip(*found, strict=True)) or [(), (), ()]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.binary(), pa.float64()), strict=True)], names=["a", "b", "similarity"])
+
+    return left.groupBy("cell").cogroup(right.groupBy("of_cell")).applyInArrow(run, "a binary, b binary, similarity double")
+
+
+def _few(ids: DataFrame) -> DataFrame:
+    """A written table of ids, to be broadcast where its checked size allows it."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
+def _arrays(column: pa.ChunkedArray) -> Iterator[np.ndarray]:
+    for chunk in column.chunks:
+        values, offsets = chunk.values.to_numpy(), chunk.offsets.to_numpy()
+        yield from (values[a:b] for a, b in zip(offsets, offsets[1:], strict=False))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -276,48 +311,82 @@ def components(edges: DataFrame) -> DataFrame:
         before = sign
 
 
-def joined_classes(contents: DataFrame, members: DataFrame) -> DataFrame:
-    """``id, root`` of all texts that have a link: rounds with anchors, then the exact finish."""
-    tested = roots = None
+class Classes:
+    """Classes of the texts so far (``roots``: ``id, root``) and the pairs verified."""
 
-    def joined(pairs: DataFrame) -> bool:
-        """Verifies the new pairs and joins their classes; whether there were links."""
-        nonlocal tested, roots
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+    def __init__(self, kmers: DataFrame):
+        self.kmers, self.roots, self.tested = kmers, None, None
+
+    def join(self, pairs: DataFrame) -> bool:
+        """Verifies the pairs that are new and joins their classes; whether there were any."""
+        if self.tested is not None:
+            pairs = pairs.join(self.tested, ["lo", "hi"], "left_anti")
         pairs = written(pairs, "pairs")
-        found = written(links(contents, pairs).select("a", "b"), "links")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        if roots is not None and found.isEmpty():
+        if self.roots is not None and pairs.isEmpty():
+            return False
+        found = written(verified(self.kmers, pairs).select("a", "b"), "links")
+        pairs = pairs.select("lo", "hi")
+        self.tested = pairs if self.tested is None else written(self.tested.unionByName(pairs), "tested")
+        if self.roots is not None and found.isEmpty():
             return False
         # classes so far are stars: they stand for all links found before
-        roots = components(found if roots is None else found.unionByName(roots.toDF("a", "b")))
+        self.roots = components(found if self.roots is None else found.unionByName(self.roots.toDF("a", "b")))
         return True
 
-    for turn in range(ROUNDS):
-        if not joined(candidates(members, roots, turn)) and turn:
+    def apart(self, pairs: DataFrame) -> DataFrame:
+        """Pairs of different classes with their roots."""
+        lo, hi = (self.roots.toDF(c, f"root_{c}") for c in ("lo", "hi"))
+        both = pairs.join(lo, "lo", "left").join(hi, "hi", "left")
+        both = both.withColumns({f"root_{c}": F.coalesce(f"root_{c}", c) for c in ("lo", "hi")})
+        return both.where("root_lo != root_hi")
+
+
+def joined_classes(kmers: DataFrame, members: DataFrame) -> DataFrame:
+    """``id, root`` of all texts that have a link: rounds with anchors, then the exact finish."""
+    classes = Classes(kmers)
+    large = members.where(F.col("n") > SMALL)
+    classes.join(anchored(with_roots(members, None), 0))
+    for turn in range(1, len(ANCHORS)):
+        pairs = anchored(with_roots(large, classes.roots), turn)
+        if turn == 1:
+            pairs = pairs.unionByName(all_pairs(with_roots(members.where(F.col("n") <= SMALL), classes.roots)))
+            pairs = pairs.groupBy("lo", "hi", "size_lo", "size_hi").agg(F.max("hub").alias("hub"))
+        if not classes.join(pairs):
             break
-    left = written(open_texts(members, roots), "open")
+    left = written(open_texts(with_roots(large, classes.roots)), "open")
     if not left.isEmpty():
-        joined(prefix_pairs(contents, left))
-    return roots
+        pairs = written(prefix_pairs(kmers, left), "prefix-pairs")
+        one = F.min_by(F.struct("lo", "hi", "size_lo", "size_hi", "hub"), F.xxhash64("lo", "hi")).alias("pair")
+        by_class = classes.apart(pairs).groupBy(F.least("root_lo", "root_hi").alias("x"), F.greatest("root_lo", "root_hi").alias("y"))
+        classes.join(by_class.agg(one).select("pair.*"))
+        classes.join(classes.apart(pairs).select(*pairs.columns))
+    return classes.roots
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``doc_id, class_id, class_size, kept`` of each row."""
+def classified(docs: DataFrame) -> DataFrame:
+    """``doc_id, key (of the text), class_id, class_size, kept, class`` of each row."""
     small_batches(docs.sparkSession)
     rows = written(sketched(docs), "sketches")
-    texts = written(rows.groupBy("words").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"), F.first("size").alias("size"), F.count("*").alias("n")), "texts")
-    # several texts may carry one id only where rows repeat a doc_id
-    members = written(bucket_members(texts.where("id is not null").dropDuplicates(["id"])), "members")
-    contents = docs.select(F.col("doc_id").alias("id"), text_or_empty().alias("text"))
-    roots = joined_classes(contents, members)
-    named = texts.join(roots, "id", "left").select("words", F.coalesce("root", "id").alias("class_id"), "n")
-    sizes = named.groupBy(F.col("class_id").alias("of")).agg(F.sum("n").alias("class_size"))
-    named = named.join(sizes, F.col("class_id").eqNullSafe(F.col("of"))).select("words", "class_id", "class_size")
-    return rows.select("doc_id", "words").join(named, "words").select("doc_id", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
+    texts = written(rows.groupBy("id").agg(first, F.first("keys").alias("keys"), F.first("size").alias("size"), F.count("*").alias("n")), "texts")
+    members = written(bucket_members(texts), "members")
+    met = texts.join(members.select("id").distinct(), "id", "left_semi").select("first.doc_id", "first.key")
+    kmers = written(kmers_of(docs, met), "kmers")
+    roots = joined_classes(kmers, members)
+    named = written(texts.join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("class"), "first", "n"), "classes")
+    classes = named.groupBy("class").agg(F.min(F.struct("first", "id")).alias("keeper"), F.sum("n").alias("class_size"))
+    named = named.select("id", "class").join(classes, "class").select(
+        "id", "class", "class_size", F.col("keeper.first.doc_id").alias("class_id"), (F.col("keeper.id") == F.col("id")).alias("of_keeper"))
+    kept = F.col("of_keeper") & F.col("doc_id").eqNullSafe(F.col("class_id"))
+    return rows.select("doc_id", "key", "id").join(named, "id").select("doc_id", "key", "class_id", "class_size", kept.alias("kept"), "class")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """``doc_id, class_id, class_size, kept`` of each row."""
+    return classified(docs).select("doc_id", "class_id", "class_size", "kept")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` with the row of the smallest doc_id of each class."""
-    return keep_documents(docs, near_duplicates(docs).where("kept"))
+    """``docs`` with one row of each class, that of its smallest doc_id."""
+    kept = classified(docs).where("kept").groupBy("class").agg(F.min(F.struct("doc_id", "key")).alias("row"))
+    return keep_documents(docs, kept.select("row.doc_id", "row.key"))
