@@ -14,7 +14,7 @@ texts is only cut (by a hash of the doc_id) where keeping it whole would move a
 split by more than ``CUT`` of a leaf. Slots are numbered through small
 (shard, bucket) counts, so no shard is gathered in one task.
 
-Edge cases: null text weighs one byte; null dimensions count as 0; repeated
+Edge cases: null text weighs one byte; texts of any length are measured whole; null dimensions count as 0; repeated
 rows share a key, so a single such key may leave a shard empty; an empty table
 gives no rows; further columns are ignored.
 """
@@ -26,7 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ionframe.llm.shared import text_or_empty, written
+from ionframe.llm.shared import groups_for, text_or_empty, written
 
 BINS = 1 << 12
 #: Share of a leaf's bytes by which a whole group of copies may move a split.
@@ -164,14 +164,20 @@ def assigned(rows: DataFrame, tree: Node) -> DataFrame:
     return rows.withColumn("shard", _value(tree, lambda n: F.lit(n.lo)).cast("int"))
 
 
-def with_slots(rows: DataFrame, buckets: int) -> DataFrame:
-    """Adds ``slot``: gapless from 0 in each shard, through (shard, bucket) counts."""
-    dealt = rows.withColumn("part", F.pmod("row_hash", F.lit(buckets)).cast("int"))
+#: Rows that a window of slots orders, and counts that may be broadcast.
+PER_WINDOW, MOST_COUNTS = 20_000, 500_000
+
+
+def with_slots(rows: DataFrame, shards: int) -> DataFrame:
+    """Adds ``slot``: gapless from 0 in each shard, through (shard, bucket) counts; buckets
+    follow the number of rows, and rows that share an id are dealt by their texts."""
+    buckets = groups_for(rows.count(), shards * PER_WINDOW, 64)
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("row_hash", "k0"), F.lit(buckets)).cast("int"))
     counts = dealt.groupBy("shard", "part").agg(F.count("*").alias("n"))
     before = counts.withColumn("base", F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     place = F.row_number().over(Window.partitionBy("shard", "part").orderBy("row_hash", "doc_id")) - 1
-    # (shards x buckets) rows at most: a bound that does not follow the table
-    return dealt.withColumn("place", place).join(F.broadcast(before), ["shard", "part"]).withColumn("slot", (F.col("base") + F.col("place")).cast("long")).drop("place", "base", "part")
+    before = F.broadcast(before) if shards * buckets <= MOST_COUNTS else before
+    return dealt.withColumn("place", place).join(before, ["shard", "part"]).withColumn("slot", (F.col("base") + F.col("place")).cast("long")).drop("place", "base", "part")
 
 
 def shard_documents(docs: DataFrame, shards: int = 16, dims: list[Column] | None = None, target_bytes: int | None = None) -> DataFrame:
@@ -183,5 +189,5 @@ def shard_documents(docs: DataFrame, shards: int = 16, dims: list[Column] | None
     n_dims = sum(c.startswith("k") and c[1:].isdigit() for c in rows.columns)
     if target_bytes:
         shards = max(1, -(-(rows.agg(F.sum("size")).first()[0] or 0) // target_bytes))
-    out = with_slots(assigned(rows, grow(rows, n_dims, shards)), 64)
+    out = with_slots(assigned(rows, grow(rows, n_dims, shards)), shards)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -8,11 +8,12 @@ over terms of the larger of q*max and q*min. Blocks are visited from the highest
 bound down and scored through their forward index until the bound falls below
 the query's k-th best score so far.
 
-The work is a grid: groups of blocks times groups of queries, each cell one
-cogrouped task; a cell returns at most k rows a query and a last aggregation
-merges them. A bounded set of seed rows (``SEEDS``) is scored first by every
-cell's queries: the k-th best score among some candidates is a lower bound of
-the final one, so cells that can't contribute stop after their bounds.
+The work is a grid: groups of blocks (cells) times groups of queries, each pair one
+cogrouped task; it returns at most k rows a query and a last aggregation merges them.
+Each query first scores a bounded set of seed rows (``SEEDS``): the k-th best score
+among some candidates is a lower bound of the final one. It is then sent only to cells
+whose own bound reaches that score, as long as the cells' bounds are small enough
+(``BOUND_BYTES``) to go to the tasks; beyond that it is sent to all of them.
 
 Edge cases: rows without a vec_id, and vectors that are null, empty, or hold null or
 non-finite components, take no part; a query meets only candidates of its own length; repeated ids are
@@ -24,19 +25,22 @@ replaces the exact floating-point one.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ionframe.llm.shared import groups_for, written
+from ionframe.llm.shared import groups_for, rows_made, written
 
 BLOCK = 256
 BLOCKS_PER_CELL = 32
 QUERIES_PER_CELL = 4096
 SEEDS = 1024
+#: Cell bounds (two integers a term and cell) that may be sent to all tasks.
+BOUND_BYTES = 64 << 20
 SCALE = 64
 HIT = "query_id long, vec_id long, score long"
 
@@ -61,17 +65,25 @@ def block_index(rows: DataFrame, n: int, block: int = BLOCK) -> DataFrame:
     """Forward index: ``cell, dim, ids, data, hi, lo``; ``n`` is the number of rows.
 
     A range partitioning by (length, sort key, id) gives runs of rows; each run is
-    cut into blocks as it streams by, so no group is ever gathered.
+    cut into blocks as it streams by, so no group is ever gathered. A row without ids
+    ends each cell and length: its ``hi`` and ``lo`` hold for all blocks of the cell.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids: list[int] = []
         data: list[np.ndarray] = []
+        bounds: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+        def row(ids: bytes, data: bytes, hi: np.ndarray, lo: np.ndarray) -> pd.DataFrame:
+            return pd.DataFrame({"dim": [len(hi)], "ids": [ids], "data": [data], "hi": [hi.tobytes()], "lo": [lo.tobytes()]})
 
         def made() -> pd.DataFrame:
             m, i = np.stack(data).astype("<i8"), np.array(ids, "<i8")
             ids.clear(), data.clear()
-            return pd.DataFrame({"dim": [m.shape[1]], "ids": [i.tobytes()], "data": [m.tobytes()], "hi": [m.max(0).tobytes()], "lo": [m.min(0).tobytes()]})
+            hi, lo = m.max(0), m.min(0)
+            top, low = bounds.get(len(hi), (hi, lo))
+            bounds[len(hi)] = np.maximum(top, hi), np.minimum(low, lo)
+            return row(i.tobytes(), m.tobytes(), hi, lo)
 
         for batch in batches:
             for vec_id, v in zip(batch["vec_id"], batch["v"], strict=True):
@@ -81,6 +93,8 @@ def block_index(rows: DataFrame, n: int, block: int = BLOCK) -> DataFrame:
                 data.append(v)
         if data:
             yield made()
+        for hi, lo in bounds.values():
+            yield row(b"", b"", hi, lo)
 
     parts = groups_for(n, block * BLOCKS_PER_CELL)
     ordered = rows.repartitionByRange(parts, F.size("v"), _sort_key(), "vec_id").sortWithinPartitions(F.size("v"), _sort_key(), "vec_id")
@@ -88,15 +102,61 @@ def block_index(rows: DataFrame, n: int, block: int = BLOCK) -> DataFrame:
     return made.withColumn("cell", F.spark_partition_id())
 
 
-def _cell(k: int, seeds: tuple[np.ndarray, np.ndarray] | None) -> object:
+def dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    if a.size and b.size and float(np.abs(a).max()) * float(np.abs(b).max()) * a.shape[1] < 2**53:
+        return (a.astype(np.float64) @ b.T.astype(np.float64)).astype(np.int64)
+    return a @ b.T
+
+
+def upper(q: np.ndarray, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    """Largest inner product that rows between ``lo`` and ``hi`` can have with each query."""
+    return dot(np.maximum(q, 0), hi) + dot(np.minimum(q, 0), lo)
+
+
+#: Below every score, and its negative still fits.
+NOTHING = -np.iinfo(np.int64).max
+
+
+def asked(queries: DataFrame, k: int, seeds: tuple[np.ndarray, np.ndarray] | None, bounds: list[tuple], cells: int) -> DataFrame:
+    """``vec_id, v, cell, least``: each query for the cells that can reach its k-th best
+    score among the seeds (``least``). bounds: ``cell, dim, hi, lo``; empty: all cells."""
+
+    def start() -> Callable:
+        told: dict[int, tuple] = {}
+        for dim in {b[1] for b in bounds}:
+            own = [b for b in bounds if b[1] == dim]
+            told[dim] = (np.array([b[0] for b in own]), *(np.stack([np.frombuffer(b[i], "<i8") for b in own]) for i in (2, 3)))
+
+        def run(batch: pa.RecordBatch) -> tuple[np.ndarray, dict]:
+            ids, v = batch.column("vec_id").to_numpy(), batch.column("v").to_pylist()
+            dims = np.array([len(x) for x in v], np.int64)
+            of, cell, least = [], [], []
+            for dim in np.unique(dims).tolist():
+                at = np.flatnonzero(dims == dim)
+                q = np.array([v[i] for i in at.tolist()], np.int64)
+                low = np.full(len(at), NOTHING)
+                if seeds is not None and seeds[1].shape[1] == dim and len(seeds[0]) >= k:
+                    # the query's own row is below all others
+                    found = np.where(seeds[0][None, :] == ids[at][:, None], NOTHING, dot(q, seeds[1]))
+                    low = -np.partition(-found, k - 1, axis=1)[:, k - 1]
+                if bounds:
+                    own, hi, lo = told.get(dim, (np.array([], np.int64), np.zeros((0, dim), np.int64), np.zeros((0, dim), np.int64)))
+                    row, column = np.nonzero(upper(q, hi, lo) >= low[:, None])
+                    of.append(at[row]), cell.append(own[column]), least.append(low[row])
+                else:
+                    of.append(np.repeat(at, cells)), cell.append(np.tile(np.arange(cells), len(at))), least.append(np.repeat(low, cells))
+            joined = lambda parts: np.concatenate(parts) if parts else np.array([], np.int64)
+            return joined(of), {"cell": joined(cell), "least": joined(least)}
+
+        return run
+
+    return rows_made(queries.select("vec_id", "v"), ["vec_id", "v"], {"cell": "int", "least": "long"}, start)
+
+
+def _cell(k: int) -> object:
     def matrix(blob: bytes, dim: int) -> np.ndarray:
         return np.frombuffer(blob, "<i8").reshape(-1, dim)
 
-    def dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        if a.size and b.size and float(np.abs(a).max()) * float(np.abs(b).max()) * a.shape[1] < 2**53:
-            return (a.astype(np.float64) @ b.T.astype(np.float64)).astype(np.int64)
-        return a @ b.T
-
     def best(ids: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order = np.lexsort((ids, -scores))[:k]
         return ids[order], scores[order]
@@ -105,19 +165,13 @@ def _cell(k: int, seeds: tuple[np.ndarray, np.ndarray] | None) -> object:
         if blocks.empty or queries.empty:
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
         out = []
-        for dim, asked in queries.groupby(queries["v"].map(len)):
+        for dim, asked_ in queries.groupby(queries["v"].map(len)):
             own = blocks[blocks["dim"] == dim]
             if own.empty:
                 continue
-            q_ids, q = asked["vec_id"].to_numpy(), np.stack(asked["v"].to_numpy()).astype(np.int64)
+            q_ids, q, least = asked_["vec_id"].to_numpy(), np.stack(asked_["v"].to_numpy()).astype(np.int64), asked_["least"].to_numpy().copy()
             hi, lo = np.stack([np.frombuffer(b, "<i8") for b in own["hi"]]), np.stack([np.frombuffer(b, "<i8") for b in own["lo"]])
-            bound = dot(np.maximum(q, 0), hi) + dot(np.minimum(q, 0), lo)
-            least = np.full(len(q), np.iinfo(np.int64).min)
-            if seeds is not None and seeds[1].shape[1] == dim:
-                # the query's own row is below all others, and its negative still fits
-                found = np.where(seeds[0][None, :] == q_ids[:, None], -np.iinfo(np.int64).max, dot(q, seeds[1]))
-                if found.shape[1] >= k:
-                    least = -np.partition(-found, k - 1, axis=1)[:, k - 1]
+            bound = upper(q, hi, lo)
             kept = [(np.array([], np.int64), np.array([], np.int64))] * len(q)
             order = np.argsort(-bound, axis=1, kind="stable")
             index = [(np.frombuffer(i, "<i8"), matrix(d, dim)) for i, d in zip(own["ids"], own["data"], strict=True)]
@@ -148,17 +202,20 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """``query_id, rank, vec_id, score`` for quantised rows (``vec_id, v``)."""
     rows = written(candidates, "vectors")
     n = rows.count()
-    blocks = written(block_index(rows, n), "blocks")
+    index = written(block_index(rows, n), "blocks")
+    blocks, ends = index.where("ids != x''"), index.where("ids = x''")
     seed_rows = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SEEDS).collect() if n else []
     dims = {len(r["v"]) for r in seed_rows}
     seeds = (np.array([r["vec_id"] for r in seed_rows]), np.array([r["v"] for r in seed_rows], np.int64)) if len(dims) == 1 else None
-    cells = (blocks.agg(F.max("cell")).first()[0] or 0) + 1
+    size = ends.agg((F.max("cell") + 1).alias("cells"), F.sum(F.octet_length("hi") + F.octet_length("lo")).alias("bytes")).first()
+    small = (size["bytes"] or 0) <= BOUND_BYTES
+    bounds = [tuple(r) for r in ends.select("cell", "dim", "hi", "lo").collect()] if small else []
     groups = groups_for(queries.count(), QUERIES_PER_CELL, 1)
-    # the stated query set against all rows, in blocks: each block visits every
-    # group of queries, each query every group of blocks
+    # the stated query set against all rows, in blocks: a group of blocks visits the
+    # groups of queries, a query the cells that can hold one of its best
     left = blocks.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    right = queries.withColumn("group", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int")).withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
-    hits = left.groupBy("cell", "group").cogroup(right.groupBy("cell", "group")).applyInPandas(_cell(k, seeds), HIT)
+    right = asked(queries, k, seeds, bounds, size["cells"] or 0).withColumn("group", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int"))
+    hits = left.groupBy("cell", "group").cogroup(right.groupBy("cell", "group")).applyInPandas(_cell(k), HIT)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -51,6 +51,35 @@ def by_id(df):
     return {r["doc_id"]: r for r in df.collect()}
 
 
+BIG = 1 << 60
+WIDE = "doc_id long, text string, parts string, wholes int, doc_key string, doc string, n long, key string, id int, row string, doc_of int"
+
+
+@pytest.mark.parametrize("nulls", [False, True])
+def test_ids_above_53_bits_and_clashing_columns(spark, nulls):
+    """All operators and stages keep every bit of an id, with and without nulls beside it."""
+    rng = random.Random(1)
+    texts = {BIG + 1: words(rng, 80), BIG + 2: words(rng, 80), BIG + 3: words(rng, 80), -BIG - 5: "short"}
+    rows = [(k, t, "p", 1, "d", "x", 7, "k", 3, "r", 4) for k, t in texts.items()] + ([(None, words(rng, 80), None, None, None, None, None, None, None, None, None)] if nulls else [])
+    wide = spark.createDataFrame(rows, WIDE).coalesce(1)
+    ids = {*texts, *([None] if nulls else [])}
+    of = lambda df, c="doc_id": {r[c] for r in df.select(c).collect()}
+    model = quality.Model(None, (0.5,))
+    for made in (quality.score(wide, model), kd_sharding.shard_documents(wide, 2), bpe_codec.round_trip(wide), bpe_codec.decoded(bpe_codec.encoded(wide)), packing.pack_documents(wide), token_counts.count_tokens(wide), suffix_dedup.repeat_report(wide)):
+        assert of(made) == ids
+    groups = by_id(exact_dedup.exact_groups(wide))
+    assert set(groups) == ids and all(g["keep_id"] == k and g["kept"] for k, g in groups.items())
+    near = by_id(near_dedup.near_duplicates(wide))
+    assert set(near) == ids and all(g["class_id"] == k and g["kept"] for k, g in near.items())
+    turns = spark.createDataFrame([(k, 0, "user", "a") for k in ids], "conv_id long, turn long, role string, text string").coalesce(1)
+    assert of(chat_format.formatted(turns), "conv_id") == {*ids, -7}
+    for stage in (quality.keep_good(wide, model), exact_dedup.drop_exact_copies(wide), near_dedup.drop_near_copies(wide), suffix_dedup.without_repeats(wide)):
+        assert stage.columns == wide.columns and sorted(map(str, stage.collect())) == sorted(map(str, wide.collect()))
+    vectors = spark.createDataFrame([(k, [1.0, 0.5]) for k in [20 * (BIG // 20), *texts]] + ([(None, [9.0, 9.0])] if nulls else []), "vec_id long, embedding array<float>").coalesce(1)
+    hits = topk_search.search(vectors).collect()
+    assert {r["vec_id"] for r in hits} == set(texts) and {r["query_id"] for r in hits} == {20 * (BIG // 20)}
+
+
 def test_exact_groups(docs, rows, empty):
     norm = lambda t: __import__("re").sub(r"[\x20\x09-\x0D]+", " ", t or "")
     groups = {}
@@ -109,6 +138,12 @@ def test_chat_round_trip(spark):
     assert chat_format.formatted(df.limit(0)).count() == 1
 
 
+def test_chat_records_with_odd_keys(spark):
+    records = ['{"conv_id": 1, "messages": []}', '{"conv_id": 2, "messages": null}', '{"conv_id": 3, "messages": [{"role": "user", "content": "a", "name": "x"}], "meta": {"lang": "en"}}', '{"prompt": "p", "completion": null}', '{"id": 9007199254740993, "prompt": "p", "completion": "c", "score": 1}']
+    got = chat_format.canonical_json(spark.createDataFrame([(r,) for r in records], "record string"))
+    assert sorted((r["conv_id"] or 0, r["turn"], r["role"], r["text"]) for r in got.collect()) == [(0, 0, "user", "p"), (3, 0, "user", "a"), (9007199254740993, 0, "user", "p"), (9007199254740993, 1, "assistant", "c")]
+
+
 def test_chat_layouts(spark):
     records = ['{"id": 1, "instruction": "do", "output": "done"}', '{"id": 2, "conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a"}]}', '{"conv_id": 3, "messages": [{"role": "user", "content": "hi"}]}', '{"id": 4, "system": "s", "prompt": "p", "response": "r"}']
     got = chat_format.canonical_json(spark.createDataFrame([(r,) for r in records], "record string"))
@@ -168,6 +203,70 @@ def test_near_chains_match_brute_force(spark):
     assert {k: r["class_id"] for k, r in got.items()} == {k: find(k) for k in range(len(texts))}
 
 
+def order_similarity(one, two):
+    """Own alignment of two lists of words: longest common run of numbered five-word grams, by
+    patience sorting over their places, over all grams of both."""
+    import bisect
+    from collections import Counter
+
+    def grams(w):
+        seen, out = Counter(), []
+        for k in range(max(1, len(w) - 4) if w else 0):
+            g = tuple(w[k:k + 5])
+            out.append((g, seen[g]))
+            seen[g] += 1
+        return out
+
+    a, b = grams(one), grams(two)
+    place = {g: k for k, g in enumerate(b)}
+    piles = []
+    for g in a:
+        if g in place:
+            at = bisect.bisect_left(piles, place[g])
+            piles[at:at + 1] = [place[g]]
+    return len(piles) / max(1, len(a) + len(b) - len(piles))
+
+
+def test_near_classes_of_the_test_table_equal_brute_force(spark):
+    """All pairs that share a five-word gram, aligned by code of its own; classes by union."""
+    import re
+    from collections import defaultdict
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    split = {r["doc_id"]: re.findall("[^\x00-\x20]+", (r["text"] or "").lower()) for r in docs.collect()}
+    texts = defaultdict(list)
+    for k, w in split.items():
+        texts[tuple(w)].append(k)
+    first = {w: min(ids) for w, ids in texts.items()}
+    holders = defaultdict(set)
+    for w, k in first.items():
+        for at in range(max(1, len(w) - 4) if w else 0):
+            holders[w[at:at + 5]].add(k)
+    shared = defaultdict(int)
+    for ids in holders.values():
+        ids = sorted(ids)
+        for i, a in enumerate(ids):
+            for b in ids[i + 1:]:
+                shared[a, b] += 1
+    root = {k: k for k in first.values()}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    links = 0
+    for (a, b), n in shared.items():
+        size = len(split[a]) + len(split[b])
+        if n >= 0.2 * size / 2 and order_similarity(split[a], split[b]) >= 0.8 - 1e-12:
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+            links += 1
+    expected = {k: find(first[tuple(w)]) for k, w in split.items()}
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(docs).collect()}
+    assert links >= 5 and got == expected
+
+
 def test_near_pairs_in_hot_buckets(spark):
     """Thousands of different texts share one passage; the few near ones share nothing else."""
     rng = random.Random(23)
@@ -222,6 +321,19 @@ def test_genetic_operators_keep_all_items():
     assert packing.lower_bound(sizes, 2048) <= len(set(best)) <= len(set(first))
 
 
+def test_islands_beat_best_fit_on_triplets(spark):
+    """Sizes that fill bins only in exact threes: crossover and migration must find better bins."""
+    rng = np.random.default_rng(5)
+    sizes = []
+    for _ in range(40):
+        a, b = rng.integers(500, 900), rng.integers(400, 700)
+        sizes += [int(a), int(b), int(2048 - a - b)]
+    first = len(set(packing.best_fit(np.full(len(sizes), -1), np.array(sizes), np.arange(len(sizes)), 2048)))
+    pieces = spark.createDataFrame([(k, 0, 0, s, k) for k, s in enumerate(sizes)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    got = packing.pack(pieces, 2048, islands=3, epochs=4, generations=60).groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()
+    assert max(r["n"] for r in got) <= 2048 and 40 <= len(got) < first
+
+
 def test_bpe_codec(docs, rows, empty):
     tk = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     got = by_id(bpe_codec.round_trip(docs))
@@ -259,6 +371,45 @@ def test_top_k(spark):
     assert topk_search.search(df.limit(0)).count() == 0
 
 
+def test_top_k_without_cell_bounds_and_with_several_lengths(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    table = [(k, rng.normal(size=4 if k % 3 else 6).tolist()) for k in range(900)]
+    monkeypatch.setattr(topk_search, "BLOCKS_PER_CELL", 1)
+    monkeypatch.setattr(topk_search, "SEEDS", 100)
+    df = spark.createDataFrame(table, "vec_id long, embedding array<double>")
+    whole = {tuple(r) for r in topk_search.search(df, 7).collect()}
+    monkeypatch.setattr(topk_search, "BOUND_BYTES", -1)
+    assert {tuple(r) for r in topk_search.search(df, 7).collect()} == whole
+    v = {k: np.floor(64 * np.array(x)).astype(int) for k, x in table}
+    for q in range(0, 900, 20):
+        best = sorted((-int(v[q] @ v[c]), c) for c in v if c != q and len(v[c]) == len(v[q]))[:7]
+        assert {(q, n + 1, c, -s) for n, (s, c) in enumerate(best)} <= whole
+    assert len(whole) == 45 * 7
+
+
+@pytest.mark.parametrize("rule", token_counts.RULES)
+def test_token_sections(spark, rule):
+    text = "alpha beta gamma delta"
+    sections = [[(6, 10), (0, 5)], None, [], [(2, 8), (None, 3), (8, 22)]]
+    df = spark.createDataFrame([(k, text, s) for k, s in enumerate(sections)], "doc_id long, text string, fields array<struct<start:long,end:long>>")
+    tk = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    spans = tk.encode(text, add_special_tokens=False).offsets
+    got = {}
+    for r in token_counts.count_tokens(df, "fields", rule).collect():
+        if r["n_tokens"]:
+            got.setdefault(r["doc_id"], {})[r["start"]] = r["n_tokens"]
+    for k, told in enumerate(sections):
+        bounds = sorted(s for s in told or [] if s[0] is not None)
+        at = lambda c, bounds=bounds: next((a for a, b in bounds if a <= c < b), -1)
+        expected = {}
+        for a, b in spans:
+            inside = [at(c) for c in range(a, b)]
+            own = {"first": inside[0], "last": inside[-1], "most": max(inside, key=lambda x: (inside.count(x), -inside.index(x)))}[rule]
+            expected[own] = expected.get(own, 0) + 1
+        assert got[k] == expected
+    assert token_counts.count_tokens(df.limit(0), "fields", rule).count() == 0
+
+
 @pytest.mark.parametrize("rule", token_counts.RULES)
 def test_token_counts(docs, rows, rule):
     tk = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
@@ -342,6 +493,31 @@ def test_interval_expansion_against_brute_force():
             assert joined[k] == (n >= 6)
 
 
+def test_scores_by_hand(spark):
+    """The score of a fitted model, from compressed sizes taken with the library directly."""
+    import zstandard
+
+    rng = random.Random(17)
+    good, bad = ([" ".join(rng.choices(vocabulary, k=120)) for _ in range(80)] for vocabulary in (words(rng, 60).split(), words(rng, 60).split()))
+    docs = spark.createDataFrame(list(enumerate(good + bad)) + [(999, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k < 80), 0) for k in range(160)], "doc_id long, quality int, toxic int")
+    model = quality.train(docs, labels)
+    got = {r["doc_id"]: r["score"] for r in quality.score(docs, model).collect()}
+    assert model.dictionaries is not None and all(0 <= s <= 1 for s in got.values())
+
+    def size(data, raw):
+        made = zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(raw), write_content_size=False, write_checksum=False, write_dict_id=False)
+        blocks = [data[k:k + quality.BLOCK] for k in range(0, len(data), quality.BLOCK)]
+        return sum(len(made.compress(b)) - len(made.compress(b"")) for b in blocks)
+
+    for k, text in enumerate(good + bad):
+        data = text.encode()
+        b, g = (size(data, raw) for raw in model.dictionaries)
+        x = [1.0, (b - g) / (len(data) + 20), (b - g) / (b + g + 20), (b + g) / (len(data) + 20)]
+        assert got[k] == pytest.approx(1 / (1 + np.exp(-np.clip(np.dot(x, model.weights), -30, 30))), rel=1e-9)
+    assert np.mean([got[k] >= 0.3 for k in range(80)]) > 0.9 and np.mean([got[k] < 0.3 for k in range(80, 160)]) > 0.9
+
+
 def test_quality(spark, empty):
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
@@ -359,10 +535,62 @@ def test_keep_documents_keeps_one_row_a_kept_text(spark):
 
     docs = spark.createDataFrame([(1, "a", "k"), (1, "b", "k"), (2, "c", "k"), (2, "c", "k"), (3, "d", "k"), (None, "e", "k"), (None, "f", "k"), (None, "e", "k")], "doc_id long, text string, key string")
     kept = docs.where("text in ('b', 'c', 'e')").select("doc_id", text_key().alias("key"))
-    got = keep_documents(docs, kept)
+    got = keep_documents(docs, kept, docs.select("doc_id", text_key().alias("key")))
     assert got.columns == docs.columns and sorted((r["doc_id"] or 0, r["text"]) for r in got.collect()) == [(0, "e"), (1, "b"), (2, "c")]
 
 
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    """Good and bad text, copies, near copies and a passage, worked out without the operators."""
+    import re
+    import zlib
+
+    import corpus_pipeline
+
+    rng = random.Random(77)
+    good, bad = (words(rng, 80).split() for _ in range(2))
+    text = lambda vocabulary, n: " ".join(rng.choices(vocabulary, k=n))
+    passage = text(good, 60)
+    texts = [text(good, 150) for _ in range(70)] + [text(bad, 150) for _ in range(70)]
+    kind = [1] * 70 + [0] * 70
+    texts += [texts[3].replace(" ", " \t"), texts[4]]  # equal but for spaces
+    near = texts[5].split()
+    near[70] = "other"
+    texts += [" ".join(near), text(good, 50) + " " + passage + " é " + text(good, 40), text(good, 30) + " " + passage + " " + text(good, 60)]
+    kind += [1] * 5
+    ids = [BIG + 7 * k for k in range(len(texts))]
+    rows = [(i, t, "en", "s", len(t)) for i, t in zip(ids, texts, strict=True)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, k, 0) for i, k in zip(ids[:140], kind, strict=False)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    kept = {i: t for i, t, k in zip(ids, texts, kind, strict=True) if k}
+    seen = set()
+    for i in sorted(kept):
+        key = re.sub(r"[\x20\x09-\x0D]+", " ", kept[i])
+        if key in seen:
+            del kept[i]
+        seen.add(key)
+    for i in sorted(kept):
+        if any(j < i and order_similarity(kept[j].split(), kept[i].split()) >= 0.8 for j in list(kept)):
+            del kept[i]
+    assert len(kept) == 70 + 2
+    grams, cut = {}, {}
+    for i, t in sorted(kept.items()):
+        b = t.encode()
+        mask = np.zeros(len(b), bool)
+        for p in range(len(b) - 49):
+            if grams.setdefault(b[p:p + 50], i) < i:
+                mask[p:p + 50] = True
+        cut[i] = np.frombuffer(b, np.uint8)[~mask].tobytes().decode(errors="ignore")
+    assert sum(cut[i] != kept[i] for i in kept) == 1
+    tk = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {(g["doc_id"], g["start"], g["length"], g["ids_crc32"]) for g in got} == {
+        (i, 0, len(told), zlib.crc32(np.array(told, "<u4").tobytes())) for i, t in cut.items() for told in [[*tk.encode(t, add_special_tokens=False).ids, 0]]}
+    fills = {}
+    for g in got:
+        fills[g["sequence_id"]] = fills.get(g["sequence_id"], 0) + g["length"]
+    assert max(fills.values()) <= 2048 and len(fills) == 18  # four of these 72 at most in one
+
+
 def test_pipeline_stages(spark, docs, rows, tmp_path):
     import corpus_pipeline
 
