@@ -53,11 +53,20 @@ def mass_bins(scans: DataFrame, width: float) -> DataFrame:
     return scans.groupBy("file_id", F.floor(F.col("mz") / width).alias("bin")).agg(F.sum("intensity").alias("intensity"), F.max_by("mz", F.struct("intensity", "mz")).alias("base_mz"))
 
 
-def nearest_survey(scans: DataFrame) -> DataFrame:
-    """Each MSn row with the last MS1 scan at or before it in its file (as-of)."""
-    order = Window.partitionBy("file_id").orderBy("rt", "scan_id").rowsBetween(Window.unboundedPreceding, 0)
-    survey = F.last(F.when(F.col("ms_level") == 1, F.col("scan_id")), ignorenulls=True).over(order)
-    return scans.withColumn("survey_id", survey).where("ms_level > 1")
+def nearest_survey(scans: DataFrame, width: float = 60.0) -> DataFrame:
+    """Each MSn row with the last MS1 scan at or before it in its file (as-of).
+
+    Rows are ordered within time bins of a file only; what a bin begins with comes from a
+    table of the bins' last surveys.
+    """
+    placed = scans.withColumn("_bin", F.floor(F.col("rt") / width))
+    survey = F.when(F.col("ms_level") == 1, F.col("scan_id"))
+    ends = placed.groupBy("file_id", "_bin").agg(F.max_by("scan_id", F.when(F.col("ms_level") == 1, F.struct("rt", "scan_id"))).alias("end"))
+    over = Window.partitionBy("file_id").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    begins = ends.select("file_id", "_bin", F.last("end", ignorenulls=True).over(over).alias("_begin"))
+    inside = Window.partitionBy("file_id", "_bin").orderBy("rt", "scan_id").rowsBetween(Window.unboundedPreceding, 0)
+    met = placed.withColumn("_own", F.last(survey, ignorenulls=True).over(inside)).where("ms_level > 1").join(begins, ["file_id", "_bin"])
+    return met.withColumn("survey_id", F.coalesce("_own", "_begin")).drop("_own", "_begin", "_bin")
 
 
 def contour_grid(scans: DataFrame, rt_bins: int, mz_bins: int) -> DataFrame:

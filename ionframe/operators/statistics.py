@@ -45,15 +45,26 @@ def calibration(values: DataFrame, samples: DataFrame) -> DataFrame:
     return met.groupBy("batch").agg(F.regr_slope("height", "x").alias("slope"), F.regr_intercept("height", "x").alias("intercept"), F.regr_r2("height", "x").alias("r2"))
 
 
-def adjusted(p_values: DataFrame, by: str) -> DataFrame:
-    """Benjamini-Hochberg, Holm and Bonferroni within each ``by`` (null p stays out)."""
-    known = p_values.where(F.col("p").isNotNull() & ~F.isnan("p"))
-    up = Window.partitionBy(by).orderBy("p", "id")
-    marked = known.withColumn("r", F.row_number().over(up)).withColumn("m", F.count("*").over(Window.partitionBy(by)))
-    falling = Window.partitionBy(by).orderBy(F.desc("p"), F.desc("id")).rowsBetween(Window.unboundedPreceding, 0)
-    bh = F.least(F.lit(1.0), F.min(F.col("p") * F.col("m") / F.col("r")).over(falling))
-    holm = F.least(F.lit(1.0), F.max(F.col("p") * (F.col("m") - F.col("r") + 1)).over(up.rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.select("id", by, "p", bh.alias("bh"), holm.alias("holm"), F.least(F.lit(1.0), F.col("p") * F.col("m")).alias("bonferroni"))
+def adjusted(p_values: DataFrame, by: str, bins: int = 1000) -> DataFrame:
+    """Benjamini-Hochberg, Holm and Bonferroni within each ``by`` (null p stays out).
+
+    Rows are ordered within bins of p only: ranks start from the counts of the bins before,
+    and the running extremes over other bins come from a table of the bins' own.
+    """
+    known = p_values.where(F.col("p").isNotNull() & ~F.isnan("p")).withColumn("_bin", F.floor(F.col("p") * bins))
+    counts = known.groupBy(by, "_bin").agg(F.count("*").alias("n"))
+    before = Window.partitionBy(by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy(by).orderBy(F.desc("_bin")).rowsBetween(Window.unboundedPreceding, -1)
+    based = counts.select(by, "_bin", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"), F.sum("n").over(Window.partitionBy(by)).alias("m"))
+    up = Window.partitionBy(by, "_bin").orderBy("p", "id")
+    marked = known.join(based, [by, "_bin"]).withColumn("r", F.row_number().over(up) + F.col("base"))
+    marked = marked.withColumns({"step_up": F.col("p") * F.col("m") / F.col("r"), "step_down": F.col("p") * (F.col("m") - F.col("r") + 1)})
+    ends = marked.groupBy(by, "_bin").agg(F.min("step_up").alias("low"), F.max("step_down").alias("high"))
+    others = ends.select(by, "_bin", F.min("low").over(after).alias("low_after"), F.max("high").over(before).alias("high_before"))
+    falling = Window.partitionBy(by, "_bin").orderBy(F.desc("p"), F.desc("id")).rowsBetween(Window.unboundedPreceding, 0)
+    met = marked.withColumns({"low": F.min("step_up").over(falling), "high": F.max("step_down").over(up.rowsBetween(Window.unboundedPreceding, 0))}).join(others, [by, "_bin"])
+    bh, holm = F.least(F.lit(1.0), "low", "low_after"), F.least(F.lit(1.0), F.greatest("high", "high_before"))
+    return met.select("id", by, "p", bh.alias("bh"), holm.alias("holm"), F.least(F.lit(1.0), F.col("p") * F.col("m")).alias("bonferroni"))
 
 
 def enrichment_counts(hits: DataFrame, members: DataFrame, least: int = 3) -> DataFrame:

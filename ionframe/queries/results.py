@@ -65,9 +65,11 @@ def named_total_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
         sum(w) AS w, sum(w * x) AS wx, sum(w * y) AS wy, sum(w * x * x) AS wxx, sum(w * x * y) AS wxy FROM w GROUP BY spot_id, file_id),
     f AS (SELECT spot_id, file_id, mean, CASE WHEN nb < 3 THEN level WHEN far <= 0 THEN plain WHEN abs(w * wxx - wx * wx) < 1e-12 THEN wy / w
         ELSE (wy - (w * wxy - wx * wy) / (w * wxx - wx * wx) * wx) / w + (w * wxy - wx * wy) / (w * wxx - wx * wx) * a END AS fit FROM s WHERE n >= 3)
-    SELECT v.spot_id, v.file_id, v.height AS value, round(CASE WHEN fit > 0 THEN v.height / fit * mean ELSE v.height END, 3) AS corrected FROM v LEFT JOIN f USING (spot_id, file_id)""")
+    SELECT v.spot_id, v.file_id, v.height AS value, round(CASE WHEN fit > 0 THEN mean / fit ELSE 1 END, 6) AS factor FROM v LEFT JOIN f USING (spot_id, file_id)""")
 def drift_corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(quantities.drift_corrected(_values(spark, sf_dir), views.sample(spark, sf_dir)), 3, "corrected")
+    """What each height is multiplied with."""
+    out = quantities.drift_corrected(_values(spark, sf_dir), views.sample(spark, sf_dir))
+    return out.select("spot_id", "file_id", "value", F.round(F.col("corrected") / F.col("value"), 6).alias("factor"))
 
 
 FOLDS = with_views("sample", "spot_peak") + """, m AS (SELECT spot_id, avg(CASE WHEN batch = 1 THEN height END) AS a, avg(CASE WHEN batch = 2 THEN height END) AS b
