@@ -589,4 +589,4 @@ def kruskal_p(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES |= {f.__name__: f for f in (welch_p, anova_p, kruskal_p)}
 
 # queries by subject register themselves
-from ionframe.queries import alignment, exports, names, results, searches, spectra  # noqa: E402, F401
+from ionframe.queries import alignment, exports, names, results, searches, spectra, summaries  # noqa: E402, F401

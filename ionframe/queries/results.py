@@ -13,6 +13,11 @@ from ionframe.queries.names import NAMES, _named
 from ionframe.registry import query, rounded
 
 
+#: Every spot and file: zero where there is no peak.
+DENSE_SQL = """, spots AS (SELECT DISTINCT spot_id FROM spot_peak),
+    dense AS (SELECT spot_id, file_id, class, sample_type, coalesce(height, 0) AS h FROM spots CROSS JOIN sample LEFT JOIN spot_peak USING (spot_id, file_id))"""
+
+
 def _values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.spot_peak(spark, sf_dir).select("spot_id", "file_id", "height")
 
