@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,8 @@ from ionframe.operators import matrix, network
 from ionframe.plans import views
 from ionframe.plans.views import with_views
 from ionframe.registry import query
-from ionframe.sources import records
+from ionframe.sources import mzml, records
+from ionframe.tables import shared_dir
 
 
 def _spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,3 +91,34 @@ def curation_undone(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     undone = events.where((F.col("event_type") == "view") & (F.col("value") < 20)).select("event_id")
     return matrix.state_without(events, undone, "event_id", "user_id", ["ts", "event_id"], "event_type")
+
+
+def _mzml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spectra written as mzML files to the shared folder and read back by the reader."""
+    told = _spectra(spark, sf_dir).select(
+        F.substring("name", 2, 20).cast("int").alias("scan_idx"), F.col("name").alias("id"), F.lit(2).alias("ms_level"), F.lit("+").alias("polarity"),
+        (F.substring("name", 2, 20).cast("double") / 100).alias("rt"), F.struct(F.col("precursor_mz").alias("mz")).alias("precursor"), "peaks")
+    path = f"{shared_dir(spark)}/tables/mzml-{uuid.uuid4().hex}"
+    mzml.file_text(told).write.text(path)
+    return mzml.read_mzml(spark, path)
+
+
+@query(with_views("spectrum", "fragment") + """SELECT 'S' || spectrum_id AS name, round(any_value(precursor_mz), 6) AS parent, round(spectrum_id / 100, 4) AS rt, count(*) AS n_peaks,
+    round(sum(mz * intensity), 4) AS weighted FROM spectrum JOIN fragment USING (spectrum_id) GROUP BY spectrum_id""")
+def mzml_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weighted = F.aggregate("peaks", F.lit(0.0), lambda t, p: t + p["mz"] * p["intensity"])
+    return _mzml(spark, sf_dir).select(F.col("id").alias("name"), F.round("precursor.mz", 6).alias("parent"), F.round("rt", 4).alias("rt"), F.size("peaks").cast("long").alias("n_peaks"), F.round(weighted, 4).alias("weighted"))
+
+
+@query(with_views("spectrum", "fragment") + "SELECT 'S' || spectrum_id AS name FROM spectrum WHERE abs(precursor_mz - 120) <= 5 AND spectrum_id IN (SELECT spectrum_id FROM fragment)")
+def isolation_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scans that isolated a mass (no offsets here, so by their parents)."""
+    return mzml.in_window(_mzml(spark, sf_dir), 120.0, 5.0).select(F.col("id").alias("name"))
+
+
+@query(with_views("spectrum", "fragment") + """, n AS (SELECT spectrum_id, any_value(precursor_mz) AS m, count(*) AS n FROM spectrum JOIN fragment USING (spectrum_id) GROUP BY spectrum_id)
+    SELECT count(*) AS n_records, round(min(m), 5) AS min_mz, round(max(m), 5) AS max_mz, CAST(sum(n) AS BIGINT) AS n_peaks, max(n) AS most_peaks FROM n""")
+def library_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Read back from the records' text."""
+    told = records.summary(records.parse_msp(records.msp_text(_spectra(spark, sf_dir))))
+    return told.select("n_records", F.round("min_mz", 5).alias("min_mz"), F.round("max_mz", 5).alias("max_mz"), "n_peaks", F.col("most_peaks").cast("long").alias("most_peaks"))

@@ -131,3 +131,10 @@ def correlation_p(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = statistics.correlated(_values(spark, sf_dir), views.sample(spark, sf_dir)).select("spot_id", "n", "pearson")
     t = F.col("pearson") * F.sqrt((F.col("n") - 2) / (1 - F.col("pearson") * F.col("pearson")))
     return found.where("abs(pearson) < 1").withColumn("p", distributions.student_p(t, (F.col("n") - 2).cast("double")))
+
+
+@query(None)  # SQL has no normal distribution
+def mann_whitney_p(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two-sided p of U between the two batches."""
+    met = _values(spark, sf_dir).join(views.sample(spark, sf_dir).select("file_id", F.col("batch").alias("grp")), "file_id")
+    return statistics.mann_whitney(met).withColumn("p", distributions.normal_p(F.col("z")))

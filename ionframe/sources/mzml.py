@@ -127,6 +127,18 @@ def spectra_text(rows: DataFrame) -> DataFrame:
     return rows.select("scan_idx", "id", "ms_level", "polarity", "rt", F.col("precursor.mz").alias("parent"), F.col("peaks.mz").alias("mz"), F.col("peaks.intensity").alias("intensity")).mapInPandas(run, "value string")
 
 
+def file_text(rows: DataFrame) -> DataFrame:
+    """Lines of whole files, one a partition (write them with ``write.text``): a run whose
+    spectra are the partition's."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame({"value": ['<?xml version="1.0" encoding="utf-8"?>', '<mzML xmlns="http://psi.hupo.org/ms/mzml" version="1.1.0"><run id="run"><spectrumList>']})
+        yield from batches
+        yield pd.DataFrame({"value": ["</spectrumList></run></mzML>"]})
+
+    return spectra_text(rows).mapInPandas(run, "value string")
+
+
 def _element(r: dict) -> str:
     from base64 import b64encode
     from xml.sax.saxutils import quoteattr
