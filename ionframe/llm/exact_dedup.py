@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ionframe.llm.shared import BROADCAST_IDS, groups_for, keep_documents, small_batches, text_or_empty, written
+from ionframe.llm.shared import BROADCAST_IDS, groups_for, keep_documents, release, small_batches, text_or_empty, written
 
 SPACES = r"[\x20\x09-\x0D]+"
 SLOTS = 4
@@ -195,6 +195,7 @@ def merged(rows: DataFrame) -> DataFrame:
                 yield sent()
                 held = {}
         yield sent()
+        release()
 
     return rows.select("doc_id", "digest").mapInArrow(run, "digest string, keep_id long, n long")
 
@@ -313,5 +314,5 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with the row of the smallest doc_id of each group of equal texts."""
-    kept = exact_groups(docs).where("kept").select("doc_id", F.col("text_sha256").alias("key"))
-    return keep_documents(docs, kept, text_digest())
+    rows = written(exact_groups(docs).select("doc_id", F.col("text_sha256").alias("key"), "kept"), "groups")
+    return keep_documents(docs, rows.where("kept"), rows.select("doc_id", "key"), text_digest())

@@ -49,7 +49,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ionframe.llm.hashing import mix, word_hashes
-from ionframe.llm.shared import groups_for, keep_documents, rows_made, small_batches, text_key, text_or_empty, written
+from ionframe.llm.shared import groups_for, keep_documents, release, rows_made, small_batches, text_key, text_or_empty, written
 
 K = 5
 SIMILARITY = 0.8
@@ -167,8 +167,8 @@ def bucket_members(texts: DataFrame) -> DataFrame:
     return spread.join(shared, ["t", "key"]).select("t", "key", "n", salt, "id", "size")
 
 
-def kmers_of(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """``id, mers`` of one row of each text in ``rows`` (``doc_id, key``)."""
+def kmers_of(docs: DataFrame, rows: DataFrame, seen: DataFrame) -> DataFrame:
+    """``id, mers`` of one row of each text in ``rows`` (``doc_id, key``); seen: those of all rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,9 +176,10 @@ def kmers_of(docs: DataFrame, rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([
                 pa.array([words_digest(m) for m in found], pa.binary()),
                 pa.array([m.view(np.int64) for m in found], pa.list_(pa.int64()))], names=["id", "mers"])
+        release()
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return keep_documents(texts, rows).select("text").mapInArrow(run, "id binary, mers array<long>")
+    return keep_documents(texts, rows, seen).select("text").mapInArrow(run, "id binary, mers array<long>")
 
 
 def near_sizes(one: str, two: str) -> Column:
@@ -277,6 +278,7 @@ def verified(kmers: DataFrame, pairs: DataFrame) -> DataFrame:
             similarity = aligned(mers, other, order=order)
             if similarity >= SIMILARITY - 1e-12:
                 found.append((a, b, similarity))
+        release()
         columns = list(zip(*found, strict=True)) or [(), (), ()]
         return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.binary(), pa.float64()), strict=True)], names=["a", "b", "similarity"])
 
@@ -371,7 +373,7 @@ def classified(docs: DataFrame) -> DataFrame:
     texts = written(rows.groupBy("id").agg(first, F.first("keys").alias("keys"), F.first("size").alias("size"), F.count("*").alias("n")), "texts")
     members = written(bucket_members(texts), "members")
     met = texts.join(members.select("id").distinct(), "id", "left_semi").select("first.doc_id", "first.key")
-    kmers = written(kmers_of(docs, met), "kmers")
+    kmers = written(kmers_of(docs, met, rows.select("doc_id", "key")), "kmers")
     roots = joined_classes(kmers, members)
     named = written(texts.join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("class"), "first", "n"), "classes")
     classes = named.groupBy("class").agg(F.min(F.struct("first", "id")).alias("keeper"), F.sum("n").alias("class_size"))
@@ -388,5 +390,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each class, that of its smallest doc_id."""
-    kept = classified(docs).where("kept").groupBy("class").agg(F.min(F.struct("doc_id", "key")).alias("row"))
-    return keep_documents(docs, kept.select("row.doc_id", "row.key"))
+    rows = written(classified(docs).select("doc_id", "key", "kept", "class"), "classified")
+    kept = rows.where("kept").groupBy("class").agg(F.min(F.struct("doc_id", "key")).alias("row"))
+    return keep_documents(docs, kept.select("row.doc_id", "row.key"), rows.select("doc_id", "key"))

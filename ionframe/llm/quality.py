@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ionframe.llm.shared import rows_made, small_batches, text_or_empty
+from ionframe.llm.shared import release, rows_made, small_batches, text_or_empty
 
 SAMPLE = 2500
 LONGEST = 20_000
@@ -174,5 +174,6 @@ def keep_good(docs: DataFrame, model: Model) -> DataFrame:
         scores = scorer(model)
         for batch in batches:
             yield batch.filter(pa.array(scores(batch.column("text").to_pylist()) >= THRESHOLD))
+        release()
 
     return docs.mapInArrow(run, docs.schema)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ def groups_for(rows: int, per_group: int, least: int = 1) -> int:
 
 
 #: Most that one Arrow batch may hold, whatever the length of its texts.
-BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 2 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -61,6 +62,7 @@ def rows_made(df: DataFrame, keys: list[str], fields: dict[str, str], start: Cal
             if of is not None:
                 own = [c.take(pa.array(np.asarray(of, np.int64))) for c in own]
             yield pa.RecordBatch.from_arrays([*own, *(pa.array(made[n], ARROW[t]) for n, t in fields.items())], names=[*keys, *fields])
+        release()
 
     small_batches(df.sparkSession)
     told = [f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys] + [f"`{n}` {t}" for n, t in fields.items()]
@@ -76,22 +78,41 @@ def text_key() -> Column:
     return F.unhex(F.substring(F.sha2(text_or_empty().cast("binary"), 256), 1, 32))
 
 
-def keep_documents(docs: DataFrame, kept: DataFrame, key: Column | None = None) -> DataFrame:
+def keep_documents(docs: DataFrame, kept: DataFrame, seen: DataFrame, key: Column | None = None) -> DataFrame:
     """Rows of ``docs`` whose (doc_id, ``key``) is in ``kept`` (``doc_id, key``), one a pair.
 
-    ``key``: an expression over ``docs`` that stands for the text, so of rows that share
-    a doc_id (or have none) only those with the kept text stay.
+    seen: the written ``doc_id, key`` of all rows of ``docs``; key: the expression over
+    ``docs`` that gives it. Where no rows share an id, ids alone tell them apart, and no text
+    is read for its key. The shorter of the lists of kept and of dropped rows is joined.
     """
     key = text_key() if key is None else key
-    pairs = written(kept.select("doc_id", "key").distinct(), "kept")
+    kept = written(kept.select("doc_id", "key").distinct(), "kept")
+    same = seen["doc_id"].eqNullSafe(kept["doc_id"]) & (seen["key"] == kept["key"])
+    gone = written(seen.join(kept, same, "left_anti").select("doc_id", "key").distinct(), "gone")
+    n_kept, n_gone = kept.count(), gone.count()
+    pairs, how, n = (kept, "left_semi", n_kept) if n_kept <= n_gone else (gone, "left_anti", n_gone)
+    shared = seen.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    if shared.isEmpty():
+        ids = pairs.select(F.col("doc_id").alias("of_doc"))
+        ids = F.broadcast(ids) if n <= BROADCAST_IDS else ids
+        return docs.join(ids, docs["doc_id"].eqNullSafe(ids["of_doc"]), how)
     # internal columns stand beside the row, whatever the row's columns are called
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), key.alias("key"))
-    right = F.broadcast(pairs) if pairs.count() <= BROADCAST_IDS else pairs
-    out = rows.join(right, rows["id"].eqNullSafe(right["doc_id"]) & (rows["key"] == right["key"]), "left_semi")
-    seen = docs.select(F.col("doc_id").alias("id"), key.alias("key"))
-    repeated = written(seen.groupBy("id", "key").agg(F.count("*").alias("n")).where("n > 1").select("id", "key"), "repeated")
-    if repeated.isEmpty():
-        return out.select("row.*")
-    same = out["id"].eqNullSafe(repeated["id"]) & (out["key"] == repeated["key"])
-    once = out.join(repeated, same, "left_semi").dropDuplicates(["id", "key"])
-    return out.join(repeated, same, "left_anti").unionByName(once).select("row.*")
+    out = rows.join(pairs, rows["id"].eqNullSafe(pairs["doc_id"]) & (rows["key"] == pairs["key"]), how)
+    repeated = written(seen.groupBy("doc_id", "key").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "key"), "repeated")
+    again = out["id"].eqNullSafe(repeated["doc_id"]) & (out["key"] == repeated["key"])
+    once = out.join(repeated, again, "left_semi").dropDuplicates(["id", "key"])
+    return out.join(repeated, again, "left_anti").unionByName(once).select("row.*")
+
+
+def release() -> None:
+    """Gives what a finished task held back to the system, as Python workers live on."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # another C library
+    _TRIM = None

@@ -50,14 +50,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ionframe.llm.hashing import mix, rolling
-from ionframe.llm.shared import BROADCAST_IDS, groups_for, small_batches, text_or_empty, written
+from ionframe.llm.shared import BROADCAST_IDS, groups_for, release, small_batches, text_or_empty, written
 
 LENGTH = 50
 GRAM = 28
 #: Contexts above so many bytes are told apart by a digest.
 LONG = 512
 #: Text that a task gathers before it merges equal contexts and sends them on.
-GATHER = 6 << 20
+GATHER = 2 << 20
 #: Bytes of text a name bucket stands for, and bytes of context a string bucket holds.
 PER_NAME_BUCKET = 3 << 20
 PER_STRING_BUCKET = 3 << 18
@@ -215,10 +215,12 @@ def _named(docs: DataFrame, buckets: int, hot_at: int, base: int) -> DataFrame:
                 held.append((names, contexts, np.full(len(names), doc, np.int64)))
                 size += len(text)
                 if size >= GATHER:
-                    yield send(held)
-                    held, size = [], 0
+                    made, held, size = send(held), [], 0
+                    release()
+                    yield made
         if held:
             yield send(held)
+        release()
 
     return docs.mapInPandas(run, SENT)
 
@@ -261,6 +263,7 @@ def _judge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         ask = np.flatnonzero(wanted[name_at])
         ask = ask[np.argsort(owner[ask])]
         out += [(kind, int(owner[ask[a]]), _packed48(name[ask[a:b]]), context[ask[a:b]].tobytes()) for a, b in _stretches(owner[ask])]
+    release()
     return pd.DataFrame(out, columns=columns)
 
 
@@ -350,6 +353,7 @@ def _fetch(buckets: int, base: int) -> object:
             yield pd.DataFrame(out, columns=STRING_COLUMNS)
         if hot:
             yield pd.DataFrame(_window_rows(hot, buckets, base), columns=STRING_COLUMNS)
+        release()
 
     return run
 
@@ -442,6 +446,8 @@ def _compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     least = np.minimum.reduceat(np.where(fits, docs, LAST), np.flatnonzero(~joined))
     covered = order[fits & (docs > least[group])]
     owner = np.searchsorted(begins, covered, "right") - 1
+    del order, joined, at, fits, docs, group
+    release()
     return pd.DataFrame(_spans(doc[owner], context[owner], covered - begins[owner] + place[owner]), columns=columns)
 
 
@@ -458,6 +464,7 @@ def _cut(base: int) -> object:
                 edges = np.diff(np.concatenate(([0], gone.view(np.int8), [0])))
                 out.append((doc, len(data), int(gone.sum()), int((edges == 1).sum()), data[~gone].tobytes()))
             yield pd.DataFrame(out, columns=["doc", "n_bytes", "n_removed", "n_spans", "kept"])
+        release()
 
     return run
 
@@ -558,6 +565,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                     data = as_bytes(texts[k] or "")
                     texts[k] = data[~covered_bytes(data, wholes, parts, base)].tobytes().decode(errors="ignore")
             yield rows.set_column(at, rows.schema.field(at), pa.array(texts, pa.string()))
+        release()
 
     rows = docs.select(F.struct("*").alias("row"), document_key().alias("doc"))
     out = rows.join(told, "doc", "left").select("row", "wholes", "parts").mapInArrow(run, docs.schema)
