@@ -265,7 +265,8 @@ def verified(kmers: DataFrame, pairs: DataFrame) -> DataFrame:
     dealt = dealt.join(large, "b", "left").select("a", "b", F.pmod(F.xxhash64("b", part), F.lit(cells)).alias("cell"))
     dealt = written(dealt, "cells")
     # only the k-mers of texts in pairs are shuffled while their ids are few
-    ids = written(dealt.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+    either = [dealt.select(F.col(c).alias("id")).distinct() for c in ("a", "b")]
+    ids = written(either[0].unionByName(either[1]).distinct(), "ids")
     kmers = kmers.join(_few(ids), "id", "left_semi")
     left = dealt.join(kmers.withColumnRenamed("id", "a"), "a")
     right = dealt.select("cell", "b").distinct().join(kmers.withColumnRenamed("id", "b"), "b").select("cell", "b", "mers").toDF("of_cell", "b", "mers")
