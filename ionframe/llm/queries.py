@@ -9,6 +9,7 @@ from ionframe.llm import (
     chat_format,
     exact_dedup,
     kd_sharding,
+    merkle,
     near_dedup,
     packing,
     quality,
@@ -16,6 +17,7 @@ from ionframe.llm import (
     token_counts,
     topk_search,
 )
+from ionframe.llm.oracle_texts import MERKLE
 from ionframe.llm.shared import table
 
 
@@ -60,6 +62,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeat_report(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified_manifest(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -77,10 +83,12 @@ QUERIES = {
     "op8_top_k": op8_top_k,
     "op9_token_counts": op9_token_counts,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_merkle": op11_merkle,
     "pipeline": pipeline,
 }
 
 ORACLE_SQL = {
+    "op11_merkle": MERKLE,
     "op2_exact_dedup": r"""
         WITH t AS (
             SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256
