@@ -46,3 +46,59 @@ MERKLE = f"""
     {_TOP_WALK}
     SELECT leaf.doc_id, leaf.h AS leaf, subroot, s_l5.h AS root, sha256(sib) AS proof_sha256, cur AS folded_root, cur = s_l5.h AS verified
     FROM leaf JOIN s_p4 USING (id) JOIN sub ON grp = leaf.g CROSS JOIN s_l5"""
+
+_LUHN = "list_sum(list_transform(range(length({d})), lambda k: CASE WHEN k % 2 = 0 THEN {d}[length({d}) - k]::INT WHEN {d}[length({d}) - k]::INT > 4 THEN {d}[length({d}) - k]::INT * 2 - 9 ELSE {d}[length({d}) - k]::INT * 2 END)) % 10 = 0"
+_DIGITS = "translate(p, ' +().-', '')"
+_IBAN = "replace(p, ' ', '')"
+_MOD = f"""list_reduce(list_prepend(0, list_transform(string_split(substr({_IBAN}, 5) || substr({_IBAN}, 1, 4), ''), lambda c: CASE WHEN ascii(c) >= 65 THEN ascii(c) - 55 ELSE ascii(c) - 48 END)),
+    lambda rest, d: (rest * CASE WHEN d > 9 THEN 100 ELSE 10 END + d) % 97) = 1"""
+_APART = "NOT (before = '' AND i > 2) AND NOT (after = '' AND i < n - 1) AND NOT regexp_matches(right(before, 1), '{c}') AND NOT regexp_matches(left(after, 1), '{c}')"
+#: Kind, whether it is base, pattern, what confirms it, score, words for and against it.
+_PII = (
+    ("email", True, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true", 0.9, "mail|email|contact|write|address", "example"),
+    ("ip", True, r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "len(list_filter(string_split(p, '.'), lambda x: CAST(x AS DOUBLE) > 255)) = 0", 0.6, "ip|server|host|address|client|login", "version|section|chapter"),
+    ("card", True, r"[0-9]([\x20-]?[0-9])+", f"CASE WHEN length({_DIGITS}) BETWEEN 12 AND 19 THEN {_LUHN.format(d=_DIGITS)} ELSE false END", 0.6, "card|visa|mastercard|amex|credit|debit|cvv|karte|carte|tarjeta", "order|invoice|tracking|isbn|serial|version|item|sku"),
+    ("phone", True, r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 9 AND 15", 0.7, "phone|tel|telephone|call|mobile|cell|fax|telefon|anruf|portable|llame", "order|invoice|tracking|isbn|serial|version|item|sku"),
+    ("iban", False, r"[A-Z]{2}[0-9]{2}((\x20[A-Z0-9]{4}){2,7}(\x20[A-Z0-9]{1,3})?|[A-Z0-9]{11,30})", f"{_APART.format(c='[A-Za-z0-9]')} AND {_MOD}", 0.8, "iban|account|bank|konto|compte|cuenta", "order|invoice|tracking|isbn|serial|version|item|sku"),
+    ("pan", False, r"([0-9]{4}([\x20-][0-9]{4}){3}|[0-9]{12,19})", f"{_APART.format(c='[0-9]')} AND {_LUHN.format(d=_DIGITS)}", 0.6, "card|visa|mastercard|amex|credit|debit|cvv|karte|carte|tarjeta", "order|invoice|tracking|isbn|serial|version|item|sku"),
+    ("tel", False, r"(\([0-9]{2,4}\)|0[0-9]{2,4})[\x20.-]?[0-9]{3,4}[\x20.-][0-9]{3,4}", _APART.format(c="[0-9]"), 0.3, "phone|tel|telephone|call|mobile|cell|fax|telefon|anruf|portable|llame", "order|invoice|tracking|isbn|serial|version|item|sku"),
+)
+
+
+def _kind(rank: int, name: str, base: bool, pattern: str, valid: str, score: float, words: str, against: str) -> str:
+    near = "translate(right(before, 40) || ' ' || left(after, 40), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    has = lambda w: f"CASE WHEN regexp_matches({near}, '(^|[^a-z])({w})($|[^a-z])') THEN 0.3 ELSE 0 END"
+    return f"""{name}_piece AS (SELECT id, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM (SELECT id, string_split(regexp_replace(t, '{pattern}', chr(1) || '\\0' || chr(1), 'g'), chr(1)) AS ps FROM told)),
+    {name}_at AS (SELECT id, p, i, count(*) OVER (PARTITION BY id) AS n, sum(length(p)) OVER w AS stop, coalesce(lag(p) OVER w, '') AS before, coalesce(lead(p) OVER w, '') AS after FROM {name}_piece WINDOW w AS (PARTITION BY id ORDER BY i)),
+    {name}_span AS (SELECT id, stop - length(p) AS start, {rank} AS rank, '{name}' AS kind, stop, least(1, greatest(0, {score} + {has(words)} - {has(against)})) AS score, {str(base).lower()} AS base
+        FROM {name}_at WHERE CASE WHEN i % 2 = 0 THEN {valid} ELSE false END)"""
+
+
+PII = """
+    WITH told AS (SELECT row_number() OVER () AS id, doc_id, replace(coalesce(text, ''), chr(1), chr(2)) AS t FROM documents),
+    """ + ",\n    ".join(_kind(n, *k) for n, k in enumerate(_PII)) + """,
+    spans AS (""" + " UNION ALL ".join(f"SELECT * FROM {k[0]}_span" for k in _PII) + """),
+    kept AS (SELECT * FROM spans s WHERE base OR (score >= 0.5 AND NOT EXISTS (SELECT 1 FROM spans b WHERE b.base AND b.id = s.id AND b.start < s.stop AND s.start < b.stop)))
+    SELECT doc_id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
+        sha256(coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (base), '')) AS base_sha256,
+        coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (kind IS NOT NULL), '') AS spans
+    FROM told LEFT JOIN kept USING (id) GROUP BY id, doc_id"""
+
+
+_BYTES = "list_transform(range(octet_length(encode({s}))), lambda i: ('0x' || substr(hex({s}), 2 * i + 1, 2))::BIGINT)"
+SPELLING = f"""
+    WITH RECURSIVE {CRC_TABLE},
+    runs AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\u00c0-\u00ff]{{7,}}')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+    seen AS (SELECT doc_id, run, count(*) AS k FROM runs GROUP BY doc_id, run),
+    slip AS (SELECT *, {CRC.format(bytes=_BYTES.format(s="(doc_id::VARCHAR || ':' || run)"))} AS h FROM seen, crc_table),
+    made AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, k FROM slip),
+    words AS (SELECT word, sum(k)::BIGINT AS n FROM made WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+    cut AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(length(word)))::INT AS i FROM words)),
+    pair AS (SELECT a.word, a.n, b.word AS near, b.n AS m FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+        UNION SELECT a.word, a.n, b.word, b.n FROM cut a JOIN words b ON a.rest = b.word
+        UNION SELECT b.word, b.n, a.word, a.n FROM cut a JOIN words b ON a.rest = b.word),
+    best AS (SELECT word, any_value(n) AS n, count(*) AS n_near, max(m) AS m, arg_min(near, struct_pack(a := -m, b := near)) AS near FROM pair GROUP BY word),
+    form AS (SELECT word, near AS form, m AS form_n FROM best WHERE m >= 10 * n),
+    walk AS (SELECT word, word AS root FROM words UNION ALL SELECT walk.word, form.form FROM walk JOIN form ON walk.root = form.word),
+    ends AS (SELECT word, root FROM walk ANTI JOIN form ON walk.root = form.word)
+    SELECT words.word, words.n, coalesce(n_near, 0) AS n_near, form, form_n, root FROM words LEFT JOIN best USING (word) LEFT JOIN form USING (word) JOIN ends USING (word)"""

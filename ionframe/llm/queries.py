@@ -12,12 +12,14 @@ from ionframe.llm import (
     merkle,
     near_dedup,
     packing,
+    pii,
     quality,
+    spelling,
     suffix_dedup,
     token_counts,
     topk_search,
 )
-from ionframe.llm.oracle_texts import MERKLE
+from ionframe.llm.oracle_texts import MERKLE, PII, SPELLING
 from ionframe.llm.shared import table
 
 
@@ -66,6 +68,14 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified_manifest(table(spark, sf_dir, "documents"))
 
 
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_report(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -84,11 +94,15 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_merkle": op11_merkle,
+    "op12_pii": op12_pii,
+    "op13_spelling": op13_spelling,
     "pipeline": pipeline,
 }
 
 ORACLE_SQL = {
     "op11_merkle": MERKLE,
+    "op12_pii": PII,
+    "op13_spelling": SPELLING,
     "op2_exact_dedup": r"""
         WITH t AS (
             SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256

@@ -37,6 +37,8 @@ def beside(rows: RDD, told: RDD, use: Callable[[int, list, list], Iterator]) ->
     Rows stay where they are; only ``told`` is shuffled.
     """
     n = rows.getNumPartitions()
-    sent = told.partitionBy(n, int).values().glom()
-    both = rows.glom().zip(sent)
-    return both.mapPartitionsWithIndex(lambda k, parts: (out for own, heard in parts for out in use(k, own, heard)))
+    sent = told.partitionBy(n, int)
+    more = sent.getNumPartitions() - n  # a session may hold a least number of partitions
+    own = rows.union(rows.context.parallelize([], more)) if more > 0 else rows
+    both = own.glom().zip(sent.values().glom())
+    return both.mapPartitionsWithIndex(lambda k, parts: (out for own, heard in parts if k < n for out in use(k, own, heard)))

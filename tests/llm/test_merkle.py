@@ -112,3 +112,12 @@ def test_partitions_hold_each_node_once(cuts):
             proof, level, place = part.climb(k)
             assert (level, place) in ragged or part.root is not None
             assert len(proof) == level
+
+
+def test_more_partitions_than_asked(spark, monkeypatch):
+    """A session may deal keys to more partitions than asked for."""
+    from pyspark import RDD
+
+    dealt = RDD.partitionBy
+    monkeypatch.setattr(RDD, "partitionBy", lambda self, n, *a: dealt(self, n + 5, *a))
+    checked(spark, [(k, "s", None, k, "T") for k in range(50)], 2)
