@@ -24,7 +24,7 @@ NOISE_SQL = """, d AS (SELECT file_id, y, abs(y - lag(y) OVER (PARTITION BY file
         ELSE nullif(stddev_samp(CASE WHEN k <= greatest(2, n // 2) THEN y END), 0) END AS noise FROM d JOIN m USING (file_id) GROUP BY d.file_id)"""
 
 
-@_query(with_views("scan") + """, x AS (SELECT file_id, rt, sum(intensity) AS y FROM scan WHERE ms_level = 1 AND mz BETWEEN 35 AND 45 GROUP BY file_id, rt)""" + NOISE_SQL + """,
+@_query(with_views("scan") + """, x AS (SELECT file_id, rt, sum(CASE WHEN mz BETWEEN 35 AND 45 THEN intensity ELSE 0 END) AS y FROM scan WHERE ms_level = 1 GROUP BY file_id, rt)""" + NOISE_SQL + """,
     a AS (SELECT *, row_number() OVER w AS pos, lead(rt) OVER w AS r2, lead(y) OVER w AS y2, lag(rt) OVER w AS r0, lag(y) OVER w AS y0, max(y) OVER (PARTITION BY file_id) AS top
         FROM x WINDOW w AS (PARTITION BY file_id ORDER BY rt)),
     t AS (SELECT file_id, min(pos) AS apex FROM a WHERE y = top AND top > 0 GROUP BY file_id),
@@ -47,8 +47,10 @@ def xic_peak_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(with_views("scan") + """, t AS (SELECT p_size AS target_id, CAST(p_size * 2 AS DOUBLE) AS target_mz FROM part GROUP BY p_size)
-    SELECT CAST(target_id AS BIGINT) AS target_id, file_id, count(*) AS n_points, round(sum(intensity), 4) AS total, round(max(intensity), 6) AS top
-    FROM scan JOIN t ON abs(mz - target_mz) <= 1.5 WHERE ms_level = 1 GROUP BY target_id, file_id""")
+    , p AS (SELECT target_id, file_id, rt, sum(intensity) AS y FROM scan JOIN t ON abs(mz - target_mz) <= 1.5 WHERE ms_level = 1 GROUP BY ALL),
+    n AS (SELECT file_id, count(DISTINCT rt) AS n_points FROM scan WHERE ms_level = 1 GROUP BY file_id)
+    SELECT CAST(target_id AS BIGINT) AS target_id, file_id, any_value(n_points) AS n_points, count(*) FILTER (y > 0) AS n_hits, round(sum(y), 4) AS total, round(max(y), 6) AS top
+    FROM p JOIN n USING (file_id) GROUP BY target_id, file_id""")
 def xic_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     targets = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_size").cast("long").alias("target_id"), (F.col("p_size") * 2).cast("double").alias("target_mz")).distinct()
     return _rounded(_rounded(scans.batch_xic(views.scan(spark, sf_dir), targets, 1.5), 4, "total"), 6, "top")
@@ -103,7 +105,7 @@ def contour_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(scans.contour_grid(views.scan(spark, sf_dir), 30, 20), 4, "intensity")
 
 
-@_query(with_views("scan") + """, x AS (SELECT file_id, rt, sum(intensity) AS y FROM scan WHERE ms_level = 1 AND mz BETWEEN 35 AND 45 GROUP BY file_id, rt)""" + NOISE_SQL + """
+@_query(with_views("scan") + """, x AS (SELECT file_id, rt, sum(CASE WHEN mz BETWEEN 35 AND 45 THEN intensity ELSE 0 END) AS y FROM scan WHERE ms_level = 1 GROUP BY file_id, rt)""" + NOISE_SQL + """
     SELECT file_id, round(noise, 6) AS noise FROM noise""")
 def noise_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(signal.automatic_noise(scans.xic(views.scan(spark, sf_dir), 40.0, 5.0)), 6, "noise")
@@ -373,7 +375,7 @@ def formula_masses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- ordered frames over chromatograms
 
-TRACE = with_views("scan") + ", x AS (SELECT file_id, rt, sum(intensity) AS v FROM scan WHERE ms_level = 1 AND mz BETWEEN 35 AND 65 GROUP BY file_id, rt)"
+TRACE = with_views("scan") + ", x AS (SELECT file_id, rt, sum(CASE WHEN mz BETWEEN 35 AND 65 THEN intensity ELSE 0 END) AS v FROM scan WHERE ms_level = 1 GROUP BY file_id, rt)"
 
 
 def _trace(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -589,4 +591,4 @@ def kruskal_p(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES |= {f.__name__: f for f in (welch_p, anova_p, kruskal_p)}
 
 # queries by subject register themselves
-from ionframe.queries import alignment, exports, names, results, searches, spectra, summaries  # noqa: E402, F401
+from ionframe.queries import alignment, exports, names, results, searches, spectra, spotting, summaries  # noqa: E402, F401

@@ -5,21 +5,34 @@ Input rows: ``scan_id, file_id, ms_level, rt, mz, intensity``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ionframe.operators.rangejoin import range_join
 
 
+def _summed(inside: Column) -> Column:
+    """Intensity where ``inside`` holds; a scan without such a peak is a point of zero."""
+    return F.sum(F.when(inside, F.col("intensity")).otherwise(0.0)).alias("intensity")
+
+
 def xic(scans: DataFrame, mz: float, tol: float = 0.01, ms_level: int = 1) -> DataFrame:
-    """Extracted-ion chromatogram: summed intensity in mz +- tol by file and time."""
-    return scans.where((F.col("ms_level") == ms_level) & F.col("mz").between(mz - tol, mz + tol)).groupBy("file_id", "rt").agg(F.sum("intensity").alias("intensity"))
+    """Extracted-ion chromatogram ``file_id, rt, intensity``: summed intensity in mz +- tol, a
+    point for every scan of the level, zero where nothing matches."""
+    return scans.where(F.col("ms_level") == ms_level).groupBy("file_id", "rt").agg(_summed(F.col("mz").between(mz - tol, mz + tol)))
 
 
 def batch_xic(scans: DataFrame, targets: DataFrame, tol: float) -> DataFrame:
-    """Several chromatograms at once: ``target_id, target_mz`` range-joined to the scans."""
-    met = range_join(scans.where("ms_level = 1"), targets, "mz", "target_mz", tol)
-    return met.groupBy("target_id", "file_id").agg(F.count("*").alias("n_points"), F.sum("intensity").alias("total"), F.max("intensity").alias("top"))
+    """Several chromatograms at once: ``target_id, target_mz`` range-joined to the scans.
+
+    A row a target and file with a matching peak: points of the trace (survey scans), those
+    above zero, the sum and the highest point. Other traces are zero throughout.
+    """
+    survey = scans.where("ms_level = 1")
+    met = range_join(survey, targets, "mz", "target_mz", tol)
+    points = met.groupBy("target_id", "file_id", "rt").agg(F.sum("intensity").alias("y"))
+    hits = points.groupBy("target_id", "file_id").agg(F.count_if(F.col("y") > 0).alias("n_hits"), F.sum("y").alias("total"), F.max("y").alias("top"))
+    return hits.join(survey.groupBy("file_id").agg(F.countDistinct("rt").alias("n_points")), "file_id").select("target_id", "file_id", "n_points", "n_hits", "total", "top")
 
 
 def gated(scans: DataFrame, mz: float, tol: float = 0.05) -> DataFrame:
@@ -114,10 +127,10 @@ def ion_chromatograms(scans: DataFrame) -> DataFrame:
 
 
 def product_ions(scans: DataFrame, precursor: tuple[float, float], product: tuple[float, float]) -> DataFrame:
-    """Product-ion chromatogram: summed intensity in a product range of the MSn scans whose
-    parents lie in a precursor range (both inclusive)."""
-    met = scans.where((F.col("ms_level") > 1) & F.col("parent_mz").between(*precursor) & F.col("product_mz").between(*product))
-    return met.groupBy("file_id", "rt").agg(F.sum("intensity").alias("intensity"))
+    """Product-ion chromatogram: summed intensity in a product range, a point for every MSn
+    scan whose parent lies in a precursor range (both inclusive), zero where nothing matches."""
+    met = scans.where((F.col("ms_level") > 1) & F.col("parent_mz").between(*precursor))
+    return met.groupBy("file_id", "rt").agg(_summed(F.col("product_mz").between(*product)))
 
 
 def amounts(fragments: DataFrame, targets: DataFrame, tol: float) -> DataFrame:

@@ -55,8 +55,8 @@ def peak_summary(trace: DataFrame) -> DataFrame:
     x minutes, the width is at half height between linear crossings; runs without a
     positive point have no row.
     """
-    points = numbered(trace, 1)
     run = Window.partitionBy("file_id")
+    points = _with_noise(numbered(trace, 1))
     top = F.max(F.struct("intensity", (-F.col("at")).alias("first"))).over(run)
     points = points.withColumn("_top", top).select("*", F.col("_top.intensity").alias("top"), (-F.col("_top.first")).alias("apex")).drop("_top").where("top > 0")
     points = points.withColumns({"side": F.signum(F.col("at") - F.col("apex")), "away": F.abs(F.col("at") - F.col("apex"))})
@@ -65,9 +65,8 @@ def peak_summary(trace: DataFrame) -> DataFrame:
     y, top_ = F.col("intensity"), F.col("top")
     edge = F.when(F.col("side") == 0, None).when(y <= top_ * 0.05, F.col("at")).when(y > valley + top_ * 0.1, F.col("at") - F.col("side"))
     points = points.withColumn("edge", edge.cast("int"))
-    first = lambda side: F.min_by("edge", F.when((F.col("side") == side) & F.col("edge").isNotNull(), F.col("away")))
-    bounds = points.groupBy("file_id").agg(F.coalesce(first(-1), F.min("at")).alias("left"), F.coalesce(first(1), F.max("at")).alias("right"))
-    met = points.join(bounds, "file_id")
+    first = lambda side: F.min_by("edge", F.when((F.col("side") == side) & F.col("edge").isNotNull(), F.col("away"))).over(run)
+    met = points.withColumns({"left": F.coalesce(first(-1), F.min("at").over(run)), "right": F.coalesce(first(1), F.max("at").over(run))})
     inside = (F.col("at") >= F.col("left")) & (F.col("at") < F.col("right"))
     piece = (F.col("rt_a1") - F.col("rt")) * (y + F.col("intensity_a1")) / 2
     low = y <= top_ / 2
@@ -78,9 +77,8 @@ def peak_summary(trace: DataFrame) -> DataFrame:
         F.first("left").alias("l"), F.first("right").alias("r"), at("apex", "rt").alias("apex_rt"), F.first("top").alias("apex_intensity"),
         at("left", "rt").alias("rt_left"), at("right", "rt").alias("rt_right"), F.coalesce(F.sum(F.when(inside, piece)), F.lit(0.0)).alias("area"),
         F.max_by(_crossing("", "_a1"), F.when(on_left, F.col("at"))).alias("half_left"),
-        F.min_by(_crossing("_b1", ""), F.when(on_right, F.col("at"))).alias("half_right"))
-    noise = automatic_noise(trace)
-    return summed.join(noise, "file_id", "left").select(
+        F.min_by(_crossing("_b1", ""), F.when(on_right, F.col("at"))).alias("half_right"), F.first("noise").alias("noise"))
+    return summed.select(
         "file_id", (F.col("r") - F.col("l") + 1).cast("long").alias("n_points"), "apex_rt", "apex_intensity", "rt_left", "rt_right", "area",
         (F.col("half_right") - F.col("half_left")).alias("fwhm"), "noise", (F.col("apex_intensity") / F.col("noise")).alias("snr"))
 
@@ -91,6 +89,20 @@ def _crossing(one: str, two: str) -> Column:
     return F.when(F.abs(y1 - y0) < 1e-12, (t0 + t1) / 2).otherwise(t0 + (F.col("top") / 2 - y0) / (y1 - y0) * (t1 - t0))
 
 
+def _with_noise(trace: DataFrame) -> DataFrame:
+    """A trace with ``n``, its points in the run, and the run's ``noise``; all frames are
+    those of runs, so nothing is shuffled again."""
+    run = Window.partitionBy("file_id")
+    points = trace.withColumns({"step": F.abs(F.col("intensity") - F.lag("intensity").over(_in_run())), "k": F.row_number().over(run.orderBy("intensity")), "n": F.count("*").over(run)})
+    points = points.withColumn("centre", F.median("step").over(run))
+    points = points.withColumns({
+        "mad": F.median(F.abs(F.col("step") - F.col("centre"))).over(run),
+        "lower": F.stddev_samp(F.when(F.col("k") <= F.greatest(F.lit(2), F.floor(F.col("n") / 2)), F.col("intensity"))).over(run)})
+    robust = F.when((F.col("centre") > 0) & (F.col("mad") > 0), F.col("mad") * 1.4826 / F.sqrt(F.lit(2.0)))
+    noise = F.when(F.col("n") >= 3, F.coalesce(robust, F.when(F.col("lower") > 0, F.col("lower"))))
+    return points.withColumn("noise", noise).drop("step", "k", "centre", "mad", "lower")
+
+
 def automatic_noise(trace: DataFrame) -> DataFrame:
     """``file_id, noise`` of runs with three points or more: median absolute deviation of
     the steps between points, as a standard deviation of one point; where that is zero, the
@@ -98,15 +110,7 @@ def automatic_noise(trace: DataFrame) -> DataFrame:
 
     Medians are exact: a trace has one point a scan, so a run's steps fit one buffer.
     """
-    run = Window.partitionBy("file_id")
-    rank = F.row_number().over(run.orderBy("intensity"))
-    steps = trace.select("file_id", "intensity", F.abs(F.col("intensity") - F.lag("intensity").over(_in_run())).alias("step"), rank.alias("k"), F.count("*").over(run).alias("n")).where("n >= 3")
-    centre = steps.groupBy("file_id").agg(F.median("step").alias("centre"))
-    met = steps.join(centre, "file_id").groupBy("file_id").agg(
-        F.first("centre").alias("centre"), F.median(F.abs(F.col("step") - F.col("centre"))).alias("mad"),
-        F.stddev_samp(F.when(F.col("k") <= F.greatest(F.lit(2), F.floor(F.col("n") / 2)), F.col("intensity"))).alias("lower"))
-    robust = F.when((F.col("centre") > 0) & (F.col("mad") > 0), F.col("mad") * 1.4826 / F.sqrt(F.lit(2.0)))
-    return met.select("file_id", F.coalesce(robust, F.when(F.col("lower") > 0, F.col("lower"))).alias("noise"))
+    return _with_noise(trace.select("file_id", "rt", "intensity")).where("n >= 3").groupBy("file_id").agg(F.first("noise").alias("noise"))
 
 
 def manual_noise(trace: DataFrame, rt_from: float, rt_to: float) -> DataFrame:
@@ -199,17 +203,17 @@ def gaps_filled(trace: DataFrame, centre: float, reach: float) -> DataFrame:
     From two points beside the apex the walk goes down to the local minimum on both sides;
     a higher apex inside takes over. Areas are in intensity x seconds.
     """
-    points = numbered(trace)
-    met = points.join(nearest_apex(points, centre, reach).select("file_id", F.col("at").alias("id"), F.col("intensity").alias("was")), "file_id")
+    run = Window.partitionBy("file_id")
     y, b1, a1 = (F.col(f"intensity{n}") for n in ("", "_b1", "_a1"))
-    left = F.max(F.when((F.col("at") <= F.col("id") - 2) & (b1.isNull() | (b1 >= y)), F.col("at")))
-    right = F.min(F.when((F.col("at") >= F.col("id") + 2) & (a1.isNull() | (y <= a1)), F.col("at")))
-    bounds = met.groupBy("file_id").agg(left.alias("l"), right.alias("r"))
-    met = met.join(bounds, "file_id")
+    away = F.abs(F.col("rt") - centre)
+    near = F.when(is_apex() & (away <= reach), F.struct(away, F.col("rt")))
+    met = numbered(trace).withColumns({"id": F.min_by("at", near).over(run), "was": F.min_by("intensity", near).over(run)}).where("id is not null")
+    left = F.max(F.when((F.col("at") <= F.col("id") - 2) & (b1.isNull() | (b1 >= y)), F.col("at"))).over(run)
+    right = F.min(F.when((F.col("at") >= F.col("id") + 2) & (a1.isNull() | (y <= a1)), F.col("at"))).over(run)
+    met = met.withColumns({"l": left, "r": right})
     shape = ((b1 <= y) & (y > a1)) | ((b1 < y) & (y >= a1))
     higher = shape & (F.col("at") > F.col("l")) & (F.col("at") < F.col("r")) & (y > F.col("was"))
-    apex = F.max_by("at", F.when(higher, F.struct("intensity", -F.col("at"))))
-    met = met.join(met.groupBy("file_id").agg(F.coalesce(apex, F.first("id")).alias("top")), "file_id")
+    met = met.withColumn("top", F.coalesce(F.max_by("at", F.when(higher, F.struct("intensity", -F.col("at")))).over(run), F.col("id")))
     piece = F.when((F.col("at") >= F.col("l")) & (F.col("at") < F.col("r")), (F.col("rt_a1") - F.col("rt")) * (y + a1) / 2)
     at = lambda place, c: F.max(F.when(F.col("at") == F.col(place), F.col(c)))
     out = met.groupBy("file_id").agg(

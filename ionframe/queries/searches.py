@@ -95,7 +95,7 @@ def scan_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-@query(with_views("scan") + """SELECT file_id, round(rt, 6) AS rt, round(sum(intensity), 6) AS intensity FROM scan WHERE ms_level > 1 AND mz BETWEEN 20 AND 60 AND intensity BETWEEN 5 AND 90 GROUP BY file_id, rt""")
+@query(with_views("scan") + """SELECT file_id, round(rt, 6) AS rt, round(sum(CASE WHEN intensity BETWEEN 5 AND 90 THEN intensity ELSE 0 END), 6) AS intensity FROM scan WHERE ms_level > 1 AND mz BETWEEN 20 AND 60 GROUP BY file_id, rt""")
 def product_ion_chromatogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Precursors 20 to 60; the peak's intensity stands for the product's m/z in this table."""
     s = views.scan(spark, sf_dir).withColumns({"parent_mz": F.col("mz"), "product_mz": F.col("intensity")})
@@ -128,12 +128,12 @@ mass_groups = query(None)(mass_groups)
 
 @query(with_views("scan") + """SELECT file_id, count(*) AS n_points, round(CASE WHEN count(*) > 1 AND max(y) > min(y) THEN max(y) - min(y) END, 6) AS peak_to_peak,
     round(CASE WHEN count(*) > 1 AND stddev_samp(y) > 0 THEN stddev_samp(y) END, 6) AS deviation
-    FROM (SELECT file_id, rt, sum(intensity) AS y FROM scan WHERE ms_level = 1 AND mz BETWEEN 35 AND 45 GROUP BY file_id, rt) WHERE rt BETWEEN 5000 AND 25000 GROUP BY file_id""")
+    FROM (SELECT file_id, rt, sum(CASE WHEN mz BETWEEN 35 AND 45 THEN intensity ELSE 0 END) AS y FROM scan WHERE ms_level = 1 GROUP BY file_id, rt) WHERE rt BETWEEN 5000 AND 25000 GROUP BY file_id""")
 def region_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(signal.manual_noise(scans.xic(views.scan(spark, sf_dir), 40.0, 5.0), 25000.0, 5000.0), 6, "peak_to_peak", "deviation")
 
 
-@query(with_views("scan") + """, x AS (SELECT file_id, rt, sum(intensity) AS y FROM scan WHERE ms_level = 1 AND mz BETWEEN 35 AND 65 GROUP BY file_id, rt),
+@query(with_views("scan") + """, x AS (SELECT file_id, rt, sum(CASE WHEN mz BETWEEN 35 AND 65 THEN intensity ELSE 0 END) AS y FROM scan WHERE ms_level = 1 GROUP BY file_id, rt),
     w AS (SELECT *, lead(rt) OVER o AS r2, lead(y) OVER o AS y2, row_number() OVER (PARTITION BY file_id ORDER BY y DESC, rt) AS k FROM x WHERE rt BETWEEN 8000 AND 30000 WINDOW o AS (PARTITION BY file_id ORDER BY rt))
     SELECT file_id, round(max(CASE WHEN k = 1 THEN rt END), 6) AS apex_rt, round(max(y), 6) AS height, round(min(rt), 6) AS rt_left, round(max(rt), 6) AS rt_right,
         round(sum((r2 - rt) * (y + y2) / 2) * 60, 2) AS area, round(greatest(0, sum((r2 - rt) * (y + y2) / 2) * 60 - (arg_min(y, rt) + arg_max(y, rt)) / 2 * (max(rt) - min(rt)) * 60), 2) AS area_above_baseline

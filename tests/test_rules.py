@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ionframe.functions import chemistry
 from ionframe.operators import leaders, matching, matrix, network, quantities, search, signal
+from ionframe.plans import views
+from ionframe.queries import alignment
 
 
 def trace_of(spark, *values):
@@ -153,37 +155,97 @@ def test_masters_equal_the_loop(spark):
     assert got == {m[0] for m in masters}
 
 
-def test_ion_groups_equal_the_loop(spark):
-    rng = random.Random(12)
-    steps = [*leaders.ADDUCT_STEPS.values(), leaders.SODIUM_FOR_AMMONIUM]
-    features = []
-    for k in range(120):
-        base = rng.choice([150.0, 200.0])
-        features.append((k, base + rng.choice([0, *steps, -18.010565, base - leaders.PROTON, 1.00336]), rng.choice([1.0, 1.03, 2.0]), float(rng.randint(1, 60)), rng.randint(0, 1), [float(rng.randint(1, 9)) for _ in range(4)]))
+def ion_loop(features, steps, rt_tol, mz_tol, least):
+    """Tallest first; features: (id, mz, rt, height, isotope weight, heights)."""
 
     def relation(f, o):
         up = o[1] - f[1]
-        if o[4] > 0 and abs(up - 1.00336 * o[4]) < 0.02:
+        if o[4] > 0 and abs(up - 1.00336 * o[4]) < 2 * mz_tol:
             return "isotope"
-        if any(abs(up - s) < 0.01 or abs(-up - s) < 0.01 for s in steps):
+        if any(abs(up - s) < mz_tol or abs(-up - s) < mz_tol for s in steps):
             return "adduct"
-        if abs(up - (f[1] - leaders.PROTON)) < 0.02:
+        if abs(up - (f[1] - leaders.PROTON)) < 2 * mz_tol:
             return "multimer"
-        return "in-source" if any(abs(-up - s) < 0.01 for s in leaders.LOSSES.values()) else None
+        return "in-source" if any(abs(-up - s) < mz_tol for s in leaders.LOSSES.values()) else None
 
-    expected = {}
+    found = {}
     for f in sorted(features, key=lambda f: (-f[3], f[0])):
-        if f[0] in expected:
+        if f[0] in found:
             continue
-        expected[f[0]] = (f[0], "representative")
+        found[f[0]] = (f[0], "representative")
         for o in features:
-            if o[0] not in expected and abs(o[2] - f[2]) <= 0.05 and np.std(f[5]) > 0 and np.std(o[5]) > 0 and np.corrcoef(f[5], o[5])[0, 1] >= 0.3 and relation(f, o):
-                expected[o[0]] = (f[0], relation(f, o))
+            if o[0] not in found and abs(o[2] - f[2]) <= rt_tol and relation(f, o) and np.std(f[5]) > 0 and np.std(o[5]) > 0 and np.corrcoef(f[5], o[5])[0, 1] >= least:
+                found[o[0]] = (f[0], relation(f, o))
+    return found
+
+
+def ion_steps(positive):
+    return [*leaders.ADDUCT_STEPS.values(), leaders.SODIUM_FOR_AMMONIUM] if positive else list(leaders.NEGATIVE_STEPS.values())
+
+
+@pytest.mark.parametrize("positive", [True, False])
+def test_ion_groups_equal_the_loop(spark, positive):
+    rng = random.Random(12)
+    steps = ion_steps(positive)
+    features = []
+    for k in range(120):
+        base = rng.choice([150.0, 200.0])
+        features.append((k, base + rng.choice([0, *steps, -18.010565, base - leaders.PROTON, 1.00336]), rng.choice([1.0, 1.03, 2.0]), float(rng.randint(1, 60)), rng.randint(0, 1), [float(rng.randint(1, 9)) for _ in range(4)]))
+    expected = ion_loop(features, steps, 0.05, 0.01, 0.3)
     df = spark.createDataFrame(features, "id long, mz double, rt double, height double, isotope_weight int, heights array<double>")
-    got = {r["id"]: (r["leader"], r["relation"]) for r in leaders.ion_groups(df, least=0.3).collect()}
+    got = {r["id"]: (r["leader"], r["relation"]) for r in leaders.ion_groups(df, least=0.3, positive=positive).collect()}
     assert got == expected and len({v[1] for v in got.values()}) >= 3
 
 
+@pytest.mark.parametrize("positive", [True, False])
+def test_ion_identity_of_the_tables(spark, positive):
+    """The query's own features: profiles are aligned by run."""
+    sf = "/root/testdata/sf0.001"
+    features = [tuple(r) for r in alignment.ion_features(spark, sf).collect()]
+    assert {len(f[5]) for f in features} == {10} and any(0.0 in f[5] for f in features)
+    query = alignment.ion_identity if positive else alignment.ion_identity_negative
+    got = {r["id"]: (r["leader"], r["relation"]) for r in query(spark, sf).collect()}
+    assert got == ion_loop(features, ion_steps(positive), 1.0, 0.5, 0.2) and len(set(got.values())) > 5
+
+
+def assignment_loop(peaks, masters, mz_tol, rt_tol):
+    """Peaks (id, file, mz, rt) in the order of ids; masters (id, mz, rt) by m/z and time."""
+    out = {}
+    masters = sorted(masters, key=lambda m: (m[1], m[2], m[0]))
+    for file in {p[1] for p in peaks}:
+        best = {}
+        for p in sorted(p for p in peaks if p[1] == file):
+            at, own = None, -1.0
+            for m, mz, rt in masters:
+                if abs(p[2] - mz) <= mz_tol and abs(p[3] - rt) <= rt_tol:
+                    factor = round(math.exp(-0.5 * ((p[2] - mz) / mz_tol) ** 2) + math.exp(-0.5 * ((p[3] - rt) / rt_tol) ** 2), 9)
+                    if factor > best.get(m, 0.0) and factor > own:
+                        at, own = m, factor
+                        best[m] = factor
+            if at is not None:
+                out[at, file] = p[0]
+    return out
+
+
+def test_assignment_equals_the_loop(spark):
+    """Dense masses: most peaks find their best master held, and some lose it again."""
+    rng = random.Random(5)
+    peaks = [(k, k % 3, round(rng.choice([rng.uniform(100, 103), rng.uniform(110, 111)]), 3), round(rng.uniform(0, 6), 2)) for k in range(400)]
+    masters = [(1000 + k, round(rng.choice([rng.uniform(100, 103), rng.uniform(110, 111)]), 3), round(rng.uniform(0, 6), 2)) for k in range(120)]
+    df = spark.createDataFrame(peaks, "peak_id long, file_id long, mz double, rt double")
+    ms = spark.createDataFrame(masters, "peak_id long, mz double, rt double")
+    got = {(r["master_id"], r["file_id"]): r["peak_id"] for r in leaders.assigned(df, ms, 0.3, 1.0).collect()}
+    assert got == assignment_loop(peaks, masters, 0.3, 1.0) and len(got) > 200
+
+
+def test_assignment_of_the_tables(spark):
+    sf = "/root/testdata/sf0.001"
+    peaks = [tuple(r) for r in views.peak(spark, sf).select("peak_id", "file_id", "mz", "rt").collect()]
+    found = {r["id"] for r in leaders.master_list(views.peak(spark, sf), 0.5, 3.0, 7).where("id = leader").collect()}
+    got = {(r["master_id"], r["file_id"]): r["peak_id"] for r in alignment.peak_assignment(spark, sf).collect()}
+    assert got == assignment_loop(peaks, [(p[0], p[2], p[3]) for p in peaks if p[0] in found], 0.5, 3.0)
+
+
 def test_pairs_and_strongest_edges_equal_loops(spark):
     rng = random.Random(2)
     edges = [(a, b, float(rng.randint(1, 8))) for a in range(25) for b in range(100, 120) if rng.random() < 0.2]

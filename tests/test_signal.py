@@ -7,7 +7,7 @@ import json
 import numpy as np
 import pytest
 
-from ionframe.operators import network, signal, statistics
+from ionframe.operators import network, scans, signal, statistics
 from ionframe.sources import records
 from ionframe.streaming import inbox
 
@@ -109,3 +109,20 @@ def test_running_state_over_a_stream(spark, tmp_path):
     query = inbox.running_state(stream, "spot_id", "ts", "tag").writeStream.outputMode("complete").format("memory").queryName("states").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     assert query.awaitTermination(60)
     assert [tuple(r) for r in spark.table("states").collect()] == [(1, "t2", 3)]
+
+
+def test_empty_scans_are_points_of_zero(spark):
+    """A survey scan without a matching peak ends a peak inside it and enters the noise."""
+    scans_ = [(k, 1, 1, float(k), 50.0, y) for k, y in enumerate((2.0, 10.0, 100.0, 40.0))]
+    scans_ += [(4, 1, 1, 4.0, 90.0, 7.0), (5, 1, 1, 5.0, 50.0, 60.0), (6, 1, 1, 6.0, 90.0, 7.0), (7, 1, 2, 7.0, 50.0, 9.0)]
+    frame = spark.createDataFrame(scans_, "scan_id long, file_id long, ms_level long, rt double, mz double, intensity double")
+    trace = scans.xic(frame, 50.0, 0.5)
+    assert [(r["rt"], r["intensity"]) for r in trace.orderBy("rt").collect()] == [(0.0, 2.0), (1.0, 10.0), (2.0, 100.0), (3.0, 40.0), (4.0, 0.0), (5.0, 60.0), (6.0, 0.0)]
+    got = signal.peak_summary(trace).first()
+    assert (got["rt_left"], got["rt_right"], got["n_points"], got["area"]) == (0.0, 4.0, 5, 6 + 55 + 70 + 20)
+    # steps 8, 90, 60, 40, 60, 60: centre 60, deviations 52, 30, 0, 20, 0, 0
+    assert got["noise"] == pytest.approx(10 * 1.4826 / np.sqrt(2))
+    targets = spark.createDataFrame([(1, 50.0), (2, 10.0)], "target_id long, target_mz double")
+    assert [tuple(r) for r in scans.batch_xic(frame, targets, 0.5).collect()] == [(1, 1, 7, 5, 212.0, 100.0)]
+    named = frame.selectExpr("file_id", "rt", "ms_level + 1 as ms_level", "mz as parent_mz", "intensity as product_mz", "intensity")
+    assert sorted(tuple(r) for r in scans.product_ions(named, (49.0, 51.0), (50.0, 200.0)).collect()) == [(1, float(t), y) for t, y in ((0, 0.0), (1, 0.0), (2, 100.0), (3, 0.0), (5, 60.0), (7, 0.0))]
