@@ -41,18 +41,17 @@ def linkage(distances: DataFrame, kind: str = "average") -> DataFrame:
     merges, step = None, 0
     while not pairs.isEmpty():
         told = pairs.join(sizes.toDF("a", "n_a", "w_a"), "a").join(sizes.toDF("b", "n_b", "w_b"), "b")
-        apart = written(told.select("a", "b", "s", _height(kind).alias("d")), "apart")
+        apart = told.select("a", "b", "s", _height(kind).alias("d"))
         ends = apart.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("other")), F.struct(F.col("b").alias("id"), F.col("a").alias("other")))).alias("e"), "a", "b", "d", "s")
         near = ends.groupBy("e.id").agg(F.min(F.struct("d", "a", "b", "s")).alias("best"))
         # a pair that both ends call their best
         both = near.groupBy("best").agg(F.count("*").alias("k")).where("k = 2").select("best.a", "best.b", "best.d", "best.s")
         now = written(both, "merged")
         size = now.join(sizes.toDF("a", "n_a", "w_a"), "a").join(sizes.toDF("b", "n_b", "w_b"), "b").withColumns({"n": F.col("n_a") + F.col("n_b"), "w": F.col("w_a") + F.col("w_b") + F.col("s")})
-        size = written(size, "grown")
         made = size.select(F.lit(step).alias("step"), F.col("a").alias("left"), F.col("b").alias("right"), F.col("d").alias("height"), F.col("n").alias("size"))
         merges = made if merges is None else merges.unionByName(made)
         gone = now.select(F.col("b").alias("old"), F.col("a").alias("new"))
-        moved = apart.select("a", "b", "s").join(gone.toDF("a", "to_a"), "a", "left").join(gone.toDF("b", "to_b"), "b", "left")
+        moved = pairs.join(gone.toDF("a", "to_a"), "a", "left").join(gone.toDF("b", "to_b"), "b", "left")
         moved = moved.select(F.coalesce("to_a", "a").alias("x"), F.coalesce("to_b", "b").alias("y"), "s").where("x != y")
         pairs = written(moved.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(joined("s").alias("s")), "pairs")
         kept = sizes.join(now.select(F.explode(F.array("a", "b")).alias("id")), "id", "left_anti")

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ionframe.operators.leaders import leaders
+from ionframe.tables import written
 
 PEAK = "file_id long, mz double, rt double, rt_left double, rt_right double, height double, area double, noise double, n_scans long, scan long"
 
@@ -114,41 +115,43 @@ def spot_peaks(scans: DataFrame, rule: Rule) -> DataFrame:
         return pa.table({"file_id": pa.array([file_id] * len(hits), pa.int64()), "target": pa.array([m for m, _ in hits], pa.float64()), "top": pa.array([s for _, s in hits], pa.int64())})
 
     targets = found.select("file_id", "slice", "scan", "mz", "intensity").groupBy("file_id", "slice").applyInArrow(apexes, "file_id long, target double, top long").distinct()
-    width = rule.tol
-    near = targets.withColumn("cell", F.explode(F.sequence(F.floor(F.col("target") / width) - 1, F.floor(F.col("target") / width) + 1)))
-    met = points.withColumn("cell", F.floor(F.col("mz") / width)).join(near, ["file_id", "cell"])
-    met = met.where((F.abs(F.col("mz") - F.col("target")) <= rule.tol) & (F.abs(F.col("scan") - F.col("top")) <= rule.reach))
-
-    def measure(table: pa.Table) -> pa.Table:
-        table = table.sort_by("scan")
-        scan, y, rt = (table[c].to_numpy() for c in ("scan", "intensity", "rt"))
-        top, out = table["top"][0].as_py(), []
-        times = dict(zip(scan.tolist(), rt.tolist(), strict=True))
-        known, when = np.array(sorted(times)), np.array([times[s] for s in sorted(times)])
-        for first, trace in _dense(scan, y, rule.smooth + 1):
-            line = smooth(trace, rule.smooth)
-            best = min(tops(line), key=lambda p: (abs(first + p[1] - top), -line[p[1]]), default=None)
-            if best is None or not first <= top < first + len(line):
+    pad = rule.reach + rule.smooth
+    times = points.groupBy("file_id").agg(F.sort_array(F.collect_set("rt")).alias("times"))  # a run's scans
+    first = F.greatest(F.lit(1).cast("long"), F.col("top") - pad)
+    block = lambda mz: F.floor(mz / (8 * rule.width))
+    told = targets.join(times, "file_id").select("file_id", block(F.col("target")).alias("block"), "target", "top", first.alias("first"), F.slice("times", first.cast("int"), (F.col("top") - first + pad + 1).cast("int")).alias("times"))
+    blocks = F.array_distinct(F.array(block(F.col("mz") - rule.tol), block(F.col("mz") + rule.tol)))
+    near = points.select("file_id", "scan", "mz", "intensity", F.explode(blocks).alias("block"))
+
+    def measure(goals: pa.Table, held: pa.Table) -> pa.Table:
+        held = held.sort_by("mz")
+        mz, scan, y = (held[c].to_numpy() for c in ("mz", "scan", "intensity"))
+        out = []
+        for goal in goals.select(["file_id", "target", "top", "first", "times"]).to_pylist():
+            start, at = goal["first"], np.array(goal["times"])
+            lo, hi = np.searchsorted(mz, [goal["target"] - rule.tol, goal["target"] + rule.tol], side="left")
+            hi += int(np.searchsorted(mz[hi:], goal["target"] + rule.tol, side="right"))
+            place = scan[lo:hi] - start
+            inside = (place >= 0) & (place < len(at))
+            line = smooth(np.bincount(place[inside], y[lo:hi][inside], len(at)), rule.smooth)
+            best = min(tops(line), key=lambda p: (abs(start + p[1] - goal["top"]), -line[p[1]]), default=None)  # noqa: B023
+            if best is None:
                 continue
             left, apex, right = best
-            if right - left + 1 < rule.least_scans or line[apex] < rule.least_height:
-                continue
-            at = np.interp(first + np.arange(left, right + 1), known, when)
-            out.append((float(at[apex - left]), float(at[0]), float(at[-1]), float(line[apex]), float(np.trapezoid(line[left : right + 1], at)), local_noise(line), right - left + 1, first + apex))
-        file_id, target = table["file_id"][0].as_py(), table["target"][0].as_py()
-        rows = [(file_id, target, *o) for o in out[:1]]
-        names = [c.split()[0] for c in PEAK.split(", ")]
-        kinds = [pa.int64() if c.endswith("long") else pa.float64() for c in PEAK.split(", ")]
-        return pa.table({n: pa.array([r[k] for r in rows], kind) for k, (n, kind) in enumerate(zip(names, kinds, strict=True))})
-
-    peaks = met.groupBy("file_id", "target", "top").applyInArrow(measure, PEAK)
+            if right - left + 1 >= rule.least_scans and line[apex] >= rule.least_height:
+                area = float(np.trapezoid(line[left : right + 1], at[left : right + 1]))
+                out.append((goal["file_id"], goal["target"], at[apex], at[left], at[right], float(line[apex]), area, local_noise(line), right - left + 1, start + apex))
+        names, kinds = zip(*(c.split() for c in PEAK.split(", ")), strict=True)
+        return pa.table({n: pa.array([r[k] for r in out], pa.int64() if kind == "long" else pa.float64()) for k, (n, kind) in enumerate(zip(names, kinds, strict=True))})
+
+    peaks = told.groupBy("file_id", "block").cogroup(near.groupBy("file_id", "block")).applyInArrow(measure, PEAK)
     peaks = peaks.dropDuplicates(["file_id", "mz", "scan"])
     return without_doubles(peaks, rule.tol, 2 * rule.smooth).select("*", F.when(F.col("noise") > 0, F.col("height") / F.col("noise")).alias("snr")).drop("scan")
 
 
 def without_doubles(peaks: DataFrame, tol: float, scans: int) -> DataFrame:
     """Of peaks of one file within ``tol`` and ``scans`` of a higher one that stays, none stay."""
-    ids = peaks.withColumn("id", F.concat_ws(":", "file_id", "mz", "scan"))
+    ids = written(peaks.withColumn("id", F.concat_ws(":", "file_id", "mz", "scan")), "spotted")
     cell = F.floor(F.col("mz") / tol)
     near = ids.select("id", "file_id", "mz", "scan", "height", F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
     own = ids.select(F.col("id").alias("first"), "file_id", F.col("mz").alias("m"), F.col("scan").alias("s"), F.col("height").alias("h"), cell.alias("cell"))
