@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +25,62 @@ def _height(kind: str) -> Column:
     return s
 
 
+#: Clusters whose distances (a matrix) one task takes.
+TOGETHER = 1024
+
+
+def kind_of(pairs: DataFrame) -> str:
+    return pairs.schema["a"].dataType.simpleString()
+
+
+def _rest(kind: str, step: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The closest pair merges, until one cluster is left."""
+
+    def run(pairs: pa.Table, sizes: pa.Table) -> pa.Table:
+        sizes = sizes.sort_by("id")
+        ids = sizes["id"].to_pylist()
+        place = {v: k for k, v in enumerate(ids)}
+        n, w = sizes["n"].to_numpy().astype(float), sizes["w"].to_numpy().copy()
+        s = np.full((len(ids), len(ids)), np.nan)
+        a, b = ([place[v] for v in pairs[c].to_pylist()] for c in ("a", "b"))
+        s[a, b] = s[b, a] = pairs["s"].to_numpy()
+        live, out = np.ones(len(ids), bool), []
+
+        def heights(rows: np.ndarray) -> np.ndarray:
+            both = n[rows, None] * n[None, :]
+            if kind == "average":
+                d = s[rows] / both
+            elif kind == "ward":
+                d = np.sqrt(np.maximum(0, 2 * both / (n[rows, None] + n[None, :]) * (s[rows] / both - (w / n**2)[rows, None] - (w / n**2)[None, :])))
+            else:
+                d = s[rows].copy()
+            d[~np.isfinite(d)] = np.inf
+            d[:, ~live] = np.inf
+            return d
+
+        d = heights(np.arange(len(ids)))
+        np.fill_diagonal(d, np.inf)
+        for _ in range(len(ids) - 1):
+            one, two = divmod(int(d.argmin()), len(ids))
+            if not np.isfinite(d[one, two]):
+                break
+            one, two = min(one, two), max(one, two)
+            w[one] += w[two] + s[one, two]
+            n[one] += n[two]
+            out.append((ids[one], ids[two], float(d[one, two]), int(n[one])))
+            joined = {"complete": np.fmax, "single": np.fmin}.get(kind, np.add)(s[one], s[two])
+            s[one] = s[:, one] = joined
+            live[two] = False
+            d[two] = d[:, two] = np.inf
+            d[one] = d[:, one] = heights(np.array([one]))[0]
+            d[one, one] = np.inf
+        names = ["left", "right", "height", "size"]
+        kinds = [pairs.schema.field("a").type] * 2 + [pa.float64(), pa.int64()]
+        return pa.table({"step": pa.array(range(step, step + len(out)), pa.int32())} | {c: pa.array([r[k] for r in out], t) for k, (c, t) in enumerate(zip(names, kinds, strict=True))})
+
+    return run
+
+
 def linkage(distances: DataFrame, kind: str = "average") -> DataFrame:
     """``step, left, right, height, size``: the merges of a dendrogram.
 
@@ -29,8 +89,8 @@ def linkage(distances: DataFrame, kind: str = "average") -> DataFrame:
     which gives the tree of a loop that merges the closest pair each time, as a merge never
     brings the new cluster closer to others than its parts were. Of members' distances only
     sums (average; of squares, ward), the largest (complete) or the smallest (single) are kept,
-    so a round is a join with the clusters' sizes and one aggregate, and nothing but the
-    rounds' count reaches the driver.
+    so a round is a join with the clusters' sizes and one aggregate. Once the clusters are few
+    (a checked number), one task does the rest, as chains of merges would take a round each.
     """
     if kind not in LINKAGES:
         raise ValueError(f"linkage is one of {', '.join(LINKAGES)}")
@@ -39,7 +99,11 @@ def linkage(distances: DataFrame, kind: str = "average") -> DataFrame:
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     sizes = written(ids.select("id", F.lit(1).cast("long").alias("n"), F.lit(0.0).alias("w")), "sizes")
     merges, step = None, 0
-    while not pairs.isEmpty():
+    while (left := sizes.count()) > 1:
+        if left <= TOGETHER:
+            rest = pairs.groupBy(F.lit(0).alias("g")).cogroup(sizes.groupBy(F.lit(0).alias("g"))).applyInArrow(_rest(kind, step), f"step int, left {kind_of(pairs)}, right {kind_of(pairs)}, height double, size long")
+            merges = rest if merges is None else merges.unionByName(rest)
+            break
         told = pairs.join(sizes.toDF("a", "n_a", "w_a"), "a").join(sizes.toDF("b", "n_b", "w_b"), "b")
         apart = told.select("a", "b", "s", _height(kind).alias("d"))
         ends = apart.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("other")), F.struct(F.col("b").alias("id"), F.col("a").alias("other")))).alias("e"), "a", "b", "d", "s")

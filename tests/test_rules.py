@@ -143,7 +143,10 @@ def test_spectral_edges_with_close_peaks_equal_all_pairs(spark):
     assert {(r["source"], r["target"]): r["similarity"] for r in got.collect()} == pytest.approx({k: v for k, v in expected.items() if v >= 0.6})
 
 
-def test_masters_equal_the_loop(spark):
+@pytest.mark.parametrize("together", [0, 100, 1 << 18])
+def test_masters_equal_the_loop(spark, monkeypatch, together):
+    """In rounds only, rounds and a rest, in one task."""
+    monkeypatch.setattr(leaders, "TOGETHER", together)
     rng = random.Random(9)
     peaks = [(k, rng.randint(1, 4), round(rng.uniform(100, 104), 3), round(rng.uniform(0, 10), 2)) for k in range(300)]
     masters = [p for p in peaks if p[1] == 3]

@@ -199,8 +199,11 @@ def linkage_loop(d, kind):
     return sorted(out, key=lambda m: (m[2], m[0]))
 
 
+@pytest.mark.parametrize("together", [1, 6, 1024])
 @pytest.mark.parametrize("kind", clustering.LINKAGES)
-def test_merges_equal_the_loop(spark, kind):
+def test_merges_equal_the_loop(spark, monkeypatch, kind, together):
+    """In rounds only, rounds and a rest, in one task."""
+    monkeypatch.setattr(clustering, "TOGETHER", together)
     points = np.random.default_rng(8).normal(size=(14, 3))
     d = np.linalg.norm(points[:, None] - points[None], axis=2)
     pairs = [(a, b, float(d[a, b])) for a in range(14) for b in range(a + 1, 14)]
