@@ -237,9 +237,14 @@ def _place(capacity: int) -> Callable:
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, islands: int = ISLANDS, epochs: int = EPOCHS, generations: int = GENERATIONS) -> DataFrame:
-    """Adds ``sequence_id`` and ``offset`` to written pieces."""
+    """Adds ``sequence_id`` and ``offset`` to written pieces.
+
+    Instances are dealt by the pieces' running number ``turn``, so that pieces that are alike
+    (repeated rows, null doc_ids) spread like any others; without one by what they hold.
+    """
     n = groups_for(pieces.count(), ITEMS)
-    spread = pieces.withColumn("inst", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(n)).cast("int"))
+    told = ["turn"] if "turn" in pieces.columns else ["doc_id", "piece", "ids_crc32"]
+    spread = pieces.withColumn("inst", F.pmod(F.xxhash64(*told), F.lit(n)).cast("int"))
     items = spread.where(F.col("length") < capacity).select("inst", "doc_id", "piece", "ids_crc32", "length").withColumn("island", F.explode(F.array(*[F.lit(k) for k in range(islands)])))
     elites = pieces.sparkSession.createDataFrame([], ELITE_DDL)
     for at in range(epochs):
@@ -254,4 +259,4 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, islands: int = ISLANDS, ep
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` of every piece."""
-    return pack(written(token_pieces(docs, capacity), "pieces"), capacity)
+    return pack(written(token_pieces(docs, capacity).withColumn("turn", F.monotonically_increasing_id()), "pieces"), capacity)

@@ -604,3 +604,13 @@ def test_pipeline_stages(spark, docs, rows, tmp_path):
     assert len(ids) == len(set(ids)) and not {1 + 3, 6, 7, 17} & set(ids) and 5 in ids
     packed = corpus_pipeline.run(spark, str(tmp_path))
     assert {r["doc_id"] for r in packed.collect()} == set(ids)
+
+
+def test_pieces_that_are_alike_spread(spark, monkeypatch):
+    """A third of all rows null and alike: no instance holds many more than its share."""
+    monkeypatch.setattr(packing, "ITEMS", 200)
+    docs = spark.createDataFrame([(None, "same text")] * 1500 + [(k, f"text {k}") for k in range(500)], "doc_id long, text string").repartition(4)
+    got = packing.pack_documents(docs).collect()
+    assert len(got) == 2000 and len({(r["sequence_id"], r["offset"]) for r in got}) == 2000
+    counts = np.bincount([r["sequence_id"] >> 40 for r in got])
+    assert len(counts) == 10 and counts.max() < 300
