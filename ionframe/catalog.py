@@ -165,11 +165,11 @@ def spot_filter_peak_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matrix.detected_in(views.spot_peak(spark, sf_dir), 20)
 
 
-@_query(with_views("sample", "spot_peak") + """, q AS (SELECT file_id FROM sample WHERE sample_type = 'QC' AND file_id <= 12)
-    SELECT spot_id, count(*) AS n_qc FROM spot_peak JOIN q USING (file_id) GROUP BY spot_id HAVING count(*) = (SELECT count(*) FROM q)""")
+@_query(with_views("sample", "spot_peak") + """, q AS (SELECT file_id FROM sample WHERE sample_type = 'QC')
+    SELECT spot_id, count(*) AS n_qc, count(*) = (SELECT count(*) FROM q) AS in_all FROM spot_peak JOIN q USING (file_id) GROUP BY spot_id""")
 def spot_filter_qc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = views.sample(spark, sf_dir).where("file_id <= 12")  # the QC runs of the first batch
-    return matrix.qc_detected(views.spot_peak(spark, sf_dir), first)
+    """Every spot's QC runs, and whether the filter keeps it (all have it)."""
+    return matrix.qc_counts(views.spot_peak(spark, sf_dir), views.sample(spark, sf_dir))
 
 
 @_query(with_views("sample", "spot_peak") + """, c AS (SELECT class, count(*) AS n_class FROM sample GROUP BY class),
@@ -591,4 +591,4 @@ def kruskal_p(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES |= {f.__name__: f for f in (welch_p, anova_p, kruskal_p)}
 
 # queries by subject register themselves
-from ionframe.queries import alignment, exports, names, results, searches, spectra, spotting, summaries  # noqa: E402, F401
+from ionframe.queries import alignment, chemistry as _chemistry, exports, names, results, searches, spectra, spotting, summaries  # noqa: E402, F401

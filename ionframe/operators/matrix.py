@@ -26,12 +26,17 @@ def detected_in(values: DataFrame, least: int) -> DataFrame:
     return values.groupBy("spot_id").agg(F.count("*").alias("n_detected"), F.max("height").alias("top")).where(F.col("n_detected") >= least)
 
 
-def qc_detected(values: DataFrame, samples: DataFrame) -> DataFrame:
-    """Spots detected in all QC files, with their number."""
+def qc_counts(values: DataFrame, samples: DataFrame) -> DataFrame:
+    """``spot_id, n_qc, in_all``: the QC files that have each spot, and whether all do."""
     qc = samples.where("sample_type = 'QC'").select("file_id")
-    total = qc.agg(F.count("*").alias("_all"))
+    total = qc.agg(F.count("*").alias("_all"))  # one row
     found = values.join(qc, "file_id").groupBy("spot_id").agg(F.count("*").alias("n_qc"))
-    return found.join(F.broadcast(total)).where(F.col("n_qc") == F.col("_all")).drop("_all")
+    return found.join(F.broadcast(total)).select("spot_id", "n_qc", (F.col("n_qc") == F.col("_all")).alias("in_all"))
+
+
+def qc_detected(values: DataFrame, samples: DataFrame) -> DataFrame:
+    """Spots detected in all QC files, with their number."""
+    return qc_counts(values, samples).where("in_all").drop("in_all")
 
 
 def group_percent(values: DataFrame, samples: DataFrame, percent: float) -> DataFrame:

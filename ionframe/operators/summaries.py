@@ -116,9 +116,20 @@ def most_varied(values: DataFrame, share: float) -> DataFrame:
 
 
 def median_normalised(values: DataFrame) -> DataFrame:
-    """Heights over their file's median (approximate quantile sketches combine map-side; with
-    this accuracy they are exact up to 10,000 peaks a file)."""
-    middle = values.groupBy("file_id").agg(F.percentile_approx("height", 0.5, 10_000).alias("middle"))
+    """Heights over their file's median (the lower of two), exact for files of any size.
+
+    Counts of narrow ranges of heights say which range holds the median and how far into it;
+    only that range's heights are ordered.
+    """
+    told = values.select("file_id", "height", F.when(F.col("height") > 0, F.floor(F.log2("height") * 1024)).otherwise(-(1 << 31)).alias("bin"))
+    counts = told.groupBy("file_id", "bin").agg(F.count("*").alias("n"))
+    run = Window.partitionBy("file_id")
+    upto = F.sum("n").over(run.orderBy("bin"))
+    at = F.ceil(F.sum("n").over(run) / 2)
+    held = counts.select("file_id", "bin", (at - upto + F.col("n")).alias("place"), "n").where("place between 1 and n").drop("n")
+    inside = Window.partitionBy("file_id", "bin").orderBy("height")
+    ranked = told.join(held, ["file_id", "bin"]).withColumn("k", F.row_number().over(inside))
+    middle = ranked.where("k = place").select("file_id", F.col("height").alias("middle"))
     return values.join(middle, "file_id").select("spot_id", "file_id", (F.col("height") / F.col("middle")).alias("value"))
 
 

@@ -37,17 +37,17 @@ def isotope_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(summaries.isotope_envelope(spectrum, targets, 4, 0.1), 6, "relative")
 
 
-@query(with_views("sample", "feature", "spot_peak") + DENSE_SQL + """, n AS (SELECT spot_id FROM feature WHERE ontology LIKE 'Brand#1%'), d AS (SELECT spot_id, file_id, h, rt FROM dense JOIN n USING (spot_id) JOIN feature USING (spot_id)),
+@query(with_views("sample", "feature", "spot_peak") + DENSE_SQL + """, d AS (SELECT spot_id, file_id, h, rt FROM dense JOIN feature USING (spot_id)),
     c AS (SELECT a.spot_id AS one, b.spot_id AS two, corr(a.h, b.h) AS correlation FROM d a JOIN d b ON a.file_id = b.file_id AND a.spot_id < b.spot_id AND abs(a.rt - b.rt) <= 0.5 GROUP BY 1, 2)
     SELECT one, two, round(correlation, 6) AS correlation FROM c WHERE round(correlation, 9) >= 0.3""")
 def abundance_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spots of the first brands, profiles over all runs."""
+    """All spots, profiles over all runs."""
     from ionframe.operators import quantities
 
     files = views.sample(spark, sf_dir)
     dense = quantities.filled(_values(spark, sf_dir), files, 0.0)
     profile = dense.groupBy("spot_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("file_id", "value"))), lambda p: p["value"]).alias("heights"))
-    named = views.feature(spark, sf_dir).where(F.col("ontology").startswith("Brand#1")).join(profile, "spot_id")
+    named = views.feature(spark, sf_dir).join(profile, "spot_id")
     found = summaries.abundance_links(named.select(F.col("spot_id").alias("id"), "rt", "heights"), 0.5, 0.3)
     return rounded(found, 6, "correlation")
 

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
+from ionframe.sources.numpress import DECODERS
+
 _PARAM = "array<struct<_accession:string,_name:string,_value:string,_unitName:string>>"
 _ARRAY = f"struct<cvParam:{_PARAM},binary:string>"
 _ION = f"struct<cvParam:{_PARAM}>"
@@ -30,6 +32,7 @@ TERM = {
     "ms level": "MS:1000511", "negative": "MS:1000129", "positive": "MS:1000130", "total current": "MS:1000285",
     "start time": "MS:1000016", "selected ion": "MS:1000744", "target": "MS:1000827", "lower": "MS:1000828", "upper": "MS:1000829",
     "collision energy": "MS:1000045", "mz array": "MS:1000514", "intensity array": "MS:1000515", "zlib": "MS:1000574",
+    "linear": "MS:1002312", "pic": "MS:1002313", "slof": "MS:1002314",
     "float32": "MS:1000521", "float64": "MS:1000523", "int32": "MS:1000519", "int64": "MS:1000522",
 }
 NUMBERS = {"float32": "<f4", "float64": "<f8", "int32": "<i4", "int64": "<i8"}
@@ -45,8 +48,10 @@ def inflated(data: bytes) -> bytes:
 
 def decode(data: bytes | None, precision: str | None, packed: bool) -> np.ndarray:
     """Numbers of one array; an unknown precision is read as 32-bit float, and bytes
-    that do not fill a last number are left out."""
+    that do not fill a last number are left out. A codec's name may stand for the precision."""
     raw = inflated(data) if packed and data else data or b""
+    if precision in DECODERS:
+        return DECODERS[precision](raw) if raw else np.zeros(0)
     kind = np.dtype(NUMBERS.get(precision or "", "<f4"))
     return np.frombuffer(raw[:len(raw) // kind.itemsize * kind.itemsize], kind).astype(float)
 
@@ -71,7 +76,7 @@ def _value(params: Column, term: str) -> Column:
 
 def _array(arrays: Column, term: str) -> Column:
     a = F.try_element_at(F.filter(arrays, lambda x: _has(x["cvParam"], term)), F.lit(1))
-    precision = F.coalesce(*[F.when(_has(a["cvParam"], n), n) for n in NUMBERS], F.lit("float32"))
+    precision = F.coalesce(*[F.when(_has(a["cvParam"], n), n) for n in (*DECODERS, *NUMBERS)], F.lit("float32"))
     return F.coalesce(decoded(a["binary"], precision, _has(a["cvParam"], "zlib")), F.array().cast("array<double>"))
 
 

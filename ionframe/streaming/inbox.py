@@ -9,8 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-#: Requests that one file may hold.
-MOST_REQUESTS = 1000
 REQUEST = "id string, command string, args map<string,string>"
 
 
@@ -18,16 +16,12 @@ def serve(spark: SparkSession, inbox: str, outbox: str, checkpoint: str, command
     """Answers JSON requests, one file a batch: each result goes to ``outbox/<id>`` and
     errors to ``outbox/failed``. Overwriting by id makes a repeated batch harmless.
     Ids name folders, so they hold letters, digits, ``_``, ``.`` and ``-`` only, do not begin
-    with a dot and are not ``failed``. Only requests reach the driver, in the order of their ids and ``MOST_REQUESTS`` a file at
-    most, never results."""
+    with a dot and are not ``failed``. Only requests reach the driver, in the order of their ids and a partition
+    at a time, never results."""
 
     def answer(batch: DataFrame, batch_id: int) -> None:
         failed = []
-        asked = batch.orderBy("id").limit(MOST_REQUESTS + 1).collect()
-        if len(asked) > MOST_REQUESTS:
-            failed.append((None, None, f"a file holds more than {MOST_REQUESTS} requests"))
-            asked = []
-        for r in asked:
+        for r in batch.orderBy("id").toLocalIterator():
             try:
                 if not re.fullmatch(r"[A-Za-z0-9_-][A-Za-z0-9_.-]*", r["id"] or "") or r["id"] == "failed":
                     raise ValueError("not an id")
