@@ -591,4 +591,4 @@ def kruskal_p(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES |= {f.__name__: f for f in (welch_p, anova_p, kruskal_p)}
 
 # queries by subject register themselves
-from ionframe.queries import alignment, chemistry as _chemistry, exports, names, results, searches, spectra, spotting, summaries  # noqa: E402, F401
+from ionframe.queries import alignment, chemistry as _chemistry, exports, names, pathways as _pathways, results, searches, spectra, spotting, summaries  # noqa: E402, F401

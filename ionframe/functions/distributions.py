@@ -6,6 +6,7 @@ arguments. Null or impossible arguments (no degrees of freedom, not a number) gi
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -121,6 +122,47 @@ def normal_p(z: Column) -> Column:
     return _over(lambda z: np.asarray(np.frompyfunc(math.erfc, 1, 1)(np.abs(z) / math.sqrt(2)), float), z)
 
 
+#: Largest group (pairs) whose rank sums are counted exactly.
+COUNTED = 20
+
+
+@functools.lru_cache(maxsize=1024)
+def _rank_sum_ways(a: int, b: int) -> np.ndarray:
+    """Cumulated share of the orders of a and b values with U of 0, 1, ... a * b."""
+    ways = [1] + [0] * (a * b)
+    for k in range(1, a + 1):  # the product of (1 - q^(b+k)) / (1 - q^k)
+        for u in range(a * b, b + k - 1, -1):
+            ways[u] -= ways[u - b - k]
+        for u in range(k, a * b + 1):
+            ways[u] += ways[u - k]
+    return np.cumsum(np.array(ways, float)) / sum(ways)
+
+
+@functools.lru_cache(maxsize=64)
+def _signed_ways(n: int) -> np.ndarray:
+    """Cumulated share of the signs of ranks 1 to n whose positive ones sum to 0, 1, ..."""
+    ways = [1] + [0] * (n * (n + 1) // 2)
+    for k in range(1, n + 1):
+        for w in range(len(ways) - 1, k - 1, -1):
+            ways[w] += ways[w - k]
+    return np.cumsum(np.array(ways, float)) / sum(ways)
+
+
+def _two_sided(shares: np.ndarray, at: int) -> float:
+    upper = 1.0 if at == 0 else 1.0 - shares[at - 1]
+    return min(1.0, 2 * min(shares[at], upper))
+
+
+def rank_sum_p(u: Column, a: Column, b: Column) -> Column:
+    """Exact two-sided p of U between groups of a and b values, at most COUNTED each, without ties."""
+    return _over(lambda u, a, b: np.array([_two_sided(_rank_sum_ways(int(m), int(n)), int(round(k))) for k, m, n in zip(u, a, b, strict=True)]), u, a, b)
+
+
+def signed_rank_p(w: Column, n: Column) -> Column:
+    """Exact two-sided p of the sum of positive ranks of n differences, at most COUNTED, without ties."""
+    return _over(lambda w, n: np.array([_two_sided(_signed_ways(int(m)), int(round(k))) for k, m in zip(w, n, strict=True)]), w, n)
+
+
 def enrichment_p(hits: Column, drawn: Column, marked: Column, total: Column) -> Column:
     """Over-representation: ``hits`` or more of ``marked`` among ``drawn`` of ``total``."""
     return _over(hypergeometric_tail, hits, drawn, marked, total)

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ionframe.functions import distributions
 from ionframe.operators.matrix import ranked
 from ionframe.tables import written
 
@@ -83,11 +84,41 @@ def _mid_ranks(values: DataFrame) -> DataFrame:
 
 def mann_whitney(values: DataFrame, group: str = "grp") -> DataFrame:
     """U of group 1 against group 2 of each spot, with its z corrected for ties."""
+    return _rank_sums(values, group).select("spot_id", "u", "z")
+
+
+def mann_whitney_tested(values: DataFrame, group: str = "grp") -> DataFrame:
+    """``spot_id, u, z, p``: exact without ties and with at most COUNTED values in both groups, else
+    by the normal curve."""
+    told = _rank_sums(values, group)
+    counted = (F.col("tie") == 0) & (F.greatest("a", "b") <= distributions.COUNTED)
+    exact = distributions.rank_sum_p(F.when(counted, F.col("u")), F.col("a"), F.col("b"))
+    return told.select("spot_id", "u", "z", F.when(counted, exact).otherwise(distributions.normal_p(F.col("z"))).alias("p"))
+
+
+def signed_rank(differences: DataFrame) -> DataFrame:
+    """``spot_id, n, w, z, tie`` of ``spot_id, d``: the sum of the ranks of positive differences
+    (zeros left out, equal sizes share their ranks), and its z corrected for ties."""
+    told = differences.where("d != 0").select("spot_id", F.abs(F.col("d")).alias("height"), (F.col("d") > 0).alias("up"))
+    s = _mid_ranks(told).groupBy("spot_id").agg(F.count("*").cast("double").alias("n"), F.coalesce(F.sum(F.when(F.col("up"), F.col("mid_rank"))), F.lit(0.0)).alias("w"), F.sum("tie").alias("tie"))
+    n = F.col("n")
+    spread = n * (n + 1) * (2 * n + 1) / 24 - F.col("tie") / 48
+    return s.where(spread > 0).select("spot_id", n.cast("long").alias("n"), "w", ((F.col("w") - n * (n + 1) / 4) / F.sqrt(spread)).alias("z"), "tie")
+
+
+def signed_rank_tested(differences: DataFrame) -> DataFrame:
+    """``spot_id, n, w, z, p``: exact without ties and with at most COUNTED differences."""
+    counted = (F.col("tie") == 0) & (F.col("n") <= distributions.COUNTED)
+    exact = distributions.signed_rank_p(F.when(counted, F.col("w")), F.col("n"))
+    return signed_rank(differences).select("spot_id", "n", "w", "z", F.when(counted, exact).otherwise(distributions.normal_p(F.col("z"))).alias("p"))
+
+
+def _rank_sums(values: DataFrame, group: str) -> DataFrame:
     one = F.col(group) == 1
     s = _mid_ranks(values).groupBy("spot_id").agg(F.count(F.when(one, 1)).cast("double").alias("a"), F.count(F.when(~one, 1)).cast("double").alias("b"), F.sum(F.when(one, F.col("mid_rank"))).alias("r"), F.sum("tie").alias("tie"))
     a, b, n = F.col("a"), F.col("b"), F.col("a") + F.col("b")
     u, spread = F.col("r") - a * (a + 1) / 2, a * b / 12 * (n + 1 - F.col("tie") / (n * (n - 1)))
-    return s.where("a > 0 and b > 0").where(spread > 0).select("spot_id", u.alias("u"), ((u - a * b / 2) / F.sqrt(spread)).alias("z"))
+    return s.where("a > 0 and b > 0").where(spread > 0).select("spot_id", u.alias("u"), ((u - a * b / 2) / F.sqrt(spread)).alias("z"), "a", "b", "tie")
 
 
 def kruskal_wallis(values: DataFrame, group: str = "class") -> DataFrame:

@@ -87,12 +87,17 @@ def scalar_summary(values: DataFrame) -> DataFrame:
 
 def paired(values: DataFrame, pairs: DataFrame) -> DataFrame:
     """Paired t of each spot over the pairs of files ``one, two`` in which both have a peak."""
-    a, b = values.select("spot_id", F.col("file_id").alias("one"), F.col("height").alias("x")), values.select("spot_id", F.col("file_id").alias("two"), F.col("height").alias("y"))
-    d = a.join(pairs, "one").join(b, ["spot_id", "two"]).select("spot_id", (F.col("x") - F.col("y")).alias("d"))
+    d = differences(values, pairs)
     s = d.groupBy("spot_id").agg(F.count("*").alias("n"), F.avg("d").alias("m"), F.stddev_samp("d").alias("sd")).where("n > 1 and sd > 0")
     return s.select("spot_id", (F.col("n") - 1).alias("df"), (F.col("m") / (F.col("sd") / F.sqrt("n"))).alias("t"))
 
 
+def differences(values: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``spot_id, d``: what the first file of each pair has more than the second."""
+    a, b = values.select("spot_id", F.col("file_id").alias("one"), F.col("height").alias("x")), values.select("spot_id", F.col("file_id").alias("two"), F.col("height").alias("y"))
+    return a.join(pairs, "one").join(b, ["spot_id", "two"]).select("spot_id", (F.col("x") - F.col("y")).alias("d"))
+
+
 def often_present(values: DataFrame, samples: DataFrame, missing: float) -> DataFrame:
     """Values of the spots that lack at most a share of the files."""
     n = samples.agg(F.count("*").alias("n"))

@@ -135,6 +135,25 @@ def correlation_p(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(None)  # SQL has no normal distribution
 def mann_whitney_p(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two-sided p of U between the two batches."""
+    """Two-sided p of U between the two batches, exact where groups are small and without ties."""
     met = _values(spark, sf_dir).join(views.sample(spark, sf_dir).select("file_id", F.col("batch").alias("grp")), "file_id")
-    return statistics.mann_whitney(met).withColumn("p", distributions.normal_p(F.col("z")))
+    return statistics.mann_whitney_tested(met)
+
+
+def _pairs_of_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.sample(spark, sf_dir).where("batch = 2").select(F.col("file_id").alias("one"), (F.col("file_id") + 1).alias("two"))
+
+
+@query(with_views("sample", "spot_peak") + """, p AS (SELECT a.file_id AS one, a.file_id + 1 AS two FROM sample a WHERE a.batch = 2),
+    d AS (SELECT x.spot_id, x.height - y.height AS d FROM spot_peak x JOIN p ON x.file_id = one JOIN spot_peak y ON y.file_id = two AND y.spot_id = x.spot_id WHERE x.height <> y.height),
+    r AS (SELECT spot_id, d, rank() OVER (PARTITION BY spot_id ORDER BY abs(d)) + (count(*) OVER (PARTITION BY spot_id, abs(d)) - 1) / 2 AS mid, count(*) OVER (PARTITION BY spot_id, abs(d)) AS ties FROM d),
+    s AS (SELECT spot_id, count(*) AS n, coalesce(sum(mid) FILTER (d > 0), 0) AS w, sum(ties * ties - 1) AS tie FROM r GROUP BY spot_id)
+    SELECT spot_id, n, w, round((w - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - tie / 48), 6) AS z FROM s WHERE n * (n + 1) * (2 * n + 1) / 24 - tie / 48 > 0""")
+def signed_rank_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each run of the second batch against the run after it, by ranks."""
+    return rounded(statistics.signed_rank(summaries.differences(_values(spark, sf_dir), _pairs_of_runs(spark, sf_dir))), 6, "z").drop("tie")
+
+
+@query(None)  # counts of orders; tested by enumeration
+def signed_rank_p(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return statistics.signed_rank_tested(summaries.differences(_values(spark, sf_dir), _pairs_of_runs(spark, sf_dir)))
