@@ -382,8 +382,8 @@ def _trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.xic(views.scan(spark, sf_dir), 50.0, 15.0).select("file_id", "rt", "intensity")
 
 
-def _smoothing_sql(w0: float, w1: float, w2: float) -> str:
-    near = ((w1, "lag(v, 1) OVER w"), (w1, "lead(v, 1) OVER w"), (w2, "lag(v, 2) OVER w"), (w2, "lead(v, 2) OVER w"))
+def _smoothing_sql(w0: float, *others: float) -> str:
+    near = [(w, f"{side}(v, {k}) OVER w") for k, w in enumerate(others, 1) for side in ("lag", "lead")]
     total = " + ".join(f"coalesce({c} * {k}, 0)" for k, c in near)
     share = " + ".join(f"CASE WHEN {c} IS NULL THEN 0 ELSE {k} END" for k, c in near)
     return f"{TRACE} SELECT file_id, round(rt, 6) AS rt, round((v * {w0} + {total}) / ({w0} + {share}), 5) AS smooth FROM x WINDOW w AS (PARTITION BY file_id ORDER BY rt)"
@@ -399,6 +399,29 @@ def trace_polynomial_smoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(_rounded(signal.smoothed(_trace(spark, sf_dir), signal.SAVITZKY_GOLAY_5), 6, "rt"), 5, "smooth").drop("intensity")
 
 
+@_query(_smoothing_sql(1.0, 0.6065306597126334, 0.1353352832366127, 0.0111089965382423))
+def trace_gaussian_smoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gaussian of one scan, over three scans on both sides."""
+    return _rounded(_rounded(signal.gaussian_smoothed(_trace(spark, sf_dir), 1.0), 6, "rt"), 5, "smooth").drop("intensity")
+
+
+@_query(TRACE + """, s AS (SELECT *, floor(rt / 2000) AS seg FROM x), q AS (SELECT *, row_number() OVER (PARTITION BY file_id, seg ORDER BY v, rt) AS k FROM s),
+    l AS (SELECT file_id, seg, rt AS t, v AS y, lag(rt) OVER w AS tb, lag(v) OVER w AS yb, lead(rt) OVER w AS ta, lead(v) OVER w AS ya FROM q WHERE k = 1 WINDOW w AS (PARTITION BY file_id ORDER BY seg)),
+    m AS (SELECT s.file_id, s.rt, s.v, CASE WHEN s.rt >= t THEN t ELSE coalesce(tb, t) END AS t1, CASE WHEN s.rt >= t THEN y ELSE coalesce(yb, y) END AS y1,
+        CASE WHEN s.rt >= t THEN coalesce(ta, t) ELSE t END AS t2, CASE WHEN s.rt >= t THEN coalesce(ya, y) ELSE y END AS y2 FROM s JOIN l USING (file_id, seg))
+    SELECT file_id, round(rt, 6) AS rt, round(greatest(0, v - (y1 + (y2 - y1) * CASE WHEN t2 > t1 THEN (rt - t1) / (t2 - t1) ELSE 0 END)), 5) AS intensity FROM m""")
+def trace_baseline_corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intensity above lines between the minima of segments of 2000 minutes."""
+    return _rounded(_rounded(signal.baseline_corrected(_trace(spark, sf_dir), 2000.0), 6, "rt"), 5, "intensity")
+
+
+@_query(with_views("fragment") + """, n AS (SELECT *, lag(mz) OVER w AS mb, coalesce(lag(intensity) OVER w, 0) AS b, lead(mz) OVER w AS ma, coalesce(lead(intensity) OVER w, 0) AS a FROM fragment WINDOW w AS (PARTITION BY spectrum_id ORDER BY mz))
+    SELECT spectrum_id, round((mz * intensity + coalesce(mb, 0) * b + coalesce(ma, 0) * a) / (intensity + b + a), 6) AS mz, intensity FROM n WHERE intensity > b AND intensity >= a""")
+def spectrum_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every spectrum's local maxima, its fragments read as a profile."""
+    return _rounded(signal.centroids(views.fragment(spark, sf_dir)), 6, "mz")
+
+
 APEX_SQL = """, l AS (SELECT *, row_number() OVER w AS pos, lag(v, 1) OVER w AS a1, lag(v, 2) OVER w AS a2, lead(v, 1) OVER w AS b1, lead(v, 2) OVER w AS b2, lead(rt) OVER w AS r2 FROM x
     WINDOW w AS (PARTITION BY file_id ORDER BY rt)),
     p AS (SELECT file_id, pos AS id, rt AS apex_rt, v AS height, row_number() OVER (PARTITION BY file_id ORDER BY abs(rt - 20000), rt) AS k, count(*) OVER (PARTITION BY file_id) AS n FROM l

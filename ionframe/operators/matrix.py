@@ -130,6 +130,31 @@ def long_export(values: DataFrame, samples: DataFrame) -> DataFrame:
     return values.join(samples.select("file_id", "file_name", "class"), "file_id").select(F.col("spot_id").alias("id"), F.col("file_name").alias("file"), "class", "height", "area")
 
 
+#: Fields of a matrix line before its values (fixed values).
+MATRIX_FIELDS = ("Alignment ID", "Name", "RT (min)", "m/z", "Adduct", "Ontology", "Fill %")
+
+
+def matrix_lines(features: DataFrame, values: DataFrame, samples: DataFrame) -> DataFrame:
+    """``spot_id, line``: tab-separated text of each feature, its heights in all files in the
+    order of ids, then its areas, whole numbers, 0 where a file lacks it. A line is as long as
+    there are files; what is broadcast is the files' ids in one row."""
+    files = samples.agg(F.sort_array(F.collect_set("file_id")).alias("files"))
+    entries = lambda c: F.map_from_entries(F.collect_list(F.struct("file_id", c)))
+    held = values.groupBy("spot_id").agg(entries("height").alias("heights"), entries("area").alias("areas"))
+    told = features.join(held, "spot_id", "left").join(F.broadcast(files))
+    whole = lambda c: F.array_join(F.transform("files", lambda f: F.format_string("%.0f", F.coalesce(F.try_element_at(c, f), F.lit(0.0)))), "\t")
+    fill = F.coalesce(F.size(F.map_keys("heights")), F.lit(0)) * 100.0 / F.size("files")
+    fields = [F.col("spot_id").cast("string"), F.col("name"), F.format_string("%.3f", "rt"), F.format_string("%.5f", "mz"), F.col("adduct"), F.col("ontology"), F.format_string("%.0f", fill)]
+    return told.select("spot_id", F.concat_ws("\t", *[F.coalesce(f, F.lit("")) for f in fields], whole("heights"), whole("areas")).alias("line"))
+
+
+def matrix_header(samples: DataFrame) -> DataFrame:
+    """``line``: the names of a matrix's columns."""
+    names = samples.agg(F.transform(F.sort_array(F.collect_list(F.struct("file_id", "file_name"))), lambda f: f["file_name"]).alias("names"))
+    of = lambda kind: F.array_join(F.transform("names", lambda n: F.concat(n, F.lit(f" {kind}"))), "\t")
+    return names.select(F.concat_ws("\t", *[F.lit(f) for f in MATRIX_FIELDS], of("height"), of("area")).alias("line"))
+
+
 #: Columns that a wide table may have beside its id.
 MOST_CLASSES = 1000
 

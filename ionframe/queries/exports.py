@@ -122,3 +122,14 @@ def library_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Read back from the records' text."""
     told = records.summary(records.parse_msp(records.msp_text(_spectra(spark, sf_dir))))
     return told.select("n_records", F.round("min_mz", 5).alias("min_mz"), F.round("max_mz", 5).alias("max_mz"), "n_peaks", F.col("most_peaks").cast("long").alias("most_peaks"))
+
+
+WHOLE = "CAST(floor(coalesce({c}, 0) + 0.5) AS BIGINT)"
+
+
+@query(with_views("sample", "feature", "spot_peak") + f""", cell AS (SELECT spot_id, file_id, height, area FROM feature CROSS JOIN sample LEFT JOIN spot_peak USING (spot_id, file_id)),
+    text AS (SELECT spot_id, string_agg({WHOLE.format(c="height")}, chr(9) ORDER BY file_id) AS h, string_agg({WHOLE.format(c="area")}, chr(9) ORDER BY file_id) AS a, count(height) * 100.0 / count(*) AS fill FROM cell GROUP BY spot_id)
+    SELECT spot_id, concat_ws(chr(9), spot_id, name, printf('%.3f', rt), printf('%.5f', mz), adduct, ontology, CAST(floor(fill + 0.5) AS BIGINT), h, a) AS line FROM feature JOIN text USING (spot_id)""")
+def matrix_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every feature's line of the exported matrix."""
+    return matrix.matrix_lines(views.feature(spark, sf_dir), views.spot_peak(spark, sf_dir), views.sample(spark, sf_dir))

@@ -332,3 +332,14 @@ def test_sources_are_checked(spark):
     for bad in ("ms3", "gated:x", "channel:", "gated:"):
         with pytest.raises(ValueError, match="source|could not|invalid"):
             search.source_rows(scans, bad)
+
+
+def test_matrix_lines_by_hand(spark):
+    samples = spark.createDataFrame([(2, "two"), (1, "one")], "file_id long, file_name string")
+    features = spark.createDataFrame([(7, "PC 34:1", 1.5, 760.5851, "[M+H]+", None), (8, None, 2.0, 100.0, "x", "TG")], "spot_id long, name string, rt double, mz double, adduct string, ontology string")
+    values = spark.createDataFrame([(7, 2, 10.5, 99.4)], "spot_id long, file_id long, height double, area double")
+    got = {r["spot_id"]: r["line"].split("\t") for r in matrix.matrix_lines(features, values, samples).collect()}
+    assert got[7] == ["7", "PC 34:1", "1.500", "760.58510", "[M+H]+", "", "50", "0", "11", "0", "99"]
+    assert got[8] == ["8", "", "2.000", "100.00000", "x", "TG", "0", "0", "0", "0", "0"]
+    header = matrix.matrix_header(samples).first()["line"].split("\t")
+    assert len(header) == len(got[7]) and header[7:] == ["one height", "two height", "one area", "two area"]
