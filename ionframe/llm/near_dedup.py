@@ -63,6 +63,8 @@ SMALL = 16
 PER_SALT = 256
 #: k-mers (8 bytes each) that one cell of pairs holds.
 PER_CELL = 1 << 20
+#: Edges that one file holds about.
+EDGES_PER_FILE = 4096
 #: Ids (16 bytes each) that may be broadcast; beyond it both sides are shuffled.
 BROADCAST_IDS = 300_000
 
@@ -182,7 +184,7 @@ def kmers_of(docs: DataFrame, rows: DataFrame, seen: DataFrame) -> DataFrame:
     return keep_documents(texts, rows, seen).select("text").mapInArrow(run, "id binary, mers array<long>")
 
 
-def near_sizes(one: str, two: str) -> Column:
+def near_sizes(one: str | Column, two: str | Column) -> Column:
     return F.least(one, two) >= SIMILARITY * F.greatest(one, two)
 
 
@@ -192,11 +194,13 @@ def with_roots(members: DataFrame, roots: DataFrame | None) -> DataFrame:
     return members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
 
 
-def once(met: DataFrame) -> DataFrame:
+def once(met: DataFrame, *more: DataFrame) -> DataFrame:
     """Distinct pairs ``lo, hi, size_lo, size_hi, hub`` of ``id, size, other (id, size)``.
 
     ``hub``: whether the lower text is the one that many others meet.
     """
+    for others in more:
+        met = met.unionByName(others)
     both = met.select(
         F.least("id", "other.id").alias("lo"), F.greatest("id", "other.id").alias("hi"), "size", F.col("other.size").alias("size_other"),
         (F.col("other.id") < F.col("id")).alias("hub"))
@@ -204,23 +208,29 @@ def once(met: DataFrame) -> DataFrame:
     return both.select("lo", "hi", *sizes, "hub").groupBy("lo", "hi", "size_lo", "size_hi").agg(F.max("hub").alias("hub"))
 
 
-def anchored(classed: DataFrame, turn: int) -> DataFrame:
-    """Pairs of each member and its bucket's anchors of this turn, of different classes."""
+def anchored(classed: DataFrame, turn: int, *more: DataFrame) -> DataFrame:
+    """Pairs of each member and its bucket's anchors of this turn, of different classes, and ``more`` pairs.
+
+    The anchors of all a text's buckets become one list of those that it can be near, so
+    that a text meets an anchor once, however many buckets hold both.
+    """
     firsts = [F.min(F.struct(F.xxhash64("id", F.lit(turn * 100 + k)).alias("turn"), "id", "root", "size")).alias(f"a{k}") for k in range(ANCHORS[turn])]
     ends = classed.groupBy("t", "key").agg(*firsts, F.max("n").alias("n"), F.min("root").alias("least_root"), F.max("root").alias("most_root"))
     others = F.array_distinct(F.array(*[F.struct(*[F.col(f"a{k}.{c}").alias(c) for c in ("id", "root", "size")]) for k in range(ANCHORS[turn])]))
     salts = F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / PER_SALT) - 1)
     ends = ends.where("least_root != most_root").select("t", "key", F.explode(salts).alias("salt"), others.alias("others"))
     ends = written(ends, "anchors")  # the planner would trace each anchor's parts through the join
-    met = classed.join(ends, ["t", "key", "salt"]).select("id", "root", "size", F.explode("others").alias("other"))
-    return once(met.where((F.col("root") != F.col("other.root")) & near_sizes("size", "other.size")))
+    near = F.filter("others", lambda other: (F.col("root") != other["root"]) & near_sizes(F.col("size"), other["size"]))
+    met = classed.join(ends, ["t", "key", "salt"]).select("id", "size", near.alias("others")).where(F.size("others") > 0)
+    met = met.groupBy("id", "size").agg(F.array_distinct(F.flatten(F.collect_list("others"))).alias("others"))
+    return once(met.select("id", "size", F.explode("others").alias("other")), *more)
 
 
 def all_pairs(classed: DataFrame) -> DataFrame:
-    """All pairs of different classes of buckets of few members."""
+    """All pairs (``id, size, other``) of different classes of buckets of few members."""
     other = classed.select("t", "key", F.struct("id", "root", "size").alias("other"))
     met = classed.join(other, ["t", "key"]).where((F.col("id") > F.col("other.id")) & (F.col("root") != F.col("other.root")))
-    return once(met.where(near_sizes("size", "other.size")))
+    return met.where(near_sizes("size", "other.size")).select("id", "size", "other")
 
 
 def open_texts(classed: DataFrame) -> DataFrame:
@@ -300,18 +310,20 @@ def _arrays(column: pa.ChunkedArray) -> Iterator[np.ndarray]:
 def components(edges: DataFrame) -> DataFrame:
     """``id, root`` of every id in ``edges`` (``a, b``); the root is the smallest id."""
     now = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges")
-    before = None
+    n, before = now.count(), None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        # there are no more ids than ends of edges, each with another beside it
+        few = F.broadcast if 4 * n <= BROADCAST_IDS else (lambda ids: ids)
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(few(least), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u != v").distinct()
-        now = written(small, "edges")
+        small = large.join(few(least), "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u != v").distinct()
+        now = written(small.coalesce(groups_for(n, EDGES_PER_FILE, 8)), "edges")
         sign = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if sign == before:
             return now.select(F.col("u").alias("id"), F.col("v").alias("root"))
-        before = sign
+        n, before = sign[0], sign
 
 
 class Classes:
@@ -350,10 +362,8 @@ def joined_classes(kmers: DataFrame, members: DataFrame) -> DataFrame:
     large = members.where(F.col("n") > SMALL)
     classes.join(anchored(with_roots(members, None), 0))
     for turn in range(1, len(ANCHORS)):
-        pairs = anchored(with_roots(large, classes.roots), turn)
-        if turn == 1:
-            pairs = pairs.unionByName(all_pairs(with_roots(members.where(F.col("n") <= SMALL), classes.roots)))
-            pairs = pairs.groupBy("lo", "hi", "size_lo", "size_hi").agg(F.max("hub").alias("hub"))
+        few = [all_pairs(with_roots(members.where(F.col("n") <= SMALL), classes.roots))] if turn == 1 else []
+        pairs = anchored(with_roots(large, classes.roots), turn, *few)
         if not classes.join(pairs):
             break
     left = written(open_texts(with_roots(large, classes.roots)), "open")

@@ -279,6 +279,54 @@ def test_near_pairs_in_hot_buckets(spark):
     assert {k: r["class_id"] for k, r in got.items()} == {k: 100 if k in near else k for k in range(3000)}
 
 
+def generated_rows(plan):
+    """Rows that the generators of an executed plan made."""
+    name = plan.nodeName()
+    if name == "AdaptiveSparkPlan":
+        return generated_rows(plan.executedPlan())
+    if "QueryStage" in name:
+        return generated_rows(plan.plan())
+    children = plan.children()
+    own = plan.metrics().apply("numOutputRows").value() if name == "Generate" else 0
+    return own + sum(generated_rows(children.apply(k)) for k in range(children.size()))
+
+
+def test_texts_meet_an_anchor_once_whatever_their_buckets(spark):
+    """Texts that share all their buckets: pairs as defined, no more rows made than anchors times texts."""
+    for n in (300, 600):
+        found = []
+        for k in range(n):
+            mates = near_dedup.TABLES if k % 3 else 5  # some are not in all of them
+            found += [(t, 7 * t, n, 0, k.to_bytes(16, "big"), (k - k % 2).to_bytes(16, "big"), 100 + k % 50) for t in range(mates)]
+        members = spark.createDataFrame(found, "t int, key long, n long, salt long, id binary, root binary, size long")
+        salt = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / near_dedup.PER_SALT))
+        for turn, anchors in enumerate(near_dedup.ANCHORS):
+            orders = [F.xxhash64("id", F.lit(turn * 100 + a)).alias(f"h{a}") for a in range(anchors)]
+            rows = members.select("t", "id", "root", "size", *orders).collect()
+            expected = set()
+            for t in range(near_dedup.TABLES):
+                own = [r for r in rows if r["t"] == t]
+                for a in range(anchors):
+                    hub = min(own, key=lambda r: (r[f"h{a}"], bytes(r["id"])))
+                    expected |= {
+                        tuple(sorted((bytes(r["id"]), bytes(hub["id"])))) for r in own
+                        if r["root"] != hub["root"] and min(r["size"], hub["size"]) >= near_dedup.SIMILARITY * max(r["size"], hub["size"])}
+            pairs = near_dedup.anchored(members.withColumn("salt", salt), turn)
+            got = [(bytes(r["lo"]), bytes(r["hi"])) for r in pairs.collect()]
+            assert len(got) == len(set(got)) and set(got) == expected
+            made = generated_rows(pairs._jdf.queryExecution().executedPlan())
+            assert len(expected) <= made <= 2 * anchors * n
+
+
+@pytest.mark.parametrize("most", [0, 300_000])
+def test_components_with_and_without_broadcast(spark, monkeypatch, most):
+    monkeypatch.setattr(near_dedup, "BROADCAST_IDS", most)
+    links = [(k, k + 1) for k in range(20, 27)] + [(9, k) for k in (3, 14, 15)] + [(15, 40)]
+    edges = spark.createDataFrame([(a.to_bytes(16, "big"), b.to_bytes(16, "big")) for a, b in links], "a binary, b binary")
+    got = {(int.from_bytes(r["id"], "big"), int.from_bytes(r["root"], "big")) for r in near_dedup.components(edges).collect()}
+    assert got == {(k, 20) for k in range(21, 28)} | {(k, 3) for k in (9, 14, 15, 40)}
+
+
 def test_alignment_similarity():
     rng = random.Random(3)
     base = words(rng, 300)
