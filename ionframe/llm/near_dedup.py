@@ -27,7 +27,9 @@ texts, every pair that shares a rare enough labelled k-mer (prefix filter with t
 length and position bounds of 0.8) is a candidate, first one pair of every two classes,
 then all pairs whose classes are still apart. So no pair that shares a sketch is left
 untested, unless its texts are in one class or bounds exclude it. Pairs are verified
-once, and not at all where their numbers of k-mers alone exclude it.
+once, and not at all where their numbers of k-mers exclude it, or their ``BITS`` bits:
+each labelled k-mer turns one bit of its text, so texts whose bits differ in more places
+than 0.8 leaves k-mers unaligned cannot be near.
 
 Edge cases: null text is empty; texts without words form one class; texts of one
 to four words are one k-mer; texts of any length are read whole; the class id is the
@@ -59,6 +61,8 @@ TABLES = 12
 ANCHORS = (1, 4, 8)
 #: Buckets of at most so many members have all their pairs compared after the first round.
 SMALL = 16
+#: Bits of a text that its labelled k-mers turn.
+BITS = 1024
 #: Members of a bucket that meet its anchors in one place.
 PER_SALT = 256
 #: k-mers (8 bytes each) that one cell of pairs holds.
@@ -105,6 +109,12 @@ def sketches(mers: np.ndarray, tables: int = TABLES, pick: int = PICK) -> np.nda
         return key.view(np.int64)
 
 
+def turned_bits(mers: np.ndarray) -> np.ndarray:
+    """``BITS`` bits in 64-bit words: the parity of the labelled k-mers that fall on each."""
+    odd = np.bincount((mers % np.uint64(BITS)).astype(np.int64), minlength=BITS) % 2
+    return np.packbits(odd.astype(np.uint8)).view("<i8")
+
+
 def aligned(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY, order: np.ndarray | None = None) -> float:
     """Similarity of two labelled k-mer sequences; 0 where it is surely below ``least``.
 
@@ -170,24 +180,39 @@ def bucket_members(texts: DataFrame) -> DataFrame:
 
 
 def kmers_of(docs: DataFrame, rows: DataFrame, seen: DataFrame) -> DataFrame:
-    """``id, mers`` of one row of each text in ``rows`` (``doc_id, key``); seen: those of all rows."""
+    """``id, mers, bits`` of one row of each text in ``rows`` (``doc_id, key``); seen: those of all rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [labelled_kmers(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([
                 pa.array([words_digest(m) for m in found], pa.binary()),
-                pa.array([m.view(np.int64) for m in found], pa.list_(pa.int64()))], names=["id", "mers"])
+                pa.array([m.view(np.int64) for m in found], pa.list_(pa.int64())),
+                pa.array([turned_bits(m) for m in found], pa.list_(pa.int64()))], names=["id", "mers", "bits"])
         release()
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return keep_documents(texts, rows, seen).select("text").mapInArrow(run, "id binary, mers array<long>")
+    return keep_documents(texts, rows, seen).select("text").mapInArrow(run, "id binary, mers array<long>, bits array<long>")
 
 
 def near_sizes(one: str | Column, two: str | Column) -> Column:
     return F.least(one, two) >= SIMILARITY * F.greatest(one, two)
 
 
+def may_be_near(other: Column, bits: bool = True) -> Column:
+    """Whether a row's text can be near ``other`` (``size, bits``) by size and, if told, by bits."""
+    near = near_sizes(F.col("size"), other["size"])
+    if not bits:
+        return near
+    unlike = sum((F.bit_count(F.col("bits")[k].bitwiseXOR(other["bits"][k])) for k in range(BITS // 64)), F.lit(0))
+    return near & (unlike <= (F.col("size") + other["size"]) * ((1 - SIMILARITY) / (1 + SIMILARITY)) + 1e-6)
+
+
+def salts() -> Column:
+    """All ``salt`` of a bucket of ``n`` members."""
+    return F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / PER_SALT) - 1)
+
+
 def with_roots(members: DataFrame, roots: DataFrame | None) -> DataFrame:
     if roots is None:
         return members.withColumn("root", F.col("id"))
@@ -212,15 +237,17 @@ def anchored(classed: DataFrame, turn: int, *more: DataFrame) -> DataFrame:
     """Pairs of each member and its bucket's anchors of this turn, of different classes, and ``more`` pairs.
 
     The anchors of all a text's buckets become one list of those that it can be near, so
-    that a text meets an anchor once, however many buckets hold both.
+    that a text meets an anchor once, however many buckets hold both. Members may come
+    without ``bits``.
     """
-    firsts = [F.min(F.struct(F.xxhash64("id", F.lit(turn * 100 + k)).alias("turn"), "id", "root", "size")).alias(f"a{k}") for k in range(ANCHORS[turn])]
+    own = [c for c in ("id", "root", "size", "bits") if c in classed.columns]
+    firsts = [F.min(F.struct(F.xxhash64("id", F.lit(turn * 100 + k)).alias("turn"), *own)).alias(f"a{k}") for k in range(ANCHORS[turn])]
     ends = classed.groupBy("t", "key").agg(*firsts, F.max("n").alias("n"), F.min("root").alias("least_root"), F.max("root").alias("most_root"))
-    others = F.array_distinct(F.array(*[F.struct(*[F.col(f"a{k}.{c}").alias(c) for c in ("id", "root", "size")]) for k in range(ANCHORS[turn])]))
-    salts = F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / PER_SALT) - 1)
-    ends = ends.where("least_root != most_root").select("t", "key", F.explode(salts).alias("salt"), others.alias("others"))
+    others = F.array_distinct(F.array(*[F.struct(*[F.col(f"a{k}.{c}").alias(c) for c in own]) for k in range(ANCHORS[turn])]))
+    ends = ends.where("least_root != most_root").select("t", "key", F.explode(salts()).alias("salt"), others.alias("others"))
     ends = written(ends, "anchors")  # the planner would trace each anchor's parts through the join
-    near = F.filter("others", lambda other: (F.col("root") != other["root"]) & near_sizes(F.col("size"), other["size"]))
+    near = F.filter("others", lambda other: (F.col("root") != other["root"]) & may_be_near(other, "bits" in own))
+    near = F.transform(near, lambda other: F.struct(other["id"].alias("id"), other["size"].alias("size")))
     met = classed.join(ends, ["t", "key", "salt"]).select("id", "size", near.alias("others")).where(F.size("others") > 0)
     met = met.groupBy("id", "size").agg(F.array_distinct(F.flatten(F.collect_list("others"))).alias("others"))
     return once(met.select("id", "size", F.explode("others").alias("other")), *more)
@@ -228,15 +255,16 @@ def anchored(classed: DataFrame, turn: int, *more: DataFrame) -> DataFrame:
 
 def all_pairs(classed: DataFrame) -> DataFrame:
     """All pairs (``id, size, other``) of different classes of buckets of few members."""
-    other = classed.select("t", "key", F.struct("id", "root", "size").alias("other"))
+    other = classed.select("t", "key", F.struct("id", "root", "size", "bits").alias("other"))
     met = classed.join(other, ["t", "key"]).where((F.col("id") > F.col("other.id")) & (F.col("root") != F.col("other.root")))
-    return met.where(near_sizes("size", "other.size")).select("id", "size", "other")
+    return met.where(may_be_near(F.col("other"))).select("id", "size", F.struct("other.id", "other.size").alias("other"))
 
 
 def open_texts(classed: DataFrame) -> DataFrame:
-    """``id, root, size`` of the texts in buckets that hold several classes."""
-    several = classed.groupBy("t", "key").agg(F.min("root").alias("least_root"), F.max("root").alias("most_root")).where("least_root != most_root")
-    return classed.join(several, ["t", "key"], "left_semi").select("id", "root", "size").distinct()
+    """``id, root, size, bits`` of the texts in buckets that hold several classes."""
+    several = classed.groupBy("t", "key").agg(F.max("n").alias("n"), F.min("root").alias("least_root"), F.max("root").alias("most_root")).where("least_root != most_root")
+    several = several.select("t", "key", F.explode(salts()).alias("salt"))
+    return classed.join(several, ["t", "key", "salt"], "left_semi").select("id", "root", "size", "bits").distinct()
 
 
 def prefix_pairs(kmers: DataFrame, texts: DataFrame) -> DataFrame:
@@ -245,20 +273,22 @@ def prefix_pairs(kmers: DataFrame, texts: DataFrame) -> DataFrame:
     All k-mers have one order, the rarest first. Near texts of n and m k-mers align
     ``needed`` or more, all at or after the first of them in that order, so from there
     each text has that many left; and its places differ by no more than the band.
+    The texts' bits leave out most of the pairs that are less than near.
     """
     own = kmers.join(texts.select("id"), "id", "left_semi").select("id", F.posexplode("mers").alias("place", "mer"))
     often = own.groupBy("mer").agg(F.count("*").alias("often")).where("often > 1")
     # k-mers of one text alone come first and meet nothing
     shared = own.join(often, "mer").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("often", "mer", "place"))).alias("mers"))
-    placed = texts.join(shared, "id").select("id", "root", "size", (F.col("size") - F.size("mers")).alias("alone"), F.posexplode("mers").alias("at", "m"))
-    placed = placed.select("id", "root", "size", (F.col("size") - F.col("alone") - F.col("at")).alias("left"), "m.mer", "m.place")
+    placed = texts.join(shared, "id").select("id", "root", "size", "bits", (F.col("size") - F.size("mers")).alias("alone"), F.posexplode("mers").alias("at", "m"))
+    placed = placed.select("id", "root", "size", "bits", (F.col("size") - F.col("alone") - F.col("at")).alias("left"), "m.mer", "m.place")
     # the shortest text that can be near has 0.8 of the k-mers, all of them in common
     placed = written(placed.where(F.col("left") >= SIMILARITY * F.col("size") - 1e-6), "prefixes")
-    other = placed.select("mer", F.struct("id", "root", "size", "left", "place").alias("other"))
+    other = placed.select("mer", F.struct("id", "root", "size", "bits", "left", "place").alias("other"))
     both = F.col("size") + F.col("other.size")
     needed = both * (SIMILARITY / (1 + SIMILARITY)) - 1e-6
     met = placed.join(other, "mer").where((F.col("id") > F.col("other.id")) & (F.col("root") != F.col("other.root")))
-    return once(met.where((F.least("left", "other.left") >= needed) & (F.abs(F.col("place") - F.col("other.place")) <= both - 2 * needed)))
+    met = met.where((F.least("left", "other.left") >= needed) & (F.abs(F.col("place") - F.col("other.place")) <= both - 2 * needed))
+    return once(met.where(may_be_near(F.col("other"))))
 
 
 def verified(kmers: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -385,7 +415,8 @@ def classified(docs: DataFrame) -> DataFrame:
     members = written(bucket_members(texts), "members")
     met = texts.join(members.select("id").distinct(), "id", "left_semi").select("first.doc_id", "first.key")
     kmers = written(kmers_of(docs, met, rows.select("doc_id", "key")), "kmers")
-    roots = joined_classes(kmers, members)
+    members = written(members.join(kmers.select("id", "bits"), "id"), "members")
+    roots = joined_classes(kmers.select("id", "mers"), members)
     named = written(texts.join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("class"), "first", "n"), "classes")
     classes = named.groupBy("class").agg(F.min(F.struct("first", "id")).alias("keeper"), F.sum("n").alias("class_size"))
     named = named.select("id", "class").join(classes, "class").select(

@@ -318,6 +318,49 @@ def test_texts_meet_an_anchor_once_whatever_their_buckets(spark):
             assert len(expected) <= made <= 2 * anchors * n
 
 
+def test_texts_that_share_only_a_passage_are_not_verified(spark, monkeypatch):
+    """Buckets of hundreds of texts: what is verified goes with the near ones, not with the bucket."""
+    rng = random.Random(29)
+    passage = words(rng, 100)
+    texts = [f"{passage} {words(rng, 60)}" for _ in range(400)]
+    for at in range(100, 120):
+        copy = texts[7].split()
+        copy[at] = "changed"
+        texts.append(" ".join(copy))
+    tested, verify = [], near_dedup.verified
+
+    def counted(kmers, pairs):
+        tested.append(pairs.count())
+        return verify(kmers, pairs)
+
+    monkeypatch.setattr(near_dedup, "verified", counted)
+    got = by_id(near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert {k: r["class_id"] for k, r in got.items()} == {k: k if k < 400 else 7 for k in range(420)}
+    assert 20 <= sum(tested) <= 200
+
+
+def test_bits_exclude_no_near_pair(spark):
+    """Pairs on both sides of 0.8, with repeats, moves and lengths apart: the bound in SQL and by hand."""
+    rng = random.Random(31)
+    pairs = []
+    for k in range(300):
+        one = [f"w{rng.randrange(40 if k % 3 else 10**6)}" for _ in range(rng.choice([5, 30, 150, 700, 3000]))]
+        two = list(one)
+        for _ in range(rng.randrange(1 + len(one) // 15)):
+            at = rng.randrange(len(two))
+            two[at:at + rng.randrange(3)] = [f"x{rng.randrange(50)}"] * rng.randrange(3) or ["x"]
+        pairs.append([near_dedup.labelled_kmers(" ".join(t)) for t in (one, two)])
+    bits = [[near_dedup.turned_bits(m).tolist() for m in p] for p in pairs]
+    rows = [(k, len(a), x, (len(b), y)) for k, ((a, b), (x, y)) in enumerate(zip(pairs, bits, strict=True))]
+    table = spark.createDataFrame(rows, "k int, size long, bits array<long>, other struct<size: long, bits: array<long>>")
+    let = {r["k"] for r in table.where(near_dedup.may_be_near(F.col("other"))).collect()}
+    near = {k for k, (a, b) in enumerate(pairs) if near_dedup.aligned(a, b) >= near_dedup.SIMILARITY}
+    for (a, b), (x, y) in zip(pairs, bits, strict=True):
+        unlike = sum(bin((i ^ j) & (2**64 - 1)).count("1") for i, j in zip(x, y, strict=True))
+        assert len(x) * 64 == near_dedup.BITS and unlike <= len(set(a.tolist()) ^ set(b.tolist()))
+    assert near <= let and len(near) >= 50 and len(let) <= 290
+
+
 @pytest.mark.parametrize("most", [0, 300_000])
 def test_components_with_and_without_broadcast(spark, monkeypatch, most):
     monkeypatch.setattr(near_dedup, "BROADCAST_IDS", most)
