@@ -10,12 +10,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def exact_mean(height: Column) -> Column:
+    """Mean whose sum has no rounding, so that it is the same in any order of the rows: heights
+    to ten digits after the point; the plain mean where one does not fit a decimal."""
+    whole = height.try_cast("decimal(28,10)")
+    summed = F.try_divide(F.try_sum(whole).cast("double"), F.count(height))
+    return F.when((F.count(height) > 0) & (F.count(whole) == F.count(height)), F.coalesce(summed, F.avg(height))).otherwise(F.avg(height))
+
+
 def representative(values: DataFrame, samples: DataFrame) -> DataFrame:
     """Each spot's file with the tallest peak (ties: the smaller id), mean, smallest and
     largest height of its peaks, and the share of files that have one."""
     n = samples.agg(F.count("*").alias("n"))
     made = values.groupBy("spot_id").agg(
-        F.max_by("file_id", F.struct("height", -F.col("file_id"))).alias("representative"), F.avg("height").alias("mean"), F.min("height").alias("low"), F.max("height").alias("high"), F.count("*").alias("k"))
+        F.max_by("file_id", F.struct("height", -F.col("file_id"))).alias("representative"), exact_mean(F.col("height")).alias("mean"), F.min("height").alias("low"), F.max("height").alias("high"), F.count("*").alias("k"))
     return made.join(F.broadcast(n)).select("spot_id", "representative", "mean", "low", "high", (F.col("k") / F.col("n")).alias("fill"))  # n: one row
 
 
