@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ionframe.operators import matrix, network
+from ionframe.operators import matrix, network, quantities
 from ionframe.plans import views
 from ionframe.plans.views import with_views
 from ionframe.registry import query
@@ -72,7 +72,7 @@ def decoy_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT printf('%d', spot_id) || chr(9) || name || chr(9) || ontology || chr(9) || printf('%.3f', rt) || chr(9) || printf('%.5f', mz) || chr(9) || printf('%.0f', round(height, 0)) AS line
     FROM feature JOIN h USING (spot_id)""")
 def network_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    heights = views.spot_peak(spark, sf_dir).groupBy("spot_id").agg(F.avg("height").alias("height"))
+    heights = views.spot_peak(spark, sf_dir).groupBy("spot_id").agg(quantities.exact_mean(F.col("height")).alias("height"))
     return network.node_lines(views.feature(spark, sf_dir).join(heights, "spot_id"))
 
 
