@@ -98,7 +98,8 @@ def average_spectrum(scans: DataFrame, rt_from: float, rt_to: float, ms_level: i
     """Mean spectrum of each file's scans in a time range, ``file_id, mz, intensity``.
 
     Peaks no further apart than ``tol`` are one, at their intensity-weighted m/z. Its
-    intensity is the mean over the scans, those without the peak counting as zero.
+    intensity is the mean over the scans, those without the peak counting as zero. A peak
+    whose intensities sum to zero stays, its m/z is NaN.
     """
     inside = scans.where((F.col("ms_level") == ms_level) & F.col("rt").between(rt_from, rt_to) & F.col("mz").isNotNull())
     n = inside.groupBy("file_id").agg(F.countDistinct("rt").alias("n"))
@@ -107,7 +108,9 @@ def average_spectrum(scans: DataFrame, rt_from: float, rt_to: float, ms_level: i
     order = Window.partitionBy("file_id").orderBy("mz")
     apart = F.when(F.col("mz") - F.lag("mz").over(order) <= tol, 0).otherwise(1)
     grouped = sums.withColumn("new", apart).withColumn("grp", F.sum("new").over(order))
-    merged = grouped.groupBy("file_id", "grp").agg((F.sum(F.col("mz") * F.col("intensity")) / F.sum("intensity")).alias("mz"), F.sum("intensity").alias("total"))
+    # what sums to zero has no m/z of its own
+    centre = F.coalesce(F.try_divide(F.sum(F.col("mz") * F.col("intensity")), F.sum("intensity")), F.lit(float("nan")))
+    merged = grouped.groupBy("file_id", "grp").agg(centre.alias("mz"), F.sum("intensity").alias("total"))
     return merged.join(n, "file_id").select("file_id", "mz", (F.col("total") / F.col("n")).alias("intensity"))
 
 
