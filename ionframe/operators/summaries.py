@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ionframe.functions import chemistry
 from ionframe.operators import matrix
 from ionframe.operators.leaders import profile_correlation
+from ionframe.operators.profiles import correlated_pairs
 
 #: Mason-Schamp factor for nitrogen at one atmosphere, and the gas's mass (fixed values).
 CROSS_SECTION, NITROGEN = 18509.863216340458, 28.0134
@@ -70,6 +71,14 @@ def abundance_links(features: DataFrame, rt_tol: float, least: float) -> DataFra
     return scored.where(F.round("correlation", 9) >= least)
 
 
+def abundance_links_sparse(features: DataFrame, values: DataFrame, runs: int, rt_tol: float, least: float) -> DataFrame:
+    """The same of features ``id, rt`` with their heights above zero as ``id, file_id, height``
+    rows of ``runs`` runs."""
+    if runs <= 9:
+        return features.sparkSession.createDataFrame([], "one long, two long, correlation double")
+    return correlated_pairs(features, values, runs, rt_tol, least).where(F.round("correlation", 9) >= least)
+
+
 def run_info(scans: DataFrame) -> DataFrame:
     """A row a run: scans, levels, survey and product scans, time and mass range."""
     level = F.col("ms_level")

@@ -42,13 +42,9 @@ def isotope_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT one, two, round(correlation, 6) AS correlation FROM c WHERE round(correlation, 9) >= 0.3""")
 def abundance_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All spots, profiles over all runs."""
-    from ionframe.operators import quantities
-
-    files = views.sample(spark, sf_dir)
-    dense = quantities.filled(_values(spark, sf_dir), files, 0.0)
-    profile = dense.groupBy("spot_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("file_id", "value"))), lambda p: p["value"]).alias("heights"))
-    named = views.feature(spark, sf_dir).join(profile, "spot_id")
-    found = summaries.abundance_links(named.select(F.col("spot_id").alias("id"), "rt", "heights"), 0.5, 0.3)
+    files = views.sample(spark, sf_dir).select("file_id").distinct()
+    held = _values(spark, sf_dir).where("height > 0").join(F.broadcast(files), "file_id", "left_semi").withColumnRenamed("spot_id", "id")
+    found = summaries.abundance_links_sparse(views.feature(spark, sf_dir).select(F.col("spot_id").alias("id"), "rt"), held, files.count(), 0.5, 0.3)
     return rounded(found, 6, "correlation")
 
 
