@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -137,15 +137,25 @@ MATRIX_FIELDS = ("Alignment ID", "Name", "RT (min)", "m/z", "Adduct", "Ontology"
 def matrix_lines(features: DataFrame, values: DataFrame, samples: DataFrame) -> DataFrame:
     """``spot_id, line``: tab-separated text of each feature, its heights in all files in the
     order of ids, then its areas, whole numbers, 0 where a file lacks it. A line is as long as
-    there are files; what is broadcast is the files' ids in one row."""
-    files = samples.agg(F.sort_array(F.collect_set("file_id")).alias("files"))
-    entries = lambda c: F.map_from_entries(F.collect_list(F.struct("file_id", c)))
-    held = values.groupBy("spot_id").agg(entries("height").alias("heights"), entries("area").alias("areas"))
-    told = features.join(held, "spot_id", "left").join(F.broadcast(files))
-    whole = lambda c: F.array_join(F.transform("files", lambda f: F.format_string("%.0f", F.coalesce(F.try_element_at(c, f), F.lit(0.0)))), "\t")
-    fill = F.coalesce(F.size(F.map_keys("heights")), F.lit(0)) * 100.0 / F.size("files")
+    there are files, but only its peaks are gone through: what lies between them is repeated text."""
+    files = samples.select("file_id").where("file_id is not null").distinct()
+    # a row a file
+    places = files.select("file_id", (F.row_number().over(Window.orderBy("file_id")) - 1).alias("at"))
+    n = files.agg(F.count("*").cast("int").alias("n"))
+    held = values.join(places, "file_id", "left").groupBy("spot_id").agg(
+        F.array_sort(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", "height", "area")))).alias("peaks"), F.count("*").alias("k"))
+    told = features.join(held, "spot_id", "left").join(F.broadcast(n)).withColumn("peaks", F.coalesce("peaks", F.array().cast("array<struct<at:int,height:double,area:double>>")))
+
+    def whole(c: str) -> Column:
+        number = lambda p: F.format_string("%.0f", F.coalesce(p[c], F.lit(0.0)))
+        gap = lambda p, k: F.repeat(F.lit("0\t"), p["at"] - 1 - F.coalesce(F.get("peaks", k - 1)["at"], F.lit(-1)))
+        last = F.coalesce(F.get("peaks", F.size("peaks") - 1)["at"], F.lit(0))
+        some = F.array_join(F.transform("peaks", lambda p, k: F.concat(gap(p, k), number(p))), "\t")
+        return F.when(F.col("n") > 0, F.concat(F.when(F.size("peaks") > 0, some).otherwise("0"), F.repeat(F.lit("\t0"), F.col("n") - 1 - last))).otherwise("")
+
+    fill = F.when(F.col("n") > 0, F.coalesce("k", F.lit(0)) * 100.0 / F.nullif("n", F.lit(0)))
     fields = [F.col("spot_id").cast("string"), F.col("name"), F.format_string("%.3f", "rt"), F.format_string("%.5f", "mz"), F.col("adduct"), F.col("ontology"), F.format_string("%.0f", fill)]
-    return told.select("spot_id", F.concat_ws("\t", *[F.coalesce(f, F.lit("")) for f in fields], whole("heights"), whole("areas")).alias("line"))
+    return told.select("spot_id", F.concat_ws("\t", *[F.coalesce(f, F.lit("")) for f in fields], whole("height"), whole("area")).alias("line"))
 
 
 def matrix_header(samples: DataFrame) -> DataFrame:
