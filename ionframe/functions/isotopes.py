@@ -82,7 +82,9 @@ def isotope_pattern(formula: Column, least: float = 0.001, most: int = 12, tol:
     def fold(held: Column, row: Column) -> Column:
         alone = F.size(row["own"]) == 1
         moved = F.transform(held, lambda p: _peak(p["mass"] + row["own"][0]["mass"] * row["n"], p["share"]))
-        return F.when(row["n"] == 0, held).when(alone, moved).otherwise(_merged(_convolved(held, power(row["own"], row["n"]), prune), close))
+        # bound to a name, or it would be made anew for every peak held
+        met = F.transform(F.array(power(row["own"], row["n"])), lambda own: _merged(_convolved(held, own, prune), close))
+        return F.when(row["n"] == 0, held).when(alone, moved).otherwise(F.element_at(met, 1))
 
     whole = F.aggregate(F.array(*rows), F.array(_peak(F.lit(0.0), F.lit(1.0))).cast(PEAKS), fold, lambda held: _merged(held, tol))
     top = lambda peaks: F.array_max(F.transform(peaks, lambda p: p["share"]))

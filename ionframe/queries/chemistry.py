@@ -11,6 +11,7 @@ from ionframe.plans import views
 from ionframe.plans.views import with_views
 from ionframe.registry import query, rounded
 from ionframe.sources import numpress
+from ionframe.tables import written
 
 
 @query(None)  # convolutions; tested against a loop
@@ -19,7 +20,9 @@ def isotope_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
     size = F.col("p_size")
     formula = F.format_string("C%dH%dN%dO%dS%dCl%d", size + 2, size * 2 + 1, size % 4 + 1, size % 7 + 1, size % 3 + 1, size % 2 + 1)
-    kinds = part.select(formula.alias("formula")).distinct().select("formula", isotopes.isotope_pattern(F.col("formula")).alias("peaks"))
+    # formulas are few and costly: one a task, and each once
+    kinds = part.select(formula.alias("formula")).distinct().repartition(64)
+    kinds = written(kinds.select("formula", isotopes.isotope_pattern(F.col("formula")).alias("peaks")), "isotopes")
     told = part.select(F.col("p_partkey").alias("spot_id"), formula.alias("formula")).join(kinds, "formula")
     return rounded(told.select("spot_id", "formula", F.posexplode("peaks").alias("k", "p")).select("spot_id", "formula", "k", "p.mass", "p.share"), 6, "mass", "share")
 
