@@ -70,19 +70,28 @@ def named_total_normalised(values: DataFrame, named: DataFrame) -> DataFrame:
 def loess(points: Column, at: Column, span: float) -> Column:
     """Local line at ``at`` through the nearest share of ``points`` (array of ``x, y``, three
     at least), weighted by the tricube of their distance; their mean where all lie at it."""
-    near = F.array_sort(F.transform(points, lambda p, k: F.struct(F.abs(p["x"] - at).alias("d"), k.alias("k"), p["x"].alias("x"), p["y"].alias("y"))))
     n = F.size(points)
-    near = F.slice(near, F.lit(1), F.least(n, F.greatest(F.lit(3), F.ceil(n * span).cast("int"))))
-    far = F.element_at(near, -1)["d"]
-    weight = lambda p: F.pow(1 - F.pow(p["d"] / far, F.lit(3)), F.lit(3))
-    total = lambda f: F.aggregate(near, F.lit(0.0), lambda s, p: s + f(p))
-    w = total(weight)
-    wx, wy = total(lambda p: weight(p) * p["x"]), total(lambda p: weight(p) * p["y"])
-    wxx, wxy = total(lambda p: weight(p) * p["x"] * p["x"]), total(lambda p: weight(p) * p["x"] * p["y"])
-    flat = w * wxx - wx * wx
-    slope = (w * wxy - wx * wy) / flat
-    fit = F.when(F.abs(flat) < 1e-12, wy / w).otherwise((wy - slope * wx) / w + slope * at)
-    return F.when(far <= 0, total(lambda p: p["y"]) / F.size(near)).when(w <= 0, F.aggregate(points, F.lit(0.0), lambda s, p: s + p["y"]) / n).otherwise(fit)
+    placed = F.array_sort(F.transform(points, lambda p, k: F.struct(F.abs(p["x"] - at).alias("d"), k.alias("k"), p["x"].alias("x"), p["y"].alias("y"))))
+    held = F.slice(placed, F.lit(1), F.least(n, F.greatest(F.lit(3), F.ceil(n * span).cast("int"))))
+    zeros = F.struct(*[F.lit(0.0).alias(c) for c in ("w", "wx", "wy", "wxx", "wxy", "plain")])
+
+    def add(s: Column, p: Column) -> Column:
+        w = F.when(p["far"] > 0, F.pow(1 - F.pow(p["d"] / p["far"], F.lit(3)), F.lit(3))).otherwise(0.0)
+        more = {"w": w, "wx": w * p["x"], "wy": w * p["y"], "wxx": w * p["x"] * p["x"], "wxy": w * p["x"] * p["y"], "plain": p["y"]}
+        return F.struct(*[(s[c] + v).alias(c) for c, v in more.items()])
+
+    def fitted(near: Column, far: Column) -> Column:
+        told = F.transform(near, lambda p: F.struct(p["d"].alias("d"), p["x"].alias("x"), p["y"].alias("y"), far.alias("far")))
+        return F.aggregate(told, zeros, add, lambda s: line(s, far, F.size(near)))
+
+    def line(s: Column, far: Column, size: Column) -> Column:
+        flat = s["w"] * s["wxx"] - s["wx"] * s["wx"]
+        slope = (s["w"] * s["wxy"] - s["wx"] * s["wy"]) / flat
+        fit = F.when(F.abs(flat) < 1e-12, s["wy"] / s["w"]).otherwise((s["wy"] - slope * s["wx"]) / s["w"] + slope * at)
+        return F.when(far <= 0, s["plain"] / size).when(s["w"] <= 0, F.aggregate(points, F.lit(0.0), lambda t, p: t + p["y"]) / n).otherwise(fit)
+
+    # bound to names, or the neighbours would be sorted anew for every one of them
+    return F.element_at(F.transform(F.array(held), lambda near: F.element_at(F.transform(F.array(F.element_at(near, -1)["d"]), lambda far: fitted(near, far)), 1)), 1)
 
 
 def drift_corrected(values: DataFrame, samples: DataFrame, span: float = 0.75, least: int = 3) -> DataFrame:
