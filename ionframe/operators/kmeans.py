@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import log
 from zlib import crc32
 
@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ionframe.operators.profiles import Rows
 from ionframe.tables import written
 
 ROUNDS = 100
@@ -21,12 +22,24 @@ def chance(seed: int, restart: int, step: int, point: int) -> float:
     return (crc32(f"{seed}:{restart}:{step}:{point}".encode()) + 0.5) / 4294967296
 
 
-def _apart(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    """Squared distances (points, centres)."""
-    return np.maximum(0.0, (x * x).sum(1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(1)[None])
+class Dense:
+    """A batch of points ``x``."""
 
+    def __init__(self, batch: pa.RecordBatch) -> None:
+        self.x = np.array(batch["x"].to_pylist(), float)
 
-def _seeded(points: DataFrame, k: int, restarts: int, seed: int) -> list[np.ndarray]:
+    def apart(self, centres: np.ndarray) -> np.ndarray:
+        """Squared distances (points, centres)."""
+        return np.maximum(0.0, (self.x * self.x).sum(1)[:, None] - 2 * self.x @ centres.T + (centres * centres).sum(1)[None])
+
+    def dense(self, k: int) -> np.ndarray:
+        return self.x[k]
+
+    def total(self, some: np.ndarray) -> np.ndarray:
+        return self.x[some].sum(0)
+
+
+def _seeded(points: DataFrame, read: Callable, k: int, restarts: int, seed: int) -> list[np.ndarray]:
     """k-means++ centres of each restart: the point with the largest log(u) / d2 is a draw in
     proportion to d2, so a step is one pass and one row a restart."""
     centres: list[list[list[float]]] = [[] for _ in range(restarts)]
@@ -35,14 +48,16 @@ def _seeded(points: DataFrame, k: int, restarts: int, seed: int) -> list[np.ndar
         def offer(batches: Iterator[pa.RecordBatch], step: int = step) -> Iterator[pa.RecordBatch]:
             best: dict[int, tuple] = {}
             for batch in batches:
-                ids, x = batch["id"].to_pylist(), np.array(batch["x"].to_pylist(), float)
+                if not batch.num_rows:
+                    continue
+                ids, x = batch["id"].to_pylist(), read(batch)
                 for r in range(restarts):
-                    d = _apart(x, np.array(centres[r])).min(1).tolist() if step else [1.0] * len(ids)
+                    d = x.apart(np.array(centres[r])).min(1).tolist() if step else [1.0] * len(ids)
                     for i, w in enumerate(d):
                         if w > 0:
                             key = (log(chance(seed, r, step, ids[i])) / w, -ids[i])
                             if r not in best or key > best[r][0]:
-                                best[r] = key, x[i].tolist()
+                                best[r] = key, x.dense(i).tolist()
             rows = [(r, key[0], -key[1], x) for r, (key, x) in best.items()]
             columns = list(zip(*rows, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.float64(), pa.int64(), pa.list_(pa.float64())), strict=True)], names=["restart", "key", "id", "x"])
@@ -53,21 +68,23 @@ def _seeded(points: DataFrame, k: int, restarts: int, seed: int) -> list[np.ndar
     return [np.array(c) for c in centres]
 
 
-def _moved(points: DataFrame, centres: list[np.ndarray]) -> tuple[list[np.ndarray], list[float]]:
+def _moved(points: DataFrame, read: Callable, centres: list[np.ndarray]) -> tuple[list[np.ndarray], list[float]]:
     """Means of the points nearest to each centre (of none: the centre), and each restart's sum
     of squares to the centres given."""
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, int], list] = {}
         for batch in batches:
-            x = np.array(batch["x"].to_pylist(), float)
+            if not batch.num_rows:
+                continue
+            x = read(batch)
             for r, c in enumerate(centres):
-                d = _apart(x, c)
+                d = x.apart(c)
                 own = d.argmin(1)
                 for k in np.unique(own).tolist():
                     mine = own == k
                     h = held.setdefault((r, k), [0, 0.0, 0.0])
-                    h[0], h[1], h[2] = h[0] + int(mine.sum()), h[1] + float(d[mine, k].sum()), h[2] + x[mine].sum(0)
+                    h[0], h[1], h[2] = h[0] + int(mine.sum()), h[1] + float(d[mine, k].sum()), h[2] + x.total(mine)
         rows = [(r, k, n, s, t.tolist()) for (r, k), (n, s, t) in held.items()]
         columns = list(zip(*rows, strict=True)) or [()] * 5
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.list_(pa.float64())), strict=True)], names=["restart", "k", "n", "squares", "total"])
@@ -84,27 +101,29 @@ def _moved(points: DataFrame, centres: list[np.ndarray]) -> tuple[list[np.ndarra
     return new, squares
 
 
-def clustered(points: DataFrame, k: int, restarts: int = 20, seed: int = 1) -> DataFrame:
+def clustered(points: DataFrame, k: int, restarts: int = 20, seed: int = 1, runs: int | None = None) -> DataFrame:
     """``id, cluster, within``: points (``id, x``) by the nearest centre of the restart with the
     least sum of squares (ties: the first), which is ``within``. Clusters are numbered by
-    the order in which their seeds were drawn; only centres reach the driver."""
-    points = written(points.select("id", "x"), "points")
-    centres = _seeded(points, k, restarts, seed)
+    the order in which their seeds were drawn; only centres reach the driver. With ``runs``
+    points are ``profiles.Rows`` (``id, base, at, x``) of so many places."""
+    read = Dense if runs is None else lambda batch: Rows(batch, runs)
+    points = written(points.select("id", "x") if runs is None else points.select("id", "base", "at", "x"), "points")
+    centres = _seeded(points, read, k, restarts, seed)
     for _ in range(ROUNDS):
-        new, squares = _moved(points, centres)
+        new, squares = _moved(points, read, centres)
         done = all(np.array_equal(a, b) for a, b in zip(centres, new, strict=True))
         centres = new
         if done:
             break
     else:
-        _, squares = _moved(points, centres)
+        _, squares = _moved(points, read, centres)
     best = int(np.argmin(np.round(squares, 9)))
     chosen, within = centres[best], squares[best]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                own = _apart(np.array(batch["x"].to_pylist(), float), chosen).argmin(1)
+                own = read(batch).apart(chosen).argmin(1)
                 yield pa.RecordBatch.from_arrays([batch["id"], pa.array(own, pa.int32()), pa.array([within] * batch.num_rows)], names=["id", "cluster", "within"])
 
     return points.mapInArrow(place, "id long, cluster int, within double")

@@ -1,4 +1,5 @@
-"""Correlations of sparse profiles: spots that elute together, by the runs that both have.
+"""Sparse profiles: correlations of spots that elute together, by the runs that both have; rows
+that are one value at most runs.
 
 Heights are not negative and zero where a run lacks a spot, so two spots without a run in
 common never correlate above zero, and pairs need only be made where they share one.
@@ -9,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ionframe.tables import written
@@ -87,3 +88,53 @@ def _products(table: pa.Table, runs: int, rt_tol: float, least: float) -> pa.Tab
         start = end
     one, two, r = (np.concatenate(v) for v in zip(*out, strict=True)) if out else (np.array([], np.int64), np.array([], np.int64), np.array([]))
     return pa.table({"one": pa.array(one, pa.int64()), "two": pa.array(two, pa.int64()), "correlation": pa.array(r, pa.float64())})
+
+
+class Rows:
+    """A batch of profiles over ``n`` runs: ``base`` everywhere but at some places, where it is
+    ``base + more``."""
+
+    def __init__(self, batch: pa.RecordBatch, n: int) -> None:
+        self.n, self.base = n, batch["base"].to_numpy(zero_copy_only=False).astype(float)
+        sizes = pc.list_value_length(batch["at"]).to_numpy(zero_copy_only=False)
+        self.row, self.at = np.repeat(np.arange(len(self.base)), sizes), pc.list_flatten(batch["at"]).to_numpy(zero_copy_only=False)
+        self.more = pc.list_flatten(batch["x"]).to_numpy(zero_copy_only=False) - self.base[self.row]
+
+    def summed(self, weight: np.ndarray) -> np.ndarray:
+        """Each row's sum of ``more`` times ``weight`` (a number a place)."""
+        return np.bincount(self.row, self.more * weight, len(self.base))
+
+    def dense(self, k: int) -> np.ndarray:
+        out, mine = np.full(self.n, self.base[k]), self.row == k
+        out[self.at[mine]] += self.more[mine]
+        return out
+
+    def total(self, some: np.ndarray) -> np.ndarray:
+        """Sum of the rows that ``some`` marks."""
+        mine = some[self.row]
+        return self.base[some].sum() + np.bincount(self.at[mine], self.more[mine], self.n)
+
+    def apart(self, centres: np.ndarray) -> np.ndarray:
+        """Squared distances (rows, centres)."""
+        own = self.n * self.base**2 + self.summed(2 * self.base[self.row] + self.more)
+        cross = [self.base * c.sum() + self.summed(c[self.at]) for c in centres]
+        return np.maximum(0.0, own[:, None] - 2 * np.stack(cross, axis=1) + (centres * centres).sum(1)[None])
+
+    def deviations(self) -> tuple[np.ndarray, np.ndarray]:
+        """Means over the runs less ``base``, and one over the deviations (0 for flat rows)."""
+        mean = self.summed(np.ones(len(self.row))) / self.n
+        squares = self.summed(self.more) - self.n * mean * mean
+        spread = np.sqrt(np.maximum(0.0, squares) / max(self.n - 1, 1))
+        flat = spread <= 1e-9 * np.maximum(np.abs(mean + self.base), 1e-300)
+        return mean, np.where(flat, 0.0, 1 / np.where(flat, 1.0, spread))
+
+
+def sparse_logs(values: DataFrame, files: DataFrame, share: float) -> DataFrame:
+    """``spot_id, base, at, x``: log10 of heights above zero at their runs' places (in the order of
+    ids), ``base`` at all other runs: ``share`` of the spot's smallest height."""
+    # a row a run
+    places = files.select("file_id").distinct().select("file_id", (F.row_number().over(Window.orderBy("file_id")) - 1).alias("at"))
+    met = values.where("height > 0").join(places, "file_id", "left")
+    pair = F.when(F.col("at").isNotNull(), F.struct("at", F.log10("height").alias("x")))
+    held = met.groupBy("spot_id").agg(F.array_sort(F.collect_list(pair)).alias("p"), F.log10(F.min("height") * share).alias("base"))
+    return held.select("spot_id", "base", F.col("p.at").alias("at"), F.col("p.x").alias("x"))
