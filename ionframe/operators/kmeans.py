@@ -8,6 +8,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,8 +36,9 @@ class Dense:
     def dense(self, k: int) -> np.ndarray:
         return self.x[k]
 
-    def total(self, some: np.ndarray) -> np.ndarray:
-        return self.x[some].sum(0)
+    def totals(self, own: np.ndarray, k: int) -> np.ndarray:
+        """Sum of each group's points."""
+        return np.stack([self.x[own == g].sum(0) for g in range(k)])
 
 
 def _seeded(points: DataFrame, read: Callable, k: int, restarts: int, seed: int) -> list[np.ndarray]:
@@ -70,32 +72,33 @@ def _seeded(points: DataFrame, read: Callable, k: int, restarts: int, seed: int)
 
 def _moved(points: DataFrame, read: Callable, centres: list[np.ndarray]) -> tuple[list[np.ndarray], list[float]]:
     """Means of the points nearest to each centre (of none: the centre), and each restart's sum
-    of squares to the centres given."""
+    of squares to the centres given. Tasks' sums are added in the order of tasks, so that a
+    restart at rest gives the same numbers again."""
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int], list] = {}
+        held = [[0, 0.0, 0.0] for _ in centres]
         for batch in batches:
             if not batch.num_rows:
                 continue
             x = read(batch)
-            for r, c in enumerate(centres):
+            for h, c in zip(held, centres, strict=True):
                 d = x.apart(c)
                 own = d.argmin(1)
-                for k in np.unique(own).tolist():
-                    mine = own == k
-                    h = held.setdefault((r, k), [0, 0.0, 0.0])
-                    h[0], h[1], h[2] = h[0] + int(mine.sum()), h[1] + float(d[mine, k].sum()), h[2] + x.total(mine)
-        rows = [(r, k, n, s, t.tolist()) for (r, k), (n, s, t) in held.items()]
-        columns = list(zip(*rows, strict=True)) or [()] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.list_(pa.float64())), strict=True)], names=["restart", "k", "n", "squares", "total"])
+                h[0], h[1], h[2] = h[0] + np.bincount(own, minlength=len(c)), h[1] + np.bincount(own, d[np.arange(len(d)), own], len(c)), h[2] + x.totals(own, len(c))
+        part = TaskContext.get().partitionId()
+        rows = [(part, r, k, int(n), float(s), t.tolist()) for r, h in enumerate(held) if np.ndim(h[0]) for k, (n, s, t) in enumerate(zip(*h, strict=True)) if n]
+        columns = list(zip(*rows, strict=True)) or [()] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.list_(pa.float64())), strict=True)], names=["part", "restart", "k", "n", "squares", "total"])
 
     def added(table: pa.Table) -> pa.Table:
+        table = table.sort_by("part")
         total = np.sum([np.array(t) for t in table["total"].to_pylist()], axis=0)
         return pa.table({"restart": table["restart"][:1], "k": table["k"][:1], "n": pa.array([sum(table["n"].to_pylist())], pa.int64()), "squares": pa.array([sum(table["squares"].to_pylist())]), "total": pa.array([total.tolist()], pa.list_(pa.float64()))})
 
     schema = "restart int, k int, n long, squares double, total array<double>"
     new, squares = [c.copy() for c in centres], [0.0] * len(centres)
-    for r, k, n, s, total in points.mapInArrow(sums, schema).groupBy("restart", "k").applyInArrow(added, schema).collect():  # a row a centre
+    made = points.mapInArrow(sums, f"part int, {schema}").groupBy("restart", "k").applyInArrow(added, schema).collect()  # a row a centre
+    for r, k, n, s, total in sorted(made, key=lambda m: (m[0], m[1])):
         new[r][k] = np.array(total) / n
         squares[r] += s
     return new, squares
@@ -109,14 +112,19 @@ def clustered(points: DataFrame, k: int, restarts: int = 20, seed: int = 1, runs
     read = Dense if runs is None else lambda batch: Rows(batch, runs)
     points = written(points.select("id", "x") if runs is None else points.select("id", "base", "at", "x"), "points")
     centres = _seeded(points, read, k, restarts, seed)
-    for _ in range(ROUNDS):
-        new, squares = _moved(points, read, centres)
-        done = all(np.array_equal(a, b) for a, b in zip(centres, new, strict=True))
-        centres = new
-        if done:
+    squares, moving = [0.0] * restarts, list(range(restarts))
+    for turn in range(ROUNDS + 1):
+        new, told = _moved(points, read, [centres[r] for r in moving])  # restarts at rest stay out
+        still = []
+        for r, c, s in zip(moving, new, told, strict=True):
+            squares[r] = s
+            if not np.array_equal(centres[r], c):
+                still.append(r)
+                if turn < ROUNDS:
+                    centres[r] = c
+        moving = still
+        if not moving:
             break
-    else:
-        _, squares = _moved(points, read, centres)
     best = int(np.argmin(np.round(squares, 9)))
     chosen, within = centres[best], squares[best]
 

@@ -109,10 +109,10 @@ class Rows:
         out[self.at[mine]] += self.more[mine]
         return out
 
-    def total(self, some: np.ndarray) -> np.ndarray:
-        """Sum of the rows that ``some`` marks."""
-        mine = some[self.row]
-        return self.base[some].sum() + np.bincount(self.at[mine], self.more[mine], self.n)
+    def totals(self, own: np.ndarray, k: int) -> np.ndarray:
+        """Sum of each group's rows."""
+        inside = np.bincount(own[self.row] * self.n + self.at, self.more, k * self.n).reshape(k, self.n)
+        return np.bincount(own, self.base, k)[:, None] + inside
 
     def apart(self, centres: np.ndarray) -> np.ndarray:
         """Squared distances (rows, centres)."""
